@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import labels as L
-from lodestar.llm import neardup, quality, toxicity
+from lodestar.llm import decontaminate, mixing, neardup, quality, toxicity
 from lodestar.llm.session import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, marks = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     scored = toxicity.score(docs, toxicity.train(docs, marks))
@@ -24,14 +29,34 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", L.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op3_toxicity": op3_toxicity,
+    "op4_mixing": op4_mixing,
     "op6_near_duplicates": op6_near_duplicates,
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOG_FACTORIALS = ", ".join(repr(math.lgamma(k + 1)) for k in range(mixing.TERMS))
+_OP4_SQL = f"""
+WITH counted AS (SELECT source AS s, count(*) AS n FROM documents GROUP BY source),
+     rated AS (SELECT s, (sum(n) OVER ())::DOUBLE * (1.0::DOUBLE / (count(*) OVER ())::DOUBLE) / n AS rate FROM counted),
+     drawn AS (SELECT s, rate, ceil(rate / {mixing.MEAN_OF_DRAW!r}::DOUBLE)::INT AS draws FROM rated),
+     terms AS (SELECT s, draws, list_transform([{_LOG_FACTORIALS}]::DOUBLE[], lambda g, k: exp((k - 1)::DOUBLE * ln(rate / draws) - rate / draws - g)) AS p FROM drawn),
+     tables AS (SELECT s, draws, list_transform(range(1, {mixing.TERMS + 1}), lambda n: list_reduce(list_prepend(0.0::DOUBLE, p[1:n]), lambda t, x: t + x)) AS cdf FROM terms),
+     counts AS (SELECT d.*, list_sum(list_transform(range(1, draws + 1), lambda j: len(list_filter(cdf, lambda c: c <= (('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || j::VARCHAR), 1, 13))::BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE)))) AS copies
+                FROM documents d JOIN tables t ON d.source IS NOT DISTINCT FROM t.s)
+SELECT doc_id, text, lang, source, n_chars, unnest(range(0, copies::BIGINT))::INT AS copy FROM counts
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_mixing": _OP4_SQL,
+}
