@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import labels as L
-from lodestar.llm import decontaminate, mixing, neardup, quality, toxicity
+from lodestar.llm import decontaminate, licenses, mixing, neardup, quality, secrets, toxicity
 from lodestar.llm.session import table
 
 
@@ -17,12 +17,24 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.with_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, marks = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     scored = toxicity.score(docs, toxicity.train(docs, marks))
     return scored.select("doc_id", L.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("score_hits").alias("hits"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    base = F.sha2(secrets.joined(F.filter("spans", lambda s: s["place"] < secrets.BASE)), 256).alias("base_sha256")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), base, secrets.joined(F.col("spans")).alias("spans"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, marks = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     scored = quality.score(docs, quality.train(docs, marks))
@@ -39,9 +51,11 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_licenses": op2_licenses,
     "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
     "op6_near_duplicates": op6_near_duplicates,
+    "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
 }
 
@@ -57,6 +71,45 @@ WITH counted AS (SELECT source AS s, count(*) AS n FROM documents GROUP BY sourc
 SELECT doc_id, text, lang, source, n_chars, unnest(range(0, copies::BIGINT))::INT AS copy FROM counts
 """
 
+_ENTRIES = licenses.Index()
+_VALUES = ", ".join(f"({e}, '{w}', {k})" for e, entry in enumerate(_ENTRIES.entries) for w, k in entry.words)
+_NEEDS = ", ".join(f"({e}, {entry.need}, '{entry.label}', {-1 if entry.key is None else entry.key})" for e, entry in enumerate(_ENTRIES.entries))
+_OP2_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{licenses.WORD}') AS w FROM documents),
+     words AS (SELECT r, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM docs),
+     postings(e, word, k) AS (VALUES {_VALUES}),
+     entries(e, need, label, key) AS (VALUES {_NEEDS}),
+     agreed AS (SELECT r, e, i - k AS word FROM words JOIN postings USING (word) GROUP BY ALL HAVING count(*) >= any_value((SELECT need FROM entries x WHERE x.e = postings.e))),
+     found AS (SELECT r, e, word, label FROM agreed a JOIN entries USING (e)
+               WHERE e < {_ENTRIES.base} OR (e >= {_ENTRIES.notices} AND EXISTS (SELECT 1 FROM agreed b WHERE b.r = a.r AND b.e = key))),
+     summed AS (SELECT r, count(*) FILTER (e < {_ENTRIES.base}) AS n_base, min(word) FILTER (e < {_ENTRIES.base}) AS first_word, max(word) FILTER (e < {_ENTRIES.base}) AS last_word,
+                       string_agg(DISTINCT label, ',' ORDER BY label) FILTER (e < {_ENTRIES.base}) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, count(*) AS n FROM found GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, 1 - pow(0.5::DOUBLE, coalesce(n, 0)::DOUBLE) AS score
+FROM docs LEFT JOIN summed USING (r)
+"""
+
+_RULES = "\n     UNION ALL ".join(
+    f"SELECT r, {k} AS place, '{rule.kind}' AS kind, {rule.least} AS least, string_split_regex(t, '{p}') AS pieces, regexp_extract_all(t, '{p}', 0) AS whole, regexp_extract_all(t, '{p}', {rule.group}) AS counted FROM docs"
+    for k, rule in enumerate(secrets.RULES)
+    for p in [rule.pattern.replace("'", "''")]
+)
+_OP9_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+     cut AS ({_RULES}),
+     matched AS (SELECT r, place, kind, least, i, length(pieces[i]) AS gap, length(whole[i]) AS size, length(counted[i]) AS counted
+                 FROM (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM cut WHERE len(whole) > 0)),
+     spans AS (SELECT r, place, kind, size, least, counted, sum(gap) OVER w + coalesce(sum(size) OVER before, 0) AS pos FROM matched
+               WINDOW w AS (PARTITION BY r, place ORDER BY i ROWS UNBOUNDED PRECEDING), before AS (PARTITION BY r, place ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+     kept AS (SELECT r, place, kind, pos, kind || ':' || pos::BIGINT::VARCHAR || ':' || (pos + size)::BIGINT::VARCHAR AS span FROM spans WHERE counted >= least),
+     summed AS (SELECT r, count(*) FILTER (place = 0) AS a, count(*) FILTER (place = 1) AS b, count(*) FILTER (place = 2) AS c,
+                       string_agg(span, ',' ORDER BY pos, place) FILTER (place < {secrets.BASE}) AS base, string_agg(span, ',' ORDER BY pos, place) AS spans FROM kept GROUP BY r)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN summed USING (r)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_licenses": _OP2_SQL,
+    "op9_secrets": _OP9_SQL,
     "op4_mixing": _OP4_SQL,
 }
