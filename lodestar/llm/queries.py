@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import labels as L
-from lodestar.llm import decontaminate, licenses, mixing, neardup, quality, secrets, toxicity
+from lodestar.llm import ann, chat, decontaminate, licenses, mixing, neardup, quality, secrets, tokens, toxicity
 from lodestar.llm.session import table
 
 
@@ -28,6 +28,15 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", L.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("score_hits").alias("hits"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.neighbours(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
@@ -45,6 +54,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rendered(table(spark, sf_dir, "conversations"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -54,7 +67,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_licenses": op2_licenses,
     "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
+    "op5_chat": op5_chat,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_neighbours": op7_neighbours,
+    "op8_token_counts": op8_token_counts,
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
 }
@@ -108,7 +124,20 @@ SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_a
 FROM docs LEFT JOIN summed USING (r)
 """
 
+_OP5_SQL = f"""
+WITH turns AS (SELECT conv_id AS c, row_number() OVER w - 1 AS place, role, text, coalesce(role, '\\0') || chr(1) || coalesce(text, '\\0') AS content
+               FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)),
+     convs AS (SELECT c, count(*) AS n, list(content ORDER BY place) AS content FROM turns GROUP BY c),
+     firsts AS (SELECT min(c) AS c, n, content FROM convs GROUP BY n, content),
+     starts AS (SELECT DISTINCT content[1:k] AS content FROM (SELECT content, n, unnest(range(1, n)) AS k FROM firsts)),
+     kept AS (SELECT c, n FROM firsts WHERE NOT EXISTS (SELECT 1 FROM starts s WHERE s.content = firsts.content))
+SELECT k.c AS conv_id, t.place // {chat.RUN} AS part, k.n AS turns, count(*) AS n,
+       string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10), '' ORDER BY t.place) AS text
+FROM kept k JOIN turns t ON t.c IS NOT DISTINCT FROM k.c GROUP BY k.c, k.n, t.place // {chat.RUN}
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_chat": _OP5_SQL,
     "op2_licenses": _OP2_SQL,
     "op9_secrets": _OP9_SQL,
     "op4_mixing": _OP4_SQL,
