@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -194,3 +194,22 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     named = exact.join(parts, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("class_id"))
     got = worded.join(named, ["h1", "h2"]).select("id", "class_id").unionByName(prints.filter("n = 0").select("id", F.col("id").alias("class_id")))
     return got.select(F.col("id").alias(id_col), "class_id")
+
+
+def keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
+    """Rows of ``docs`` to keep: of each class, the one with the smallest id.
+
+    Of rows that share an id, the one whose text sorts first stays; rows
+    without an id stay once for each distinct text.
+    """
+    named = materialise(classes(docs, id_col, text_col, threshold).filter(F.col(id_col).isNotNull()), "classes")
+    keep = named.filter(F.col(id_col) == F.col("class_id")).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n"))
+    kept = docs.join(keep, F.col(id_col) == F.col("_id")).drop("_id")
+    if named.groupBy(id_col).count().filter("count > 1").isEmpty():
+        kept = kept.drop("_n")
+    else:
+        first = Window.partitionBy(id_col).orderBy(text_col)
+        again = kept.filter("_n > 1").withColumn("_place", F.row_number().over(first)).filter(F.col("_place") == 1).drop("_place")
+        kept = kept.filter("_n = 1").unionByName(again).drop("_n")
+    nameless = docs.filter(F.col(id_col).isNull())
+    return kept if nameless.isEmpty() else kept.unionByName(nameless.dropDuplicates([text_col]))
