@@ -1,15 +1,71 @@
-"""Corpus pipeline: documents in, training mix out."""
+"""Corpus pipeline: documents in, training mix out.
+
+Each stage takes the whole table that the one before it kept, applies its
+operator's decisions, and returns the columns of ``documents`` (the last adds
+``copy``). ``run`` writes each stage to the shared folder and reads it again, so
+a stage never recomputes its predecessors, also when executors are lost.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestar.llm import decontaminate, mixing, neardup, quality, secrets
+from lodestar.llm.session import bounded, table
+from lodestar.llm.storage import materialise
+
+#: A document is rejected below this probability of good quality.
+LEAST_QUALITY = 0.3
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that the classifier, fitted on the labelled documents, accepts."""
+    bounded(spark)
+    model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, name="_score").filter(F.col("_score") >= LEAST_QUALITY).drop("_score")
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each class; of rows with the same id
+    in one class, one. Rows without an id are only dropped as exact copies."""
+    bounded(spark)
+    return neardup.keepers(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    found = decontaminate.with_matches(docs, table(spark, sf_dir, "benchmark"), name="_matches")
+    return found.filter(F.size("_matches") == 0).drop("_matches")
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets by a mark and counts the characters anew where that changed a text."""
+    before = F.col("text")
+    changed = secrets.redacted(docs.withColumn("_before", before))
+    n_chars = F.when(F.col("text").eqNullSafe(F.col("_before")), F.col("n_chars")).otherwise(F.length("text").cast("bigint"))
+    return changed.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replicates documents so that all sources have equal weight."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("secrets", secrets_stage),
+    ("mixing", mixing_stage),
+]
 
-STAGES: list = []
+#: The classifier and the near-duplicate classes are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
