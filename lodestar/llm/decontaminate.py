@@ -182,4 +182,6 @@ _ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("start_word", pa.int32())
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """One row for each document and item it holds."""
-    return with_matches(docs, items, **options).select(F.col(id_col), F.explode("matches").alias("m")).select(id_col, "m.*")
+    # explode would have its filter on empty arrays run the matching twice.
+    rows = with_matches(docs, items, **options).select(F.col(id_col), F.explode_outer("matches").alias("m"))
+    return rows.filter("m IS NOT NULL").select(id_col, "m.*")
