@@ -1,10 +1,10 @@
 """Versioned snapshots of a collection: points, postings and file states.
 
-A version is a set of Parquet tables that never change; a commit replaces one
-small pointer file that names them all. So points and file states can't
-diverge, a reader keeps the version it began with, and a failed write leaves
-the last version in place. The pointer is created exclusively per version, which
-also makes two writers of one version exclude each other.
+A version is a set of Parquet tables that never change; a commit creates one small
+file that names them all. So points and file states can't diverge, a reader
+keeps the version it began with, and a failed write leaves the last version in
+place. The file of a version can be created once only, and each attempt writes
+to folders of its own, so of two writers of one version the second fails.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import json
 import os
 import shutil
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,58 +35,66 @@ class Store:
         self.spark, self.name = spark, name
         self.path = os.path.join(root, name)
 
-    @property
-    def _pointer(self) -> str:
-        return os.path.join(self.path, "CURRENT.json")
+    def _commits(self) -> dict[int, str]:
+        """The attempt that made each version."""
+        folder = os.path.join(self.path, "versions")
+        found = {}
+        for name in os.listdir(folder) if os.path.isdir(folder) else []:
+            if name.endswith(".json"):
+                with open(os.path.join(folder, name)) as f:
+                    found[int(name[:-5])] = json.load(f)["attempt"]
+        return found
 
     def version(self) -> int:
         """The current version; 0 before the first commit or after ``drop``."""
-        try:
-            with open(self._pointer) as f:
-                return int(json.load(f)["version"])
-        except FileNotFoundError:
-            return 0
+        return max(self._commits(), default=0)
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
         """A table of a version; an empty one with its schema if there is none."""
-        v = self.version() if version is None else version
+        commits = self._commits()
+        v = max(commits, default=0) if version is None else version
         if not v:
             return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(os.path.join(self.path, table, f"v={v}"))
+        return self.spark.read.schema(TABLES[table]).parquet(os.path.join(self.path, table, commits[v]))
 
     def commit(self, base: int, **tables: DataFrame) -> int:
-        """Write all tables as one new version after ``base``, and point to it."""
+        """Write all tables as one new version after ``base``."""
         new = base + 1
-        os.makedirs(self.path, exist_ok=True)
+        if self.version() != base:
+            raise ConcurrentWrite(f"{self.name} is at version {self.version()}, not {base}")
+        attempt = f"v={new}-{uuid.uuid4().hex[:12]}"
         for table, schema in TABLES.items():
             df = tables.get(table)
             df = self.read(table, base) if df is None else df
             df = df.select(*[F.col(f.name).cast(f.dataType) for f in schema])
             if table == "points":  # equality on the file prunes row groups
                 df = df.sortWithinPartitions("source_file", "chunk_index")
-            df.write.mode("overwrite").parquet(os.path.join(self.path, table, f"v={new}"))
-        lock = os.path.join(self.path, f"commit-{new}")
+            df.write.parquet(os.path.join(self.path, table, attempt))
+        draft = os.path.join(self.path, "versions", attempt)
+        os.makedirs(os.path.dirname(draft), exist_ok=True)
+        with open(draft, "w") as f:
+            json.dump({"attempt": attempt, "at": time.time()}, f)
         try:
-            os.close(os.open(lock, os.O_CREAT | os.O_EXCL))
+            os.link(draft, os.path.join(self.path, "versions", f"{new}.json"))
         except FileExistsError:
+            for table in TABLES:
+                shutil.rmtree(os.path.join(self.path, table, attempt), ignore_errors=True)
             raise ConcurrentWrite(f"version {new} of {self.name} exists") from None
-        try:
-            if self.version() != base:
-                raise ConcurrentWrite(f"{self.name} is at version {self.version()}, not {base}")
-            with open(f"{self._pointer}.{new}", "w") as f:
-                json.dump({"version": new, "at": time.time()}, f)
-            os.replace(f"{self._pointer}.{new}", self._pointer)
         finally:
-            os.remove(lock)
+            os.remove(draft)
         return new
 
     def vacuum(self, keep: int = 2) -> None:
-        """Remove all but the last ``keep`` versions."""
-        oldest = self.version() - keep + 1
+        """Remove all but the last ``keep`` versions, and what failed writes left."""
+        commits = self._commits()
+        kept = {commits[v] for v in sorted(commits)[-keep:]}
+        for v, attempt in commits.items():
+            if attempt not in kept:
+                os.remove(os.path.join(self.path, "versions", f"{v}.json"))
         for table in TABLES:
             folder = os.path.join(self.path, table)
             for d in os.listdir(folder) if os.path.isdir(folder) else []:
-                if d.startswith("v=") and int(d[2:]) < oldest:
+                if d not in kept:
                     shutil.rmtree(os.path.join(folder, d))
 
     def create(self) -> int:
@@ -94,8 +103,7 @@ class Store:
 
     def drop(self) -> None:
         """Remove the collection; nothing if it is absent."""
-        if os.path.exists(self._pointer):
-            os.remove(self._pointer)
+        shutil.rmtree(os.path.join(self.path, "versions"), ignore_errors=True)
         shutil.rmtree(self.path, ignore_errors=True)
 
     def scroll(self, source_file: str, limit: int = 100) -> DataFrame:
