@@ -12,14 +12,15 @@ as soon as its next arrival is later than all components' first ones.
    bucket is paired with the bucket's smallest id. Pairs whose signatures agree
    in too few components are out; the others are verified by exact J_P.
 3. Verified links give components. A bucket whose members are still in several
-   components may hide a link between two members that aren't its smallest.
-   The documents of such divided buckets go through an exact prefix-filter
-   join: two documents with J_P >= t share a shingle among the rarest ones
-   that make up a mass of 1 - t of each. Only pairs across components are made.
-4. Components again, over all verified links.
+   components may hide a link between two members of which neither is its
+   smallest. In such a divided bucket all members across components are compared
+   by signature, in blocks that are dealt to tasks of bounded size; those that
+   agree enough are verified there by exact J_P, and only links leave the task.
+4. Components again, over all links.
 
-So no group is expanded into all its pairs, none is capped, and no link that
-the bands found between two texts is lost.
+No group is capped or sampled, and no pairs are written: rows grow with members and
+links. A link can only be missed where no band holds both texts, or where the
+signatures of two near-duplicates agree in too few components.
 
 Defined cases: a null text, or one without words, is a class of its own; texts
 of 1-4 words have one shingle of all words. The class id is the smallest id of
@@ -33,6 +34,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,8 +48,9 @@ SIMILARITY = 0.8
 ROWS, BANDS = 4, 20
 SIZE = ROWS * BANDS
 #: Signatures that agree in fewer components than this are not verified: at
-#: J_P = 0.8 that is over six standard deviations below the mean.
-LEAST_AGREEING = 42
+#: J_P = 0.8 that is over five standard deviations below the mean.
+LEAST_AGREEING = 44
+BLOCK = 2048
 
 
 def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, size: int = SIZE) -> np.ndarray:
@@ -132,32 +135,98 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return pairs.join(tb, "b").join(ta, "a").withColumn("similarity", _similarity("ta", "tb")).filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 
-@F.arrow_udf(T.ArrayType(T.StructType().add("shingle", T.LongType()).add("weight", T.DoubleType())))
-def _weights(text: pa.Array) -> pa.Array:
-    elements, weights, sizes = [np.empty(0, U)], [np.empty(0)], [0]
-    for at, end, words in batches_of_words(text):
-        doc, element, weight = weighted_shingles(words)
-        elements.append(element)
-        weights.append(weight)
-        sizes.extend(np.bincount(doc, minlength=end - at).tolist())
-    values = pa.StructArray.from_arrays([pa.array(np.concatenate(elements).astype(np.int64)), pa.array(np.concatenate(weights))], ["shingle", "weight"])
-    return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), type=pa.int32()), values)
-
-
-def _prefix_pairs(texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) across components of texts(node, component, text) that can reach the threshold."""
-    listed = texts.select("node", "component", _weights("text").alias("s"))
-    flat = materialise(listed.select("node", "component", F.expr("aggregate(s, 0D, (t, x) -> t + x.weight)").alias("mass"), F.explode("s").alias("s")).select("node", "component", "mass", "s.*"), "shingles")
-    often = flat.groupBy("shingle").agg(F.count("*").alias("often"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-    # Rarest first; what is left after the prefix weighs less than threshold * mass.
-    ranked = flat.join(often, "shingle").groupBy("node", "component", "mass").agg(F.array_sort(F.collect_list(F.struct("often", "shingle", "weight", (F.col("c0") != F.col("c1")).alias("shared")))).alias("s"))
-    before = F.expr("aggregate(s, struct(0D AS done, cast(0 AS int) AS k), (t, x) -> if(mass - t.done >= mass * %r - 1e-9, struct(t.done + x.weight AS done, t.k + 1 AS k), t)).k" % threshold)
-    prefix = materialise(ranked.select("node", "component", F.explode(F.filter(F.slice("s", F.lit(1), before), lambda x: x["shared"])).alias("s")).select("node", "component", "s.shingle"), "prefix")
-    sides = prefix.select("shingle", "component").distinct()
-    across = sides.select("shingle", F.col("component").alias("ca")).join(sides.select("shingle", F.col("component").alias("cb")), "shingle").filter("ca < cb")
-    x = prefix.select("shingle", F.col("component").alias("ca"), F.col("node").alias("x"))
-    y = prefix.select("shingle", F.col("component").alias("cb"), F.col("node").alias("y"))
-    return across.join(x, ["shingle", "ca"]).join(y, ["shingle", "cb"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def _blocked(members: DataFrame) -> DataFrame:
+    """Members(band, key, node, ...) of buckets, dealt so that each two blocks of about
+    BLOCK members of a bucket meet in one group (band, key, low, high)."""
+    sizes = members.groupBy("band", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = members.join(sizes, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return met.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("blocks", "other")
+
+
+def _likely_across(pdf: pd.DataFrame, place: np.ndarray, minor: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows) of a group whose signatures agree enough across components. A pair
+    that shares several buckets is only met in that of its first band."""
+    marks = np.frombuffer(b"".join(pdf["signature"]), dtype=np.uint16).reshape(-1, SIZE)
+    block, band = pdf["block"].to_numpy(), pdf["band"].iloc[0]
+    within = pdf["low"].iloc[0] == pdf["high"].iloc[0]
+    columns = np.ascontiguousarray(marks.T)
+    for at in range(0, len(minor), 64):
+        x = minor[at : at + 64]
+        agree = np.zeros((len(x), len(marks)), dtype=np.uint8)
+        for c in columns:
+            agree += c[x, None] == c
+        ok = (agree >= LEAST_AGREEING) & (place[x, None] != place)
+        if not within:
+            ok &= block[x, None] != block
+        row, y = np.nonzero(ok)
+        first = (marks[x[row]] == marks[y]).reshape(-1, BANDS, ROWS).all(2).argmax(1) == band
+        row, y = row[first], y[first]
+        cut = np.searchsorted(row, np.arange(len(x) + 1))
+        for k in range(len(x)):
+            yield int(x[k]), y[cut[k] : cut[k + 1]]
+
+
+def _parts(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's component as a small number, and the rows outside the largest one:
+    they are one side of every pair across."""
+    _, place, count = np.unique(pdf["component"].to_numpy(), return_inverse=True, return_counts=True)
+    return place, np.flatnonzero(place != count.argmax())
+
+
+def _in_question(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The members of a group that have a likely partner across."""
+    place, minor = _parts(pdf)
+    flagged = np.zeros(len(pdf), dtype=bool)
+    for x, ys in _likely_across(pdf, place, minor):
+        flagged[ys] = True
+        flagged[x] |= len(ys) > 0
+    return pdf.loc[flagged, ["band", "key", "node"]]
+
+
+def _links_within(threshold: float):
+    def linked(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Verified links of a group. Rows that a link has brought into one component
+        aren't compared any more, so that links grow with rows."""
+        place, minor = _parts(pdf)
+        sets = list(_sets(pa.array(pdf["text"])))
+        mass = np.array([w.sum() for _, w in sets])
+        node, out = pdf["node"].to_numpy(), []
+        for x, ys in _likely_across(pdf, place.copy(), minor):
+            ys = ys[place[ys] != place[x]]
+            if not len(ys):
+                continue
+            ex, wx = sets[x]
+            size = np.array([len(sets[y][0]) for y in ys])
+            e, w = (np.concatenate([sets[y][k] for y in ys]) for k in (0, 1))
+            at = np.minimum(np.searchsorted(ex, e), len(ex) - 1)
+            shared = ex[at] == e
+            of = np.repeat(np.arange(len(ys)), size)
+            both = np.bincount(of, shared, len(ys))
+            # J_P is at most the shared part of either side's mass; without repeated
+            # shingles it is the share of common ones.
+            bound = np.minimum(np.bincount(of, w * shared, len(ys)) / mass[ys], np.bincount(of, wx[at] * shared, len(ys)) / mass[x])
+            plain = (mass[x] == len(ex)) & (mass[ys] == size)
+            near = np.where(plain, both / (len(ex) + size - both), bound) >= threshold - 1e-9
+            for y, sure in zip(ys[near].tolist(), plain[near].tolist(), strict=True):
+                if place[y] != place[x] and (sure or probability_jaccard(*sets[x], *sets[y]) >= threshold):
+                    out.append((min(node[x], node[y]), max(node[x], node[y])))
+                    place[place == place[y]] = place[x]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return linked
+
+
+def _across(divided: DataFrame, sources: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) across components in divided buckets(band, key, node, component, signature).
+
+    Signatures settle which members are in question; only these meet again with
+    their texts. Each group holds two blocks at most, and only links leave it.
+    """
+    group = ["band", "key", "low", "high"]
+    asked = _blocked(divided).groupBy(*group).applyInPandas(_in_question, "band int, key binary, node bigint").distinct()
+    again = _blocked(divided.join(asked, ["band", "key", "node"])).join(sources, "node")
+    return again.groupBy(*group).applyInPandas(_links_within(threshold), "a bigint, b bigint").distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
@@ -176,21 +245,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     sa, sb = (marks.select(F.col("node").alias(c), F.col("signature").alias(f"s{c}")) for c in "ab")
     least = LEAST_AGREEING * min(1.0, threshold / SIMILARITY)
     likely = materialise(star.join(sb, "b").join(sa, "a").filter(_agreeing("sa", "sb") >= int(least)).select("a", "b"), "pairs")
-    involved = members.select("node").distinct()
     # Texts of bucket members only, one of each.
-    own = exact.select("node", "h1", "h2").join(involved, "node", "left_semi").select("node").distinct()
-    sources = texts.join(own, F.col("id") == F.col("node"), "left_semi").groupBy(F.col("id").alias("node")).agg(F.min("text").alias("text"))
+    involved = members.select("node").distinct()
+    sources = texts.join(involved, F.col("id") == F.col("node"), "left_semi").groupBy(F.col("id").alias("node")).agg(F.min("text").alias("text"))
     sources = materialise(sources, "texts")
     links = materialise(_verified(likely, sources, threshold), "links")
     parts = components(links)
-    placed = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = members.join(parts, "node", "left").select("band", "key", "node", F.coalesce("component", "node").alias("component"))
     divided = placed.groupBy("band", "key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("band", "key")
-    unsettled = materialise(placed.join(divided, ["band", "key"], "left_semi").select("node", "component").distinct(), "unsettled")
-    if not unsettled.isEmpty():
-        across = _prefix_pairs(sources.join(unsettled, "node"), threshold)
-        more = materialise(_verified(across.join(likely, ["a", "b"], "left_anti"), sources, threshold), "links")
-        if not more.isEmpty():
-            parts = components(links.unionByName(more))
+    unsettled = materialise(placed.join(divided, ["band", "key"], "left_semi").join(marks, "node"), "unsettled")
+    more = materialise(_across(unsettled, sources, threshold), "links")
+    if not more.isEmpty():
+        parts = components(links.select("a", "b").unionByName(more))
     named = exact.join(parts, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("class_id"))
     got = worded.join(named, ["h1", "h2"]).select("id", "class_id").unionByName(prints.filter("n = 0").select("id", F.col("id").alias("class_id")))
     return got.select(F.col("id").alias(id_col), "class_id")
