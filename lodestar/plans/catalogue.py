@@ -2,7 +2,9 @@
 
 Documents stand in for files and chunks, embeddings for their vectors, benchmark
 items for queries, labels for what an index knows already, events for tasks and
-latency samples. Every query runs over its whole tables.
+latency samples. Every query runs over its whole tables, but for the retrieval
+queries over points, whose SQL joins documents with embeddings; the two named
+``_all`` search the whole tables.
 """
 
 from __future__ import annotations
@@ -123,6 +125,23 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumns({c: F.col(c).cast("bigint") for c in ("rank", "chunk_index", "total_chunks")})
 
 
+@query(f"""WITH pts AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+q AS (SELECT item_id AS query_id, embedding::DOUBLE[] AS v FROM benchmark JOIN embeddings ON item_id = vec_id), {_SQL_DENSE} SELECT query_id, id, score, rank::BIGINT AS rank FROM dense""")
+def dense_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As dense_topk, over all embeddings, also those without a document."""
+    points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("dense"))
+    return _ranks(retrieval.dense_topk(points, _asked(spark, sf_dir), TOP_N))
+
+
+@query(f"""WITH pts AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '{text.ORACLE_TOKEN}') AS t FROM documents),
+q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '{text.ORACLE_TOKEN}')) AS t FROM benchmark), {_SQL_WEIGHTS}, {_SQL_SPARSE} SELECT query_id, id, score, rank::BIGINT AS rank FROM sparse""")
+def sparse_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As sparse_topk, over all documents and items, also those without a vector."""
+    points = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return _ranks(retrieval.sparse_topk(_postings(points), asked, TOP_N, pattern=text.ORACLE_TOKEN))
+
+
 @query(f"""WITH pts AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '{text.ORACLE_TOKEN}') AS t FROM documents), {_SQL_WEIGHTS}
 SELECT id, term, tf::BIGINT AS tf, dl::BIGINT AS length, round(weight, 6) AS weight FROM w""")
 def term_weights(spark: SparkSession, sf_dir: str) -> DataFrame:

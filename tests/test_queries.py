@@ -34,6 +34,16 @@ def test_query(spark, duck, name):
     assert canonical(map(tuple, got.select(*columns).collect())) == canonical([tuple(r[k] for k in order) for r in want.fetchall()])
 
 
+def test_whole_tables_are_searched(spark, tmp_path):
+    """A document without a vector, an item without one, and a vector without a document are found."""
+    spark.createDataFrame([(0, "alpha beta", "s"), (1, "gamma", "s"), (9, "gamma delta", "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (7, [1.0, 0.1])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(0, "delta"), (8, "gamma")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = lambda name: sorted((r.query_id, r.id) for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect())
+    assert found("sparse_topk_all") == [(0, 9), (8, 1), (8, 9)]
+    assert found("dense_topk_all") == [(0, 0), (0, 1), (0, 7)]
+
+
 def test_entry_points_without_the_corpus_subpackage(spark, monkeypatch):
     import importlib
     import sys
