@@ -10,7 +10,10 @@ An item of L words is compared with windows of L words of each document.
 3. Fingerprints within RADIUS bits of an item's are found through four tables
    on 16-bit blocks: if at most 15 bits differ, some block differs in at most 3,
    so probing each block with all masks of up to 3 bits finds every one.
-4. Candidates are verified by the weighted Jaccard similarity (sum of minima
+4. Near the threshold, fingerprints can differ in more bits. So an item that
+   shares enough shingles with a window is a candidate as well, whatever its
+   fingerprint; with these, no match is lost.
+5. Candidates are verified by the weighted Jaccard similarity (sum of minima
    over sum of maxima of counts) of five-word shingles.
 
 The item tables are broadcast in blocks of ITEMS_IN_BLOCK items at most; a
@@ -85,6 +88,12 @@ class ItemIndex:
         # (shingle, item length), distinct, by shingle
         pairs = np.unique(np.rec.fromarrays([np.concatenate([*self.shingles, np.empty(0, U)]), np.concatenate([*(np.full(len(s), n) for s, n in zip(self.shingles, self.length, strict=True)), np.empty(0, np.int64)])]))
         self.known, self.known_length = np.asarray(pairs["f0"]), np.asarray(pairs["f1"]).astype(np.int64)
+        # for each item length, (shingle, item), distinct, by shingle
+        self.holders = {}
+        for n in np.unique(self.length).tolist():
+            own = np.flatnonzero(self.length == n)
+            held = np.unique(np.rec.fromarrays([np.concatenate([self.shingles[k] for k in own]), np.repeat(own, [len(self.shingles[k]) for k in own])]))
+            self.holders[n] = np.asarray(held["f0"]), np.asarray(held["f1"]).astype(np.int64)
         self.bitmap = np.zeros(1 << 22, dtype=bool)
         self.bitmap[(self.known & U((1 << 22) - 1)).astype(np.int64)] = True
 
@@ -105,6 +114,30 @@ class ItemIndex:
         close = np.bitwise_count(prints[q] ^ self.prints[item]) <= RADIUS
         return q[close], item[close]
 
+    def sharing(self, size: int, own: np.ndarray, starts: np.ndarray, k: int, enough: float) -> tuple[np.ndarray, np.ndarray]:
+        """(start, item) of all items of ``size`` words of which ``enough`` of the ``k``
+        shingles from a start are. ``own`` are the shingles of the text, ``starts`` ascend."""
+        shingle, holder = self.holders[size]
+        inside = np.zeros(len(own) + 1, dtype=np.int64)
+        np.add.at(inside, starts, 1)
+        np.add.at(inside, np.minimum(starts + k, len(own)), -1)
+        place = np.flatnonzero(np.cumsum(inside[:-1]))
+        a, e = np.searchsorted(shingle, own[place], side="left"), np.searchsorted(shingle, own[place], side="right")
+        count = e - a
+        item = holder[np.repeat(a - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        place = np.repeat(place, count)
+        out_start, out_item = [], []
+        items, of, many = np.unique(item, return_inverse=True, return_counts=True)
+        order = np.argsort(of, kind="stable")
+        for i, x, n in zip(items.tolist(), (np.cumsum(many) - many).tolist(), many.tolist(), strict=True):
+            if n < enough:
+                continue
+            at = place[order[x : x + n]]
+            fit = starts[np.searchsorted(at, starts + k) - np.searchsorted(at, starts) >= enough]
+            out_start.append(fit)
+            out_item.append(np.full(len(fit), i))
+        return np.concatenate([*out_start, np.empty(0, np.int64)]), np.concatenate([*out_item, np.empty(0, np.int64)])
+
     def matches(self, texts: pa.Array) -> list[list[tuple[int, int, int, float]]]:
         out: list[list] = [[] for _ in range(len(texts))]
         if not len(self.ids):
@@ -142,13 +175,15 @@ class ItemIndex:
             total = np.zeros((hi - lo + 1, 64), dtype=np.int32)
             np.cumsum(_signs(hashes[lo:hi]), axis=0, out=total[1:])
             prints = _pack(total[starts - lo + window] - total[starts - lo])
+            pairs = [np.column_stack(self.sharing(size, own, starts, k, enough))]
             for part in range(0, len(prints), 512):
                 q, item = self.near(prints[part : part + 512])
                 fit = self.length[item] == size
-                for s, i in zip(starts[part + q[fit]].tolist(), item[fit].tolist(), strict=True):
-                    got = weighted_jaccard(own[s : s + k], self.shingles[i])
-                    if got >= self.threshold - 1e-9 and got > best.get(i, (0.0, 0, 0))[0]:
-                        best[i] = (got, s, s + window)
+                pairs.append(np.column_stack([starts[part + q[fit]], item[fit]]))
+            for s, i in np.unique(np.concatenate(pairs), axis=0).tolist():
+                got = weighted_jaccard(own[s : s + k], self.shingles[i])
+                if got >= self.threshold - 1e-9 and got > best.get(i, (0.0, 0, 0))[0]:
+                    best[i] = (got, s, s + window)
         return sorted((int(self.ids[i]), s, e, got) for i, (got, s, e) in best.items())
 
 

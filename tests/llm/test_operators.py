@@ -111,6 +111,24 @@ def test_decontamination_equals_brute_force(spark):
         assert all(r.similarity >= 0.8 for r in got)
 
 
+def test_decontamination_finds_all_at_the_threshold():
+    """Windows near 0.8 whose fingerprints differ in more bits than the tables reach."""
+    rng = random.Random(21)
+    items, texts, far = [], [], 0
+    for k in range(400):
+        item = [f"v{k}x{j}" for j in range(rng.randrange(60, 200))]
+        # the last words replaced, as far as Jaccard stays at 0.8
+        changed = (len(item) - 4) // 9
+        leak = item[:-changed] + [f"other{k}x{j}" for j in range(changed)]
+        items.append(" ".join(item))
+        texts.append(f"before {' '.join(leak)} after")
+    index = decontaminate.ItemIndex(list(range(400)), items)
+    found = index.matches(pa.array(texts))
+    leaks = decontaminate.ItemIndex(list(range(400)), [t.removeprefix("before ").removesuffix(" after") for t in texts])
+    far = int((np.bitwise_count(leaks.prints ^ index.prints) > decontaminate.RADIUS).sum())
+    assert [[m[0] for m in row] for row in found] == [[k] for k in range(400)] and far > 0
+
+
 def test_decontamination_cases(spark):
     item = "one two three four five six seven eight"
     rows = [(1, None, "x"), (2, "", "x"), (3, f"{item} and {item}", "x"), (3, item.upper(), "y"), (None, item, "z"), (5, "one two three four five six seven", "x")]
