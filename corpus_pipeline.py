@@ -28,7 +28,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each class; of rows with the same id
-    in one class, one. Rows without an id are only dropped as exact copies."""
+    in one class, one. Of rows of a class without an id, one stays too."""
     bounded(spark)
     return neardup.keepers(docs)
 

@@ -7,16 +7,16 @@ first. Two texts agree in a component with the probability Jaccard similarity
 J_P of their weights (Moulton & Jiang 2018, Ertl 2020). A shingle is dropped
 as soon as its next arrival is later than all components' first ones.
 
-1. Texts with the same words collapse to one representative (smallest id).
-2. Bands of the representatives' signatures give buckets; each member of a
-   bucket is paired with the bucket's smallest id. Pairs whose signatures agree
+1. Texts with the same words collapse to one node, whatever their ids.
+2. Bands of the nodes' signatures give buckets; each member of a bucket is
+   paired with the bucket's smallest node. Pairs whose signatures agree
    in too few components are out; the others are verified by exact J_P.
 3. Verified links give components. A bucket whose members are still in several
    components may hide a link between two members of which neither is its
    smallest. In such a divided bucket all members across components are compared
    by signature, in blocks that are dealt to tasks of bounded size; those that
    agree enough are verified there by exact J_P, and only links leave the task.
-4. Components again, over all links.
+4. Components again, over all links. Only then a class gets its smallest id.
 
 No group is capped or sampled, and no pairs are written: rows grow with members and
 links. A link can only be missed where no band holds both texts, or where the
@@ -24,9 +24,9 @@ signatures of two near-duplicates agree in too few components.
 
 Defined cases: a null text, or one without words, is a class of its own; texts
 of 1-4 words have one shingle of all words. The class id is the smallest id of
-the class. A row with a null id is matched with exact copies only, and its class
-id is null if no copy has an id. Repeated rows are in one class. Other columns
-take no part.
+the class, null if no row of it has an id. Different texts under one id are
+matched each for itself; two classes whose smallest id is the same have the same
+class id. Repeated rows are in one class. Other columns take no part.
 """
 
 from __future__ import annotations
@@ -229,25 +229,27 @@ def _across(divided: DataFrame, sources: DataFrame, threshold: float) -> DataFra
     return again.groupBy(*group).applyInPandas(_links_within(threshold), "a bigint, b bigint").distinct()
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """One row per row of ``docs``: (id, class_id)."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    prints = materialise(texts.select("id", _fingerprint("text").alias("f")).select("id", "f.*"), "prints")
+def _named(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """One row per row of ``docs``: (id, t, part, class_id). ``t`` is a hash of the text,
+    ``part`` tells classes apart that have the same id; it is null for a text without words."""
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    prints = materialise(texts.select("id", "t", _fingerprint("text").alias("f")).select("id", "t", "f.*"), "prints")
     worded = prints.filter("n > 0")
-    # The signature is a function of the words, so any row's will do.
-    exact = materialise(worded.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.any_value("signature").alias("signature")), "exact")
-    nodes = exact.filter("node IS NOT NULL")
+    # The signature is a function of the words, so any row's will do. A row's id and text are where a node's text is found.
+    row = F.struct(F.col("id").isNull().alias("nameless"), "id", "t")
+    exact = worded.groupBy("h1", "h2").agg(F.min(row).alias("row"), F.any_value("signature").alias("signature"))
+    nodes = materialise(exact.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "row.id", "row.t", "signature"), "exact")
     banded = nodes.select("node", F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), k -> substring(signature, k * {2 * ROWS} + 1, {2 * ROWS}))")).alias("band", "key"))
     buckets = materialise(banded.groupBy("band", "key").agg(F.min("node").alias("centre"), F.max("node").alias("other")).filter("centre <> other").drop("other"), "buckets")
     members = materialise(banded.join(buckets, ["band", "key"]).select("band", "key", "centre", "node"), "members")
     star = members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    marks = nodes.groupBy("node").agg(F.min("signature").alias("signature"))
+    marks = nodes.select("node", "signature")
     sa, sb = (marks.select(F.col("node").alias(c), F.col("signature").alias(f"s{c}")) for c in "ab")
     least = LEAST_AGREEING * min(1.0, threshold / SIMILARITY)
     likely = materialise(star.join(sb, "b").join(sa, "a").filter(_agreeing("sa", "sb") >= int(least)).select("a", "b"), "pairs")
     # Texts of bucket members only, one of each.
-    involved = members.select("node").distinct()
-    sources = texts.join(involved, F.col("id") == F.col("node"), "left_semi").groupBy(F.col("id").alias("node")).agg(F.min("text").alias("text"))
+    involved = members.select("node").distinct().join(nodes, "node").select("node", F.col("id").alias("_id"), F.col("t").alias("_t"))
+    sources = texts.join(involved, F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))).groupBy("node").agg(F.min("text").alias("text"))
     sources = materialise(sources, "texts")
     links = materialise(_verified(likely, sources, threshold), "links")
     parts = components(links)
@@ -257,25 +259,34 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     more = materialise(_across(unsettled, sources, threshold), "links")
     if not more.isEmpty():
         parts = components(links.select("a", "b").unionByName(more))
-    named = exact.join(parts, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("class_id"))
-    got = worded.join(named, ["h1", "h2"]).select("id", "class_id").unionByName(prints.filter("n = 0").select("id", F.col("id").alias("class_id")))
-    return got.select(F.col("id").alias(id_col), "class_id")
+    smallest = parts.join(nodes.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("least"))
+    linked = parts.join(smallest, "component").select("node", "component", "least")
+    named = nodes.join(linked, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("part"), F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least")).alias("class_id"))
+    lone = prints.filter("n = 0").select("id", "t", F.lit(None).cast("bigint").alias("part"), F.col("id").alias("class_id"))
+    return worded.join(named, ["h1", "h2"]).select("id", "t", "part", "class_id").unionByName(lone)
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
+    """One row per row of ``docs``: (id, class_id)."""
+    return _named(docs, id_col, text_col, threshold).select(F.col("id").alias(id_col), "class_id")
 
 
 def keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """Rows of ``docs`` to keep: of each class, the one with the smallest id.
 
-    Of rows that share an id, the one whose text sorts first stays; rows
-    without an id stay once for each distinct text.
+    Of rows of a class that share that id, the one whose text sorts first stays.
+    Rows without an id don't compete with those that have one: of those of a class,
+    the one whose text sorts first stays too; without words, one of each text.
     """
-    named = materialise(classes(docs, id_col, text_col, threshold).filter(F.col(id_col).isNotNull()), "classes")
-    keep = named.filter(F.col(id_col) == F.col("class_id")).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n"))
-    kept = docs.join(keep, F.col(id_col) == F.col("_id")).drop("_id")
-    if named.groupBy(id_col).count().filter("count > 1").isEmpty():
-        kept = kept.drop("_n")
-    else:
-        first = Window.partitionBy(id_col).orderBy(text_col)
-        again = kept.filter("_n > 1").withColumn("_place", F.row_number().over(first)).filter(F.col("_place") == 1).drop("_place")
-        kept = kept.filter("_n = 1").unionByName(again).drop("_n")
-    nameless = docs.filter(F.col(id_col).isNull())
-    return kept if nameless.isEmpty() else kept.unionByName(nameless.dropDuplicates([text_col]))
+    named = materialise(_named(docs, id_col, text_col, threshold).filter(F.col("id").isNull() | (F.col("id") == F.col("class_id"))), "classes")
+    # Rivals: rows of a class and id; without words, of an id; without both, of a text.
+    lone = F.when(F.col("part").isNull() & F.col("id").isNull(), F.col("t"))
+    keys = named.groupBy("id", "t").agg(F.min("part").alias("part"), F.count("*").alias("n")).withColumn("lone", lone)
+    keys = keys.withColumn("rivals", F.sum("n").over(Window.partitionBy("part", "id", "lone")))
+    keys = materialise(keys.select(*(F.col(c).alias(f"_{c}") for c in ("id", "t", "part", "lone", "rivals"))), "keys")
+    kept = docs.withColumn("_text", F.xxhash64(text_col)).join(keys, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_t")))
+    if not keys.filter("_rivals > 1").isEmpty():
+        first = Window.partitionBy("_part", "_id", "_lone").orderBy(text_col)
+        again = kept.filter("_rivals > 1").withColumn("_place", F.row_number().over(first)).filter(F.col("_place") == 1).drop("_place")
+        kept = kept.filter("_rivals = 1").unionByName(again)
+    return kept.select(*docs.columns)

@@ -355,6 +355,19 @@ def test_near_duplicate_cases(spark):
     assert neardup.classes(docs.limit(0)).count() == 0 and neardup.keepers(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    rng = random.Random(12)
+    a, b, c, d = (prose(rng, 100) for _ in range(4))
+    near = lambda t: t.replace(t.split()[-1], "changed") if t.count(t.split()[-1]) == 1 else t + " changed"
+    # Id 7 has a text near that of 3, one near that of 9, and one of its own; d is near among rows without ids only.
+    rows = [(3, a), (7, near(a)), (7, b), (9, near(b)), (7, c), (None, d), (None, near(d)), (None, near(c))]
+    docs = spark.createDataFrame(rows, SHORT)
+    got = sorted((str(r.doc_id), str(r.class_id)) for r in neardup.classes(docs).collect())
+    assert got == sorted([("3", "3"), ("7", "3"), ("7", "7"), ("9", "7"), ("7", "7"), ("None", "None"), ("None", "None"), ("None", "7")])
+    kept = sorted((str(r.doc_id), r.text) for r in neardup.keepers(docs).collect())
+    assert kept == sorted([("3", a), ("7", b), ("7", c), ("None", min(d, near(d))), ("None", near(c))])
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(2)
     for shared, own in ((40, 10), (20, 20), (5, 45)):
