@@ -6,7 +6,8 @@ shards of SHARD_NODES by a hash. A shard's graph is built in batches: a greedy
 beam search from the entry point proposes neighbours for each node of a batch,
 robust pruning keeps a proposal unless a kept one is closer to it by the factor
 ALPHA, and reverse edges are added and pruned likewise (Subramanya et al. 2019).
-A query is searched in each shard by a beam search; the shards' best are merged.
+A query is searched in each shard by a beam search, with a wider beam where the
+nodes found have fewer than ``k`` ids; the shards' best are merged.
 All searches of a batch advance together, as numpy operations.
 
 Queries are dealt in blocks of QUERY_BLOCK, and a task holds one shard and one
@@ -167,17 +168,30 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
             x, y = unit(raw), unit(ask)
             graph, entry = build(x)
             ids = mine["ids"].tolist()
-            for a in range(0, len(y), 1024):
-                found, _ = beam_search(x, graph, y[a : a + 1024], entry, beam)
-                for q, (row, own) in enumerate(zip(found, theirs["query_id"].iloc[a : a + 1024].tolist(), strict=True)):
-                    hits = row[row >= 0]
-                    v = ask[a + q]
-                    score = raw[hits] @ v / (np.sqrt((raw[hits] * raw[hits]).sum(1)) * np.sqrt((v * v).sum()))
-                    score = np.where(np.isfinite(score), score, x[hits] @ y[a + q])
-                    near = sorted((-s, i) for h, s in zip(hits.tolist(), score.tolist(), strict=True) for i in ids[h] if i != own)[:k]
-                    out["query_id"] += [own] * len(near)
-                    out["vec_id"] += [i for _, i in near]
-                    out["score"] += [-s for s, _ in near]
+            owns = theirs["query_id"].tolist()
+            todo, wide = np.arange(len(y)), beam
+            while len(todo):
+                again = []
+                for a in range(0, len(todo), 1024):
+                    part = todo[a : a + 1024]
+                    found, _ = beam_search(x, graph, y[part], entry, wide)
+                    for q, row in zip(part.tolist(), found, strict=True):
+                        hits, own, v = row[row >= 0], owns[q], ask[q]
+                        score = raw[hits] @ v / (np.sqrt((raw[hits] * raw[hits]).sum(1)) * np.sqrt((v * v).sum()))
+                        score = np.where(np.isfinite(score), score, x[hits] @ y[q])
+                        best: dict[int, float] = {}
+                        for h, s in zip(hits.tolist(), score.tolist(), strict=True):
+                            for i in ids[h]:
+                                if i != own and s > best.get(i, -np.inf):
+                                    best[i] = s
+                        if len(best) < k and len(hits) == wide < len(x):
+                            again.append(q)
+                            continue
+                        near = sorted((-s, i) for i, s in best.items())[:k]
+                        out["query_id"] += [own] * len(near)
+                        out["vec_id"] += [i for _, i in near]
+                        out["score"] += [-s for s, _ in near]
+                todo, wide = np.array(again, dtype=np.int64), min(4 * wide, len(x))
         return pd.DataFrame(out)
 
     found = dealt.groupBy("shard", "block").cogroup(sent.groupBy("shard", "block")).applyInPandas(search, "query_id long, vec_id long, score double")

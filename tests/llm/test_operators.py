@@ -429,6 +429,16 @@ def test_neighbour_cases(spark):
     assert ann.neighbours(two.limit(0), two).count() == 0 and ann.neighbours(two, two.limit(0)).count() == 0
 
 
+def test_neighbours_of_ids_with_many_vectors(spark):
+    """Ids 1 and 0 have many vectors nearer to the query than any of the others; each id is one candidate."""
+    at = lambda angle: [float(np.cos(angle)), float(np.sin(angle))]
+    rows = [(0, at(0.0))] + [(0, at(0.0001 * k)) for k in range(1, 150)] + [(1, at(0.1 + 0.0001 * k)) for k in range(150)] + [(k, at(0.2 * k)) for k in range(2, 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.neighbours(df, df.limit(1)).orderBy("rank").collect()
+    assert [(r["rank"], r.vec_id) for r in got] == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)]
+    assert abs(got[0].score - np.cos(0.1)) < 1e-12
+
+
 # ---- 8 token counts
 
 
