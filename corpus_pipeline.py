@@ -35,7 +35,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    found = decontaminate.with_matches(docs, table(spark, sf_dir, "benchmark"), name="_matches")
+    found = decontaminate.with_matches(docs, table(spark, sf_dir, "benchmark"), name="_matches", least_words=1)
     return found.filter(F.size("_matches") == 0).drop("_matches")
 
 

@@ -19,8 +19,11 @@ An item of L words is compared with windows of L words of each document.
 The item tables are broadcast in blocks of ITEMS_IN_BLOCK items at most; a
 larger benchmark takes further passes, so memory doesn't grow with it.
 
-Defined cases: items of fewer than five words, or null ones, are not searched;
-null documents count as empty; a document shorter than an item is compared as a
+Items of ``least_words`` to four words, where that is less than five, are found
+as exact runs of words; their similarity is 1.
+
+Defined cases: items of fewer than ``least_words`` words, or null ones, are not
+searched; an item with a null id gives matches with a null item_id; null documents count as empty; a document shorter than an item is compared as a
 whole; an item occurring several times in a document gives its best window, the
 first of equals. Repeated rows each get their matches, repeated item ids each of
 their texts; other columns pass through.
@@ -69,7 +72,7 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
 class ItemIndex:
     """Fingerprints and shingles of one block of items."""
 
-    def __init__(self, ids: list[int], texts: list[str], threshold: float = SIMILARITY):
+    def __init__(self, ids: list[int | None], texts: list[str], threshold: float = SIMILARITY, least_words: int = SHINGLE_WORDS):
         raw, offsets = string_buffers(pa.array(texts, type=pa.large_string()))
         words = Words(raw, offsets)
         length = np.diff(words.first)
@@ -77,7 +80,11 @@ class ItemIndex:
         cut = np.searchsorted(where, np.arange(len(ids) + 1))
         keep = np.flatnonzero(length >= SHINGLE_WORDS)
         self.threshold = threshold
-        self.ids = np.array(ids, dtype=np.int64)[keep]
+        self.ids = [ids[k] for k in keep]
+        # for each length below five, {shingle: ids of its items}
+        self.short: dict[int, dict[int, list]] = {}
+        for k in np.flatnonzero((length >= max(1, least_words)) & (length < SHINGLE_WORDS)).tolist():
+            self.short.setdefault(int(length[k]), {}).setdefault(int(value[cut[k]]), []).append(ids[k])
         self.length = length[keep]
         self.shingles = [value[cut[k] : cut[k + 1]] for k in keep]
         sums = [_signs(words.hash[words.first[k] : words.first[k + 1]]).sum(0) for k in keep]
@@ -140,9 +147,10 @@ class ItemIndex:
 
     def matches(self, texts: pa.Array) -> list[list[tuple[int, int, int, float]]]:
         out: list[list] = [[] for _ in range(len(texts))]
-        if not len(self.ids):
+        if not self.ids and not self.short:
             return out
         for at, _, words in batches_of_words(texts):
+            self._runs(words, at, out)
             where, value, place = shingles(words)
             hit = np.flatnonzero(self.bitmap[(value & U((1 << 22) - 1)).astype(np.int64)])
             a = np.searchsorted(self.known, value[hit], side="left")
@@ -155,9 +163,19 @@ class ItemIndex:
                 position = place[hit[x:y]] - words.first[d]
                 sizes = np.repeat(np.arange(y - x), e[x:y] - a[x:y])
                 lengths = self.known_length[np.concatenate([np.arange(i, j) for i, j in zip(a[x:y], e[x:y], strict=True)])]
-                out[at + d] = self._document(words.hash[words.first[d] : words.first[d + 1]], value[np.searchsorted(where, d) : np.searchsorted(where, d + 1)], position[sizes], lengths)
+                out[at + d] += self._document(words.hash[words.first[d] : words.first[d + 1]], value[np.searchsorted(where, d) : np.searchsorted(where, d + 1)], position[sizes], lengths)
         return out
 
+    def _runs(self, words: Words, at: int, out: list[list]) -> None:
+        """Adds the first place of each short item in each text."""
+        for size, items in self.short.items():
+            where, value, place = shingles(words, size)
+            hit = np.flatnonzero(np.isin(value, np.array(list(items), dtype=U)))
+            first = np.unique(np.column_stack([where[hit].astype(U), value[hit]]), axis=0, return_index=True)[1]
+            for h in hit[np.sort(first)].tolist():
+                d, start = int(where[h]), int(place[h] - words.first[where[h]])
+                out[at + d] += [(i, start, start + size, 1.0) for i in items[int(value[h])]]
+
     def _document(self, hashes: np.ndarray, own: np.ndarray, position: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int, int, float]]:
         n = len(hashes)
         best: dict[int, tuple[float, int, int]] = {}
@@ -184,7 +202,7 @@ class ItemIndex:
                 got = weighted_jaccard(own[s : s + k], self.shingles[i])
                 if got >= self.threshold - 1e-9 and got > best.get(i, (0.0, 0, 0))[0]:
                     best[i] = (got, s, s + window)
-        return sorted((int(self.ids[i]), s, e, got) for i, (got, s, e) in best.items())
+        return sorted(((self.ids[i], s, e, got) for i, (got, s, e) in best.items()), key=lambda m: (m[0] is not None, m[0] or 0, *m[1:]))
 
 
 def _matcher(index):
@@ -198,16 +216,16 @@ def _matcher(index):
     return matched
 
 
-def with_matches(docs: DataFrame, items: DataFrame, text_col: str = "text", name: str = "matches", item_id: str = "item_id", item_text: str = "text", threshold: float = SIMILARITY, in_block: int = ITEMS_IN_BLOCK) -> DataFrame:
+def with_matches(docs: DataFrame, items: DataFrame, text_col: str = "text", name: str = "matches", item_id: str = "item_id", item_text: str = "text", threshold: float = SIMILARITY, in_block: int = ITEMS_IN_BLOCK, least_words: int = SHINGLE_WORDS) -> DataFrame:
     """``docs`` with an array of (item_id, start_word, end_word, similarity)."""
     spark = docs.sparkSession
-    items = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).filter(F.col("t").isNotNull() & F.col("i").isNotNull())
+    items = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).filter(F.col("t").isNotNull())
     passes = max(1, -(-items.count() // in_block))
     columns = []
     for part in range(passes):
         block = items.filter(F.pmod(F.xxhash64("t"), F.lit(passes)) == part) if passes > 1 else items
         rows = block.orderBy("i", "t").toArrow()
-        index = spark.sparkContext.broadcast(ItemIndex(rows["i"].to_pylist(), rows["t"].to_pylist(), threshold))
+        index = spark.sparkContext.broadcast(ItemIndex(rows["i"].to_pylist(), rows["t"].to_pylist(), threshold, least_words))
         columns.append(_matcher(index)(F.col(text_col)))
     return docs.withColumn(name, columns[0] if passes == 1 else F.concat(*columns))
 

@@ -14,7 +14,7 @@ from lodestar.llm.session import table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), least_words=1)
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

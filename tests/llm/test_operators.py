@@ -141,6 +141,20 @@ def test_decontamination_cases(spark):
     assert decontaminate.leaks(docs.limit(0).drop("item_id"), items).count() == 0
 
 
+def test_decontamination_of_short_and_nameless_items(spark, tmp_path):
+    import corpus_pipeline
+
+    long = "one two three four five six seven eight"
+    rows = [(1, "Say: yes, we can."), (2, "two one"), (3, f"{long} two, three"), (4, "can"), (5, ""), (6, None)]
+    spark.createDataFrame(rows, SHORT).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "yes we can"), (8, "Two three"), (None, long), (9, "..."), (None, "can"), (8, "two three")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = queries.op1_decontamination(spark, str(tmp_path)).collect()
+    want = [(1, 7, 1, 4), (1, None, 3, 4), (3, 8, 1, 3), (3, 8, 1, 3), (3, None, 0, 8), (4, None, 0, 1)]
+    assert sorted(map(str, ((r.doc_id, r.item_id, r.start_word, r.end_word) for r in got))) == sorted(map(str, want))
+    kept = corpus_pipeline.decontamination_stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in kept) == [2, 5, 6]
+
+
 def test_hamming_tables_find_all_within_the_radius():
     rng = np.random.default_rng(0)
     texts = [prose(random.Random(k), 12, 60) for k in range(300)]
