@@ -9,17 +9,22 @@ as soon as its next arrival is later than all components' first ones.
 
 1. Texts with the same words collapse to one node, whatever their ids.
 2. Bands of the nodes' signatures give buckets; each member of a bucket is
-   paired with the bucket's smallest node. Pairs whose signatures agree
-   in too few components are out; the others are verified by exact J_P.
+   paired with the bucket's smallest node, its centre. Pairs whose signatures agree
+   in too few components are out; the others are verified by exact J_P. A centre's
+   members are dealt in blocks of bounded size, and its text goes once to each block.
 3. Verified links give components. A bucket whose members are still in several
    components may hide a link between two members of which neither is its
-   smallest. In such a divided bucket all members across components are compared
-   by signature, in blocks that are dealt to tasks of bounded size; those that
-   agree enough are verified there by exact J_P, and only links leave the task.
-4. Components again, over all links. Only then a class gets its smallest id.
+   centre. Such divided buckets have further rounds with other centres, a different one
+   for each band, so the members of a large group meet up to BANDS centres at once.
+4. In buckets that are still divided, members across components are compared by
+   signature, in blocks; those that agree enough are verified there by exact J_P,
+   and only links leave the task. Members of a bucket's largest component
+   meet only the others, so the work is near linear where few are left over.
+5. Components again, over all links. Only then a class gets its smallest id.
 
 No group is capped or sampled, and no pairs are written: rows grow with members and
-links. A link can only be missed where no band holds both texts, or where the
+links. Blocks are bounded by their shingles, not by rows, so a task's memory is that of
+two blocks, or of its longest text. A link can only be missed where no band holds both texts, or where the
 signatures of two near-duplicates agree in too few components.
 
 Defined cases: a null text, or one without words, is a class of its own; texts
@@ -32,9 +37,9 @@ class id. Repeated rows are in one class. Other columns take no part.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,7 +55,14 @@ SIZE = ROWS * BANDS
 #: Signatures that agree in fewer components than this are not verified: at
 #: J_P = 0.8 that is over five standard deviations below the mean.
 LEAST_AGREEING = 44
-BLOCK = 2048
+#: Members of a block whose signatures a task compares, and a block's distinct shingles where texts are compared.
+BLOCK, SET_BLOCK = 2048, 1 << 18
+#: Shingles, and pairs of signatures, that are compared at once.
+SET_SLICE, PAIRS_AT_ONCE = 1 << 18, 1 << 18
+#: Blocks that a task is to have, and the most tasks of a stage; a task streams its blocks, so more of them take no more memory.
+BLOCKS_IN_TASK, MOST_TASKS = 8, 100_000
+#: Further rounds with other centres, before all pairs of a divided bucket are compared.
+MORE_STARS = 3
 
 
 def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, size: int = SIZE) -> np.ndarray:
@@ -89,8 +101,13 @@ def probability_jaccard(ea: np.ndarray, wa: np.ndarray, eb: np.ndarray, wb: np.n
     return float(sum(c / (only_a / x + only_b / y + np.maximum(wa[ia] / x, wb[ib] / y).sum()) for (x, y), c in zip(ratios.tolist(), n.tolist(), strict=True)))
 
 
-@F.arrow_udf(T.StructType().add("h1", T.LongType()).add("h2", T.LongType()).add("n", T.IntegerType()).add("signature", T.BinaryType()))
+PRINT = T.StructType().add("h1", T.LongType()).add("h2", T.LongType()).add("size", T.IntegerType()).add("bands", T.ArrayType(T.LongType()))
+
+
+@F.arrow_udf(PRINT)
 def _fingerprint(text: pa.Array) -> pa.Array:
+    """Hashes of the words, number of distinct shingles, and the signature: a band of
+    ROWS 16-bit components is one long."""
     hashes, sizes, marks = [], [], []
     for at, end, words in batches_of_words(text):
         doc, element, weight = weighted_shingles(words)
@@ -99,22 +116,13 @@ def _fingerprint(text: pa.Array) -> pa.Array:
         marks.append(mix(signatures(doc, element, weight, end - at)).astype(np.uint16))
     h = np.concatenate(hashes) if hashes else np.empty((0, 2), U)
     size = np.concatenate(sizes) if sizes else np.empty(0, np.int64)
-    mark = np.concatenate(marks) if marks else np.empty((0, SIZE), np.uint16)
-    return pa.StructArray.from_arrays(
-        [pa.array(h[:, 0].astype(np.int64)), pa.array(h[:, 1].astype(np.int64)), pa.array(size.astype(np.int32)), pa.array([m.tobytes() for m in mark], type=pa.binary())],
-        ["h1", "h2", "n", "signature"],
-    )
-
-
-@F.arrow_udf(T.IntegerType())
-def _agreeing(a: pa.Array, b: pa.Array) -> pa.Array:
-    x, y = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint16).reshape(-1, SIZE) for c in (a, b))
-    return pa.array((x == y).sum(1).astype(np.int32))
+    bands = np.ascontiguousarray(np.concatenate(marks)).view(np.int64).ravel() if marks else np.empty(0, np.int64)
+    listed = pa.ListArray.from_arrays(np.arange(0, len(h) * BANDS + 1, BANDS, dtype=np.int32), pa.array(bands))
+    return pa.StructArray.from_arrays([pa.array(h[:, 0].astype(np.int64)), pa.array(h[:, 1].astype(np.int64)), pa.array(size.astype(np.int32)), listed], PRINT.names)
 
 
-@F.arrow_udf(T.DoubleType())
-def _similarity(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([probability_jaccard(*x, *y) for x, y in zip(_sets(a), _sets(b), strict=True)], type=pa.float64())
+def _longs(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
 
 
 def _sets(text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -125,108 +133,235 @@ def _sets(text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield element[cut[k] : cut[k + 1]], weight[cut[k] : cut[k + 1]]
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Rows of pairs(a, b) whose texts have J_P of ``threshold`` or more.
-
-    A representative that is in very many pairs makes a skewed join key; these
-    are plain sort-merge joins, whose large partitions adaptive execution splits.
+def _near(ea: np.ndarray, wa: np.ndarray, eb: np.ndarray, wb: np.ndarray, threshold: float) -> bool:
+    """Whether J_P is ``threshold`` or more."""
+    if len(ea) > len(eb):
+        ea, wa, eb, wb = eb, wb, ea, wa
+    if not len(ea):
+        return False
+    at = np.minimum(np.searchsorted(eb, ea), len(eb) - 1)
+    shared = eb[at] == ea
+    ma, mb = wa.sum(), wb.sum()
+    if ma == len(ea) and mb == len(eb):  # no repeated shingle: J_P is the share of common ones
+        both = int(shared.sum())
+        return both / (len(ea) + len(eb) - both) >= threshold - 1e-9
+    # J_P is at most the shared part of either side's mass.
+    if min(wa[shared].sum() / ma, wb[at[shared]].sum() / mb) < threshold - 1e-9:
+        return False
+    return probability_jaccard(ea, wa, eb, wb) >= threshold
+
+
+def _hopeful(sets: list, x: int, ys: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of ``ys`` have so much mass in common with ``x`` that J_P may be ``threshold``."""
+    ex, wx = sets[x]
+    e, w = (np.concatenate([sets[y][k] for y in ys.tolist()]) for k in (0, 1))
+    of = np.repeat(np.arange(len(ys)), [len(sets[y][0]) for y in ys.tolist()])
+    at = np.minimum(np.searchsorted(ex, e), len(ex) - 1)
+    shared = ex[at] == e
+    mass = lambda v: np.bincount(of, v, len(ys))
+    mine, theirs = mass(wx[at] * shared) / wx.sum(), mass(w * shared) / mass(w)
+    plain = (wx.sum() == len(ex)) & (mass(w) == mass(np.ones(len(w))))
+    both = mass(shared.astype(float))
+    return np.where(plain, both / (len(ex) + mass(w) - both), np.minimum(mine, theirs)) >= threshold - 1e-9
+
+
+# ---- pairs of a bucket's centre and its members ------------------------------------------------
+
+
+def _agreeing(least: int):
+    def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs whose signatures agree enough. A centre (b is null) stands before its members."""
+        centre = np.zeros(SIZE, np.uint16)
+        for batch in batches:
+            is_centre = batch.column("b").is_null().to_numpy(zero_copy_only=False)
+            marks = _longs(batch.column("value")).view(np.uint16)
+            at = np.maximum.accumulate(np.where(is_centre, np.arange(len(marks)), -1))
+            against = marks[np.maximum(at, 0)]
+            against[at < 0] = centre
+            ok = ~is_centre & ((marks == against).sum(1) >= least)
+            yield batch.select(["a", "b", "size"]).filter(pa.array(ok))
+            if len(at) and at[-1] >= 0:
+                centre = marks[at[-1]].copy()
+
+    return agreeing
+
+
+def _similar(threshold: float):
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs whose texts have J_P of ``threshold`` or more. Holds one centre's set and a slice of the members'."""
+        centre: tuple = ()
+        for batch in batches:
+            is_centre = batch.column("b").is_null().to_pylist()
+            ok = np.zeros(len(is_centre), dtype=bool)
+            for k, (e, w) in enumerate(_sets(batch.column("value"))):
+                if is_centre[k]:
+                    centre = e.copy(), w.copy()
+                else:
+                    ok[k] = _near(*centre, e, w, threshold)
+            yield batch.select(["a", "b", "size"]).filter(pa.array(ok))
+
+    return similar
+
+
+def _beside_centres(pairs: DataFrame, values: DataFrame, value: str, kernel, limit: int) -> DataFrame:
+    """Rows of pairs(a, b, size) that ``kernel`` passes, from the ``value`` of both.
+
+    A centre's members are dealt in blocks of about ``limit`` in sum of sizes. The
+    centre's value goes once to each block, and each member's to its own only; a task
+    reads a block as a stream.
     """
-    ta, tb = (texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
-    return pairs.join(tb, "b").join(ta, "a").withColumn("similarity", _similarity("ta", "tb")).filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    total = pairs.agg(F.sum("size")).first()[0] or 0
+    hot = pairs.groupBy("a").agg(F.sum("size").alias("total")).filter(F.col("total") > limit).select("a", F.ceil(F.col("total") / limit).alias("blocks"))
+    dealt = pairs.join(hot, "a", "left").select("a", "b", "size", F.coalesce(F.pmod(F.xxhash64("b"), "blocks"), F.lit(0)).alias("block"))
+    own = values.select(F.col("node").alias("n"), F.col(value).alias("value"))
+    members = dealt.join(own, F.col("b") == F.col("n")).select("a", "block", "b", "size", "value")
+    centres = dealt.select("a", "block").distinct().join(own, F.col("a") == F.col("n")).select("a", "block", F.lit(None).cast("bigint").alias("b"), F.lit(0).alias("size"), "value")
+    rows = members.unionByName(centres).repartition(_tasks(pairs, total, limit), "a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+    return rows.mapInArrow(kernel, "a bigint, b bigint, size int")
+
+
+def _tasks(df: DataFrame, total: int, block: int) -> int:
+    """Tasks of some blocks each, for blocks of ``total`` in all. A row here is more work
+    than its bytes tell, so adaptive execution isn't to merge them."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(total // (BLOCKS_IN_TASK * block), MOST_TASKS))
+
 
+def _linked(pairs: DataFrame, marks: DataFrame, sources: DataFrame, threshold: float) -> DataFrame:
+    """Verified links (a, b) of pairs(a, b, size)."""
+    likely = materialise(_beside_centres(pairs, marks, "bands", _agreeing(_least(threshold)), SET_BLOCK), "pairs")
+    return materialise(_beside_centres(likely, sources, "text", _similar(threshold), SET_BLOCK).select("a", "b"), "links")
 
-def _blocked(members: DataFrame) -> DataFrame:
-    """Members(band, key, node, ...) of buckets, dealt so that each two blocks of about
-    BLOCK members of a bucket meet in one group (band, key, low, high)."""
-    sizes = members.groupBy("band", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = members.join(sizes, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return met.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("blocks", "other")
 
+def _least(threshold: float) -> int:
+    return int(LEAST_AGREEING * min(1.0, threshold / SIMILARITY))
 
-def _likely_across(pdf: pd.DataFrame, place: np.ndarray, minor: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+
+# ---- all pairs across the components of a bucket -----------------------------------------------
+
+
+def _dealt(members: DataFrame, weight: str, limit: int) -> DataFrame:
+    """Members(band, key, node, component, ...) of buckets, dealt to groups ``g``.
+
+    The members of a bucket's largest component are cut in blocks, and so are all others
+    (the minor ones), by about ``limit`` in sum of weights. Each minor block meets each
+    other block in one group, as its ``side`` 0; with the first block of the largest
+    component it also meets itself (``within``). So where the minor members fit in one
+    block, each member of the largest component goes to one group only.
+    """
+    parts = members.groupBy("band", "key", "component").agg(F.sum(weight).alias("w"))
+    whole = parts.groupBy("band", "key").agg(F.max(F.struct("w", "component")).alias("m"), F.sum("w").alias("w"))
+    ceil = lambda w: F.greatest(F.lit(1), F.ceil(w / limit)).cast("int")
+    by = whole.select("band", "key", F.col("m.component").alias("major"), ceil(F.col("m.w")).alias("majors"), ceil(F.col("w") - F.col("m.w")).alias("minors"))
+    minor = F.col("component") != F.col("major")
+    own = members.join(by, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.when(minor, F.col("minors")).otherwise(F.col("majors"))).cast("int"))
+    group = lambda low, high, side: F.struct(low.alias("low"), high.alias("high"), F.lit(side).alias("side"))
+    of_major = F.transform(F.sequence(F.lit(0), F.col("minors") - 1), lambda i: group(i, F.col("minors") + F.col("block"), 1))
+    beside = F.transform(F.sequence(F.col("block") + 1, F.col("minors") + F.col("majors") - 1), lambda i: group(F.col("block"), i, 0))
+    under = F.transform(F.slice(F.sequence(F.lit(0), F.col("block")), F.lit(1), F.col("block")), lambda i: group(i, F.col("block"), 1))
+    met = own.withColumn("to", F.explode(F.when(minor, F.concat(beside, under)).otherwise(of_major)))
+    columns = [c for c in members.columns if c not in ("band", "key")]
+    return met.select(F.xxhash64("band", "key", "to.low", "to.high").alias("g"), F.col("to.side").alias("side"), (F.col("to.high") == F.col("minors")).alias("within"), "band", "key", *columns)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each ``g``, which follow each other."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        g = batch.column("g").to_numpy()
+        cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+        for at, end in pairwise(cuts):
+            if held and held[0].column("g")[0].as_py() != g[at]:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(at, end - at))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _likely_across(group: pa.Table, place: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, rows) of a group whose signatures agree enough across components. A pair
     that shares several buckets is only met in that of its first band."""
-    marks = np.frombuffer(b"".join(pdf["signature"]), dtype=np.uint16).reshape(-1, SIZE)
-    block, band = pdf["block"].to_numpy(), pdf["band"].iloc[0]
-    within = pdf["low"].iloc[0] == pdf["high"].iloc[0]
-    columns = np.ascontiguousarray(marks.T)
-    for at in range(0, len(minor), 64):
-        x = minor[at : at + 64]
-        agree = np.zeros((len(x), len(marks)), dtype=np.uint8)
-        for c in columns:
-            agree += c[x, None] == c
-        ok = (agree >= LEAST_AGREEING) & (place[x, None] != place)
-        if not within:
-            ok &= block[x, None] != block
-        row, y = np.nonzero(ok)
-        first = (marks[x[row]] == marks[y]).reshape(-1, BANDS, ROWS).all(2).argmax(1) == band
+    longs = _longs(group.column("bands").chunk(0))
+    low = longs.view(np.uint16).astype(np.uint8)  # half the bits tell nearly as much
+    band, side = group.column("band")[0].as_py(), group.column("side").to_numpy()
+    ones = np.arange(len(side)) if group.column("within")[0].as_py() else np.flatnonzero(side == 1)
+    columns = np.ascontiguousarray(low[ones].T)
+    step = max(1, PAIRS_AT_ONCE // max(1, len(ones)))
+    zeros = np.flatnonzero(side == 0)
+    for at in range(0, len(zeros), step):
+        x = zeros[at : at + step]
+        if len(x) * len(ones) <= 2048:
+            agree = (low[x][:, None] == low[ones][None]).sum(2)
+        else:
+            agree = np.zeros((len(x), len(ones)), dtype=np.uint8)
+            for mine, theirs in zip(low[x].T, columns, strict=True):
+                agree += mine[:, None] == theirs
+        row, y = np.nonzero((agree >= least) & (place[x, None] != place[ones]))
+        row, y = row, ones[y]
+        same = longs[x[row]] == longs[y]
+        first = same.any(1) & (same.argmax(1) == band)
         row, y = row[first], y[first]
         cut = np.searchsorted(row, np.arange(len(x) + 1))
-        for k in range(len(x)):
+        for k in np.flatnonzero(np.diff(cut)).tolist():
             yield int(x[k]), y[cut[k] : cut[k + 1]]
 
 
-def _parts(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's component as a small number, and the rows outside the largest one:
-    they are one side of every pair across."""
-    _, place, count = np.unique(pdf["component"].to_numpy(), return_inverse=True, return_counts=True)
-    return place, np.flatnonzero(place != count.argmax())
+def _places(group: pa.Table) -> np.ndarray:
+    return np.unique(group.column("component").to_numpy(), return_inverse=True)[1]
+
 
+def _in_question(least: int):
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The members of each group that have a likely partner across."""
+        for group in _whole_groups(batches):
+            flagged = np.zeros(len(group), dtype=bool)
+            for x, ys in _likely_across(group, _places(group), least):
+                flagged[ys] = flagged[x] = True
+            if flagged.any():
+                yield from group.select(["band", "key", "node"]).filter(pa.array(flagged)).to_batches()
 
-def _in_question(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The members of a group that have a likely partner across."""
-    place, minor = _parts(pdf)
-    flagged = np.zeros(len(pdf), dtype=bool)
-    for x, ys in _likely_across(pdf, place, minor):
-        flagged[ys] = True
-        flagged[x] |= len(ys) > 0
-    return pdf.loc[flagged, ["band", "key", "node"]]
+    return asked
 
 
 def _links_within(threshold: float):
-    def linked(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Verified links of a group. Rows that a link has brought into one component
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Verified links of each group. Rows that a link has brought into one component
         aren't compared any more, so that links grow with rows."""
-        place, minor = _parts(pdf)
-        sets = list(_sets(pa.array(pdf["text"])))
-        mass = np.array([w.sum() for _, w in sets])
-        node, out = pdf["node"].to_numpy(), []
-        for x, ys in _likely_across(pdf, place.copy(), minor):
-            ys = ys[place[ys] != place[x]]
-            if not len(ys):
-                continue
-            ex, wx = sets[x]
-            size = np.array([len(sets[y][0]) for y in ys])
-            e, w = (np.concatenate([sets[y][k] for y in ys]) for k in (0, 1))
-            at = np.minimum(np.searchsorted(ex, e), len(ex) - 1)
-            shared = ex[at] == e
-            of = np.repeat(np.arange(len(ys)), size)
-            both = np.bincount(of, shared, len(ys))
-            # J_P is at most the shared part of either side's mass; without repeated
-            # shingles it is the share of common ones.
-            bound = np.minimum(np.bincount(of, w * shared, len(ys)) / mass[ys], np.bincount(of, wx[at] * shared, len(ys)) / mass[x])
-            plain = (mass[x] == len(ex)) & (mass[ys] == size)
-            near = np.where(plain, both / (len(ex) + size - both), bound) >= threshold - 1e-9
-            for y, sure in zip(ys[near].tolist(), plain[near].tolist(), strict=True):
-                if place[y] != place[x] and (sure or probability_jaccard(*sets[x], *sets[y]) >= threshold):
-                    out.append((min(node[x], node[y]), max(node[x], node[y])))
-                    place[place == place[y]] = place[x]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        for group in _whole_groups(batches):
+            place = _places(group)
+            sets = list(_sets(group.column("text").chunk(0)))
+            size = np.array([len(e) for e, _ in sets])
+            node, out = group.column("node").to_pylist(), []
+            for x, ys in _likely_across(group, place.copy(), _least(threshold)):
+                ys = ys[place[ys] != place[x]]
+                part = np.cumsum(size[ys]) // SET_SLICE
+                for k in np.unique(part).tolist():
+                    some = ys[part == k]
+                    for y in some[_hopeful(sets, x, some, threshold)].tolist():
+                        if place[y] != place[x] and _near(*sets[x], *sets[y], threshold):
+                            out.append((min(node[x], node[y]), max(node[x], node[y])))
+                            place[place == place[y]] = place[x]
+            if out:
+                a, b = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return linked
 
 
 def _across(divided: DataFrame, sources: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) across components in divided buckets(band, key, node, component, signature).
+    """Links (a, b) across components in divided buckets(band, key, node, component, size, bands).
 
     Signatures settle which members are in question; only these meet again with
     their texts. Each group holds two blocks at most, and only links leave it.
     """
-    group = ["band", "key", "low", "high"]
-    asked = _blocked(divided).groupBy(*group).applyInPandas(_in_question, "band int, key binary, node bigint").distinct()
-    again = _blocked(divided.join(asked, ["band", "key", "node"])).join(sources, "node")
-    return again.groupBy(*group).applyInPandas(_links_within(threshold), "a bigint, b bigint").distinct()
+    grouped = lambda df, n: df.repartition(n, "g").sortWithinPartitions("g")
+    rows = divided.count()
+    asked = grouped(_dealt(divided.withColumn("one", F.lit(1)), "one", BLOCK).drop("size", "one"), _tasks(divided, rows, BLOCK)).mapInArrow(_in_question(_least(threshold)), "band int, key bigint, node bigint")
+    asked = materialise(asked.distinct(), "asked")
+    again = materialise(divided.join(asked, ["band", "key", "node"]), "again")
+    total = again.agg(F.sum("size")).first()[0] or 0
+    texts = _dealt(again, "size", SET_BLOCK).join(sources, "node").drop("size", "key")
+    return grouped(texts, _tasks(divided, total, SET_BLOCK)).mapInArrow(_links_within(threshold), "a bigint, b bigint").distinct()
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
@@ -234,59 +369,80 @@ def _named(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> Dat
     ``part`` tells classes apart that have the same id; it is null for a text without words."""
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
     prints = materialise(texts.select("id", "t", _fingerprint("text").alias("f")).select("id", "t", "f.*"), "prints")
-    worded = prints.filter("n > 0")
+    worded = prints.filter("size > 0")
     # The signature is a function of the words, so any row's will do. A row's id and text are where a node's text is found.
     row = F.struct(F.col("id").isNull().alias("nameless"), "id", "t")
-    exact = worded.groupBy("h1", "h2").agg(F.min(row).alias("row"), F.any_value("signature").alias("signature"))
-    nodes = materialise(exact.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "row.id", "row.t", "signature"), "exact")
-    banded = nodes.select("node", F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), k -> substring(signature, k * {2 * ROWS} + 1, {2 * ROWS}))")).alias("band", "key"))
+    exact = worded.groupBy("h1", "h2").agg(F.min(row).alias("row"), F.first("size").alias("size"), F.any_value("bands").alias("bands"))
+    nodes = materialise(exact.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "row.id", "row.t", "size", "bands"), "exact")
+    banded = nodes.select("node", "size", F.posexplode("bands").alias("band", "key"))
     buckets = materialise(banded.groupBy("band", "key").agg(F.min("node").alias("centre"), F.max("node").alias("other")).filter("centre <> other").drop("other"), "buckets")
-    members = materialise(banded.join(buckets, ["band", "key"]).select("band", "key", "centre", "node"), "members")
-    star = members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    marks = nodes.select("node", "signature")
-    sa, sb = (marks.select(F.col("node").alias(c), F.col("signature").alias(f"s{c}")) for c in "ab")
-    least = LEAST_AGREEING * min(1.0, threshold / SIMILARITY)
-    likely = materialise(star.join(sb, "b").join(sa, "a").filter(_agreeing("sa", "sb") >= int(least)).select("a", "b"), "pairs")
+    members = materialise(banded.join(buckets, ["band", "key"]), "members")
+    marks = nodes.select("node", "bands")
     # Texts of bucket members only, one of each.
     involved = members.select("node").distinct().join(nodes, "node").select("node", F.col("id").alias("_id"), F.col("t").alias("_t"))
     sources = texts.join(involved, F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))).groupBy("node").agg(F.min("text").alias("text"))
     sources = materialise(sources, "texts")
-    links = materialise(_verified(likely, sources, threshold), "links")
+    star = materialise(members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"), "size").distinct(), "star")
+    links = _linked(star, marks, sources, threshold)
     parts = components(links)
-    placed = members.join(parts, "node", "left").select("band", "key", "node", F.coalesce("component", "node").alias("component"))
-    divided = placed.groupBy("band", "key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("band", "key")
-    unsettled = materialise(placed.join(divided, ["band", "key"], "left_semi").join(marks, "node"), "unsettled")
+    for seed in range(MORE_STARS):
+        divided = _divided(members, parts)
+        # Each bucket has another centre, so a large group has up to BANDS of them at once.
+        other = F.min_by(F.struct("node", "component"), F.xxhash64(F.lit(seed), "band", "node"))
+        centres = divided.groupBy("band", "key").agg(other.alias("c"), F.count("*").alias("rows")).filter(F.col("rows") > (0 if seed == 0 else BLOCK))
+        apart = divided.join(centres, ["band", "key"]).filter(F.col("component") != F.col("c.component"))
+        star = materialise(apart.select(F.col("c.node").alias("a"), F.col("node").alias("b"), "size").distinct(), "star")
+        if star.isEmpty():
+            break
+        found = _linked(star, marks, sources, threshold)
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        parts = components(links)
+    unsettled = materialise(_divided(members, parts).join(marks, "node"), "unsettled")
     more = materialise(_across(unsettled, sources, threshold), "links")
     if not more.isEmpty():
-        parts = components(links.select("a", "b").unionByName(more))
+        parts = components(links.unionByName(more))
     smallest = parts.join(nodes.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("least"))
     linked = parts.join(smallest, "component").select("node", "component", "least")
     named = nodes.join(linked, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("part"), F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least")).alias("class_id"))
-    lone = prints.filter("n = 0").select("id", "t", F.lit(None).cast("bigint").alias("part"), F.col("id").alias("class_id"))
+    lone = prints.filter("size = 0").select("id", "t", F.lit(None).cast("bigint").alias("part"), F.col("id").alias("class_id"))
     return worded.join(named, ["h1", "h2"]).select("id", "t", "part", "class_id").unionByName(lone)
 
 
+def _divided(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """(band, key, node, size, component) of the members of buckets that hold several components."""
+    placed = members.join(parts, "node", "left").select("band", "key", "node", "size", F.coalesce("component", "node").alias("component"))
+    several = placed.groupBy("band", "key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("band", "key")
+    return materialise(placed.join(several, ["band", "key"], "left_semi"), "divided")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: (id, class_id)."""
     return _named(docs, id_col, text_col, threshold).select(F.col("id").alias(id_col), "class_id")
 
 
-def keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
+def keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, nameless_apart: bool = True) -> DataFrame:
     """Rows of ``docs`` to keep: of each class, the one with the smallest id.
 
     Of rows of a class that share that id, the one whose text sorts first stays.
-    Rows without an id don't compete with those that have one: of those of a class,
-    the one whose text sorts first stays too; without words, one of each text.
+    With ``nameless_apart`` rows without an id don't compete with those that have one:
+    of those of a class, the one whose text sorts first stays too. Without it, they
+    stay only in a class where no row has an id. Of rows without words, one of
+    each id stays, and one of each text of those without an id. Columns of any name
+    pass through.
     """
-    named = materialise(_named(docs, id_col, text_col, threshold).filter(F.col("id").isNull() | (F.col("id") == F.col("class_id"))), "classes")
+    best = F.col("id").eqNullSafe(F.col("class_id"))
+    named = materialise(_named(docs, id_col, text_col, threshold).filter(best | F.col("id").isNull() if nameless_apart else best), "classes")
     # Rivals: rows of a class and id; without words, of an id; without both, of a text.
     lone = F.when(F.col("part").isNull() & F.col("id").isNull(), F.col("t"))
     keys = named.groupBy("id", "t").agg(F.min("part").alias("part"), F.count("*").alias("n")).withColumn("lone", lone)
     keys = keys.withColumn("rivals", F.sum("n").over(Window.partitionBy("part", "id", "lone")))
-    keys = materialise(keys.select(*(F.col(c).alias(f"_{c}") for c in ("id", "t", "part", "lone", "rivals"))), "keys")
-    kept = docs.withColumn("_text", F.xxhash64(text_col)).join(keys, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_t")))
-    if not keys.filter("_rivals > 1").isEmpty():
-        first = Window.partitionBy("_part", "_id", "_lone").orderBy(text_col)
-        again = kept.filter("_rivals > 1").withColumn("_place", F.row_number().over(first)).filter(F.col("_place") == 1).drop("_place")
-        kept = kept.filter("_rivals = 1").unionByName(again)
-    return kept.select(*docs.columns)
+    keys = materialise(keys.select("id", "t", "part", "lone", "rivals"), "keys")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"))
+    kept = rows.join(keys, F.col("i").eqNullSafe(F.col("id")) & (F.col("h") == F.col("t")))
+    if not keys.filter("rivals > 1").isEmpty():
+        first = Window.partitionBy("part", "id", "lone").orderBy(F.col("row")[text_col])
+        again = kept.filter("rivals > 1").withColumn("place", F.row_number().over(first)).filter(F.col("place") == 1).drop("place")
+        kept = kept.filter("rivals = 1").unionByName(again)
+    return kept.select("row.*")
