@@ -15,16 +15,23 @@ def tf_weight(tf: Column, length: Column, k: float = K, b: float = B, average: f
     return tf * F.lit(k + 1) / (tf + F.lit(k) * (F.lit(1 - b) + F.lit(b) * length / F.lit(average)))
 
 
+def counted(terms: Column) -> Column:
+    """array<struct<term,tf>> of an array of terms: run lengths of the sorted array."""
+    starts = lambda s: F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1) != x), i)), lambda i: i.isNotNull())
+    lengths = lambda s, at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("bigint").alias("tf")))
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    return let(F.array_sort(terms), lambda s: let(starts(s), lambda at: lengths(s, at)))
+
+
 def postings(points: DataFrame, key: str = "id", text: str = "text", pattern: str = WORD_TOKEN, keep: tuple[str, ...] = (), **weights) -> DataFrame:
     """(key, *keep, term, tf, length, weight).
 
-    The text is tokenised once: the length rides along with the exploded
-    terms, and counting them is a partial aggregation before the shuffle.
+    A row holds all that its weights need, so they are found in the row: nothing is
+    shuffled, and only distinct terms are exploded.
     """
     split = points.select(key, *keep, tokens(F.col(text), pattern).alias("_t"))
-    terms = split.select(key, *keep, F.size("_t").alias("length"), F.explode("_t").alias("term"))
-    counted = terms.groupBy(key, *keep, "term", "length").agg(F.count("*").alias("tf"))
-    return counted.withColumn("weight", tf_weight(F.col("tf").cast("double"), F.col("length").cast("double"), **weights))
+    terms = split.select(key, *keep, F.size("_t").alias("length"), F.explode(counted(F.col("_t"))).alias("_p")).select(key, *keep, "_p.term", "_p.tf", "length")
+    return terms.withColumn("weight", tf_weight(F.col("tf").cast("double"), F.col("length").cast("double"), **weights))
 
 
 def with_idf(postings_: DataFrame, key: str = "id") -> DataFrame:

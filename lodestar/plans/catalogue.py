@@ -2,9 +2,8 @@
 
 Documents stand in for files and chunks, embeddings for their vectors, benchmark
 items for queries, labels for what an index knows already, events for tasks and
-latency samples. Every query runs over its whole tables, but for the retrieval
-queries over points, whose SQL joins documents with embeddings; the two named
-``_all`` search the whole tables.
+latency samples. Every query runs over its whole tables: a document without a vector
+is searched by its text, an item without one asks by its text.
 """
 
 from __future__ import annotations
@@ -22,11 +21,15 @@ from lodestar.functions import sparse, text
 from lodestar.operators import chunking, diff, markdown, stats
 from lodestar.operators.store import delete, replace, upsert
 from lodestar.plans import retrieval
+from lodestar.sources import tables
+from lodestar.sources.tables import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 TOP_N, TOP_K = 50, 5
+#: Tables whose rows are much work.
+HEAVY = ("documents", "embeddings", "pages")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -40,7 +43,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(tables.table(spark, sf_dir, name)) if name in HEAVY else tables.table(spark, sf_dir, name)
 
 
 # ---- retrieval ---------------------------------------------------------------------------------
@@ -48,13 +51,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
-    return docs.join(vectors, F.col("doc_id") == F.col("vec_id")).select(
+    return docs.join(vectors, F.col("doc_id") == F.col("vec_id"), "left").select(
         F.col("doc_id").alias("id"), "text", F.col("source").alias("source_file"), F.lit(0).alias("chunk_index"), F.lit(1).alias("total_chunks"), F.col("embedding").alias("dense"))
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, vectors = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "embeddings")
-    return items.join(vectors, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), "text", F.col("embedding").alias("dense"))
+    return items.join(vectors, F.col("item_id") == F.col("vec_id"), "left").select(F.col("item_id").alias("query_id"), "text", F.col("embedding").alias("dense"))
 
 
 def _postings(points: DataFrame) -> DataFrame:
@@ -62,11 +65,11 @@ def _postings(points: DataFrame) -> DataFrame:
 
 
 _SQL_POINTS = f"""
-pts AS (SELECT doc_id AS id, text, source AS source_file, embedding::DOUBLE[] AS v, regexp_extract_all(lower(text), '{text.ORACLE_TOKEN}') AS t FROM documents JOIN embeddings ON doc_id = vec_id),
-q AS (SELECT item_id AS query_id, text, embedding::DOUBLE[] AS v, list_distinct(regexp_extract_all(lower(text), '{text.ORACLE_TOKEN}')) AS t FROM benchmark JOIN embeddings ON item_id = vec_id)"""
+pts AS (SELECT doc_id AS id, text, source AS source_file, embedding::DOUBLE[] AS v, regexp_extract_all(lower(text), '{text.ORACLE_TOKEN}') AS t FROM documents LEFT JOIN embeddings ON doc_id = vec_id),
+q AS (SELECT item_id AS query_id, text, embedding::DOUBLE[] AS v, list_distinct(regexp_extract_all(lower(text), '{text.ORACLE_TOKEN}')) AS t FROM benchmark LEFT JOIN embeddings ON item_id = vec_id)"""
 _SQL_DENSE = f"""
 dense AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
-          FROM (SELECT q.query_id, p.id, round(list_cosine_similarity(p.v, q.v), 6) AS score FROM pts p CROSS JOIN q)) WHERE rank <= {TOP_N})"""
+          FROM (SELECT q.query_id, p.id, round(list_cosine_similarity(p.v, q.v), 6) AS score FROM pts p CROSS JOIN q WHERE p.v IS NOT NULL AND q.v IS NOT NULL)) WHERE rank <= {TOP_N})"""
 _SQL_WEIGHTS = """
 w AS (SELECT id, term, dl, tf, tf::DOUBLE * 2.2::DOUBLE / (tf::DOUBLE + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl::DOUBLE / 256.0::DOUBLE)) AS weight
       FROM (SELECT id, term, dl, count(*) AS tf FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM pts) GROUP BY ALL))"""
@@ -136,7 +139,7 @@ def dense_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH pts AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '{text.ORACLE_TOKEN}') AS t FROM documents),
 q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '{text.ORACLE_TOKEN}')) AS t FROM benchmark), {_SQL_WEIGHTS}, {_SQL_SPARSE} SELECT query_id, id, score, rank::BIGINT AS rank FROM sparse""")
 def sparse_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As sparse_topk, over all documents and items, also those without a vector."""
+    """As sparse_topk, without reading any vector."""
     points = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return _ranks(retrieval.sparse_topk(_postings(points), asked, TOP_N, pattern=text.ORACLE_TOKEN))

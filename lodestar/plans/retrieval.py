@@ -7,14 +7,22 @@ each task prunes its share before the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestar.functions import sparse, vectors
 from lodestar.functions.text import WORD_TOKEN, tokens
+from lodestar.storage import materialise
 
-#: Bytes up to which a side is broadcast.
-BROADCAST_BYTES = 64 << 20
+#: Bytes of the queries that are sent to the tasks at once.
+BROADCAST_BYTES = 8 << 20
+#: Points and queries of one matrix product.
+TILE = 2048, 1024
 RRF_K = 2.0
 
 
@@ -26,14 +34,6 @@ def ranked(scored: DataFrame, n: int, score: str = "score", by: str = "query_id"
     return scored.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= n)
 
 
-def query_blocks(queries: DataFrame, bytes_per_row: int, limit: int = BROADCAST_BYTES) -> list[DataFrame]:
-    """The queries in blocks that may be broadcast, by their measured number."""
-    blocks = -(-queries.count() * bytes_per_row // limit)
-    if blocks <= 1:
-        return [queries]
-    return [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k) for k in range(blocks)]
-
-
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
@@ -41,23 +41,87 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def unit_rows(ids: pa.Array, dense: pa.Array, dim: int) -> tuple[pa.Array, np.ndarray]:
+    """Ids and unit vectors, in double precision, of the rows that are vectors of ``dim``
+    finite numbers and not zero."""
+    whole = pc.equal(pc.list_value_length(dense), dim).fill_null(False)
+    ids, dense = ids.filter(whole), dense.filter(whole)
+    rows = dense.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dim)
+    length = np.sqrt((rows * rows).sum(1))
+    fine = np.isfinite(length) & (length > 0)
+    return ids.filter(pa.array(fine)), rows[fine] / length[fine, None]
+
+
+def _cut(q: np.ndarray, score: np.ndarray, ids: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The ``n`` best of each query by score, then id."""
+    order = np.lexsort((pc.rank(ids, tiebreaker="dense").to_numpy(), -score, q))
+    order = order[np.arange(len(order)) - np.searchsorted(q[order], q[order]) < n]
+    return q[order], score[order], ids.take(pa.array(order))
+
+
+def _best_points(held, n: int, digits: int | None):
+    """``held`` is a broadcast (query ids, unit vectors)."""
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, queries = held.value
+        pool = None
+        least = np.full(len(queries), -np.inf)
+        for batch in batches:
+            ids, points = unit_rows(*batch.columns, queries.shape[1])
+            for a in range(0, len(points), TILE[0]):
+                found = []
+                for b in range(0, len(queries), TILE[1]):
+                    score = points[a : a + TILE[0]] @ queries[b : b + TILE[1]].T
+                    score = np.round(score, digits) if digits is not None else score
+                    bar = least[b : b + TILE[1]]
+                    if len(score) > n:
+                        bar = np.maximum(bar, np.partition(score, len(score) - n, axis=0)[len(score) - n])
+                    at, q = np.nonzero(score >= bar)
+                    found.append((at + a, q + b, score[at, q]))
+                at, q, score = (np.concatenate(c) for c in zip(*found, strict=True))
+                mine = ids.take(pa.array(at))
+                pool = _cut(q, score, mine, n) if pool is None else _cut(np.concatenate([pool[0], q]), np.concatenate([pool[1], score]), pa.concat_arrays([pool[2], mine]), n)
+                full = np.flatnonzero(np.bincount(pool[0], minlength=len(queries)) == n)
+                least[full] = pool[1][np.searchsorted(pool[0], full, side="right") - 1]
+        if pool is not None:
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(pool[0])), pool[2], pa.array(pool[1])], ["query_id", "id", "score"])
+
+    return best
+
+
 def dense_topk(points: DataFrame, queries: DataFrame, n: int, digits: int | None = 6, bytes_per_row: int | None = None) -> DataFrame:
     """(query_id, id, score, rank) by exact cosine.
 
-    ``points(id, dense)``, ``queries(query_id, dense)``. Every query meets every
-    point, which is the exact search's nature: queries are broadcast in blocks of
-    bounded size, each block is one scan of the points, and each task keeps the
-    ``n`` best of its rows before the shuffle. Vectors are made unit once on each
-    side, not once a pair.
+    ``points(id, dense)``, ``queries(query_id, dense)``. Every query meets every point,
+    which is the exact search's nature (``operators.cells`` has the other kind). Queries
+    are sent as matrices of at most BROADCAST_BYTES, by their number and measured
+    length (or ``bytes_per_row``). Each block is one scan of the points, in which a task
+    takes matrix products and keeps the ``n`` best before the shuffle. With several
+    blocks, the result of each is written before the next is fetched, so neither
+    the driver nor a task holds two. Vectors that are null, zero, not finite or of another
+    length than the longest query have no score.
     """
-    unit_p = points.select("id", vectors.normalised(F.col("dense")).alias("_p"))
+    if n <= 0:
+        raise ValueError("the number of results must be positive")
+    spark = points.sparkSession
+    asked = queries.select("query_id", "dense").filter("size(dense) > 0")
+    size = asked.agg(F.count("*").alias("n"), F.max(F.size("dense")).alias("dim")).first()
+    blocks = max(1, -(-size["n"] * (bytes_per_row or 8 * (size["dim"] or 0)) // BROADCAST_BYTES))
+    scan = points.select("id", "dense").filter("dense IS NOT NULL")
+    schema = T.StructType([T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField("id", scan.schema["id"].dataType), T.StructField("score", T.DoubleType())])
     parts = []
-    for block in query_blocks(queries.select("query_id", "dense"), bytes_per_row or 8192):
-        unit_q = block.select("query_id", vectors.normalised(F.col("dense")).alias("_q"))
-        score = vectors.dot(F.col("_p"), F.col("_q"))
-        pairs = unit_p.join(F.broadcast(unit_q)).select("query_id", "id", (F.round(score, digits) if digits is not None else score).alias("score")).filter("score IS NOT NULL")
-        parts.append(ranked(pairs, n))
-    return _union(parts)
+    for k in range(blocks):
+        block = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+        rows = block.toArrow().combine_chunks()
+        if not len(rows):
+            continue
+        held = spark.sparkContext.broadcast(unit_rows(rows["query_id"].chunk(0), rows["dense"].chunk(0), size["dim"]))
+        part = ranked(scan.mapInArrow(_best_points(held, n, digits), schema), n)
+        if blocks > 1:
+            part = materialise(part, "dense")
+            held.destroy()
+        parts.append(part)
+    return _union(parts) if parts else spark.createDataFrame([], schema.add("rank", T.IntegerType()))
 
 
 def sparse_topk(postings: DataFrame, queries: DataFrame, n: int, digits: int | None = 6, pattern: str = WORD_TOKEN) -> DataFrame:
@@ -92,18 +156,19 @@ def overlap(query: Column, passage: Column, pattern: str = WORD_TOKEN) -> Column
     return F.size(F.array_intersect(terms, tokens(passage, pattern))).cast("double") / F.nullif(F.size(terms), F.lit(0))
 
 
-def rerank(fused: DataFrame, points: DataFrame, queries: DataFrame, top_k: int, pattern: str = WORD_TOKEN, digits: int = 6, scorer=overlap) -> DataFrame:
+def rerank(fused: DataFrame, points: DataFrame, queries: DataFrame, top_k: int, pattern: str = WORD_TOKEN, digits: int = 6, scorer=overlap, keep: tuple[str, ...] = ()) -> DataFrame:
     """The ``top_k`` of each query by ``scorer(query, passage)``; ties keep the fused order.
 
-    Texts are joined to the few candidates here and nowhere before.
+    Texts are joined to the few candidates here and nowhere before. Columns of the
+    points that are named in ``keep`` stay.
     """
-    texts = points.select("id", F.col("text").alias("_passage"))
+    texts = points.select("id", F.col("text").alias("_passage"), *keep)
     asked = queries.select("query_id", F.col("text").alias("_query"))
     scored = fused.join(texts, "id").join(asked, "query_id").withColumn("rerank_score", F.round(F.coalesce(scorer(F.col("_query"), F.col("_passage"), pattern), F.lit(0.0)), digits))
     return ranked(scored.withColumnRenamed("rank", "fused_rank"), top_k, "rerank_score", tie="fused_rank").drop("_passage", "_query")
 
 
-def search(points: DataFrame, postings: DataFrame, queries: DataFrame, top_k: int = 5, rerank_candidates: int = 50, pattern: str = WORD_TOKEN, k: float = RRF_K, fusion: str = "rrf", w_dense: float = 0.7, w_sparse: float = 0.3) -> DataFrame:
+def search(points: DataFrame, postings: DataFrame, queries: DataFrame, top_k: int = 5, rerank_candidates: int = 50, pattern: str = WORD_TOKEN, k: float = RRF_K, fusion: str = "rrf", w_dense: float = 0.7, w_sparse: float = 0.3, scorer=overlap) -> DataFrame:
     """Hybrid search: (query_id, rank, text, source_file, chunk_index, total_chunks, score, rerank_score).
 
     ``score`` is the fused score while the order is the rerank's, so it need not
@@ -118,5 +183,5 @@ def search(points: DataFrame, postings: DataFrame, queries: DataFrame, top_k: in
     dense = dense_topk(points, queries, rerank_candidates)
     by_term = sparse_topk(postings, queries, rerank_candidates, pattern=pattern)
     fused = rrf(dense, by_term, rerank_candidates, k, weights=(w_dense, w_sparse) if fusion == "weighted" else None)
-    best = rerank(fused, points, queries, top_k, pattern)
-    return best.join(points.select("id", "text", "source_file", "chunk_index", "total_chunks"), "id").select("query_id", "rank", "text", "source_file", "chunk_index", "total_chunks", "score", "rerank_score")
+    best = rerank(fused, points, queries, top_k, pattern, scorer=scorer, keep=("text", "source_file", "chunk_index", "total_chunks"))
+    return best.select("query_id", "rank", "text", "source_file", "chunk_index", "total_chunks", "score", "rerank_score")

@@ -264,3 +264,26 @@ def test_cli(engine, folder, capsys):
     code, failed = run("collection", "status", "absent")
     assert code == 1 and "absent" in failed["error"]
     assert run("kb", "remove", "kb")[0] == 0
+
+
+def test_dense_topk_equals_brute_force(spark, monkeypatch):
+    """Ties, odd vectors, several tiles, text ids, several blocks of queries."""
+    import numpy as np
+
+    from lodestar.plans import retrieval
+
+    monkeypatch.setattr(retrieval, "TILE", (7, 3))
+    rng = np.random.default_rng(8)
+    vectors = [(f"p{k:03}", rng.integers(-2, 3, size=3).astype(float).tolist()) for k in range(150)]
+    odd = [("x1", None), ("x2", [0.0, 0.0, 0.0]), ("x3", [1.0, 2.0]), ("x4", [float("nan"), 1.0, 0.0]), ("x5", [1.0, None, 0.0])]
+    queries = [(k, rng.integers(-2, 3, size=3).astype(float).tolist()) for k in range(11)] + [(90, None), (91, [0.0, 0.0, 0.0])]
+    points, asked = spark.createDataFrame(vectors + odd, "id string, dense array<double>").repartition(3), spark.createDataFrame(queries, "query_id long, dense array<double>")
+    want = set()
+    for q, v in queries:
+        if v and any(v):
+            scored = sorted((-round(float(np.dot(u, v) / np.linalg.norm(u) / np.linalg.norm(v)), 6), i) for i, u in vectors if any(u))
+            want |= {(q, i, r + 1) for r, (_, i) in enumerate(scored[:9])}
+    for size in (None, retrieval.BROADCAST_BYTES // 3):
+        got = {(r.query_id, r.id, r["rank"]) for r in retrieval.dense_topk(points, asked, 9, bytes_per_row=size).collect()}
+        assert got == want
+    assert retrieval.dense_topk(points, asked.limit(0), 9).count() == 0 and retrieval.dense_topk(points.limit(0), asked, 9).count() == 0
