@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that a file of a table of known size is to have.
-ROWS_IN_FILE = 200_000
+ROWS_IN_FILE = 50_000
 _WRITTEN: dict[str, SparkSession] = {}
 
 
