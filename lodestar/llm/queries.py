@@ -105,19 +105,22 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
 FROM docs LEFT JOIN summed USING (r)
 """
 
+# DuckDB's expressions have no look behind: there the character before is part of the match, and its length is taken off.
+_BEFORE = "(?<![A-Za-z0-9_-])"
 _RULES = "\n     UNION ALL ".join(
-    f"SELECT r, {k} AS place, '{rule.kind}' AS kind, {rule.least} AS least, string_split_regex(t, '{p}') AS pieces, regexp_extract_all(t, '{p}', 0) AS whole, regexp_extract_all(t, '{p}', {rule.group}) AS counted FROM docs"
+    f"SELECT r, {k} AS place, '{rule.kind}' AS kind, {rule.least} AS least, string_split_regex(t, '{p}') AS pieces, regexp_extract_all(t, '{p}', 0) AS whole, regexp_extract_all(t, '{p}', {rule.group}) AS counted, {lead} AS lead FROM docs"
     for k, rule in enumerate(secrets.RULES)
-    for p in [rule.pattern.replace("'", "''")]
+    for p in [rule.pattern.replace("'", "''").replace(_BEFORE, "(^|[^A-Za-z0-9_-])")]
+    for lead in [f"regexp_extract_all(t, '{p}', 1)" if _BEFORE in rule.pattern else "CAST([] AS VARCHAR[])"]
 )
 _OP9_SQL = f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
      cut AS ({_RULES}),
-     matched AS (SELECT r, place, kind, least, i, length(pieces[i]) AS gap, length(whole[i]) AS size, length(counted[i]) AS counted
+     matched AS (SELECT r, place, kind, least, i, length(pieces[i]) AS gap, length(whole[i]) AS size, length(counted[i]) AS counted, coalesce(length(lead[i]), 0) AS lead
                  FROM (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM cut WHERE len(whole) > 0)),
-     spans AS (SELECT r, place, kind, size, least, counted, sum(gap) OVER w + coalesce(sum(size) OVER before, 0) AS pos FROM matched
+     spans AS (SELECT r, place, kind, size, least, counted, lead, sum(gap) OVER w + coalesce(sum(size) OVER before, 0) AS pos FROM matched
                WINDOW w AS (PARTITION BY r, place ORDER BY i ROWS UNBOUNDED PRECEDING), before AS (PARTITION BY r, place ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-     kept AS (SELECT r, place, kind, pos, kind || ':' || pos::BIGINT::VARCHAR || ':' || (pos + size)::BIGINT::VARCHAR AS span FROM spans WHERE counted >= least),
+     kept AS (SELECT r, place, kind, pos + lead AS pos, kind || ':' || (pos + lead)::BIGINT::VARCHAR || ':' || (pos + size)::BIGINT::VARCHAR AS span FROM spans WHERE counted >= least),
      summed AS (SELECT r, count(*) FILTER (place = 0) AS a, count(*) FILTER (place = 1) AS b, count(*) FILTER (place = 2) AS c,
                        string_agg(span, ',' ORDER BY pos, place) FILTER (place < {secrets.BASE}) AS base, string_agg(span, ',' ORDER BY pos, place) AS spans FROM kept GROUP BY r)
 SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans

@@ -1,12 +1,20 @@
-"""Secret scan by a trigram index, with DataFrame functions only.
+"""Secret scan by a trigram inverted index, with DataFrame functions only.
 
 ``trigram_query`` derives a Boolean query over trigrams from each rule's regex
-(an AND over the trigrams of mandatory literals, an OR over alternatives). The
-index holds, for each document, which of the trigrams that the rules ask for it
-has. It is document-major: each row carries its own postings, so intersecting
-them takes no shuffle, and texts never move. ``postings`` gives the same index
-trigram-major. A rule's regex only runs on documents whose postings satisfy its
-query; a rule without mandatory trigrams runs on all of them.
+(an AND over the trigrams of mandatory literals, an OR over alternatives).
+
+1. A text is named by its md5, and equal texts are one. Names are dealt by a hash to
+   segments of about SEGMENT texts.
+2. ``index`` gives each segment's posting lists: for each trigram that some rule asks
+   for, the names of the segment's texts that have it.
+3. ``candidates`` evaluates each rule's query on a segment's lists, AND as their
+   intersection and OR as their union.
+4. Rows meet their candidate rules by an equi-join on the name, and a rule's regex only
+   runs there. A rule without mandatory trigrams (hex) runs on all rows.
+
+A segment's lists are bounded by its texts, so no list grows with the table, and
+nothing but names and trigrams is grouped. A text that very many rows share makes one
+posting; the join is a plain one, whose large partitions adaptive execution splits.
 
 Positions are code points, end exclusive. They come from the lengths of the
 pieces between matches, summed by blocks, so the cost is linear in the number
@@ -15,7 +23,8 @@ of matches.
 Defined cases: a null text counts as empty; matches of a rule don't overlap and
 are the leftmost ones; a match shorter than the rule's minimum is dropped but
 still uses up its characters; spans of different rules may overlap and are all
-kept. Repeated rows are scanned alike; other columns pass through.
+kept. Repeated rows are scanned alike; columns of any name pass through, but for one
+that has the name of the result, which is replaced.
 """
 
 from __future__ import annotations
@@ -28,10 +37,16 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.session import unused
+
 BASE = 3
 #: Trigrams taken from one literal, evenly spaced; fewer only let more candidates through.
 FROM_LITERAL = 3
+#: Texts of a segment of the index, about.
+SEGMENT = 2048
 _BLOCK = 256
+#: Code points of a text's pieces when it is rewritten.
+_PIECE = 2048
 
 
 @dataclass(frozen=True)
@@ -52,7 +67,8 @@ RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    # A token begins where a run of its characters does, so a run is read once.
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     Rule("cloud", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("login", r"[a-z][a-z0-9+.-]{2,12}://[^\s:@/]{1,64}:[^\s:@/]{1,64}@"),
     Rule("bearer", r"(?i)authorization\x20*:\x20*bearer\x20+[A-Za-z0-9._~+/=-]{16,}"),
@@ -132,31 +148,58 @@ def grams_of(query) -> list[str]:
     return list(dict.fromkeys(g for part in query[1] for g in grams_of(part)))
 
 
-def holds(query, index: Column) -> Column:
-    """Whether a document's postings satisfy the query."""
-    if query is None:
-        return F.lit(True)
-    if isinstance(query, str):
-        return F.array_contains(index, query)
-    kind, parts = query
-    out = holds(parts[0], index)
-    for part in parts[1:]:
-        out = out & holds(part, index) if kind == "and" else out | holds(part, index)
-    return out
+def _grams(rules: tuple[Rule, ...]) -> list[str]:
+    return sorted({g for rule in rules for g in grams_of(trigram_query(rule.pattern))})
+
+
+def _held(text: Column, rules: tuple[Rule, ...]) -> Column:
+    """Those of the rules' trigrams that a text has. ``lower`` also folds other letters,
+    which adds candidates only."""
+    grams = _grams(rules)
+    if not grams:
+        return F.array().cast("array<string>")
+    return _let(F.lower(F.coalesce(text, F.lit(""))), lambda t: F.array_compact(F.array(*[F.when(t.contains(g), F.lit(g)) for g in grams])))
 
 
 def indexed(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", name: str = "trigrams") -> DataFrame:
     """``docs`` with the array of those trigrams of the rules' queries that the text has."""
-    grams = sorted({g for rule in rules for g in grams_of(trigram_query(rule.pattern))})
-    folded = F.translate(F.coalesce(F.col(text), F.lit("")), ascii_uppercase, ascii_lowercase)
-    with_fold = docs.withColumn("_folded", folded)
-    has = [F.when(F.col("_folded").contains(g), F.lit(g)) for g in grams]
-    return with_fold.withColumn(name, F.array_compact(F.array(*has)) if has else F.array().cast("array<string>")).drop("_folded")
+    return docs.withColumn(name, _held(F.col(text), rules))
 
 
 def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The index trigram-major: rows (trigram, id), one for each posting."""
-    return indexed(docs, rules, text).select(F.explode("trigrams").alias("trigram"), id_col)
+    """Rows (trigram, id), one for each posting."""
+    return docs.select(F.explode(_held(F.col(text), rules)).alias("trigram"), id_col)
+
+
+def _name(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def index(texts: DataFrame, segments: int, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """(segment, lists): the posting lists of each segment, a map from trigram to sorted names."""
+    named = texts.select(_name(F.col(text)).alias("name"), _held(F.col(text), rules).alias("grams")).filter(F.size("grams") > 0).distinct()
+    dealt = named.withColumn("segment", F.pmod(F.xxhash64("name"), F.lit(segments))).repartition("segment")
+    lists = dealt.select("segment", "name", F.explode("grams").alias("gram")).groupBy("segment", "gram").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    return lists.groupBy("segment").agg(F.map_from_entries(F.collect_list(F.struct("gram", "names"))).alias("lists"))
+
+
+def matching(query, lists: Column) -> Column:
+    """The names that satisfy a query, from posting lists."""
+    if isinstance(query, str):
+        return F.coalesce(lists[query], F.array().cast("array<string>"))
+    kind, parts = query
+    out = matching(parts[0], lists)
+    for part in parts[1:]:
+        out = F.array_intersect(out, matching(part, lists)) if kind == "and" else F.array_union(out, matching(part, lists))
+    return out
+
+
+def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(name, rules): the rules with a query that each text may match, by place."""
+    asked = [(k, query) for k, rule in enumerate(rules) if (query := trigram_query(rule.pattern)) is not None]
+    paired = lambda names, k: F.transform(names, lambda m: F.struct(m.alias("name"), F.lit(k).alias("rule")))
+    pairs = F.concat(F.array().cast("array<struct<name:string,rule:int>>"), *[paired(matching(query, F.col("lists")), k) for k, query in asked])
+    return index.select(F.explode(pairs).alias("p")).groupBy("p.name").agg(F.array_sort(F.collect_list("p.rule")).alias("rules"))
 
 
 def _let(value: Column, body) -> Column:
@@ -168,12 +211,17 @@ def _total(values: Column, first: Column, n: Column | int) -> Column:
     return F.aggregate(F.slice(values, first, n), F.lit(0), lambda t, x: t + x)
 
 
-def _sums(values: Column) -> Column:
-    """Running totals of an array of ints; by blocks, so that long arrays stay cheap."""
+def _most(values: Column, first: Column, n: Column | int) -> Column:
+    return F.coalesce(F.array_max(F.slice(values, first, n)), F.lit(0))
+
+
+def _running(values: Column, of=_total) -> Column:
+    """Running totals (or maxima) of an array of ints from 0; by blocks, so that long arrays stay cheap."""
+    join = F.greatest if of is _most else lambda a, b: a + b
     block = lambda i: F.floor(i / _BLOCK).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), block(F.size(values) - 1)), lambda b: _total(values, b * _BLOCK + 1, F.lit(_BLOCK)))
-    before = lambda sums: F.transform(sums, lambda _, b: _total(sums, F.lit(1), b))
-    running = lambda start: F.transform(values, lambda _, i: F.element_at(start, block(i) + 1) + _total(values, block(i) * _BLOCK + 1, i % _BLOCK + 1))
+    blocks = F.transform(F.sequence(F.lit(0), block(F.size(values) - 1)), lambda b: of(values, b * _BLOCK + 1, F.lit(_BLOCK)))
+    before = lambda sums: F.transform(sums, lambda _, b: of(sums, F.lit(1), b))
+    running = lambda start: F.transform(values, lambda _, i: join(F.element_at(start, block(i) + 1), of(values, block(i) * _BLOCK + 1, i % _BLOCK + 1)))
     return _let(blocks, lambda sums: _let(before(sums), running))
 
 
@@ -182,12 +230,12 @@ def _spans(rule: Rule, place: int, text: Column) -> Column:
     regex = F.lit(rule.pattern)
     lengths = lambda strings: F.transform(strings, lambda m: F.length(m))
     sizes = lengths(F.regexp_extract_all(text, regex, F.lit(0)))
-    counted = lengths(F.regexp_extract_all(text, regex, F.lit(rule.group)))
+    counted = lengths(F.regexp_extract_all(text, regex, F.lit(rule.group))) if rule.group else sizes
     pieces = lengths(F.split(text, rule.pattern, -1))
 
     def placed(size: Column) -> Column:
         gaps = F.zip_with(F.slice(pieces, F.lit(1), F.size(size)), F.concat(F.array(F.lit(0)), F.slice(size, F.lit(1), F.size(size) - 1)), lambda p, m: p + m)
-        rows = F.arrays_zip(_let(gaps, _sums).alias("at"), size.alias("size"), counted.alias("counted"))
+        rows = F.arrays_zip(_let(gaps, lambda g: _running(g)).alias("at"), size.alias("size"), counted.alias("counted"))
         kept = F.filter(rows, lambda s: s["counted"] >= rule.least)
         return F.transform(kept, lambda s: F.struct(s["at"].alias("start"), F.lit(place).alias("place"), (s["at"] + s["size"]).alias("end"), F.lit(rule.kind).alias("kind")))
 
@@ -199,31 +247,57 @@ SPANS = "array<struct<start:int,place:int,end:int,kind:string>>"
 
 def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", name: str = "spans") -> DataFrame:
     """``docs`` with all spans, ordered by start and then by the rules' order."""
-    found = indexed(docs, rules, text, "_trigrams").withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    for k, rule in enumerate(rules):
-        query = trigram_query(rule.pattern)
-        candidate = F.col("_text").rlike(rule.pattern) if query is None else holds(query, F.col("_trigrams")) & F.col("_text").rlike(rule.pattern)
-        found = found.withColumn(f"_hit{k}", candidate)
+    segments = max(1, -(-docs.count() // SEGMENT))
+    found = candidates(index(docs.select(F.col(text).alias("text")), segments, rules), rules)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _name(F.col(text)).alias("key"))
+    met = rows.join(found, F.col("key") == F.col("name"), "left").select("row", F.coalesce(F.col("row")[text], F.lit("")).alias("text"), "rules")
     none = F.array().cast(SPANS)
-    parts = [F.when(F.col(f"_hit{k}"), _spans(rule, k, F.col("_text"))).otherwise(none) for k, rule in enumerate(rules)]
-    any_hit = F.col("_hit0")
-    for k in range(1, len(rules)):
-        any_hit = any_hit | F.col(f"_hit{k}")
-    found = found.withColumn(name, F.when(any_hit, F.array_sort(F.concat(*parts))).otherwise(none))
-    return found.drop("_trigrams", "_text", *[f"_hit{k}" for k in range(len(rules))])
+    hits = []
+    for k, rule in enumerate(rules):
+        candidate = F.lit(True) if trigram_query(rule.pattern) is None else F.coalesce(F.array_contains("rules", k), F.lit(False))
+        met = met.withColumn(f"hit{k}", candidate & F.col("text").rlike(rule.pattern))
+        hits.append(F.col(f"hit{k}"))
+    parts = [F.when(hit, _spans(rule, k, F.col("text"))).otherwise(none) for k, (rule, hit) in enumerate(zip(rules, hits, strict=True))]
+    any_hit = F.exists(F.array(*hits), lambda h: h)
+    spans = F.when(any_hit, F.array_sort(F.concat(*parts))).otherwise(none).alias(name)
+    return met.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != name], spans)
 
 
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redacted(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """``docs`` with every span, or union of overlapping spans, replaced by ``mark``."""
-    body = F.col(text)
-    start = F.struct(F.lit(0).alias("done"), F.lit("").alias("out"))
-    step = lambda t, s: F.when(
-        s["start"] >= t["done"],
-        F.struct(s["end"].alias("done"), F.concat(t["out"], F.substring(body, t["done"] + 1, s["start"] - t["done"]), F.lit(mark)).alias("out")),
-    ).otherwise(F.struct(F.greatest(t["done"], s["end"]).alias("done"), t["out"].alias("out")))
-    whole = F.aggregate(F.col("_spans"), start, step, lambda t: F.concat(t["out"], F.substring(body, t["done"] + 1, F.length(body))))
-    return with_spans(docs, rules, text, "_spans").withColumn(text, F.when(F.size("_spans") > 0, whole).otherwise(body)).drop("_spans")
+def _between(pieces: Column, start: Column, end: Column) -> Column:
+    """Code points start to end of a text that is cut in pieces of _PIECE."""
+    within = lambda i: F.substring(F.get(pieces, i), F.greatest(start - i * _PIECE, F.lit(0)) + 1, F.least(end - i * _PIECE, F.lit(_PIECE)) - F.greatest(start - i * _PIECE, F.lit(0)))
+    whole = lambda x: F.floor(x / _PIECE).cast("int")
+    return F.when(end > start, F.array_join(F.transform(F.sequence(whole(start), whole(end - 1)), within), "")).otherwise("")
+
+
+def replaced(text: Column, spans: Column, mark: str) -> Column:
+    """A text with every span, or union of overlapping spans, replaced by ``mark``.
+
+    A span is left out where one before it reaches beyond its start. Only the pieces that
+    a gap lies in are read for it, so the cost is linear in text and spans.
+    """
+    ends = F.transform(spans, lambda s: s["end"])
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+
+    def body(cut: Column, upto: Column) -> Column:
+        done = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(upto, i - 1))
+        parts = F.transform(spans, lambda s, i: F.when(s["start"] >= done(i), F.concat(_between(cut, done(i), s["start"]), F.lit(mark))).otherwise(""))
+        return F.concat(F.array_join(parts, ""), _between(cut, F.element_at(upto, -1), F.length(text)))
+
+    return _let(pieces, lambda cut: _let(_running(ends, _most), lambda upto: body(cut, upto)))
+
+
+def redacted(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES, text: str = "text", length: str | None = None) -> DataFrame:
+    """``docs`` with every span, or union of overlapping spans, replaced by ``mark``; in
+    rows where there are some, ``length`` is set to the new number of characters."""
+    name = unused(docs, "spans")
+    found = with_spans(docs, rules, text, name)
+    body = F.when(F.size(name) > 0, replaced(F.col(text), F.col(name), mark)).otherwise(F.col(text))
+    out = found.withColumn(text, body)
+    if length:
+        out = out.withColumn(length, F.when(F.size(name) > 0, F.length(text).cast(docs.schema[length].dataType)).otherwise(F.col(length)))
+    return out.select(*docs.columns)

@@ -16,3 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bounded(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or one made from it, that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name
