@@ -19,7 +19,7 @@ execution splits a source that holds very many rows.
 Defined cases: a null source is a source of its own; weights default to equal
 ones, sources absent from ``weights`` get weight 0 and no copies; a null id draws
 as the empty text does. Repeated rows draw alike. Empty tables give empty
-mixes. Other columns pass through.
+mixes. An input column ``copy`` is replaced; other columns pass through.
 """
 
 from __future__ import annotations
@@ -51,14 +51,18 @@ def cumulative(mean: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, total: float | None = None, source: str = "source") -> tuple[DataFrame, int]:
-    """(source, n, rate, draws, cdf) by source, and the number of sources."""
+    """(source, n, rate, draws, cdf) by source, and the number of sources.
+
+    Weights are joined as a table, so their number doesn't lengthen the plan.
+    """
+    spark = docs.sparkSession
     counted = docs.groupBy(F.col(source).alias("s")).agg(F.count("*").alias("n"))
-    weight = F.lit(1.0)
-    if weights is not None:
-        weight = F.lit(0.0)
-        for key, w in weights.items():
-            weight = F.when(F.col("s").eqNullSafe(F.lit(key)), F.lit(float(w))).otherwise(weight)
-    counted = materialise(counted.withColumn("w", weight), "rates")
+    if weights is None:
+        counted = counted.withColumn("w", F.lit(1.0))
+    else:
+        given = spark.createDataFrame([(k, float(w)) for k, w in weights.items()], f"k {docs.schema[source].dataType.simpleString()}, w double")
+        counted = counted.join(given, F.col("s").eqNullSafe(F.col("k")), "left").select("s", "n", F.coalesce("w", F.lit(0.0)).alias("w"))
+    counted = materialise(counted, "rates")
     sums = counted.agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("sources")).first()
     aim = float(total if total is not None else sums["n"] or 0)
     rate = F.lit(aim) * (F.col("w") / F.lit(sums["w"])) / F.col("n") if sums["w"] else F.lit(0.0)
@@ -68,16 +72,19 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, total
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total: float | None = None, seed: int = 17, id_col: str = "doc_id", source: str = "source", shuffle: bool = True) -> DataFrame:
-    """``docs`` with column ``copy`` (from 0), each row as often as it was drawn."""
+    """``docs`` with column ``copy`` (from 0), each row as often as it was drawn.
+
+    The row travels as one column, so none of its names can clash with those used here.
+    """
     by_source, sources = rates(docs, weights, total, source)
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    joined = docs.withColumn("_key", key).join(F.broadcast(by_source) if sources <= SMALL_SOURCES else by_source, F.col(source).eqNullSafe(F.col("s")))
-    numbers = F.transform(F.sequence(F.lit(1), F.col("draws")), lambda j: uniform(F.lit(str(seed)), F.col("_key"), j.cast("string")))
+    names = [c for c in docs.columns if c.lower() != "copy"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("key"), F.col(source).alias("of"))
+    joined = rows.join(F.broadcast(by_source) if sources <= SMALL_SOURCES else by_source, F.col("of").eqNullSafe(F.col("s")))
+    numbers = F.transform(F.sequence(F.lit(1), F.col("draws")), lambda j: uniform(F.lit(str(seed)), F.col("key"), j.cast("string")))
     counts = F.transform(numbers, lambda u: F.size(F.filter(F.col("cdf"), lambda c: c <= u)))
     drawn = F.when(F.col("draws") > 0, F.aggregate(counts, F.lit(0), lambda t, x: t + x)).otherwise(0)
-    copies = joined.withColumn("_copies", drawn).filter("_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
-    kept = copies.select(*[docs[c] for c in docs.columns if c != "copy"], "copy", "_key")
+    copies = joined.select("row", "key", drawn.alias("copies")).filter("copies > 0")
+    kept = copies.select("row", "key", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
     if shuffle:
-        place = F.xxhash64(F.lit(seed), F.col("_key"), F.col("copy"))
-        kept = kept.withColumn("_place", place).repartition("_place").sortWithinPartitions("_place", "_key").drop("_place")
-    return kept.drop("_key")
+        kept = kept.withColumn("place", F.xxhash64(F.lit(seed), F.col("key"), F.col("copy"))).repartition("place").sortWithinPartitions("place", "key")
+    return kept.select("row.*", "copy")
