@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.storage import materialise
+from lodestar.llm.storage import discard, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,18 +28,21 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) of every node of ``edges(a, b)``; the component is its smallest node.
 
-    Each round is two star operations (Kiveris et al. 2014), written to the
-    shared folder. Self-loops and repeated edges are allowed and change
+    Each round is a large and a small star operation (Kiveris et al. 2014), written
+    to the shared folder. Self-loops and repeated edges are allowed and change
     nothing. Groups of any size stay distributed: only minima by node are
-    aggregated, with partial sums before each shuffle.
+    aggregated, with partial sums before each shuffle. The number of edges never
+    grows, so it bounds the files of each round.
     """
     oriented = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    current = materialise(oriented, "edges")
+    current = materialise(oriented, "edges", edges.count())
     state = _state(current)
     for _ in range(most_rounds):
         if not state[0]:
             break
-        current = materialise(_small_star(_large_star(current)), "edges")
+        last = current
+        current = materialise(_small_star(_large_star(last)), "edges", state[0])
+        discard(last)
         before, state = state, _state(current)
         if state == before:
             break

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestar.llm.components import components
-from lodestar.llm.storage import materialise
+from lodestar.llm.storage import discard, materialise
 from lodestar.llm.textops import U, batches_of_words, mix, sequence_hash, weighted_shingles
 
 SIMILARITY = 0.8
@@ -228,8 +228,10 @@ def _tasks(df: DataFrame, total: int, block: int) -> int:
 
 def _linked(pairs: DataFrame, marks: DataFrame, sources: DataFrame, threshold: float) -> DataFrame:
     """Verified links (a, b) of pairs(a, b, size)."""
-    likely = materialise(_beside_centres(pairs, marks, "bands", _agreeing(_least(threshold)), SET_BLOCK), "pairs")
-    return materialise(_beside_centres(likely, sources, "text", _similar(threshold), SET_BLOCK).select("a", "b"), "links")
+    likely = materialise(_beside_centres(pairs, marks, "bands", _agreeing(_least(threshold)), SET_BLOCK), "pairs", pairs.count(), heavy=True)
+    links = materialise(_beside_centres(likely, sources, "text", _similar(threshold), SET_BLOCK).select("a", "b"), "links", likely.count(), heavy=True)
+    discard(pairs, likely)
+    return links
 
 
 def _least(threshold: float) -> int:
@@ -357,8 +359,9 @@ def _across(divided: DataFrame, sources: DataFrame, threshold: float) -> DataFra
     grouped = lambda df, n: df.repartition(n, "g").sortWithinPartitions("g")
     rows = divided.count()
     asked = grouped(_dealt(divided.withColumn("one", F.lit(1)), "one", BLOCK).drop("size", "one"), _tasks(divided, rows, BLOCK)).mapInArrow(_in_question(_least(threshold)), "band int, key bigint, node bigint")
-    asked = materialise(asked.distinct(), "asked")
-    again = materialise(divided.join(asked, ["band", "key", "node"]), "again")
+    asked = materialise(asked.distinct(), "asked", rows)
+    again = materialise(divided.join(asked, ["band", "key", "node"]), "again", asked.count())
+    discard(asked)
     total = again.agg(F.sum("size")).first()[0] or 0
     texts = _dealt(again, "size", SET_BLOCK).join(sources, "node").drop("size", "key")
     return grouped(texts, _tasks(divided, total, SET_BLOCK)).mapInArrow(_links_within(threshold), "a bigint, b bigint").distinct()
@@ -373,25 +376,26 @@ def _named(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> Dat
     # The signature is a function of the words, so any row's will do. A row's id and text are where a node's text is found.
     row = F.struct(F.col("id").isNull().alias("nameless"), "id", "t")
     exact = worded.groupBy("h1", "h2").agg(F.min(row).alias("row"), F.first("size").alias("size"), F.any_value("bands").alias("bands"))
-    nodes = materialise(exact.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "row.id", "row.t", "size", "bands"), "exact")
+    nodes = materialise(exact.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "row.id", "row.t", "size", "bands"), "exact", prints.count())
+    rows = prints.count()
     banded = nodes.select("node", "size", F.posexplode("bands").alias("band", "key"))
-    buckets = materialise(banded.groupBy("band", "key").agg(F.min("node").alias("centre"), F.max("node").alias("other")).filter("centre <> other").drop("other"), "buckets")
-    members = materialise(banded.join(buckets, ["band", "key"]), "members")
+    buckets = banded.groupBy("band", "key").agg(F.min("node").alias("centre"), F.max("node").alias("other")).filter("centre <> other").drop("other")
+    members = materialise(banded.join(buckets, ["band", "key"]), "members", rows * BANDS)
     marks = nodes.select("node", "bands")
     # Texts of bucket members only, one of each.
     involved = members.select("node").distinct().join(nodes, "node").select("node", F.col("id").alias("_id"), F.col("t").alias("_t"))
     sources = texts.join(involved, F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))).groupBy("node").agg(F.min("text").alias("text"))
     sources = materialise(sources, "texts")
-    star = materialise(members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"), "size").distinct(), "star")
+    star = materialise(members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"), "size").distinct(), "star", members.count())
     links = _linked(star, marks, sources, threshold)
     parts = components(links)
+    divided = _divided(members, parts)
     for seed in range(MORE_STARS):
-        divided = _divided(members, parts)
         # Each bucket has another centre, so a large group has up to BANDS of them at once.
         other = F.min_by(F.struct("node", "component"), F.xxhash64(F.lit(seed), "band", "node"))
         centres = divided.groupBy("band", "key").agg(other.alias("c"), F.count("*").alias("rows")).filter(F.col("rows") > (0 if seed == 0 else BLOCK))
         apart = divided.join(centres, ["band", "key"]).filter(F.col("component") != F.col("c.component"))
-        star = materialise(apart.select(F.col("c.node").alias("a"), F.col("node").alias("b"), "size").distinct(), "star")
+        star = materialise(apart.select(F.col("c.node").alias("a"), F.col("node").alias("b"), "size").distinct(), "star", divided.count())
         if star.isEmpty():
             break
         found = _linked(star, marks, sources, threshold)
@@ -399,10 +403,13 @@ def _named(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> Dat
             break
         links = links.unionByName(found)
         parts = components(links)
-    unsettled = materialise(_divided(members, parts).join(marks, "node"), "unsettled")
-    more = materialise(_across(unsettled, sources, threshold), "links")
+        discard(divided)
+        divided = _divided(members, parts)
+    unsettled = materialise(divided.join(marks, "node"), "unsettled", divided.count())
+    more = materialise(_across(unsettled, sources, threshold), "links", divided.count())
     if not more.isEmpty():
         parts = components(links.unionByName(more))
+    discard(members, sources, divided, unsettled)
     smallest = parts.join(nodes.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("least"))
     linked = parts.join(smallest, "component").select("node", "component", "least")
     named = nodes.join(linked, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("part"), F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least")).alias("class_id"))
@@ -414,7 +421,7 @@ def _divided(members: DataFrame, parts: DataFrame) -> DataFrame:
     """(band, key, node, size, component) of the members of buckets that hold several components."""
     placed = members.join(parts, "node", "left").select("band", "key", "node", "size", F.coalesce("component", "node").alias("component"))
     several = placed.groupBy("band", "key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("band", "key")
-    return materialise(placed.join(several, ["band", "key"], "left_semi"), "divided")
+    return materialise(placed.join(several, ["band", "key"], "left_semi"), "divided", members.count())
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
@@ -433,12 +440,12 @@ def keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     pass through.
     """
     best = F.col("id").eqNullSafe(F.col("class_id"))
-    named = materialise(_named(docs, id_col, text_col, threshold).filter(best | F.col("id").isNull() if nameless_apart else best), "classes")
+    named = materialise(_named(docs, id_col, text_col, threshold).filter(best | F.col("id").isNull() if nameless_apart else best), "classes", docs.count())
     # Rivals: rows of a class and id; without words, of an id; without both, of a text.
     lone = F.when(F.col("part").isNull() & F.col("id").isNull(), F.col("t"))
     keys = named.groupBy("id", "t").agg(F.min("part").alias("part"), F.count("*").alias("n")).withColumn("lone", lone)
     keys = keys.withColumn("rivals", F.sum("n").over(Window.partitionBy("part", "id", "lone")))
-    keys = materialise(keys.select("id", "t", "part", "lone", "rivals"), "keys")
+    keys = materialise(keys.select("id", "t", "part", "lone", "rivals"), "keys", named.count())
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"))
     kept = rows.join(keys, F.col("i").eqNullSafe(F.col("id")) & (F.col("h") == F.col("t")))
     if not keys.filter("rivals > 1").isEmpty():

@@ -1,52 +1,5 @@
 """Tables written to the shared checkpoint folder, to cut lineage between stages."""
 
-from __future__ import annotations
+from lodestar.storage import discard, materialise, shared_dir
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_WRITTEN: list = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and every executor can reach.
-
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (unit tests on one machine) a temporary folder is taken.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = getattr(spark, "_lodestar_dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestar-")
-        spark._lodestar_dir = where
-    return where.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    Unlike a cached or locally checkpointed frame the table survives the loss
-    of executors, and a plan above it never recomputes what is below.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.mode("error")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    if not _WRITTEN:
-        atexit.register(_remove)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove() -> None:
-    for spark, path in _WRITTEN:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session has already ended
-            return
+__all__ = ["discard", "materialise", "shared_dir"]
