@@ -3,14 +3,14 @@
 Entries are short word sequences of two kinds: phrases, of which every word must
 stand in place, and notices, of which a share of the rarest words must. A word's
 rarity is its inverse document frequency over the notices. The index maps a
-word to postings (entry, place in the entry). A file's licence words vote, for
+word to postings (entry, place in the entry), by a constant hash table. A file's licence words vote, for
 each posting, for the position where the entry would begin; an entry is found
 where enough votes agree. A notice counts only if its mandatory key phrase is
 found too.
 
-Files without any anchor are passed over: an entry that needs ``n`` of its
-``m`` words can't be found without one of its ``m - n + 1`` rarest, so this
-loses nothing. The index is a constant of a few hundred words; nothing is
+A base phrase, or a key phrase that a notice rests on, can't be found in a file that lacks
+one of its words, so files that lack a word of each are passed over, which loses
+nothing. The index is a constant of a few hundred words; nothing is
 shuffled or joined, and no text leaves its row.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased.
@@ -25,18 +25,21 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 from string import ascii_lowercase, ascii_uppercase
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between the words, before A-Z are lower-cased; cutting at it costs an eighth of matching the words.
+_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 # The base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-# Opening words of well-known notices, label, and the key phrase each must hold.
+# Words of well-known licence texts and notices, label, and the key phrase each must hold.
 NOTICES = (
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit", "free of charge to any person obtaining a copy"),
     ("released under the mit license", "mit", "under the mit license"),
@@ -54,6 +57,22 @@ NOTICES = (
     ("licensed under cc by sa 4 0", "cc-by-sa-4.0", "cc by sa 4 0"),
     ("licensed under cc by 4 0", "cc-by-4.0", "cc by 4 0"),
     ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by-4.0", "creative commons attribution 4 0"),
+    ("to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so", "mit", "sublicense and or sell copies of the software"),
+    ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit", "all copies or substantial portions of the software"),
+    ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice", "bsd", "redistributions of source code must retain the above copyright notice"),
+    ("may be used to endorse or promote products derived from this software without specific prior written permission", "bsd", "endorse or promote products derived from this software"),
+    ("this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "zlib", "without any express or implied warranty"),
+    ("the origin of this software must not be misrepresented you must not claim that you wrote the original software", "zlib", "must not be misrepresented"),
+    ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "bsl-1.0", "accompanying documentation covered by this license"),
+    ("anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", "unlicense", "as a compiled binary for any purpose"),
+    ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "apache-2.0", "without warranties or conditions of any kind"),
+    ("this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", "gpl", "distributed in the hope that it will be useful"),
+    ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "lgpl", "gnu lesser general public license"),
+    ("if a copy of the mpl was not distributed with this file you can obtain one at", "mpl-2.0", "copy of the mpl was not distributed with this file"),
+    ("everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", "gpl", "copy and distribute verbatim copies of this license document"),
+    ("the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law", "cc0-1.0", "dedicated the work to the public domain"),
+    ("this program and the accompanying materials are made available under the terms of the eclipse public license", "epl", "eclipse public license"),
+    ("you just do what the fuck you want to", "wtfpl", "do what the fuck you want to"),
 )
 
 RARE_WORDS = 8
@@ -78,7 +97,8 @@ class Index:
         texts = [n.split() for n, _, _ in notices]
         often = Counter(w for t in texts for w in set(t))
         self.idf = {w: math.log((1 + len(texts)) / (1 + n)) for w, n in often.items()}
-        rarity = lambda w: (-self.idf.get(w, math.log(1 + len(texts))), w)
+        # Of words that are as rare here, longer ones are rarer elsewhere.
+        rarity = lambda w: (-self.idf.get(w, math.log(1 + len(texts))), -len(w), w)
         whole = lambda text, label: Entry(label, tuple((w, k) for k, w in enumerate(text.split())), len(text.split()), len(text.split()))
         self.base = len(base)
         self.entries = [whole(text, label) for text, label in base]
@@ -92,7 +112,17 @@ class Index:
             rarest = sorted(sorted(range(len(words)), key=lambda k: (rarity(words[k]), k))[:rare_words])
             picked = tuple((words[k], k) for k in rarest)
             self.entries.append(Entry(label, picked, math.ceil(share * len(picked)), len(words), at[key]))
-        self.anchors = sorted({w for e in self.entries for w in sorted((w for w, _ in e.words), key=rarity)[: len(e.words) - e.need + 1]})
+        # Every finding rests on a base or key phrase, all words of which must stand in the text; the rarest first.
+        self.phrases = [tuple(sorted({w for w, _ in e.words}, key=rarity)) for e in self.entries[: self.notices]]
+        self.anchors = sorted({words[0] for words in self.phrases})
+        # (word, other words of each phrase that has it): one word rules out many phrases at once.
+        self.gates, left = [], list(self.phrases)
+        while left:
+            often = Counter(w for p in left for w in p if len(w) >= 6) or Counter(p[0] for p in left)
+            word = max(often, key=lambda w: (often[w], len(w), w))
+            mine = [p for p in left if word in p]
+            self.gates.append((word, [[w for w in p if w != word] for p in mine]))
+            left = [p for p in left if word not in p]
 
     @cached_property
     def postings(self) -> dict[str, list[int]]:
@@ -105,40 +135,59 @@ class Index:
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), ascii_uppercase, ascii_lowercase), F.lit(WORD), F.lit(0))
+    return F.filter(F.split(text, _GAP, -1), lambda w: w != "")
 
 
 def _strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def _lookup(postings: dict[str, list[int]]):
+    """Function from a word to its postings: a constant hash table, an array of slots that
+    hold the few words of one hash, so a lookup costs the same for any number of words."""
+    size = 1 << max(6, (4 * len(postings)).bit_length())
+    slots: list[list[str]] = [[] for _ in range(size)]
+    for w in sorted(postings):
+        slots[xxhash.xxh64_intdigest(w.encode(), seed=42) % size].append(w)
+    longs = lambda values: F.array(*[F.lit(v).cast("bigint") for v in values])
+    row = lambda w: F.struct(F.lit(w).alias("word"), longs(postings[w]).alias("at"))
+    kind = "array<struct<word:string,at:array<bigint>>>"
+    table = F.array(*[F.array(*[row(w) for w in slot]).cast(kind) for slot in slots])
+    return lambda w: F.flatten(F.transform(F.filter(F.get(table, F.xxhash64(w).bitwiseAND(F.lit(size - 1)).cast("int")), lambda x: x["word"] == w), lambda x: x["at"]))
+
+
 def with_licenses(docs: DataFrame, index: Index | None = None, text: str = "text") -> DataFrame:
-    """``docs`` with n_words, found (array of entry, word, label), and the summary columns."""
+    """``docs`` with n_words, found (array of entry, word, label), and the summary columns.
+    Columns of these names are replaced; the row travels as one column until then."""
     index = index or Index()
-    lists = F.create_map(*[c for w, p in index.postings.items() for c in (F.lit(w), F.array(*[F.lit(v).cast("bigint") for v in p]))])
+    lists = _lookup(index.postings)
     need = F.array(*[F.lit(e.need) for e in index.entries])
     key = F.array(*[F.lit(-1 if e.key is None else e.key) for e in index.entries])
     label = _strings(e.label for e in index.entries)
     none = F.array().cast("array<bigint>")
     entry = lambda v: F.floor(v / _PLACE).cast("int")
 
-    df = docs.withColumn("_words", _words(F.col(text)))
-    df = df.withColumn("n_words", F.size("_words").cast("bigint"))
-    votes = F.flatten(F.transform(F.col("_words"), lambda w, i: F.transform(F.coalesce(lists[w], none), lambda p: p + i)))
-    df = df.withColumn("_votes", F.when(F.arrays_overlap("_words", _strings(index.anchors)), F.array_sort(votes)).otherwise(none)).drop("_words")
-    v = F.col("_votes")
+    body = F.coalesce(F.col("row")[text], F.lit(""))
+    low = F.lower(body)  # folds more letters than A-Z, which can only let more texts through
+    has = lambda words: reduce(lambda a, w: a & F.col("low").contains(w), words, F.lit(True))
+    any_of = reduce(lambda a, g: a | (has([g[0]]) & reduce(lambda x, p: x | has(p), g[1], F.lit(False))), index.gates, F.lit(False))
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("low", low).withColumn("may", any_of).drop("low")
+    # Case only matters where an entry may be found.
+    df = df.withColumn("words", _words(F.when(F.col("may"), F.translate(body, ascii_uppercase, ascii_lowercase)).otherwise(body)))
+    votes = F.flatten(F.transform("words", lambda w, i: F.transform(lists(w), lambda p: p + i)))
+    df = df.withColumn("v", F.when(F.col("may") & F.arrays_overlap("words", _strings(index.anchors)), F.array_sort(votes)).otherwise(none)).withColumn("n_words", F.size("words").cast("bigint")).drop("words", "may")
+    v = F.col("v")
     agreed = F.filter(v, lambda x, i: ((i == 0) | (F.get(v, i - 1) != x)) & F.coalesce(F.get(v, i + F.element_at(need, entry(x) + 1) - 1) == x, F.lit(False)))
-    df = df.withColumn("_agreed", F.when(F.size(v) > 0, agreed).otherwise(none)).drop("_votes")
-    phrases = F.array_distinct(F.transform(F.filter(F.col("_agreed"), lambda x: x < index.notices * _PLACE), entry))
-    df = df.withColumn("_phrases", phrases)
-    sure = F.filter(F.col("_agreed"), lambda x: (x < index.base * _PLACE) | ((x >= index.notices * _PLACE) & F.array_contains(F.col("_phrases"), F.element_at(key, entry(x) + 1))))
+    df = df.withColumn("agreed", F.when(F.size(v) > 0, agreed).otherwise(none)).drop("v")
+    phrases = F.array_distinct(F.transform(F.filter("agreed", lambda x: x < index.notices * _PLACE), entry))
+    df = df.withColumn("phrases", phrases)
+    sure = F.filter("agreed", lambda x: (x < index.base * _PLACE) | ((x >= index.notices * _PLACE) & F.array_contains(F.col("phrases"), F.element_at(key, entry(x) + 1))))
     rows = F.transform(sure, lambda x: F.struct(entry(x).alias("entry"), (x % _PLACE - _SHIFT).alias("word"), F.element_at(label, entry(x) + 1).alias("label")))
-    df = df.withColumn("found", rows).drop("_agreed", "_phrases")
-    base = F.filter(F.col("found"), lambda f: f["entry"] < index.base)
-    df = df.withColumn("_base", base)
+    df = df.withColumn("found", rows).withColumn("base", F.filter("found", lambda f: f["entry"] < index.base))
     names = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda f: f["label"]))), ",")
-    places = F.transform(F.col("_base"), lambda f: f["word"])
-    return df.withColumns({
-        "n_base": F.size("_base").cast("bigint"), "first_word": F.array_min(places), "last_word": F.array_max(places), "base_labels": names(F.col("_base")), "labels": names(F.col("found")),
-        "score": 1 - F.pow(F.lit(0.5), F.size("found").cast("double")),
-    }).drop("_base")
+    places = F.transform("base", lambda f: f["word"])
+    added = {
+        "n_words": F.col("n_words"), "found": F.col("found"), "n_base": F.size("base").cast("bigint"), "first_word": F.array_min(places), "last_word": F.array_max(places),
+        "base_labels": names("base"), "labels": names("found"), "score": 1 - F.pow(F.lit(0.5), F.size("found").cast("double")),
+    }
+    return df.select(*[F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in added], *[c.alias(n) for n, c in added.items()])
