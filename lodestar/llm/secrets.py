@@ -152,23 +152,27 @@ def _grams(rules: tuple[Rule, ...]) -> list[str]:
     return sorted({g for rule in rules for g in grams_of(trigram_query(rule.pattern))})
 
 
-def _held(text: Column, rules: tuple[Rule, ...]) -> Column:
-    """Those of the rules' trigrams that a text has. ``lower`` also folds other letters,
-    which adds candidates only."""
-    grams = _grams(rules)
-    if not grams:
-        return F.array().cast("array<string>")
-    return _let(F.lower(F.coalesce(text, F.lit(""))), lambda t: F.array_compact(F.array(*[F.when(t.contains(g), F.lit(g)) for g in grams])))
+def _held(low: Column, rules: tuple[Rule, ...]) -> Column:
+    """Those of the rules' trigrams that a lower-case text has."""
+    has = [F.when(low.contains(g), F.lit(g)) for g in _grams(rules)]
+    return F.array_compact(F.array(*has)) if has else F.array().cast("array<string>")
+
+
+def _low(text: Column) -> Column:
+    """``lower`` also folds other letters than A-Z, which adds candidates only."""
+    return F.lower(F.coalesce(text, F.lit("")))
 
 
 def indexed(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", name: str = "trigrams") -> DataFrame:
     """``docs`` with the array of those trigrams of the rules' queries that the text has."""
-    return docs.withColumn(name, _held(F.col(text), rules))
+    low = unused(docs, "low")
+    return docs.withColumn(low, _low(F.col(text))).withColumn(name, _held(F.col(low), rules)).drop(low)
 
 
 def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (trigram, id), one for each posting."""
-    return docs.select(F.explode(_held(F.col(text), rules)).alias("trigram"), id_col)
+    name = unused(docs, "trigrams")
+    return indexed(docs, rules, text, name).select(F.explode(name).alias("trigram"), id_col)
 
 
 def _name(text: Column) -> Column:
@@ -177,7 +181,8 @@ def _name(text: Column) -> Column:
 
 def index(texts: DataFrame, segments: int, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """(segment, lists): the posting lists of each segment, a map from trigram to sorted names."""
-    named = texts.select(_name(F.col(text)).alias("name"), _held(F.col(text), rules).alias("grams")).filter(F.size("grams") > 0).distinct()
+    # Texts without a trigram go where lists are exploded; a filter here would look for all of them twice.
+    named = texts.select(_name(F.col(text)).alias("name"), _low(F.col(text)).alias("low")).select("name", _held(F.col("low"), rules).alias("grams")).distinct()
     dealt = named.withColumn("segment", F.pmod(F.xxhash64("name"), F.lit(segments))).repartition("segment")
     lists = dealt.select("segment", "name", F.explode("grams").alias("gram")).groupBy("segment", "gram").agg(F.array_sort(F.collect_list("name")).alias("names"))
     return lists.groupBy("segment").agg(F.map_from_entries(F.collect_list(F.struct("gram", "names"))).alias("lists"))
