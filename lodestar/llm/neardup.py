@@ -211,7 +211,7 @@ def _beside_centres(pairs: DataFrame, values: DataFrame, value: str, kernel, lim
     reads a block as a stream.
     """
     total = pairs.agg(F.sum("size")).first()[0] or 0
-    hot = pairs.groupBy("a").agg(F.sum("size").alias("total")).filter(F.col("total") > limit).select("a", F.ceil(F.col("total") / limit).alias("blocks"))
+    hot = materialise(pairs.groupBy("a").agg(F.sum("size").alias("total")).filter(F.col("total") > limit).select("a", F.ceil(F.col("total") / limit).alias("blocks")), "hot", total // limit)
     dealt = pairs.join(hot, "a", "left").select("a", "b", "size", F.coalesce(F.pmod(F.xxhash64("b"), "blocks"), F.lit(0)).alias("block"))
     own = values.select(F.col("node").alias("n"), F.col(value).alias("value"))
     members = dealt.join(own, F.col("b") == F.col("n")).select("a", "block", "b", "size", "value")
@@ -254,6 +254,7 @@ def _dealt(members: DataFrame, weight: str, limit: int) -> DataFrame:
     whole = parts.groupBy("band", "key").agg(F.max(F.struct("w", "component")).alias("m"), F.sum("w").alias("w"))
     ceil = lambda w: F.greatest(F.lit(1), F.ceil(w / limit)).cast("int")
     by = whole.select("band", "key", F.col("m.component").alias("major"), ceil(F.col("m.w")).alias("majors"), ceil(F.col("w") - F.col("m.w")).alias("minors"))
+    by = materialise(by, "blocks", members.count() // 2)
     minor = F.col("component") != F.col("major")
     own = members.join(by, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.when(minor, F.col("minors")).otherwise(F.col("majors"))).cast("int"))
     group = lambda low, high, side: F.struct(low.alias("low"), high.alias("high"), F.lit(side).alias("side"))
@@ -379,8 +380,10 @@ def _named(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> Dat
     nodes = materialise(exact.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "row.id", "row.t", "size", "bands"), "exact", prints.count())
     rows = prints.count()
     banded = nodes.select("node", "size", F.posexplode("bands").alias("band", "key"))
-    buckets = banded.groupBy("band", "key").agg(F.min("node").alias("centre"), F.max("node").alias("other")).filter("centre <> other").drop("other")
+    # Sums by key are written before they are joined: only a join of plain exchanges can be split where a key is hot.
+    buckets = materialise(banded.groupBy("band", "key").agg(F.min("node").alias("centre"), F.max("node").alias("other")).filter("centre <> other").drop("other"), "buckets", rows * BANDS // 2)
     members = materialise(banded.join(buckets, ["band", "key"]), "members", rows * BANDS)
+    discard(buckets)
     marks = nodes.select("node", "bands")
     # Texts of bucket members only, one of each.
     involved = members.select("node").distinct().join(nodes, "node").select("node", F.col("id").alias("_id"), F.col("t").alias("_t"))
@@ -394,6 +397,7 @@ def _named(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> Dat
         # Each bucket has another centre, so a large group has up to BANDS of them at once.
         other = F.min_by(F.struct("node", "component"), F.xxhash64(F.lit(seed), "band", "node"))
         centres = divided.groupBy("band", "key").agg(other.alias("c"), F.count("*").alias("rows")).filter(F.col("rows") > (0 if seed == 0 else BLOCK))
+        centres = materialise(centres, "centres", divided.count() // 2)
         apart = divided.join(centres, ["band", "key"]).filter(F.col("component") != F.col("c.component"))
         star = materialise(apart.select(F.col("c.node").alias("a"), F.col("node").alias("b"), "size").distinct(), "star", divided.count())
         if star.isEmpty():
@@ -421,6 +425,7 @@ def _divided(members: DataFrame, parts: DataFrame) -> DataFrame:
     """(band, key, node, size, component) of the members of buckets that hold several components."""
     placed = members.join(parts, "node", "left").select("band", "key", "node", "size", F.coalesce("component", "node").alias("component"))
     several = placed.groupBy("band", "key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("band", "key")
+    several = materialise(several, "several", members.count() // 2)
     return materialise(placed.join(several, ["band", "key"], "left_semi"), "divided", members.count())
 
 
