@@ -84,8 +84,8 @@ def _statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         np.add.at(content, of_word, mix(words.hash + mix(place.astype(U))))
         line_end = np.append(line_start[1:], len(b)) - 1
         line_end = np.minimum(line_end, cuts[line_doc + 1] - 1)
-        last = b[np.maximum(line_end - (b[line_end] == 10), 0)]
-        ended = np.bincount(line_doc, weights=np.isin(last, list(b".!?")), minlength=n)
+        last = line_end - (b[line_end] == 10)  # before its start, if the line is empty
+        ended = np.bincount(line_doc, weights=np.isin(b[np.maximum(last, 0)], list(b".!?")) & (last >= line_start), minlength=n)
         unlike_lines, _ = _distinct(line_doc, mix(content), n)
     else:
         ended = unlike_lines = np.zeros(n)
@@ -180,8 +180,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
         x = statistics(text)
         return pa.ListArray.from_arrays(np.arange(0, x.size + 1, len(FEATURES), dtype=np.int32), pa.array(x.ravel()))
 
-    got = rows.select("doc_id", "y", measured("text").alias("x")).dropDuplicates(["doc_id"]).toArrow()
-    order = np.argsort(got["doc_id"].to_numpy())
+    got = rows.select("doc_id", "y", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("m"), measured("text").alias("x")).toArrow()
+    order = np.lexsort((got["m"].to_numpy().astype(str), got["doc_id"].to_numpy()))
     x = got["x"].combine_chunks().values.to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)) if len(got) else np.empty((0, len(FEATURES)), np.float32)
     return fit(x[order], got["y"].to_numpy()[order])
 

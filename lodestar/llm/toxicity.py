@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import labels as L
+from lodestar.llm.session import unused
+from lodestar.llm.storage import discard, materialise
 
 #: Bound of the labelled rows the lexicon is learned from.
 TRAINING_ROWS = 12_000
-#: Bound of the lexicon.
-ENTRIES = 20_000
 PREFIXES = (4, 5, 6)
 
 # Letters of other scripts that look like Latin ones.
@@ -104,10 +104,6 @@ class Lexicon:
         total = sum(hits.values())
         return len(hits), total, 100 * total / max(1, t.count(" ") - 1), max(hits.values(), default=0.0)
 
-    def probability(self, m: np.ndarray) -> np.ndarray:
-        a, b, c, d = self.logistic
-        return 1 / (1 + np.exp(-np.clip(a * np.log1p(m[:, 0]) + b * np.log1p(m[:, 1]) + c * m[:, 2] + d, -30, 30)))
-
 
 def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2) -> np.ndarray:
     x = np.column_stack([x, np.ones(len(x))])
@@ -144,14 +140,15 @@ def hash_pair(a: str, b: str) -> int:
     return x
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = TRAINING_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS, least: int = 4, least_odds: float = 2.5, entries: int = ENTRIES) -> Lexicon:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = TRAINING_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS, least: int = 4, least_odds: float = 2.5) -> Lexicon:
     """Learn entries and the logistic function from at most ``limit`` labelled rows.
 
     An entry is kept if it has ``least`` contexts or more under label 1, its
     smoothed log-odds are ``least_odds`` or more, and its log-likelihood ratio
-    is significant. The lexicon is bounded by ``entries``.
+    is significant. The lexicon holds all entries that are, so only the labelled rows
+    bound it. Equal rows give equal lexicons, whatever their order.
     """
-    rows = L.training_rows(docs, labels, label, limit)
+    rows = materialise(L.training_rows(docs, labels, label, limit), "labelled")
 
     @F.arrow_udf("array<struct<entry:string,context:int>>")
     def listed(text: pa.Array) -> pa.Array:
@@ -164,16 +161,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
     lexicon = Lexicon(exceptions=exceptions)
     if not n1 or not n0:
         lexicon.logistic = (0.0, 0.0, 0.0, 20.0 if n1 else -20.0)
+        discard(rows)
         return lexicon
     a, b = F.sum(F.when(F.col("y") > 0.5, 1).otherwise(0)), F.sum(F.when(F.col("y") <= 0.5, 1).otherwise(0))
     odds = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
     got = (
         pairs.groupBy("entry").agg(a.alias("a"), b.alias("b")).withColumn("odds", odds)
         .filter((F.col("a") >= least) & (F.col("odds") >= least_odds) & (F.col("a") * F.col("odds") >= 12))
-        .orderBy(F.desc(F.col("a") * F.col("odds")), "entry").limit(entries).collect()
-    )
-    lexicon.weights = {r["entry"]: round(r["odds"], 4) for r in got}
-    m = measured(rows, lexicon).select("y", "m.*").toPandas()
+        .collect()
+    )
+    lexicon.weights = {e: round(w, 4) for e, w in sorted((r["entry"], r["odds"]) for r in got)}
+    m = measured(rows, lexicon).select("y", "m.*").toPandas().sort_values(["y", "total", "per_100", "top"])
+    discard(rows)
     x = np.column_stack([np.log1p(m["total"]), np.log1p(m["per_100"]), m["top"]])
     lexicon.logistic = tuple(float(v) for v in _logistic(x, m["y"].to_numpy()))
     return lexicon
@@ -205,6 +204,6 @@ def _automaton(lexicon: Lexicon) -> ahocorasick.Automaton:
 def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with the probability of label 1 and the number of hits."""
     a, b, c, d = lexicon.logistic
-    z = F.col("_m.total"), F.col("_m.per_100"), F.col("_m.top")
-    margin = a * F.log1p(z[0]) + b * F.log1p(z[1]) + c * z[2] + d
-    return measured(docs, lexicon, text, "_m").withColumn(name, 1 / (1 + F.exp(-margin))).withColumn(f"{name}_hits", F.col("_m.hits")).drop("_m")
+    m = unused(docs, "m")
+    margin = a * F.log1p(F.col(m)["total"]) + b * F.log1p(F.col(m)["per_100"]) + c * F.col(m)["top"] + d
+    return measured(docs, lexicon, text, m).withColumn(name, 1 / (1 + F.exp(-margin))).withColumn(f"{name}_hits", F.col(m)["hits"]).drop(m)

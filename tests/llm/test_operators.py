@@ -538,3 +538,86 @@ def test_query_equals_sql(spark, name):
 
 def test_digest_of_an_empty_text():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+# ---- 3 toxicity and 10 quality against plain Python
+
+
+def test_automaton_equals_plain_search():
+    """Hits, weights and exceptions by looking every entry up at every place."""
+    rng = random.Random(31)
+    entries = {" scum ": 2.0, " idio": 1.0, " idiot ": 3.0, " trash ": 1.5, " tr": 0.5, " sc": 0.25, " can ": 0.75}
+    lexicon = toxicity.Lexicon(entries)
+    automaton = lexicon.automaton()
+    bits = ["idiot", "1d10t", "IDIOTIC", "scum", "$cum", "pond scum", "trash can", "trash", "cans", "can", "tree", "ѕcum", "a​b", "—", "!!"]
+    for _ in range(400):
+        text = rng.choice([" ", ", ", "\n"]).join(rng.choice(bits) for _ in range(rng.randrange(0, 14)))
+        t = toxicity.folded(text)
+        spared = [(k, k + len(p)) for p in map(toxicity.folded, toxicity.EXCEPTIONS) for k in range(len(t)) if t.startswith(p, k)]
+        hits = {}
+        for at in range(len(t)):
+            found = [w for e, w in entries.items() if t.startswith(e, at)]
+            if found and not any(a <= at < e - 1 for a, e in spared):
+                hits[at] = max(found)
+        total, words_ = sum(hits.values()), max(1, len(t.split()))
+        got = lexicon.measures(text, automaton)
+        assert got[0] == len(hits) and np.allclose(got[1:], (total, 100 * total / words_, max(hits.values(), default=0.0))), text
+
+
+def plain_statistics(text):
+    t = text or ""
+    low = re.sub(r"[A-Z]", lambda m: m[0].lower(), t)
+    data = t.encode()
+    w = [x.encode() for x in words(t)]
+    starts = [m.start() for m in WORD.finditer(low)]
+    lines = t.split("\n")
+    lines = lines[:-1] if lines[-1] == "" else lines
+    share = lambda chars: sum(b in chars for b in data) / max(1, len(data))
+    n = max(1, len(w))
+    size = [len(x) for x in w]
+    mean = sum(size) / n
+    grams = [tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))] if w else []
+    per_line = [tuple(words(x)) for x in lines]
+    out = {
+        "log_bytes": np.log1p(len(data)), "log_words": np.log1p(len(w)), **{k: share(v) for k, v in quality._GROUPS.items()},
+        "control": sum(b < 128 and not any(b in v for v in quality._GROUPS.values()) for b in data) / max(1, len(data)), "non_ascii": sum(b >= 128 for b in data) / max(1, len(data)),
+        "word_bytes": mean, "word_spread": np.sqrt(max(0, sum(x * x for x in size) / n - mean * mean)), "long_words": sum(x >= 12 for x in size) / n, "tiny_words": sum(x <= 1 for x in size) / n,
+        "distinct_words": len(set(w)) / n, "top_word": max([w.count(x) for x in set(w)], default=0) / n, "distinct_shingles": len(set(grams)) / max(1, len(grams)),
+        "log_lines": np.log1p(len(lines)), "line_bytes": len(data) / max(1, len(lines)), "repeated_lines": (len(lines) - len(set(per_line))) / max(1, len(lines)),
+        "lines_ended": sum(x[-1:] in (".", "!", "?") for x in lines) / max(1, len(lines)), "capital_words": sum("A" <= t[k] <= "Z" for k in starts) / n,
+    }
+    return [out[k] for k in quality.FEATURES]
+
+
+def test_statistics_equal_plain_python():
+    rng = random.Random(32)
+    bits = ["Word", "a", "exceedingly-long", "internationalisation", "7", "é", "日本", ".", "!", "? ", "\n", "\n\n", "(x)", "$5", "\t", "#", "same line.\n", "same line.\n", "\x01", "~"]
+    texts = [None, "", "\n", " ", "...", "One.\nOne.\n"] + [" ".join(rng.choice(bits) for _ in range(rng.randrange(1, 60))) for _ in range(150)]
+    got = quality.statistics(pa.array(texts, type=pa.string()))
+    for k, text in enumerate(texts):
+        want = plain_statistics(text)
+        for name, a, b in zip(quality.FEATURES, got[k], want, strict=True):
+            assert abs(a - b) < 1e-4 * max(1, abs(b)), (name, a, b, text)
+
+
+def test_histogram_fit_takes_the_best_split():
+    """One tree of depth 1 against trying every threshold of every statistic."""
+    rng = np.random.default_rng(33)
+    x = rng.integers(0, 12, size=(300, 4)).astype(np.float32)
+    y = (x[:, 2] + rng.normal(size=300) > 6).astype(float)
+    model = quality.fit(x, y, trees=1, depth=1, rate=1.0, l2=2.0)
+    p = y.mean()
+    grad, hess = p - y, np.full(300, p * (1 - p))
+    best = max(((f, e) for f in range(4) for e in model.edges[f]), key=lambda fe: sum(grad[m].sum() ** 2 / (hess[m].sum() + 2.0) for m in (x[:, fe[0]] <= fe[1], x[:, fe[0]] > fe[1]) if hess[m].sum() >= 2))
+    assert model.feature[0, 0] == best[0]
+    left = x[:, best[0]] <= best[1]
+    want = np.where(left, -grad[left].sum() / (hess[left].sum() + 2.0), -grad[~left].sum() / (hess[~left].sum() + 2.0))
+    assert np.allclose(model.score(x), 1 / (1 + np.exp(-(model.base + want))))
+
+
+def test_training_rows_of_repeated_ids_are_the_same_each_time(spark):
+    docs = spark.createDataFrame([(3, f"text {k % 50}") for k in range(400)] + [(k, "x") for k in range(10, 60)], SHORT)
+    marks = spark.createDataFrame([(3, 1)] + [(k, 0) for k in range(10, 60)], "doc_id long, quality int")
+    rows = lambda d: sorted((r.doc_id, r.text) for r in labels.training_rows(d, marks, "quality", 30).collect())
+    one = rows(docs)
+    assert one == rows(docs.repartition(7)) and 0 < len(one) <= 30 and len(set(one)) == len(one)
