@@ -7,7 +7,7 @@ import json
 import os
 import sys
 
-from lodestar.service import Engine
+from lodestar.service import Busy, Engine
 from lodestar.session import session
 
 
@@ -29,13 +29,13 @@ def _parser() -> argparse.ArgumentParser:
         if action == "add":
             k.add_argument("folder")
         if action in ("add", "update"):
-            k.add_argument("--ignore-pattern", action="append", default=[])
-            k.add_argument("--ignore-extension", action="append", default=[])
+            k.add_argument("--ignore", "--ignore-pattern", dest="ignore_pattern", action="append", default=[])
+            k.add_argument("--ignore-ext", "--ignore-extension", dest="ignore_extension", action="append", default=[])
         if action == "update":
-            k.add_argument("--clear-patterns", action="store_true")
-            k.add_argument("--clear-extensions", action="store_true")
+            k.add_argument("--clear-ignore", "--clear-patterns", dest="clear_patterns", action="store_true")
+            k.add_argument("--clear-ignore-ext", "--clear-extensions", dest="clear_extensions", action="store_true")
     c = sub.add_parser("collection").add_subparsers(dest="action", required=True)
-    for action in ("status", "sync", "rebuild"):
+    for action in ("status", "sync", "rebuild", "tasks"):
         c.add_parser(action).add_argument("name")
     sub.add_parser("health")
     return p
@@ -61,6 +61,8 @@ def run(engine: Engine, args: argparse.Namespace):
             return engine.sync(args.name)
         case "collection", "rebuild":
             return engine.rebuild(args.name)
+        case "collection", "tasks":
+            return engine.tasks(args.name)
         case _:
             return {"collections": rows(engine.health())}
 
@@ -71,7 +73,7 @@ def main(argv: list[str] | None = None, engine: Engine | None = None) -> int:
     try:
         show(run(engine or Engine(session(), args.home), args))
         return 0
-    except (ValueError, KeyError) as e:
+    except (ValueError, KeyError, Busy) as e:
         show({"error": str(e.args[0] if e.args else e)})
         return 1
 

@@ -5,33 +5,16 @@ from __future__ import annotations
 import json
 import os
 import re
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.schemas import COLLECTIONS
+from lodestar.sources.files import Files
 
 MOST_COLLECTIONS, LONGEST_NAME = 4, 64
 NAME = re.compile(r"[a-zA-Z0-9][a-zA-Z0-9_-]*")
 
 
-def write_json(path: str, value) -> None:
-    """Replace a JSON file in one step: readers see the old or the new one."""
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    fd, draft = tempfile.mkstemp(dir=os.path.dirname(path))
-    with os.fdopen(fd, "w") as f:
-        json.dump(value, f, indent=2)
-    os.replace(draft, path)
-
-
-def read_json(path: str, default):
-    try:
-        with open(path) as f:
-            return json.load(f)
-    except FileNotFoundError:
-        return default
-
-
 class Catalog:
     """Collections of one home folder, kept as JSON and offered as a DataFrame."""
 
@@ -40,8 +23,17 @@ class Catalog:
         self.path = os.path.join(home, "collections.json")
         self.signature_path = os.path.join(home, "signature.json")
 
+        self.files = Files(spark)
+
+    def _load(self, path: str, default):
+        text = self.files.read(path)
+        return default if text is None else json.loads(text)
+
+    def _save(self, path: str, value) -> None:
+        self.files.replace(path, json.dumps(value, indent=2))
+
     def all(self) -> dict[str, dict]:
-        return read_json(self.path, {})
+        return self._load(self.path, {})
 
     def table(self) -> DataFrame:
         rows = [(n, c["folder_path"], c["ignore_patterns"], c["ignore_extensions"]) for n, c in self.all().items()]
@@ -69,7 +61,7 @@ class Catalog:
     def register(self, name: str, folder: str, ignore_patterns: list[str] | None = None, ignore_extensions: list[str] | None = None) -> None:
         self._check(name, folder)
         entry = {"folder_path": folder, "ignore_patterns": list(ignore_patterns or []), "ignore_extensions": [e.lower() for e in ignore_extensions or []]}
-        write_json(self.path, self.all() | {name: entry})
+        self._save(self.path, self.all() | {name: entry})
 
     def update(self, name: str, ignore_patterns: list[str] | None = None, ignore_extensions: list[str] | None = None, clear_patterns: bool = False, clear_extensions: bool = False) -> dict:
         """Change the ignore rules; None leaves them, a clear flag goes before a value."""
@@ -79,19 +71,19 @@ class Catalog:
                 entry[key] = []
             elif value is not None:
                 entry[key] = [v.lower() for v in value] if key == "ignore_extensions" else list(value)
-        write_json(self.path, self.all() | {name: entry})
+        self._save(self.path, self.all() | {name: entry})
         return entry
 
     def unregister(self, name: str) -> None:
         """Nothing happens for an unknown name."""
-        write_json(self.path, {n: c for n, c in self.all().items() if n != name})
+        self._save(self.path, {n: c for n, c in self.all().items() if n != name})
 
     def model_changed(self, dense: str, sparse: str) -> tuple[bool, dict | None, dict]:
         """(changed, old, new); the first call saves and reports no change."""
-        old, new = read_json(self.signature_path, None), {"dense_model": dense, "sparse_model": sparse}
+        old, new = self._load(self.signature_path, None), {"dense_model": dense, "sparse_model": sparse}
         if old is None:
-            write_json(self.signature_path, new)
+            self._save(self.signature_path, new)
         return old is not None and old != new, old, new
 
     def save_signature(self, dense: str, sparse: str) -> None:
-        write_json(self.signature_path, {"dense_model": dense, "sparse_model": sparse})
+        self._save(self.signature_path, {"dense_model": dense, "sparse_model": sparse})

@@ -1,27 +1,37 @@
 """Versioned snapshots of a collection: points, postings and file states.
 
-A version is a set of Parquet tables that never change; a commit creates one small
-file that names them all. So points and file states can't diverge, a reader
-keeps the version it began with, and a failed write leaves the last version in
-place. The file of a version can be created once only, and each attempt writes
-to folders of its own, so of two writers of one version the second fails.
+A version is a small file that names, for each table and bucket of files, the folder of
+Parquet files that holds it. Folders never change. So points and file states
+can't diverge, a reader keeps the version it began with, and a failed write leaves
+the last version in place. The file of a version can be created once only, and
+each attempt writes to folders of its own, so of two writers of one version the
+second fails.
+
+Rows are dealt to buckets by a hash of their file's path. A change of some files
+writes the buckets of these files anew, and the new version names the old folders of
+all others. A version that can't be read (its file is broken, or a folder it names
+has gone) is passed over, and the last good one counts.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import shutil
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestar.schemas import FILES, POINTS, POSTINGS
+from lodestar.sources.files import Files
 
 TABLES: dict[str, T.StructType] = {"points": POINTS, "postings": POSTINGS, "files": FILES}
+#: The column of a table that tells the file a row belongs to, and the order of rows in a folder.
+KEYS = {"points": "source_file", "postings": "source_file", "files": "file_path"}
+ORDER = {"points": ("source_file", "chunk_index"), "postings": ("term",), "files": ("file_path",)}
+BUCKETS = 64
 
 
 class ConcurrentWrite(RuntimeError):
@@ -29,73 +39,123 @@ class ConcurrentWrite(RuntimeError):
 
 
 class Store:
-    """One collection's tables below ``root/name``."""
+    """One collection's tables below ``root/name``, a path of any file system of the session."""
 
-    def __init__(self, spark: SparkSession, root: str, name: str):
-        self.spark, self.name = spark, name
+    def __init__(self, spark: SparkSession, root: str, name: str, buckets: int = BUCKETS):
+        self.spark, self.name, self.buckets = spark, name, buckets
         self.path = os.path.join(root, name)
+        self.files = Files(spark)
 
-    def _commits(self) -> dict[int, str]:
-        """The attempt that made each version."""
-        folder = os.path.join(self.path, "versions")
-        found = {}
-        for name in os.listdir(folder) if os.path.isdir(folder) else []:
-            if name.endswith(".json"):
-                with open(os.path.join(folder, name)) as f:
-                    found[int(name[:-5])] = json.load(f)["attempt"]
-        return found
+    # ---- versions
+
+    def _numbers(self) -> list[int]:
+        names = self.files.names(os.path.join(self.path, "versions"))
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def _manifest(self, version: int) -> dict | None:
+        """What a version names; None if it can't be read."""
+        text = self.files.read(os.path.join(self.path, "versions", f"{version}.json"))
+        try:
+            found = json.loads(text or "")
+            folders = {os.path.join(self.path, t, a) for t in TABLES for a in set(found["tables"][t].values())}
+        except (ValueError, KeyError, TypeError, AttributeError):
+            return None
+        return found if all(map(self.files.exists, folders)) else None
 
     def version(self) -> int:
-        """The current version; 0 before the first commit or after ``drop``."""
-        return max(self._commits(), default=0)
+        """The last version that can be read; 0 before the first commit or after ``drop``."""
+        return next((v for v in reversed(self._numbers()) if self._manifest(v) is not None), 0)
+
+    def broken(self) -> list[int]:
+        """Versions after the last good one, which are passed over."""
+        good = self.version()
+        return [v for v in self._numbers() if v > good]
+
+    # ---- reading
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
         """A table of a version; an empty one with its schema if there is none."""
-        commits = self._commits()
-        v = max(commits, default=0) if version is None else version
-        if not v:
-            return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(os.path.join(self.path, table, commits[v]))
+        v = self.version() if version is None else version
+        return self._read(table, (self._manifest(v) or {}).get("tables", {}).get(table, {}) if v else {})
 
-    def commit(self, base: int, **tables: DataFrame) -> int:
-        """Write all tables as one new version after ``base``."""
-        new = base + 1
-        if self.version() != base:
+    def _read(self, table: str, folders: dict[str, str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], TABLES[table])
+        paths = [os.path.join(self.path, table, attempt, f"bucket={b}") for b, attempt in sorted(folders.items(), key=lambda x: int(x[0]))]
+        return self.spark.read.schema(TABLES[table]).parquet(*paths)
+
+    def _bucket(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    # ---- writing
+
+    def _write(self, table: str, attempt: str, df: DataFrame) -> dict[str, str]:
+        """Write rows by bucket; {bucket: attempt} of the buckets that got some."""
+        key, folder = KEYS[table], os.path.join(self.path, table, attempt)
+        rows = df.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[table]]).withColumn("bucket", self._bucket(F.col(key)))
+        # A bucket goes to several tasks, so that a large one isn't a single one's; equality on the file or term prunes row groups.
+        dealt = rows.repartition("bucket", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(4))).sortWithinPartitions("bucket", *ORDER[table])
+        dealt.write.partitionBy("bucket").parquet(folder)
+        return {n.removeprefix("bucket="): attempt for n in self.files.names(folder) if n.startswith("bucket=")}
+
+    def _publish(self, base: int, attempt: str, tables: dict[str, dict[str, str]], written: list[str]) -> int:
+        new = max(self._numbers(), default=0) + 1 if self.version() == base else base + 1
+        manifest = {"attempt": attempt, "at": time.time(), "buckets": self.buckets, "tables": tables}
+        if self.version() != base or not self.files.create(os.path.join(self.path, "versions", f"{new}.json"), json.dumps(manifest)):
+            for table in written:
+                self.files.delete(os.path.join(self.path, table, attempt))
             raise ConcurrentWrite(f"{self.name} is at version {self.version()}, not {base}")
-        attempt = f"v={new}-{uuid.uuid4().hex[:12]}"
-        for table, schema in TABLES.items():
-            df = tables.get(table)
-            df = self.read(table, base) if df is None else df
-            df = df.select(*[F.col(f.name).cast(f.dataType) for f in schema])
-            if table == "points":  # equality on the file prunes row groups
-                df = df.sortWithinPartitions("source_file", "chunk_index")
-            df.write.parquet(os.path.join(self.path, table, attempt))
-        draft = os.path.join(self.path, "versions", attempt)
-        os.makedirs(os.path.dirname(draft), exist_ok=True)
-        with open(draft, "w") as f:
-            json.dump({"attempt": attempt, "at": time.time()}, f)
-        try:
-            os.link(draft, os.path.join(self.path, "versions", f"{new}.json"))
-        except FileExistsError:
-            for table in TABLES:
-                shutil.rmtree(os.path.join(self.path, table, attempt), ignore_errors=True)
-            raise ConcurrentWrite(f"version {new} of {self.name} exists") from None
-        finally:
-            os.remove(draft)
         return new
 
+    def _begin(self, base: int) -> tuple[str, dict[str, dict[str, str]]]:
+        if (now := self.version()) != base:
+            raise ConcurrentWrite(f"{self.name} is at version {now}, not {base}")
+        old = self._manifest(base) if base else None
+        if old and old["buckets"] != self.buckets:
+            self.buckets = old["buckets"]
+        return f"v={base + 1}-{uuid.uuid4().hex[:12]}", {t: dict(old["tables"][t]) if old else {} for t in TABLES}
+
+    def commit(self, base: int, **tables: DataFrame) -> int:
+        """A new version after ``base``, with these tables whole; the others stay as they are."""
+        attempt, named = self._begin(base)
+        for table, df in tables.items():
+            named[table] = self._write(table, attempt, df)
+        return self._publish(base, attempt, named, list(tables))
+
+    def change(self, base: int, **changes: tuple[DataFrame, DataFrame]) -> int:
+        """A new version after ``base``, in which the rows of some files are others.
+
+        For each table: (keys, rows), where ``keys`` has the paths whose rows go, and ``rows``
+        are the new ones. Only the buckets of these paths are read and written.
+        """
+        attempt, named = self._begin(base)
+        written = []
+        for table, (keys, rows) in changes.items():
+            key = KEYS[table]
+            keys = keys.select(F.col(keys.columns[0]).alias(key))
+            places = keys.select(self._bucket(F.col(key)).alias("b")).unionByName(rows.select(self._bucket(F.col(key)).alias("b"))).distinct()
+            touched = {str(r.b) for r in places.collect()}  # as many as there are buckets, at most
+            if not touched:
+                continue
+            old = self._read(table, {b: a for b, a in named[table].items() if b in touched})
+            columns = [f.name for f in TABLES[table]]
+            new = self._write(table, attempt, replace(old, keys, rows.select(*columns), key))
+            named[table] = {b: a for b, a in named[table].items() if b not in touched} | new
+            written.append(table)
+        return self._publish(base, attempt, named, written)
+
     def vacuum(self, keep: int = 2) -> None:
-        """Remove all but the last ``keep`` versions, and what failed writes left."""
-        commits = self._commits()
-        kept = {commits[v] for v in sorted(commits)[-keep:]}
-        for v, attempt in commits.items():
-            if attempt not in kept:
-                os.remove(os.path.join(self.path, "versions", f"{v}.json"))
+        """Remove all but the last ``keep`` good versions, and what failed writes left."""
+        good = [v for v in self._numbers() if self._manifest(v) is not None]
+        kept = good[-keep:]
+        named = {(t, a) for v in kept for t, of in self._manifest(v)["tables"].items() for a in of.values()}
+        for v in self._numbers():
+            if v not in kept:
+                self.files.delete(os.path.join(self.path, "versions", f"{v}.json"))
         for table in TABLES:
-            folder = os.path.join(self.path, table)
-            for d in os.listdir(folder) if os.path.isdir(folder) else []:
-                if d not in kept:
-                    shutil.rmtree(os.path.join(folder, d))
+            for attempt in self.files.names(os.path.join(self.path, table)):
+                if (table, attempt) not in named:
+                    self.files.delete(os.path.join(self.path, table, attempt))
 
     def create(self) -> int:
         """An empty first version; nothing if there is one."""
@@ -103,8 +163,8 @@ class Store:
 
     def drop(self) -> None:
         """Remove the collection; nothing if it is absent."""
-        shutil.rmtree(os.path.join(self.path, "versions"), ignore_errors=True)
-        shutil.rmtree(self.path, ignore_errors=True)
+        self.files.delete(os.path.join(self.path, "versions"))
+        self.files.delete(self.path)
 
     def scroll(self, source_file: str, limit: int = 100) -> DataFrame:
         """A file's points in order; the equality is pushed to the scan."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from dataclasses import dataclass
 
@@ -11,8 +12,11 @@ from pyspark.sql import functions as F
 from lodestar.functions import sparse
 from lodestar.functions.text import embed_input, point_id, stem
 from lodestar.operators import chunking, diff
-from lodestar.operators.store import Store, delete, replace, upsert
+from lodestar.operators.store import ConcurrentWrite, Store
 from lodestar.sources.folders import list_folder, with_content
+from lodestar.storage import discard, materialise
+
+log = logging.getLogger(__name__)
 
 
 @dataclass
@@ -23,7 +27,7 @@ class Settings:
     force_hash: bool = False
 
 
-def actions(listing: DataFrame, files: DataFrame, settings: Settings) -> DataFrame:
+def actions(listing: DataFrame, files: DataFrame, settings: Settings, folder: str | None = None) -> DataFrame:
     """(file_path, action, mtime, file_hash, text, old_chunks) of every path.
 
     Only files that are new or whose time differs are read. One that has gone
@@ -32,7 +36,7 @@ def actions(listing: DataFrame, files: DataFrame, settings: Settings) -> DataFra
     first = diff.by_listing(listing, files)
     if settings.force_hash:
         first = first.withColumn("action", F.when((F.col("action") == "skip"), "check").otherwise(F.col("action")))
-    reads = with_content(first.filter(F.col("action").isin("add", "check"))).drop("content")
+    reads = with_content(first.filter(F.col("action").isin("add", "check")), folder=folder).drop("content")
     settled = (
         F.when(~F.col("found"), F.when(F.col("action") == "add", "skip").otherwise("delete"))
         .when(F.col("action") == "add", "add")
@@ -53,37 +57,83 @@ def points_of(files: DataFrame, collection: str, settings: Settings) -> DataFram
         settings.embedder.column(embed_input(F.col("title"), F.col("text"))).alias("dense"))
 
 
-def sync(spark: SparkSession, store: Store, folder: str, settings: Settings, ignore_patterns: list[str] = (), ignore_extensions: list[str] = (), rebuild: bool = False) -> dict[str, int]:
+def sync(spark: SparkSession, store: Store, folder: str, settings: Settings, ignore_patterns: list[str] = (), ignore_extensions: list[str] = (), rebuild: bool = False, only: DataFrame | None = None, part: tuple[int, int] | None = None) -> dict[str, int]:
     """Read version N, write version N + 1; {added, updated, deleted}.
 
-    Nothing is written if nothing changed. Files that become blank lose their
-    points, and are recorded with 0 chunks, so that they aren't tried again.
+    Nothing is written if nothing changed, and else the buckets of changed files only.
+    Files that become blank lose their points, and are recorded with 0 chunks, so that
+    they aren't tried again. ``only`` (file_path) restricts all this to some files,
+    ``part`` (n, k) to a hash's share of them. The contents are read where they are
+    compared and again where they are cut, and are never kept.
     """
     listing = list_folder(spark, folder, ignore_patterns, ignore_extensions)
     base = store.version()
     files = store.read("files", 0 if rebuild else base)
-    found = actions(listing, files, settings).persist()
+    if only is not None:
+        listing, files = (df.join(only.select("file_path").distinct(), "file_path", "left_semi") for df in (listing, files))
+    if part is not None:
+        listing, files = (df.filter(F.pmod(F.xxhash64("file_path"), F.lit(part[0])) == part[1]) for df in (listing, files))
+    found = materialise(actions(listing, files, settings, folder).drop("text"), "actions")
+    counts = {r["action"]: r["count"] for r in found.groupBy("action").count().collect()}
+    if base and not rebuild and not set(counts) - {"skip"}:
+        discard(found)
+        return {"added": 0, "updated": 0, "deleted": 0}
     try:
-        counts = {r["action"]: r["count"] for r in found.groupBy("action").count().collect()}
-        if base and not rebuild and not set(counts) - {"skip"}:
-            return {"added": 0, "updated": 0, "deleted": 0}
-        now = time.time()
-        changed = found.filter(F.col("action").isin("add", "update"))
-        gone = found.filter(F.col("action") == "delete")
-        new_points = points_of(changed, store.name, settings).persist()
-        old_points, old_postings = (store.read(t, 0 if rebuild else base) for t in ("points", "postings"))
-        left = found.filter(F.col("action").isin("add", "update", "delete")).select(F.col("file_path").alias("source_file"))
-        n = new_points.groupBy(F.col("source_file").alias("file_path")).agg(F.count("*").alias("n"))
-        rows = changed.join(n, "file_path", "left").select("file_path", "file_hash", F.col("mtime").alias("file_mtime"), F.coalesce("n", F.lit(0)).cast("int").alias("chunk_count"), F.lit(now).alias("last_indexed_at"))
-        touched = found.filter(F.col("action") == "touch").select("file_path", F.col("mtime").alias("_mtime"))
-        kept = files.join(touched, "file_path", "left").withColumn("file_mtime", F.coalesce("_mtime", "file_mtime")).drop("_mtime")
-        store.commit(
-            base,
-            points=replace(old_points, left, new_points, "source_file"),
-            postings=replace(old_postings, left, sparse.postings(new_points, keep=("source_file",)).select("term", "id", "source_file", "weight"), "source_file"),
-            files=upsert(delete(kept, gone, "file_path"), rows, "file_path"),
-        )
-        new_points.unpersist()
-        return {"added": counts.get("add", 0), "updated": counts.get("update", 0), "deleted": counts.get("delete", 0)}
+        _write(store, base, files, found, folder, settings, whole=not base or (rebuild and only is None and part is None))
+    except ConcurrentWrite:
+        raise
+    except Exception as e:
+        raise PartFailed(counts.get("add", 0) + counts.get("update", 0)) from e
     finally:
-        found.unpersist()
+        discard(found)
+    return {"added": counts.get("add", 0), "updated": counts.get("update", 0), "deleted": counts.get("delete", 0)}
+
+
+class PartFailed(RuntimeError):
+    """Some of the changed files couldn't be indexed."""
+
+    def __init__(self, changed: int):
+        super().__init__(f"one of {changed} changed files failed")
+        self.changed = changed
+
+
+def _write(store: Store, base: int, files: DataFrame, found: DataFrame, folder: str, settings: Settings, whole: bool) -> None:
+    """The version after ``base``, from the files' states in it and the actions found."""
+    now = time.time()
+    changed = found.filter(F.col("action").isin("add", "update"))
+    new_points = materialise(points_of(with_content(changed.select("file_path"), folder=folder), store.name, settings), "points")
+    postings = sparse.postings(new_points, keep=("source_file",)).select("term", "id", "source_file", "weight")
+    n = new_points.groupBy(F.col("source_file").alias("file_path")).agg(F.count("*").alias("n"))
+    rows = changed.join(n, "file_path", "left").select("file_path", "file_hash", F.col("mtime").alias("file_mtime"), F.coalesce("n", F.lit(0)).cast("int").alias("chunk_count"), F.lit(now).alias("last_indexed_at"))
+    if whole:
+        store.commit(base, points=new_points, postings=postings, files=rows)
+    else:
+        touched = files.join(found.filter(F.col("action") == "touch").select("file_path", F.col("mtime").alias("_mtime")), "file_path").withColumn("file_mtime", F.col("_mtime")).select(*files.columns)
+        left = found.filter(F.col("action").isin("add", "update", "delete")).select("file_path")
+        noted = found.filter(F.col("action") != "skip").select("file_path")
+        store.change(base, points=(left, new_points), postings=(left, postings), files=(noted, rows.unionByName(touched)))
+    discard(new_points)
+
+
+def sync_apart(*args, most_bits: int = 12, **kwargs) -> dict[str, int]:
+    """``sync``, of which an error stays with the files it comes from.
+
+    Where a part of the files can't be synchronised, its halves by a hash of the path are
+    tried, down to a single changed file or one of 2 ** ``most_bits`` parts. ``failed`` counts the parts left out; it is
+    absent if all went well. A folder that is missing and a concurrent writer are
+    errors of the whole.
+    """
+
+    def tried(n: int, k: int) -> dict[str, int]:
+        try:
+            return sync(*args, **kwargs, part=(n, k) if n > 1 else None)
+        except (ValueError, ConcurrentWrite):
+            raise
+        except Exception as e:
+            log.warning("part %d of %d of the folder failed: %s", k, n, e.__cause__ or e)
+            if n >= 1 << most_bits or getattr(e, "changed", 2) <= 1:
+                return {"added": 0, "updated": 0, "deleted": 0, "failed": 1}
+            a, b = tried(2 * n, k), tried(2 * n, k + n)
+            return {c: a.get(c, 0) + b.get(c, 0) for c in {**a, **b}}
+
+    return tried(1, 0)

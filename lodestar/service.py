@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import os
+import threading
+from collections import Counter
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,14 +15,20 @@ from lodestar.operators import stats
 from lodestar.operators.catalog import Catalog
 from lodestar.operators.embedding import HashingEmbedder
 from lodestar.operators.store import Store
-from lodestar.operators.sync import Settings, sync
+from lodestar.operators.sync import Settings, sync, sync_apart
+from lodestar.operators.tasks import TaskQueue
 from lodestar.plans import retrieval
-from lodestar.schemas import FILES, TASKS
+from lodestar.schemas import FILES
+from lodestar.sources.files import is_local
 from lodestar.streaming.watch import POLL_SECONDS, Watcher
 
 SPARSE_MODEL = "tf-saturation"
 
 
+class Busy(RuntimeError):
+    """A collection can't be removed while something writes to it."""
+
+
 class Engine:
     """Collections below ``home``, which every executor must reach."""
 
@@ -28,18 +38,63 @@ class Engine:
         self.catalog = Catalog(spark, home)
         self.poll_seconds = poll_seconds
         self.watchers: dict[str, Watcher] = {}
+        self.queue = TaskQueue(self._index)
+        self._busy: Counter[str] = Counter()
+        self._idle = threading.Condition()
 
     def store(self, name: str) -> Store:
         return Store(self.spark, os.path.join(self.home, "collections"), name)
 
-    def _sync(self, name: str, rebuild: bool = False) -> dict[str, int]:
-        entry = self.catalog.get(name)
+    @contextmanager
+    def _working(self, name: str) -> Iterator[None]:
+        """While something writes to a collection, it can't be removed."""
+        with self._idle:
+            if self._busy[name] < 0:
+                raise Busy(f"{name} is being removed")
+            self._busy[name] += 1
         tag = f"collection-{name}"
         self.spark.addTag(tag)
         try:
-            return sync(self.spark, self.store(name), entry["folder_path"], self.settings, entry["ignore_patterns"], entry["ignore_extensions"], rebuild)
+            yield
         finally:
             self.spark.removeTag(tag)
+            with self._idle:
+                self._busy[name] -= 1
+                self._idle.notify_all()
+
+    def _run(self, name: str, **options) -> dict[str, int]:
+        entry = self.catalog.get(name)
+        with self._working(name):
+            return sync_apart(self.spark, self.store(name), entry["folder_path"], self.settings, entry["ignore_patterns"], entry["ignore_extensions"], **options)
+
+    def _sync(self, name: str, rebuild: bool = False) -> dict[str, int]:
+        return self._run(name, rebuild=rebuild)
+
+    def _index(self, name: str, paths: list[str]) -> dict[str, int]:
+        """Handler of tasks: these files only. A file that has gone loses its points."""
+        entry = self.catalog.get(name)
+        with self._working(name):
+            only = self.spark.createDataFrame([(p,) for p in paths], "file_path string")
+            return sync(self.spark, self.store(name), entry["folder_path"], self.settings, entry["ignore_patterns"], entry["ignore_extensions"], only=only)
+
+    def enqueue(self, name: str, paths: list[str]) -> int:
+        """Have files indexed by a worker; the number accepted."""
+        self.catalog.get(name)
+        return self.queue.enqueue(name, paths)
+
+    def tasks(self, name: str) -> dict:
+        """pending, queued and in_progress tasks of a collection."""
+        self.catalog.get(name)
+        return self.queue.status(name)
+
+    def cancel(self, name: str) -> dict:
+        self.catalog.get(name)
+        return self.queue.cancel(name)
+
+    def wait(self, name: str, timeout: float = 30.0) -> bool:
+        """Wait until a collection has no pending task; False if time runs out."""
+        self.catalog.get(name)
+        return self.queue.wait_done(name, timeout)
 
     def restore(self) -> dict[str, dict]:
         """Bring all collections up to date; all anew if a model has changed. One that
@@ -57,7 +112,7 @@ class Engine:
 
     def add(self, name: str, folder: str, ignore_patterns: list[str] | None = None, ignore_extensions: list[str] | None = None, watch: bool = False) -> dict[str, int]:
         """Register and index a folder; leaves no trace if that fails."""
-        folder = os.path.abspath(os.path.expanduser(folder))
+        folder = os.path.abspath(os.path.expanduser(folder)) if is_local(folder) else folder
         self.catalog.register(name, folder, ignore_patterns, ignore_extensions)
         try:
             counts = self._sync(name)
@@ -77,11 +132,33 @@ class Engine:
         self.store(name).drop()
         self.catalog.unregister(name)
 
-    def remove(self, name: str) -> None:
-        """Stop watching, interrupt what runs for the collection, and drop it."""
+    def remove(self, name: str, timeout: float = 30.0) -> None:
+        """Stop watching, cancel waiting tasks, wait for what runs, and drop the collection.
+
+        If it is still busy after ``timeout``, ``Busy`` is raised and the collection stays,
+        watched as before. Nothing can begin to write to it meanwhile.
+        """
         self.catalog.get(name)
-        self.spark.interruptTag(f"collection-{name}")
-        self._forget(name)
+        watched = name in self.watchers and self.watchers[name].running
+        if watched:
+            self.watchers[name].stop()
+        self.queue.cancel(name)
+        with self._idle:
+            free = self._idle.wait_for(lambda: self._busy[name] == 0, timeout)
+            if free:
+                self._busy[name] = -1
+        try:
+            if not free:
+                raise Busy(f"{name} still has work in progress")
+            self._forget(name)
+        except BaseException:
+            if watched:
+                self.watch(name)
+            raise
+        finally:
+            if free:
+                with self._idle:
+                    self._busy[name] = 0
 
     def sync(self, name: str) -> dict[str, int]:
         return self._sync(name)
@@ -121,5 +198,5 @@ class Engine:
         return stats.status(self.store(name).read("files")).withColumns({"name": F.lit(name), "folder_path": F.lit(entry["folder_path"]), "watching": F.lit(watching)})
 
     def health(self, tasks: DataFrame | None = None) -> DataFrame:
-        tasks = self.spark.createDataFrame([], TASKS) if tasks is None else tasks
+        tasks = self.queue.table(self.spark) if tasks is None else tasks
         return stats.health(self.catalog.table(), self.files(), tasks)

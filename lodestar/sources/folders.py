@@ -1,13 +1,19 @@
 """Listing and reading folders of text files.
 
 The built-in file sources follow symbolic links and skip names that begin with
-an underscore, so the listing is a data source of its own. Subfolders are
-partitions: the driver only lists the top level, executors walk the rest.
+an underscore, so the listing of a POSIX mount is a data source of its own. Subfolders
+are partitions: the driver lists the top, and further down only as far as it
+takes to have PARTS of them; executors walk the rest.
+
+A folder with a scheme (hdfs://, s3a://, file://) is listed and read by Spark's source of
+binary files. There are no links there, and names that begin with an underscore are
+skipped, as Spark does.
 """
 
 from __future__ import annotations
 
 import os
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,6 +24,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lodestar.functions.text import is_indexable, repaired
 from lodestar.schemas import LISTING
+from lodestar.sources.files import Files, is_local
+
+
+#: Partitions that a listing is to have, where there are so many folders.
+PARTS = 64
 
 
 class Folder(InputPartition):
@@ -31,8 +42,15 @@ class FolderReader(DataSourceReader):
         self.root = root
 
     def partitions(self) -> list[Folder]:
-        below = [e.path for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False) and not e.name.startswith(".")]
-        return [Folder(self.root, False), *[Folder(p, True) for p in sorted(below)]]
+        shallow, deep = [], deque([self.root])
+        while deep and len(deep) + len(shallow) < PARTS and len(shallow) < PARTS // 2:
+            folder = deep.popleft()
+            shallow.append(folder)
+            try:
+                deep.extend(sorted(e.path for e in os.scandir(folder) if e.is_dir(follow_symlinks=False) and not e.name.startswith(".")))
+            except OSError:  # gone meanwhile
+                continue
+        return [Folder(p, False) for p in shallow] + [Folder(p, True) for p in deep]
 
     def read(self, partition: Folder) -> Iterator[tuple]:
         """(file_path, rel_path, file_mtime, size) of regular files; links are neither read nor followed."""
@@ -72,10 +90,17 @@ class FolderSource(DataSource):
 
 def list_folder(spark: SparkSession, folder: str, ignore_patterns: list[str] = (), ignore_extensions: list[str] = ()) -> DataFrame:
     """The indexable files of a folder; ValueError if it isn't one."""
-    if not os.path.isdir(folder):
-        raise ValueError(f"not a folder: {folder}")
-    spark.dataSource.register(FolderSource)
-    listed = spark.read.format("lodestar_folder").load(os.path.abspath(folder))
+    if not is_local(folder):
+        if not Files(spark).exists(folder):
+            raise ValueError(f"not a folder: {folder}")
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+        size = F.length(F.lit(Files(spark).qualified(folder).rstrip("/"))) + 2
+        listed = found.select(F.col("path").alias("file_path"), F.substring("path", size, F.length("path")).alias("rel_path"), (F.unix_micros("modificationTime") / 1e6).alias("file_mtime"), F.col("length").alias("size"))
+    else:
+        if not os.path.isdir(folder):
+            raise ValueError(f"not a folder: {folder}")
+        spark.dataSource.register(FolderSource)
+        listed = spark.read.format("lodestar_folder").load(os.path.abspath(folder))
     return listed.filter(is_indexable(F.col("rel_path"), list(ignore_patterns or ()), list(ignore_extensions or ())))
 
 
@@ -96,7 +121,14 @@ def _read(path: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(content, pa.binary()), pa.array(found)], ["content", "found"])
 
 
-def with_content(files: DataFrame, path: str = "file_path") -> DataFrame:
-    """``files`` with content, file_hash, text and found (false where the file has gone)."""
-    read = files.withColumn("_r", _read(F.col(path))).withColumns({"content": F.col("_r.content"), "found": F.col("_r.found")}).drop("_r")
+def with_content(files: DataFrame, path: str = "file_path", folder: str | None = None) -> DataFrame:
+    """``files`` with content, file_hash, text and found (false where the file has gone).
+
+    Files of a ``folder`` with a scheme are read by Spark and joined by their path.
+    """
+    if folder is not None and not is_local(folder):
+        whole = files.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+        read = files.join(whole.select(F.col("path").alias(path), "content"), path, "left").withColumn("found", F.col("content").isNotNull())
+    else:
+        read = files.withColumn("_r", _read(F.col(path))).withColumns({"content": F.col("_r.content"), "found": F.col("_r.found")}).drop("_r")
     return read.withColumn("file_hash", F.sha2("content", 256)).withColumn("text", repaired(F.col("content")))

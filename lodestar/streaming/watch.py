@@ -2,17 +2,25 @@
 
 A file stream reports neither changes nor deletions, so the stream is only a
 heartbeat: each beat runs the full diff of ``sync``. The stored version is the
-state, so a restarted stream goes on where the last commit left off.
+state, so a restarted stream goes on where the last commit left off, and its
+checkpoint, in the shared folder, need not be kept. A beat that fails is
+recorded, and the next one tries again.
 """
 
 from __future__ import annotations
 
+import logging
+import uuid
+from collections import deque
 from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-POLL_SECONDS = 900
+from lodestar.storage import shared_dir
+
+log = logging.getLogger(__name__)
+POLL_SECONDS, HISTORY = 900, 100
 
 
 class Watcher:
@@ -21,6 +29,8 @@ class Watcher:
     def __init__(self, spark: SparkSession, name: str, sync: Callable[[], object], seconds: float = POLL_SECONDS):
         self.spark, self.name, self.sync, self.seconds = spark, name, sync, seconds
         self.query: StreamingQuery | None = None
+        #: What each beat gave, the last HISTORY of them: counts, or {"error": text}.
+        self.beats: deque[dict] = deque(maxlen=HISTORY)
 
     @property
     def running(self) -> bool:
@@ -36,9 +46,14 @@ class Watcher:
             if first:  # the first beat comes at once, and the start has synced already
                 first.clear()
                 return
-            self.sync()
-
-        self.query = beat.writeStream.queryName(f"watch_{self.name}").foreachBatch(on_beat).trigger(processingTime=f"{self.seconds} seconds").start()
+            try:
+                self.beats.append(dict(self.sync() or {}))
+            except Exception as e:  # the next beat tries again
+                log.exception("synchronising %s failed", self.name)
+                self.beats.append({"error": str(e)})
+
+        where = f"{shared_dir(self.spark)}/watch-{self.name}-{uuid.uuid4().hex}"
+        self.query = beat.writeStream.queryName(f"watch_{self.name}_{uuid.uuid4().hex[:8]}").option("checkpointLocation", where).foreachBatch(on_beat).trigger(processingTime=f"{self.seconds} seconds").start()
 
     def stop(self) -> None:
         if self.query is not None:

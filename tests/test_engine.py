@@ -287,3 +287,169 @@ def test_dense_topk_equals_brute_force(spark, monkeypatch):
         got = {(r.query_id, r.id, r["rank"]) for r in retrieval.dense_topk(points, asked, 9, bytes_per_row=size).collect()}
         assert got == want
     assert retrieval.dense_topk(points, asked.limit(0), 9).count() == 0 and retrieval.dense_topk(points.limit(0), asked, 9).count() == 0
+
+
+def test_one_changed_file_writes_one_bucket(engine, folder):
+    engine.add("kb", str(folder))
+    store = engine.store("kb")
+    before = store._manifest(store.version())["tables"]
+    (folder / "usage.txt").write_text("Other words.")
+    age(folder / "usage.txt", 50)
+    assert engine.sync("kb")["updated"] == 1
+    after = store._manifest(store.version())["tables"]
+    for table in ("points", "postings", "files"):
+        assert sum(before[table].get(b) != a for b, a in after[table].items()) == 1 and set(before[table]) == set(after[table])
+    age(folder / "usage.txt", 90)  # a touched time leaves points and postings alone
+    engine.sync("kb")
+    last = store._manifest(store.version())["tables"]
+    assert last["points"] == after["points"] and last["postings"] == after["postings"] and last["files"] != after["files"]
+    assert store.read("points").count() == 3 and sorted(r.file_mtime for r in store.read("files").collect()) == sorted(os.stat(folder / n).st_mtime for n in ("intro.md", "usage.txt", "sub/faq.md"))
+
+
+def test_a_broken_version_is_passed_over(spark, tmp_path):
+    import shutil
+
+    s = Store(spark, str(tmp_path), "kb", buckets=4)
+    file = lambda *p: spark.createDataFrame([(x, "h", 1.0, 1, 0.0) for x in p], s.read("files").schema)
+    s.commit(0, files=file("/a"))
+    s.change(1, files=(file("/b").select("file_path"), file("/b")))
+    assert {r.file_path for r in s.read("files").collect()} == {"/a", "/b"}
+    (tmp_path / "kb" / "versions" / "3.json").write_text("{ not json")
+    assert s.version() == 2 and s.broken() == [3]
+    assert s.change(2, files=(file("/a").select("file_path"), file("/c").limit(0))) == 4
+    assert [r.file_path for r in s.read("files").collect()] == ["/b"] and s.broken() == []
+    attempt = s._manifest(4)["attempt"]
+    s.commit(4, files=file("/z"))
+    shutil.rmtree(tmp_path / "kb" / "files" / s._manifest(5)["attempt"])  # its data has gone
+    assert s.version() == 4 and [r.file_path for r in s.read("files").collect()] == ["/b"] and attempt
+    s.vacuum(1)
+    assert s._numbers() == [4] and s.read("files").count() == 1
+
+
+def test_store_on_a_hadoop_path(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/far", "kb")
+    rows = spark.createDataFrame([("/a", "h", 1.0, 1, 0.0)], s.read("files").schema)
+    assert s.commit(0, files=rows) == 1 and s.read("files").count() == 1
+    with pytest.raises(ConcurrentWrite):
+        s.commit(0, files=rows)
+    assert not s.files.create(f"file://{tmp_path}/far/kb/versions/1.json", "x")
+    s.drop()
+    assert s.version() == 0
+
+
+def test_engine_on_hadoop_paths(spark, folder, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/far", Settings(HashingEmbedder(8)))
+    (folder / "linked").unlink()
+    (folder / "link.md").unlink()  # a file system without links
+    assert engine.add("kb", f"file://{folder}") == {"added": 3, "updated": 0, "deleted": 0}
+    assert engine.sync("kb") == {"added": 0, "updated": 0, "deleted": 0}
+    (folder / "usage.txt").unlink()
+    assert engine.sync("kb")["deleted"] == 1
+    assert sorted(r.title for r in engine.store("kb").read("points").collect()) == ["faq", "intro"]
+    with pytest.raises(ValueError):
+        list_folder(spark, f"file://{folder}/absent")
+
+
+def test_listing_is_cut_into_many_partitions(spark, tmp_path):
+    from lodestar.sources import folders
+
+    for k in range(6):
+        (tmp_path / "one" / f"d{k}" / "deep").mkdir(parents=True)
+        (tmp_path / "one" / f"d{k}" / "deep" / "x.md").write_text("x")
+        (tmp_path / "one" / f"d{k}" / "y.md").write_text("y")
+    parts = folders.FolderReader(str(tmp_path)).partitions()
+    assert len(parts) > 6 and list_folder(spark, str(tmp_path)).select("file_path").distinct().count() == list_folder(spark, str(tmp_path)).count() == 12
+
+
+def test_an_error_stays_with_its_file(spark, folder, tmp_path):
+    class Failing(HashingEmbedder):
+        """Can't embed a text that holds "poison". Local, so that it is sent to the workers by value."""
+
+        def encode(self, texts):
+            if any("poison" in t for t in texts):
+                raise RuntimeError("can't embed this")
+            return HashingEmbedder.encode(self, texts)
+
+    engine = Engine(spark, str(tmp_path / "home"), Settings(Failing(8)))
+    (folder / "bad.txt").write_text("poison")
+    counts = engine.add("kb", str(folder))
+    assert counts["added"] == 3 and counts["failed"] == 1
+    assert {os.path.basename(r.file_path) for r in engine.store("kb").read("files").collect()} == {"intro.md", "usage.txt", "faq.md"}
+    (folder / "good.txt").write_text("fine")
+    paths = [str(folder / "good.txt"), str(folder / "bad.txt")]
+    assert engine.enqueue("kb", paths) == 2 and engine.wait("kb", 120)
+    assert list(engine.queue.failed) == [("kb", str(folder / "bad.txt"))]
+    assert "good.txt" in {os.path.basename(r.file_path) for r in engine.store("kb").read("files").collect()}
+
+
+def test_task_queue():
+    import threading
+
+    from lodestar.operators.tasks import TaskQueue
+
+    go, seen = threading.Event(), []
+
+    def handle(name, paths):
+        seen.append((name, tuple(paths)))
+        go.wait(20)
+
+    q = TaskQueue(handle)
+    assert q.enqueue("a", ["1"]) == 1
+    end = time.time() + 20
+    while time.time() < end and q.status("a")["in_progress_tasks"] == 0:
+        time.sleep(0.01)
+    assert q.enqueue("a", ["1", "2", "2", "3"]) == 2 and q.enqueue("b", ["1"]) == 1
+    assert q.status("a") == {"collection": "a", "pending_tasks": 3, "queued_tasks": 2, "in_progress_tasks": 1, "worker_alive": True}
+    assert not q.wait_idle("a", 0.1)
+    assert q.cancel("a") == {"collection": "a", "queued_removed": 2, "in_progress_tasks": 1}
+    assert q.enqueue("a", ["2"]) == 1  # a cancelled task may come again
+    go.set()
+    assert q.wait_idle("a", 20) and q.wait_done("a", 20) and q.wait_done("b", 20)
+    assert seen == [("a", ("1",)), ("b", ("1",)), ("a", ("2",))] and q.status("a")["pending_tasks"] == 0
+
+
+def test_a_busy_collection_is_not_removed(engine, folder):
+    from lodestar.service import Busy
+
+    engine.add("kb", str(folder))
+    with engine._working("kb"):
+        with pytest.raises(Busy):
+            engine.remove("kb", timeout=0.1)
+        assert "kb" in engine.catalog.all()
+    engine._busy["kb"] = -1
+    with pytest.raises(Busy):
+        engine.sync("kb")
+    engine._busy["kb"] = 0
+    engine.remove("kb")
+    assert engine.catalog.all() == {}
+
+
+def test_a_watcher_survives_errors(spark):
+    from lodestar.streaming.watch import Watcher
+
+    calls = []
+
+    def sync():
+        calls.append(1)
+        if len(calls) == 1:
+            raise RuntimeError("out of reach")
+        return {"added": len(calls)}
+
+    w = Watcher(spark, "kb", sync, 1)
+    w.start()
+    try:
+        end = time.time() + 60
+        while time.time() < end and len(w.beats) < 3:
+            time.sleep(0.2)
+        assert list(w.beats)[:3] == [{"error": "out of reach"}, {"added": 2}, {"added": 3}] and w.running
+    finally:
+        w.stop()
+
+
+def test_tasks_on_the_command_line(engine, folder, capsys):
+    engine.add("kb", str(folder))
+    assert main(["collection", "tasks", "kb"], engine) == 0
+    assert json.loads(capsys.readouterr().out)["pending_tasks"] == 0
+    assert main(["kb", "update", "kb", "--ignore", "*.log", "--ignore-ext", ".X"], engine) == 0
+    assert json.loads(capsys.readouterr().out)["ignore_extensions"] == [".x"]
+    assert main(["collection", "tasks", "absent"], engine) == 1
