@@ -29,6 +29,17 @@ def markdown_blocks(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(*rest, F.posexplode_outer(_blocks(text)).alias("block_index", "b")).filter("b IS NOT NULL").select(*rest, "block_index", "b.*")
 
 
+def line_kinds(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row for each line: ``docs`` without its text, line from 0, the kind of block it would begin."""
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def kinds(column: pa.Array) -> pa.Array:
+        return pa.array([[markdown.line_kind(line.strip()) for line in (t or "").split("\n")] for t in column.to_pylist()], type=pa.list_(pa.string()))
+
+    rest = [c for c in docs.columns if c != text]
+    return docs.select(*rest, F.posexplode(kinds(text)).alias("line", "kind"))
+
+
 def _numbered(docs: DataFrame, pieces, rest: list[str]) -> DataFrame:
     """Rows of chunks with chunk_index from 0 and total_chunks."""
     listed = docs.select(*rest, pieces.alias("_c")).withColumn("total_chunks", F.size("_c"))

@@ -14,12 +14,12 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 # The patterns that define the block grammar.
-ATX = re.compile(r"#{1,6}(\s|$)")
-LIST_ITEM = re.compile(r"\s*([-*+•·–—▪▸◦]|\d+[.)]) ")
-FENCE = re.compile(r"`{3,}|~{3,}")
-IMAGE = re.compile(r"!\[{1,2}[^\]]*\]{1,2}(\([^)]*\))?$")
-RULE = re.compile(r"[-*_](\s*[-*_]){2,}\s*$")
-UNDERLINE = re.compile(r"(=+|-+)\s*$")
+ATX = re.compile(r"^#{1,6}(\s|$)")
+LIST_ITEM = re.compile(r"^\s*([-*+•·–—▪▸◦]|\d+[.)]) ")
+FENCE = re.compile(r"^(`{3,}|~{3,})")
+IMAGE = re.compile(r"^!\[{1,2}[^\]]*\]{1,2}(\([^)]*\))?$")
+RULE = re.compile(r"^[-*_](\s*[-*_]){2,}\s*$")
+UNDERLINE = re.compile(r"^(=+|-+)\s*$")
 
 BLOCKS_PER_CHUNK, OVERLAP = 4, 1
 
@@ -70,7 +70,7 @@ def _prefixed(sign: str) -> Callable[[_Lines, int], int | None]:
 
 
 def _list(t: _Lines, i: int) -> int | None:
-    belongs = lambda k: bool(LIST_ITEM.match(t.raw[k])) or t.raw[k][:1] in (" ", "\t")
+    belongs = lambda k: bool(LIST_ITEM.match(t.bare[k])) or t.raw[k][:1] in (" ", "\t")
     if not LIST_ITEM.match(t.bare[i]):
         return None
     end = i + 1

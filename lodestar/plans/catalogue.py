@@ -8,9 +8,7 @@ is searched by its text, an item without one asks by its text.
 
 from __future__ import annotations
 
-import json
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -19,10 +17,12 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import sparse, text
 from lodestar.operators import chunking, diff, markdown, stats
-from lodestar.operators.store import delete, replace, upsert
+from lodestar.operators.catalog import Catalog
+from lodestar.operators.store import ConcurrentWrite, Store, delete, replace, upsert
 from lodestar.plans import retrieval
 from lodestar.sources import tables
 from lodestar.sources.tables import spread
+from lodestar.storage import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -185,10 +185,9 @@ acts AS (SELECT coalesce(d.file_path, i.file_path) AS file_path, d.file_hash, d.
 
 def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two stages: listing first, hashes only for paths whose time differs."""
-    disk = _disk(spark, sf_dir)
-    first = diff.by_listing(disk.select("file_path", "file_mtime"), _index(spark, sf_dir))
-    hashes = disk.select("file_path", "file_hash")
-    checked = first.filter("action IN ('add', 'check')").join(hashes, "file_path")
+    docs = table(spark, sf_dir, "documents").select(F.format_string("doc/%d", "doc_id").alias("file_path"), "text", F.col("n_chars").cast("double").alias("file_mtime"))
+    first = diff.by_listing(docs.select("file_path", "file_mtime"), _index(spark, sf_dir))
+    checked = first.filter("action IN ('add', 'check')").join(docs.select("file_path", "text"), "file_path").withColumn("file_hash", F.sha2("text", 256))
     settled = F.when(F.col("action") == "add", "add").when(F.col("file_hash") == F.col("old_hash"), "touch").otherwise("update")
     rest = first.filter("action NOT IN ('add', 'check')").withColumn("file_hash", F.lit(None).cast("string"))
     return checked.withColumn("action", settled).select("file_path", "mtime", "file_hash", "action").unionByName(rest.select("file_path", "mtime", "file_hash", "action"))
@@ -257,8 +256,10 @@ def point_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, source, text FROM documents WHERE source = 'src2' ORDER BY doc_id LIMIT 100")
 def scroll_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page of one file's points."""
-    return table(spark, sf_dir, "documents").filter("source = 'src2'").select("doc_id", "source", "text").orderBy("doc_id").limit(100)
+    """A page of one file's points, from a stored collection."""
+    store = Store(spark, _home(spark), "kb")
+    store.commit(0, points=table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("source_file"), F.col("doc_id").cast("int").alias("chunk_index"), F.lit(1).alias("total_chunks"), F.lit("").alias("title"), "text", F.array().cast("array<float>").alias("dense")))
+    return store.scroll("src2", 100).select(F.col("chunk_index").cast("bigint").alias("doc_id"), F.col("source_file").alias("source"), "text")
 
 
 # ---- files and names ---------------------------------------------------------------------------
@@ -275,12 +276,12 @@ def file_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.filter(text.is_indexable(F.col("rel_path"), ["build/*"], [".LOG"]))
 
 
-@query(f"SELECT doc_id, 'f' || doc_id AS title, '[' || CASE WHEN n_chars < 300 THEN '.f' ELSE 'f' END || doc_id || ']' || chr(10) || text AS embed_input, lower({_EXT}) AS suffix FROM documents")
+@query(f"SELECT doc_id, CASE WHEN n_chars < 300 THEN '.f' ELSE 'f' END || doc_id AS title, '[' || CASE WHEN n_chars < 300 THEN '.f' ELSE 'f' END || doc_id || ']' || chr(10) || text AS embed_input, lower({_EXT}) AS suffix FROM documents")
 def title_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title, suffix and the embedder's input."""
     d = table(spark, sf_dir, "documents").withColumn("p", F.expr(_SPARK_PATH))
     title = text.stem(F.col("p"))
-    return d.select("doc_id", F.ltrim(title, F.lit(".")).alias("title"), text.embed_input(title, F.col("text")).alias("embed_input"), text.suffix(F.col("p")).alias("suffix"))
+    return d.select("doc_id", title.alias("title"), text.embed_input(title, F.col("text")).alias("embed_input"), text.suffix(F.col("p")).alias("suffix"))
 
 
 _NAMES = ["ok-1", "", "a" * 65, "my docs", "my/docs", "my.docs", "@alias", "-start", "_start", "taken", "fine", "x\n"]
@@ -327,11 +328,27 @@ def _markdown(docs: DataFrame) -> DataFrame:
 _SQL_LINES = "SELECT doc_id, list_filter(string_split(text, chr(10)), lambda s: regexp_matches(s, '\\S')) AS l FROM documents"
 
 
-@query(f"""SELECT doc_id, (i - 1)::BIGINT AS block_index, CASE WHEN (i - 1) % 3 = 0 THEN 'heading' ELSE 'paragraph' END AS kind,
-CASE WHEN (i - 1) % 3 = 0 THEN '## ' ELSE 'w ' END || l[i] AS text FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM ({_SQL_LINES}))""")
+# Each line becomes a block of the kind of its number, so that all kinds follow each other; {s} is the line.
+_KINDS = (
+    ("heading", "'## ' || {s}"), ("paragraph", "'w ' || {s}"), ("fence", "'```x' || chr(10) || 'w ' || {s} || chr(10) || chr(10) || '````'"), ("math", "'$$' || chr(10) || 'w ' || {s} || chr(10) || '$$'"),
+    ("table", "'| ' || {s} || chr(10) || '| - |'"), ("quote", "'> ' || {s} || chr(10) || '> more'"), ("rule", "'* * *'"), ("list", "'- ' || {s} || chr(10) || chr(10) || '  more' || chr(10) || '2) more'"),
+    ("image", "'![a](b)'"), ("underlined", "'w ' || {s} || chr(10) || '==='"),
+)
+_FRONT = "'---' || chr(10) || 'a: b' || chr(10) || '---'"
+
+
+def _by_kind(number: str, values: list[str]) -> str:
+    return f"CASE {' '.join(f'WHEN {number} % {len(values)} = {k} THEN {v}' for k, v in enumerate(values))} END"
+
+
+@query(f"""WITH l AS ({_SQL_LINES}), b AS (SELECT doc_id, i, l[i] AS s FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM l))
+SELECT doc_id, 0::BIGINT AS block_index, 'frontmatter' AS kind, {_FRONT} AS text FROM documents
+UNION ALL SELECT doc_id, i::BIGINT, {_by_kind("(i - 1)", [f"'{k}'" for k, _ in _KINDS])}, {_by_kind("(i - 1)", [v.format(s="s") for _, v in _KINDS])} FROM b""")
 def md_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = chunking.markdown_blocks(_markdown(table(spark, sf_dir, "documents")))
-    return got.withColumn("block_index", F.col("block_index").cast("bigint"))
+    """Blocks of all kinds."""
+    lines = f"transform(filter(split(text, '\\n'), s -> s rlike '\\\\S'), (s, i) -> {_by_kind('i', [v.format(s='s') for _, v in _KINDS])})"
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.concat(F.array(F.expr(_FRONT)), F.expr(lines)), "\n\n").alias("text"))
+    return chunking.markdown_blocks(docs).withColumn("block_index", F.col("block_index").cast("bigint"))
 
 
 # With headings at 0, 3, 6, ... a window of four blocks begins at each of them, takes in
@@ -350,16 +367,11 @@ WHEN starts_with(s, '|') THEN 'table' WHEN starts_with(s, '>') THEN 'quote' WHEN
 WHEN regexp_matches(s, '^!\\[{1,2}[^\\]]*\\]{1,2}(\\([^)]*\\))?$') THEN 'image' ELSE 'text' END AS kind
 FROM (SELECT doc_id, i, CASE (i - 1) % 5 WHEN 0 THEN '## ' WHEN 1 THEN '- ' WHEN 2 THEN '> ' ELSE '' END || trim(l[i]) AS s FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))""")
 def md_line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What kind of block each line would begin, as regular expressions in the JVM."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l"))
-    mark = F.when(F.col("line") % 5 == 0, "## ").when(F.col("line") % 5 == 1, "- ").when(F.col("line") % 5 == 2, "> ").otherwise("")
-    s = F.concat(mark, F.trim("l"))
-    like = lambda p: s.rlike("^" + p.pattern)
-    kind = (
-        F.when(~s.rlike(r"\S"), "blank").when(like(markdown.ATX), "heading").when(s.rlike("^(?:`{3,}|~{3,})"), "fence").when(s == "$$", "math").when(s.startswith("|"), "table").when(s.startswith(">"), "quote")
-        .when(like(markdown.RULE), "rule").when(like(markdown.LIST_ITEM), "list").when(like(markdown.IMAGE), "image").otherwise("text")
-    )
-    return lines.select("doc_id", F.col("line").cast("bigint").alias("line"), kind.alias("kind"))
+    """What kind of block each line would begin."""
+    mark = lambda i: F.when(i % 5 == 0, "## ").when(i % 5 == 1, "- ").when(i % 5 == 2, "> ").otherwise("")
+    lines = F.transform(F.split("text", "\n"), lambda s, i: F.concat(mark(i), F.trim(s)))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_join(lines, "\n").alias("text"))
+    return chunking.line_kinds(docs).withColumn("line", F.col("line").cast("bigint"))
 
 
 @query("SELECT conv_id AS source_file, count(*) AS n_chunks, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
@@ -435,22 +447,26 @@ def latency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT * FROM (VALUES (0, false), (1, false), (2, true), (3, true)) v(step, changed)")
 def model_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First run, same models, another dense model, another sparse model."""
-    saved = None
+    catalog = Catalog(spark, _home(spark))
     rows = []
-    for step, new in enumerate((("a", "x"), ("a", "x"), ("b", "x"), ("b", "y"))):
-        rows.append((step, saved, json.dumps(new)))
-        saved = json.dumps(new)
-    return spark.createDataFrame(rows, "step int, old string, new string").select("step", (F.col("old").isNotNull() & (F.col("old") != F.col("new"))).alias("changed"))
+    for step, models in enumerate((("a", "x"), ("a", "x"), ("b", "x"), ("b", "y"))):
+        rows.append((step, catalog.model_changed(*models)[0]))
+        catalog.save_signature(*models)
+    return spark.createDataFrame(rows, "step int, changed boolean")
+
+
+def _home(spark: SparkSession) -> str:
+    """A new folder, with its scheme, in the shared one."""
+    return f"{shared_dir(spark)}/home-{uuid.uuid4().hex}"
 
 
-def _shared(spark: SparkSession) -> str:
-    """A new local path that driver and executors share: below the checkpoint folder, if it is one."""
-    where = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://").removeprefix("file:")
-    if where.startswith("/"):
-        path = os.path.join(where, f"folders-{uuid.uuid4().hex}")
-        os.makedirs(path)
-        return path
-    return tempfile.mkdtemp(prefix="lodestar-")
+def _local_home(spark: SparkSession) -> str:
+    """The same as a bare path, for folders of files, where the shared folder is a POSIX mount."""
+    where = _home(spark)
+    if where.startswith("file:"):
+        where = "/" + where.removeprefix("file:").lstrip("/")
+    os.makedirs(where)
+    return where
 
 
 @query("""SELECT * FROM (VALUES (0, 3, 0, 0), (1, 1, 1, 1), (2, 0, 0, 0)) v(step, added, updated, deleted)""")
@@ -458,7 +474,7 @@ def folder_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder indexed, changed and synchronised again; the counts of each pass."""
     from lodestar.service import Engine
 
-    home = _shared(spark)
+    home = _local_home(spark)
     folder = os.path.join(home, "notes")
     os.makedirs(os.path.join(folder, "sub"))
     write = lambda name, body: open(os.path.join(folder, name), "w").write(body)  # noqa: E731, SIM115

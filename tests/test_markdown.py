@@ -91,3 +91,10 @@ def test_windows_cover_all_and_advance(heads, size):
 def test_no_line_is_lost(text):
     kept = [line for b in blocks(text) for line in b.text.split("\n") if line.strip()]
     assert kept == [line for line in text.splitlines() if line.strip()]
+
+
+def test_an_empty_bullet_ends_a_list():
+    found = lambda t: [(b.kind, b.text) for b in blocks(t)]
+    assert found("- a\n- \n- b") == [("list", "- a"), ("paragraph", "- "), ("list", "- b")]
+    assert found("- a\n\n- \n") == [("list", "- a"), ("paragraph", "- ")]
+    assert found("1. a\n\n  b\n* c\nd") == [("list", "1. a\n\n  b\n* c"), ("paragraph", "d")]
