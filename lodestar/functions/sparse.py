@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from lodestar.functions.text import WORD_TOKEN, tokens
 
 K, B, AVERAGE = 1.2, 0.75, 256.0
+# English words that carry no meaning of their own.
+STOP_WORDS = tuple(
+    "a about above after again against all am an and any are as at be because been before being below between both but by can could did do does doing down during each few for from "
+    "further had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself no nor not now of off on once only or other our "
+    "ours ourselves out over own same she should so some such than that the their theirs them themselves then there these they this those through to too under until up very was we were "
+    "what when where which while who whom why will with would you your yours yourself yourselves".split()
+)
 
 
 def tf_weight(tf: Column, length: Column, k: float = K, b: float = B, average: float = AVERAGE) -> Column:
@@ -23,13 +30,18 @@ def counted(terms: Column) -> Column:
     return let(F.array_sort(terms), lambda s: let(starts(s), lambda at: lengths(s, at)))
 
 
-def postings(points: DataFrame, key: str = "id", text: str = "text", pattern: str = WORD_TOKEN, keep: tuple[str, ...] = (), **weights) -> DataFrame:
-    """(key, *keep, term, tf, length, weight).
+def without(terms: Column, stop_words: tuple[str, ...]) -> Column:
+    """An array of terms without stop words."""
+    return F.filter(terms, lambda t: ~t.isin(*stop_words)) if stop_words else terms
+
+
+def postings(points: DataFrame, key: str = "id", text: str = "text", pattern: str = WORD_TOKEN, keep: tuple[str, ...] = (), stop_words: tuple[str, ...] = (), **weights) -> DataFrame:
+    """(key, *keep, term, tf, length, weight). Stop words count neither as terms nor in the length.
 
     A row holds all that its weights need, so they are found in the row: nothing is
     shuffled, and only distinct terms are exploded.
     """
-    split = points.select(key, *keep, tokens(F.col(text), pattern).alias("_t"))
+    split = points.select(key, *keep, without(tokens(F.col(text), pattern), stop_words).alias("_t"))
     terms = split.select(key, *keep, F.size("_t").alias("length"), F.explode(counted(F.col("_t"))).alias("_p")).select(key, *keep, "_p.term", "_p.tf", "length")
     return terms.withColumn("weight", tf_weight(F.col("tf").cast("double"), F.col("length").cast("double"), **weights))
 

@@ -59,10 +59,8 @@ class OnnxEmbedder:
             got = []
             for a in range(0, len(texts), BATCH):
                 coded = tokenizer.encode_batch([prefix + (t or "") for t in texts[a : a + BATCH]])
-                ids, mask = np.array([c.ids for c in coded]), np.array([c.attention_mask for c in coded])
-                wanted = {i.name for i in session.get_inputs()}
-                feed = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}
-                hidden = session.run(None, {k: v for k, v in feed.items() if k in wanted})[0]
+                mask = np.array([c.attention_mask for c in coded])
+                hidden = session.run(None, _feed(session, coded))[0]
                 pooled = (hidden * mask[:, :, None]).sum(1) / np.maximum(mask.sum(1, keepdims=True), 1)
                 got.append(pooled / np.maximum(np.linalg.norm(pooled, axis=1, keepdims=True), 1e-12))
             return np.concatenate(got) if got else np.empty((0, 0), np.float32)
@@ -70,6 +68,38 @@ class OnnxEmbedder:
         return _udf(encode)(text)
 
 
+class OnnxReranker:
+    """A local ONNX cross-encoder with its ``tokenizer.json``: the first logit of (query, passage).
+
+    An instance is a scorer of ``retrieval.rerank``; candidates are scored in batches where
+    they are, with one session for each worker.
+    """
+
+    def __init__(self, folder: str, model: str = "model.onnx", most_tokens: int = 512):
+        self.folder, self.model, self.most_tokens = folder, model, most_tokens
+
+    def __call__(self, query: Column, passage: Column, pattern: str | None = None) -> Column:
+        folder, model, most = self.folder, self.model, self.most_tokens
+
+        @F.arrow_udf(T.DoubleType())
+        def scored(q: pa.Array, p: pa.Array) -> pa.Array:
+            session, tokenizer = _session(folder, model)
+            tokenizer.enable_truncation(most)
+            pairs = [(a or "", b or "") for a, b in zip(q.to_pylist(), p.to_pylist(), strict=True)]
+            got = [np.empty(0)]
+            for a in range(0, len(pairs), BATCH):
+                got.append(session.run(None, _feed(session, tokenizer.encode_batch(pairs[a : a + BATCH])))[0].reshape(len(pairs[a : a + BATCH]), -1)[:, 0])
+            return pa.array(np.concatenate(got).astype(np.float64))
+
+        return scored(query, passage)
+
+
+def _feed(session, coded: list) -> dict[str, np.ndarray]:
+    ids, mask, kinds = (np.array([getattr(c, name) for c in coded], dtype=np.int64) for name in ("ids", "attention_mask", "type_ids"))
+    wanted = {i.name for i in session.get_inputs()}
+    return {k: v for k, v in {"input_ids": ids, "attention_mask": mask, "token_type_ids": kinds}.items() if k in wanted}
+
+
 _sessions: dict = {}
 
 

@@ -23,6 +23,8 @@ log = logging.getLogger(__name__)
 class Settings:
     embedder: object
     tokenizer_file: str | None = None
+    #: Words that the sparse index leaves out.
+    stop_words: tuple[str, ...] = sparse.STOP_WORDS
     #: Hash files also where the time is the same.
     force_hash: bool = False
 
@@ -102,7 +104,7 @@ def _write(store: Store, base: int, files: DataFrame, found: DataFrame, folder:
     now = time.time()
     changed = found.filter(F.col("action").isin("add", "update"))
     new_points = materialise(points_of(with_content(changed.select("file_path"), folder=folder), store.name, settings), "points")
-    postings = sparse.postings(new_points, keep=("source_file",)).select("term", "id", "source_file", "weight")
+    postings = sparse.postings(new_points, keep=("source_file",), stop_words=settings.stop_words).select("term", "id", "source_file", "weight")
     n = new_points.groupBy(F.col("source_file").alias("file_path")).agg(F.count("*").alias("n"))
     rows = changed.join(n, "file_path", "left").select("file_path", "file_hash", F.col("mtime").alias("file_mtime"), F.coalesce("n", F.lit(0)).cast("int").alias("chunk_count"), F.lit(now).alias("last_indexed_at"))
     if whole:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestar.functions import sparse
 from lodestar.functions.text import WORD_TOKEN, tokens
 from lodestar.storage import materialise
 
@@ -59,32 +60,49 @@ def _cut(q: np.ndarray, score: np.ndarray, ids: pa.Array, n: int) -> tuple[np.nd
     return q[order], score[order], ids.take(pa.array(order))
 
 
-def _best_points(held, n: int, digits: int | None):
+class best_points:  # noqa: N801
+    """Keeps the ``n`` best points of each query, fed batch by batch; memory is that of the
+    queries, their results and one tile of scores."""
+
+    def __init__(self, keys: pa.Array, queries: np.ndarray, n: int, digits: int | None):
+        self.keys, self.queries, self.n, self.digits = keys, queries, n, digits
+        self.pool = None
+        self.least = np.full(len(queries), -np.inf)
+
+    def add(self, ids: pa.Array, dense: pa.Array) -> None:
+        n = self.n
+        ids, points = unit_rows(ids, dense, self.queries.shape[1])
+        for a in range(0, len(points) if len(self.queries) else 0, TILE[0]):
+            found = []
+            for b in range(0, len(self.queries), TILE[1]):
+                score = points[a : a + TILE[0]] @ self.queries[b : b + TILE[1]].T
+                score = np.round(score, self.digits) if self.digits is not None else score
+                bar = self.least[b : b + TILE[1]]
+                if len(score) > n:
+                    bar = np.maximum(bar, np.partition(score, len(score) - n, axis=0)[len(score) - n])
+                at, q = np.nonzero(score >= bar)
+                found.append((at + a, q + b, score[at, q]))
+            at, q, score = (np.concatenate(c) for c in zip(*found, strict=True))
+            mine = ids.take(pa.array(at))
+            pool = self.pool
+            self.pool = pool = _cut(q, score, mine, n) if pool is None else _cut(np.concatenate([pool[0], q]), np.concatenate([pool[1], score]), pa.concat_arrays([pool[2], mine]), n)
+            full = np.flatnonzero(np.bincount(pool[0], minlength=len(self.queries)) == n)
+            self.least[full] = pool[1][np.searchsorted(pool[0], full, side="right") - 1]
+
+    def result(self) -> Iterator[pa.RecordBatch]:
+        if self.pool is not None:
+            q, score, ids = self.pool
+            yield pa.RecordBatch.from_arrays([self.keys.take(pa.array(q)), ids, pa.array(score)], ["query_id", "id", "score"])
+
+
+def _best_of(held, n: int, digits: int | None):
     """``held`` is a broadcast (query ids, unit vectors)."""
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, queries = held.value
-        pool = None
-        least = np.full(len(queries), -np.inf)
+        kept = best_points(*held.value, n, digits)
         for batch in batches:
-            ids, points = unit_rows(*batch.columns, queries.shape[1])
-            for a in range(0, len(points), TILE[0]):
-                found = []
-                for b in range(0, len(queries), TILE[1]):
-                    score = points[a : a + TILE[0]] @ queries[b : b + TILE[1]].T
-                    score = np.round(score, digits) if digits is not None else score
-                    bar = least[b : b + TILE[1]]
-                    if len(score) > n:
-                        bar = np.maximum(bar, np.partition(score, len(score) - n, axis=0)[len(score) - n])
-                    at, q = np.nonzero(score >= bar)
-                    found.append((at + a, q + b, score[at, q]))
-                at, q, score = (np.concatenate(c) for c in zip(*found, strict=True))
-                mine = ids.take(pa.array(at))
-                pool = _cut(q, score, mine, n) if pool is None else _cut(np.concatenate([pool[0], q]), np.concatenate([pool[1], score]), pa.concat_arrays([pool[2], mine]), n)
-                full = np.flatnonzero(np.bincount(pool[0], minlength=len(queries)) == n)
-                least[full] = pool[1][np.searchsorted(pool[0], full, side="right") - 1]
-        if pool is not None:
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(pool[0])), pool[2], pa.array(pool[1])], ["query_id", "id", "score"])
+            kept.add(*batch.columns)
+        yield from kept.result()
 
     return best
 
@@ -93,7 +111,7 @@ def dense_topk(points: DataFrame, queries: DataFrame, n: int, digits: int | None
     """(query_id, id, score, rank) by exact cosine.
 
     ``points(id, dense)``, ``queries(query_id, dense)``. Every query meets every point,
-    which is the exact search's nature (``operators.cells`` has the other kind). Queries
+    which is the exact search's nature (``operators.cells`` has an approximate one). Queries
     are sent as matrices of at most BROADCAST_BYTES, by their number and measured
     length (or ``bytes_per_row``). Each block is one scan of the points, in which a task
     takes matrix products and keeps the ``n`` best before the shuffle. With several
@@ -116,7 +134,7 @@ def dense_topk(points: DataFrame, queries: DataFrame, n: int, digits: int | None
         if not len(rows):
             continue
         held = spark.sparkContext.broadcast(unit_rows(rows["query_id"].chunk(0), rows["dense"].chunk(0), size["dim"]))
-        part = ranked(scan.mapInArrow(_best_points(held, n, digits), schema), n)
+        part = ranked(scan.mapInArrow(_best_of(held, n, digits), schema), n)
         if blocks > 1:
             part = materialise(part, "dense")
             held.destroy()
@@ -124,14 +142,14 @@ def dense_topk(points: DataFrame, queries: DataFrame, n: int, digits: int | None
     return _union(parts) if parts else spark.createDataFrame([], schema.add("rank", T.IntegerType()))
 
 
-def sparse_topk(postings: DataFrame, queries: DataFrame, n: int, digits: int | None = 6, pattern: str = WORD_TOKEN) -> DataFrame:
+def sparse_topk(postings: DataFrame, queries: DataFrame, n: int, digits: int | None = 6, pattern: str = WORD_TOKEN, stop_words: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, id, score, rank) by the sum of the weights of the query's distinct terms.
 
     ``postings(term, id, weight)``, ``queries(query_id, text)``. An equi-join on
     terms; points that share no term are absent. Products are summed by task
     before the shuffle.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text"), pattern))).alias("term"))
+    terms = queries.select("query_id", F.explode(F.array_distinct(sparse.without(tokens(F.col("text"), pattern), stop_words))).alias("term"))
     total = F.sum("weight")
     scored = postings.select("term", "id", "weight").join(terms, "term").groupBy("query_id", "id").agg((F.round(total, digits) if digits is not None else total).alias("score"))
     return ranked(scored, n)
@@ -168,20 +186,21 @@ def rerank(fused: DataFrame, points: DataFrame, queries: DataFrame, top_k: int,
     return ranked(scored.withColumnRenamed("rank", "fused_rank"), top_k, "rerank_score", tie="fused_rank").drop("_passage", "_query")
 
 
-def search(points: DataFrame, postings: DataFrame, queries: DataFrame, top_k: int = 5, rerank_candidates: int = 50, pattern: str = WORD_TOKEN, k: float = RRF_K, fusion: str = "rrf", w_dense: float = 0.7, w_sparse: float = 0.3, scorer=overlap) -> DataFrame:
+def search(points: DataFrame, postings: DataFrame, queries: DataFrame, top_k: int = 5, rerank_candidates: int = 50, pattern: str = WORD_TOKEN, k: float = RRF_K, fusion: str = "rrf", w_dense: float = 0.7, w_sparse: float = 0.3, scorer=overlap, stop_words: tuple[str, ...] = (), index=None, probes: int = 16) -> DataFrame:
     """Hybrid search: (query_id, rank, text, source_file, chunk_index, total_chunks, score, rerank_score).
 
     ``score`` is the fused score while the order is the rerank's, so it need not
     fall down the list. The same candidate number bounds both prefetches and the
-    fusion. Weights only count with ``fusion="weighted"``, an extension.
+    fusion. Weights only count with ``fusion="weighted"``, an extension. With an ``index``
+    (``operators.cells``) the dense leg searches the ``probes`` nearest cells of each query.
     """
     for w in (w_dense, w_sparse):
         if not 0 <= w <= 1:
             raise ValueError("weights lie between 0 and 1")
     if top_k <= 0 or rerank_candidates <= 0:
         raise ValueError("top_k and rerank_candidates must be positive")
-    dense = dense_topk(points, queries, rerank_candidates)
-    by_term = sparse_topk(postings, queries, rerank_candidates, pattern=pattern)
+    dense = dense_topk(points, queries, rerank_candidates) if index is None else index.search(queries, rerank_candidates, probes)
+    by_term = sparse_topk(postings, queries, rerank_candidates, pattern=pattern, stop_words=stop_words)
     fused = rrf(dense, by_term, rerank_candidates, k, weights=(w_dense, w_sparse) if fusion == "weighted" else None)
     best = rerank(fused, points, queries, top_k, pattern, scorer=scorer, keep=("text", "source_file", "chunk_index", "total_chunks"))
     return best.select("query_id", "rank", "text", "source_file", "chunk_index", "total_chunks", "score", "rerank_score")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestar.operators import stats
 from lodestar.operators.catalog import Catalog
+from lodestar.operators.cells import CellIndex
 from lodestar.operators.embedding import HashingEmbedder
 from lodestar.operators.store import Store
 from lodestar.operators.sync import Settings, sync, sync_apart
@@ -173,13 +174,27 @@ class Engine:
         return watcher
 
     def search_batch(self, name: str, queries: DataFrame, **options) -> DataFrame:
-        """Ranked results for queries(query_id, text); see ``retrieval.search``."""
+        """Ranked results for queries(query_id, text); see ``retrieval.search``. With
+        ``probes`` the dense leg searches that many cells of ``build_index``."""
         self.catalog.get(name)
         store = self.store(name)
         version = store.version()
+        if "probes" in options:
+            options["index"] = self.index(name, version)
+        options.setdefault("stop_words", tuple(self.settings.stop_words))
         embedded = queries.withColumn("dense", self.settings.embedder.column(F.col("text"), is_query=True))
         return retrieval.search(store.read("points", version), store.read("postings", version), embedded, **options)
 
+    def index(self, name: str, version: int) -> CellIndex:
+        return CellIndex(self.spark, os.path.join(self.home, "collections", name, "cells", f"v={version}"))
+
+    def build_index(self, name: str, cells: int = 256) -> None:
+        """Write an approximate index of the collection's current version."""
+        self.catalog.get(name)
+        with self._working(name):
+            version = self.store(name).version()
+            self.index(name, version).build(self.store(name).read("points", version), cells)
+
     def search(self, name: str, query: str, **options) -> list[dict]:
         one = self.spark.createDataFrame([(0, query)], "query_id bigint, text string")
         rows = self.search_batch(name, one, **options).orderBy("rank").collect()

@@ -453,3 +453,106 @@ def test_tasks_on_the_command_line(engine, folder, capsys):
     assert main(["kb", "update", "kb", "--ignore", "*.log", "--ignore-ext", ".X"], engine) == 0
     assert json.loads(capsys.readouterr().out)["ignore_extensions"] == [".x"]
     assert main(["collection", "tasks", "absent"], engine) == 1
+
+
+def test_cells_are_exact_when_all_are_probed_and_near_it_otherwise(spark, tmp_path):
+    import numpy as np
+
+    from lodestar.operators import cells
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 12))
+    vectors = [(f"p{k:04}", (centres[k % 30] + 0.35 * rng.normal(size=12)).tolist()) for k in range(1500)]
+    points = spark.createDataFrame([*vectors, ("odd", None), ("zero", [0.0] * 12)], "id string, dense array<double>")
+    asked = points.filter("substring(id, 5, 1) = '7'").limit(60).select(F.regexp_extract("id", r"\d+", 0).cast("long").alias("query_id"), "dense")
+    index = cells.CellIndex(spark, str(tmp_path / "cells"))
+    with pytest.raises(ValueError):
+        index.search(asked, 5, 4)
+    index.build(points, 40)
+    rows = lambda df: {(r.query_id, r.id, r["rank"]) for r in df.collect()}
+    exact = rows(retrieval.dense_topk(points, asked, 5))
+    cells.POINTS_IN_TASK, before = 20, cells.POINTS_IN_TASK  # cells of several parts
+    try:
+        assert rows(index.search(asked, 5, 40)) == exact and len(exact) > 100
+    finally:
+        cells.POINTS_IN_TASK = before
+    found = rows(index.search(asked, 5, 8))
+    hits = len({(q, i) for q, i, _ in found} & {(q, i) for q, i, _ in exact})
+    assert hits / len(exact) >= 0.9
+    assert index.search(asked.limit(0), 5, 4).count() == 0
+    index.build(points.limit(0))
+    assert index.search(asked, 5, 4).count() == 0
+
+
+def test_search_through_an_index(engine, folder):
+    engine.add("kb", str(folder))
+    engine.build_index("kb", 2)
+    assert engine.search("kb", "lighthouses", probes=2) == engine.search("kb", "lighthouses")
+    assert len(engine.search("kb", "the and of")) == 3  # stop words alone: the dense leg only
+
+
+# ---- a tiny ONNX model, written by hand: fields of its protocol buffer
+
+
+def _field(number, value):
+    def varint(n):
+        out = bytearray()
+        while True:
+            out.append(n & 127 | (128 if n > 127 else 0))
+            n >>= 7
+            if not n:
+                return bytes(out)
+
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    value = value.encode() if isinstance(value, str) else value
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def _onnx(nodes, inputs, output, dims):
+    attribute = lambda name, v: _field(1, name) + (_field(3, v) + _field(20, 2) if isinstance(v, int) else b"".join(_field(8, x) for x in v) + _field(20, 7))
+    node = lambda op, ins, out, attrs: b"".join(_field(1, i) for i in ins) + _field(2, out) + _field(4, op) + b"".join(_field(5, attribute(k, v)) for k, v in attrs.items())
+    value = lambda name, kind, n: _field(1, name) + _field(2, _field(1, _field(1, kind) + _field(2, b"".join(_field(1, _field(2, f"d{k}")) for k in range(n)))))
+    graph = b"".join(_field(1, node(*n)) for n in nodes) + _field(2, "g") + b"".join(_field(11, value(i, 7, 2)) for i in inputs) + _field(12, value(output, 1, dims))
+    return _field(1, 6) + _field(7, graph) + _field(8, _field(1, "") + _field(2, 11))
+
+
+@pytest.fixture
+def model_folder(tmp_path):
+    from tokenizers import Tokenizer
+    from tokenizers.models import WordLevel
+    from tokenizers.pre_tokenizers import Whitespace
+
+    words = Tokenizer(WordLevel({w: k for k, w in enumerate(["[PAD]", "[UNK]", "red", "green", "blue"])}, unk_token="[UNK]"))
+    words.pre_tokenizer = Whitespace()
+    words.save(str(tmp_path / "tokenizer.json"))
+    # The hidden state of a token is (id, 1 - id / 10 ...) in two parts: its id twice.
+    (tmp_path / "model.onnx").write_bytes(_onnx([("Cast", ["input_ids"], "f", {"to": 1}), ("Unsqueeze", ["f"], "u", {"axes": [2]}), ("Mul", ["u", "u"], "s", {}), ("Concat", ["u", "s"], "h", {"axis": 2})], ["input_ids", "attention_mask"], "h", 3))
+    (tmp_path / "cross.onnx").write_bytes(_onnx([("Mul", ["input_ids", "attention_mask"], "m", {}), ("Cast", ["m"], "f", {"to": 1}), ("ReduceSum", ["f"], "r", {"axes": [1], "keepdims": 1})], ["input_ids", "attention_mask"], "r", 2))
+    return tmp_path
+
+
+def test_onnx_embedder_and_reranker(spark, model_folder):
+    import numpy as np
+
+    from lodestar.operators.embedding import OnnxEmbedder, OnnxReranker
+
+    texts = ["red green blue", "blue", None, "red"] + ["green blue"] * 150
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r.id: np.array(r.v) for r in df.select("id", OnnxEmbedder(str(model_folder), 2).column(F.col("text")).alias("v")).collect()}
+    for k, text in enumerate(texts):
+        ids = np.array([{"red": 2, "green": 3, "blue": 4}[w] for w in (text or "").split()] or [0.0])
+        want = np.array([ids.mean(), (ids**2).mean()])
+        assert np.allclose(got[k], want / max(np.linalg.norm(want), 1e-12), atol=1e-5)
+    fused = spark.createDataFrame([(1, 0, 0.5, 1), (1, 1, 0.4, 2), (1, 3, 0.3, 3)], "query_id long, id long, score double, rank int")
+    asked = spark.createDataFrame([(1, "red")], "query_id long, text string")
+    best = retrieval.rerank(fused, df, asked, 2, scorer=OnnxReranker(str(model_folder), "cross.onnx")).orderBy("rank").collect()
+    assert [(r.id, r.rerank_score) for r in best] == [(0, 11.0), (1, 6.0)]
+
+
+def test_windows_with_a_tokenizer_file(spark, model_folder):
+    docs = spark.createDataFrame([("a.txt", "red  green, blue red green"), ("b.txt", " "), ("c.md", "# red\n\nblue")], "file_path string, text string")
+    got = chunking.chunk_files(docs, tokenizer_file=str(model_folder / "tokenizer.json")).collect()
+    assert sorted((r.file_path, r.chunk_index, r.text) for r in got) == [("a.txt", 0, "red  green, blue red green"), ("c.md", 0, "# red\n\nblue")]
+    cut = chunking.char_windows(docs.filter("file_path = 'a.txt'"), str(model_folder / "tokenizer.json"), size=3, overlap=1).orderBy("chunk_index").collect()
+    assert [r.text for r in cut] == ["red  green,", ", blue red", "red green"]
