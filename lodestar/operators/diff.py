@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.storage import materialise
+
 ACTIONS = ("add", "delete", "update", "touch", "skip")
 
 
@@ -32,3 +34,19 @@ def stats(actions: DataFrame) -> DataFrame:
     """One row: added, updated, deleted."""
     count = lambda a: F.coalesce(F.sum(F.when(F.col("action") == a, 1).otherwise(0)), F.lit(0)).cast("bigint")
     return actions.agg(count("add").alias("added"), count("update").alias("updated"), count("delete").alias("deleted"))
+
+
+def ordered(actions: DataFrame, key: str = "file_path") -> DataFrame:
+    """``actions`` with their ``place`` from 0 in the order of the key.
+
+    A range sort: only the number of rows of each partition reaches the driver.
+    """
+    parts = actions.repartitionByRange(key).sortWithinPartitions(key).withColumn("_row", F.monotonically_increasing_id())
+    rows = materialise(parts.select("*", F.shiftright("_row", 33).alias("_part"), F.col("_row").bitwiseAND((1 << 33) - 1).alias("_at")).drop("_row"), "ordered")
+    counts = rows.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect()
+    starts, total = [], 0
+    for r in counts:
+        starts.append((r["_part"], total))
+        total += r["n"]
+    offsets = actions.sparkSession.createDataFrame(starts, "_part bigint, _start bigint")
+    return rows.join(F.broadcast(offsets), "_part").withColumn("place", F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")

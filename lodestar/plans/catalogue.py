@@ -8,7 +8,11 @@ is searched by its text, an item without one asks by its text.
 
 from __future__ import annotations
 
+import contextlib
+import io
+import json
 import os
+import time
 import uuid
 from collections.abc import Callable
 
@@ -18,11 +22,17 @@ from pyspark.sql import functions as F
 from lodestar.functions import sparse, text
 from lodestar.operators import chunking, diff, markdown, stats
 from lodestar.operators.catalog import Catalog
+from lodestar.operators.cells import CellIndex
+from lodestar.operators.embedding import HashingEmbedder
 from lodestar.operators.store import ConcurrentWrite, Store, delete, replace, upsert
+from lodestar.operators.sync import Settings, points_of
 from lodestar.plans import retrieval
 from lodestar.sources import tables
+from lodestar.sources.folders import list_folder, with_content
 from lodestar.sources.tables import spread
+from lodestar.schemas import FILES, POINTS, POSTINGS
 from lodestar.storage import shared_dir
+from lodestar.streaming.watch import Watcher
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -136,6 +146,18 @@ def dense_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranks(retrieval.dense_topk(points, _asked(spark, sf_dir), TOP_N))
 
 
+_CELLS = 16
+
+
+@query(f"""WITH pts AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+q AS (SELECT item_id AS query_id, embedding::DOUBLE[] AS v FROM benchmark JOIN embeddings ON item_id = vec_id), {_SQL_DENSE} SELECT query_id, id, score, rank::BIGINT AS rank FROM dense""")
+def dense_topk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense top-n through the approximate index, with all cells probed, so that it is exact."""
+    index = CellIndex(spark, _home(spark))
+    index.build(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("dense")), _CELLS)
+    return _ranks(index.search(_asked(spark, sf_dir), TOP_N, _CELLS))
+
+
 @query(f"""WITH pts AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '{text.ORACLE_TOKEN}') AS t FROM documents),
 q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '{text.ORACLE_TOKEN}')) AS t FROM benchmark), {_SQL_WEIGHTS}, {_SQL_SPARSE} SELECT query_id, id, score, rank::BIGINT AS rank FROM sparse""")
 def sparse_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,6 +235,12 @@ def diff_with_touch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _actions(spark, sf_dir).select("file_path", "action")
 
 
+@query(f"WITH {_SQL_SYNC} SELECT file_path, action, row_number() OVER (ORDER BY file_path) - 1 AS place FROM acts WHERE action <> 'skip'")
+def work_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What there is to do, in the order of paths."""
+    return diff.ordered(_actions(spark, sf_dir).filter("action <> 'skip'").select("file_path", "action"))
+
+
 @query(f"WITH {_SQL_SYNC} SELECT count(*) FILTER (action = 'add') AS added, count(*) FILTER (action = 'update') AS updated, count(*) FILTER (action = 'delete') AS deleted FROM acts")
 def sync_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.stats(_actions(spark, sf_dir))
@@ -284,6 +312,18 @@ def title_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", title.alias("title"), text.embed_input(title, F.col("text")).alias("embed_input"), text.suffix(F.col("p")).alias("suffix"))
 
 
+@query("SELECT doc_id, regexp_replace(regexp_replace(t, '^\\s+', ''), '\\s+$', '') AS text FROM (SELECT doc_id, ' ' || chr(9) || text || chr(10) || ' ' AS t FROM documents)")
+def strip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.stripped(F.concat(F.lit(" \t"), "text", F.lit("\n "))).alias("text"))
+
+
+@query("SELECT doc_id FROM documents WHERE regexp_matches(CASE WHEN n_chars % 3 = 0 THEN ' ' || chr(10) || chr(9) ELSE text END, '\\S')")
+def blank_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that aren't blank; every third length has been made blank."""
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.when(F.col("n_chars") % 3 == 0, " \n\t").otherwise(F.col("text")))
+    return docs.filter(~text.is_blank(F.col("text"))).select("doc_id")
+
+
 _NAMES = ["ok-1", "", "a" * 65, "my docs", "my/docs", "my.docs", "@alias", "-start", "_start", "taken", "fine", "x\n"]
 _SQL_NAME = """CASE WHEN name = '' THEN 'name is empty' WHEN length(name) > 64 THEN 'name is longer than 64 characters'
 WHEN NOT regexp_full_match(name, '[a-zA-Z0-9][a-zA-Z0-9_-]*') THEN 'name may hold letters, digits, _ and -, and begins with a letter or digit'
@@ -319,6 +359,25 @@ def token_window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumns({c: F.col(c).cast("bigint") for c in ("chunk_index", "total_chunks")})
 
 
+_W = "[\\p{L}\\p{N}_]+"
+# Windows that are slices of the text: from a word's start to the end of the 256th from it.
+_SQL_SLICES = f"""
+d AS (SELECT doc_id, text, regexp_extract_all(text, '{_W}') AS w, string_split_regex(text, '{_W}') AS g FROM documents WHERE regexp_matches(text, '\\S')),
+o AS (SELECT doc_id, list(pos ORDER BY k) AS a, list(pos + size ORDER BY k) AS e FROM (
+      SELECT doc_id, k, length(w[k]) AS size, sum(length(g[k]) + CASE WHEN k = 1 THEN 0 ELSE length(w[k - 1]) END) OVER (PARTITION BY doc_id ORDER BY k)::BIGINT AS pos
+      FROM (SELECT doc_id, w, g, unnest(range(1, len(w) + 1)) AS k FROM d WHERE len(w) > 256)) GROUP BY doc_id),
+s AS (SELECT d.doc_id, text, a, e, CASE WHEN a IS NULL THEN [0] ELSE range(0, len(a) - 32, 224) END AS s FROM d LEFT JOIN o USING (doc_id)),
+slices AS (SELECT doc_id, (i - 1)::BIGINT AS chunk_index, len(s)::BIGINT AS total_chunks,
+           CASE WHEN a IS NULL THEN text ELSE substr(text, a[s[i] + 1] + 1, e[least(s[i] + 256, len(a))] - a[s[i] + 1]) END AS text FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM s))"""
+
+
+@query(f"WITH {_SQL_SLICES} SELECT * FROM slices")
+def char_window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of words as slices of the text, as files that aren't Markdown are cut."""
+    got = chunking.char_windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.withColumns({c: F.col(c).cast("bigint") for c in ("chunk_index", "total_chunks")})
+
+
 def _markdown(docs: DataFrame) -> DataFrame:
     """A Markdown text of each document: every third line a heading, all lines apart."""
     lines = F.transform(F.filter(F.split("text", "\n"), lambda s: s.rlike(r"\S")), lambda s, i: F.concat(F.when(i % 3 == 0, F.lit("## ")).otherwise(F.lit("w ")), s))
@@ -353,10 +412,14 @@ def md_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # With headings at 0, 3, 6, ... a window of four blocks begins at each of them, takes in
 # the body after a heading it would end on, and is the last one if it reaches the end.
-@query(f"""WITH b AS (SELECT doc_id, list_transform(l, lambda s, i: CASE WHEN (i - 1) % 3 = 0 THEN '## ' ELSE 'w ' END || s) AS b, len(l) AS n FROM ({_SQL_LINES}) WHERE len(l) > 0),
-w AS (SELECT doc_id, b, n, list_filter(range(0, n, 3), lambda s: s = 0 OR s + 2 < n) AS starts FROM b)
-SELECT doc_id, (i - 1)::BIGINT AS chunk_index, len(starts)::BIGINT AS total_chunks, array_to_string(b[starts[i] + 1 : CASE WHEN starts[i] + 4 < n THEN starts[i] + 5 ELSE n END], chr(10) || chr(10)) AS text
-FROM (SELECT *, unnest(range(1, len(starts) + 1)) AS i FROM w)""")
+_SQL_MD_CHUNKS = f"""
+b AS (SELECT doc_id, list_transform(l, lambda s, i: CASE WHEN (i - 1) % 3 = 0 THEN '## ' ELSE 'w ' END || s) AS b, len(l) AS n FROM ({_SQL_LINES}) WHERE len(l) > 0),
+w AS (SELECT doc_id, b, n, list_filter(range(0, n, 3), lambda s: s = 0 OR s + 2 < n) AS starts FROM b),
+md AS (SELECT doc_id, (i - 1)::BIGINT AS chunk_index, len(starts)::BIGINT AS total_chunks, array_to_string(b[starts[i] + 1 : CASE WHEN starts[i] + 4 < n THEN starts[i] + 5 ELSE n END], chr(10) || chr(10)) AS text
+       FROM (SELECT *, unnest(range(1, len(starts) + 1)) AS i FROM w))"""
+
+
+@query(f"WITH {_SQL_MD_CHUNKS} SELECT * FROM md")
 def md_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = chunking.markdown_chunks(_markdown(table(spark, sf_dir, "documents")))
     return got.withColumns({c: F.col(c).cast("bigint") for c in ("chunk_index", "total_chunks")})
@@ -374,6 +437,32 @@ def md_line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.line_kinds(docs).withColumn("line", F.col("line").cast("bigint"))
 
 
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: even ones Markdown, odd ones text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = lambda suffix: F.format_string(f"doc/%d{suffix}", "doc_id").alias("file_path")
+    return _markdown(docs.filter("doc_id % 2 = 0")).select(path(".md"), "text").unionByName(docs.filter("doc_id % 2 = 1").select(path(".txt"), "text"))
+
+
+_SQL_DISPATCH = f"""{_SQL_MD_CHUNKS}, {_SQL_SLICES},
+cut AS (SELECT 'doc/' || doc_id || '.md' AS source_file, doc_id, chunk_index, total_chunks, text FROM md WHERE doc_id % 2 = 0
+        UNION ALL SELECT 'doc/' || doc_id || '.txt', doc_id, chunk_index, total_chunks, text FROM slices WHERE doc_id % 2 = 1)""".replace("\ns AS (", "\nst AS (").replace("AS i FROM s))", "AS i FROM st))")
+
+
+@query(f"WITH {_SQL_DISPATCH} SELECT source_file, chunk_index, total_chunks, text FROM cut")
+def chunk_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown files by headings, all others by windows."""
+    got = chunking.chunk_files(_files(spark, sf_dir))
+    return got.select(F.col("file_path").alias("source_file"), F.col("chunk_index").cast("bigint").alias("chunk_index"), F.col("total_chunks").cast("bigint").alias("total_chunks"), "text")
+
+
+@query(f"""WITH {_SQL_DISPATCH} SELECT sha256('kb' || chr(0) || source_file || chr(0) || chunk_index) AS id, source_file, chunk_index, total_chunks, doc_id::VARCHAR AS title, text FROM cut""")
+def point_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points that files become."""
+    got = points_of(_files(spark, sf_dir), "kb", Settings(HashingEmbedder(8)))
+    return got.withColumns({c: F.col(c).cast("bigint") for c in ("chunk_index", "total_chunks")}).drop("dense")
+
+
 @query("SELECT conv_id AS source_file, count(*) AS n_chunks, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
 def doc_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
@@ -429,6 +518,13 @@ def cancel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.cancel(tasks, tasks.agg(F.min("collection")).first()[0])[1]
 
 
+@query("SELECT event_type AS collection, event_id::VARCHAR AS file_path, value > 50 AS in_progress FROM events WHERE value > 50 OR event_type <> (SELECT min(event_type) FROM events)")
+def cancel_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tasks that are left when a collection's waiting ones are cancelled."""
+    tasks = _tasks(spark, sf_dir)
+    return stats.cancel(tasks, tasks.agg(F.min("collection")).first()[0])[0]
+
+
 @query("SELECT 0::BIGINT AS doc_id, coalesce(max(ceil(n_chars / 1000.0)), 0)::BIGINT AS chunk_count FROM documents WHERE doc_id = 0 UNION ALL SELECT -1, 0")
 def chunk_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of a known and of an unknown file."""
@@ -469,6 +565,214 @@ def _local_home(spark: SparkSession) -> str:
     return where
 
 
+def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def _notes(home: str) -> str:
+    """A folder of three notes, and of entries that no listing shows."""
+    folder = os.path.join(home, "notes")
+    os.makedirs(os.path.join(folder, "sub"))
+    os.makedirs(os.path.join(folder, ".git"))
+    for name, body in (("a.md", "# One\n\nfirst text\n"), ("b.txt", "second text"), ("sub/c.md", "# Three\n\nthird text\n"), (".hidden.md", "no"), (".git/x.md", "no"), ("image.png", "no"), ("build.log", "a line")):
+        with open(os.path.join(folder, name), "w") as f:
+            f.write(body)
+    os.symlink(os.path.join(folder, "a.md"), os.path.join(folder, "link.md"))
+    os.symlink(os.path.join(folder, "sub"), os.path.join(folder, "linked"))
+    return folder
+
+
+@query("SELECT * FROM (VALUES ('a.md', 18::BIGINT, 5.0::DOUBLE), ('b.txt', 11, 5.0), ('sub/c.md', 20, 5.0)) v(rel_path, size, file_mtime)")
+def folder_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder's files without links, hidden ones, other suffixes and ignored patterns."""
+    folder = _notes(_local_home(spark))
+    for name in ("a.md", "b.txt", "sub/c.md"):
+        os.utime(os.path.join(folder, name), (5, 5))
+    return list_folder(spark, folder, ["*.log"]).select("rel_path", "size", "file_mtime")
+
+
+@query("""SELECT name, CASE WHEN body IS NULL THEN NULL ELSE sha256(body) END AS file_hash, repaired AS text, body IS NOT NULL AS found FROM (VALUES
+('a.txt', 'plain'::VARCHAR, 'plain'::VARCHAR), ('b.txt', 'x' || chr(13) || chr(10) || 'y', 'x' || chr(10) || 'y'), ('gone.txt', NULL, NULL)) v(name, body, repaired)""")
+def file_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents, hashes and repaired texts of files; one has gone."""
+    home = _local_home(spark)
+    for name, body in (("a.txt", b"plain"), ("b.txt", b"x\r\ny")):
+        with open(os.path.join(home, name), "wb") as f:
+            f.write(body)
+    paths = spark.createDataFrame([(n, os.path.join(home, n)) for n in ("a.txt", "b.txt", "gone.txt")], "name string, file_path string")
+    return with_content(paths).select("name", "file_hash", "text", "found")
+
+
+@query("""SELECT * FROM (VALUES (0, 'create', 1, 0, 0), (1, 'commit', 2, 2, 1), (2, 'conflict', 2, 2, 1), (3, 'change', 3, 1, 1), (4, 'broken', 3, 1, 1), (5, 'vacuum', 3, 1, 1), (6, 'drop', 0, 0, 0)) v(step, what, version, files, points)""")
+def store_life(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions of a collection: made, written, refused, changed, broken, cleaned, dropped."""
+    store = Store(spark, _home(spark), "kb")
+    file = lambda *paths: spark.createDataFrame([(p, "h", 1.0, 1, 0.0) for p in paths], FILES)
+    point = spark.createDataFrame([("i", "/a", 0, 1, "a", "t", [1.0])], POINTS)
+    rows = []
+
+    def note(what: str) -> None:
+        rows.append((len(rows), what, store.version(), store.read("files").count(), store.read("points").count()))
+
+    store.create()
+    note("create")
+    store.commit(1, files=file("/a", "/b"), points=point)
+    note("commit")
+    try:
+        store.commit(1, files=file("/c"))
+    except ConcurrentWrite:
+        note("conflict")
+    store.change(2, files=(file("/b").select("file_path"), file("/b").limit(0)))
+    note("change")
+    store.files.create(os.path.join(store.path, "versions", "4.json"), "{")
+    note("broken")
+    store.vacuum(1)
+    note("vacuum")
+    store.drop()
+    note("drop")
+    return _rows(spark, rows, "step int, what string, version int, files int, points int")
+
+
+@query("""SELECT * FROM (VALUES (0, 'one', NULL), (1, 'one', 'name is taken'), (2, 'two', 'folder is taken'), (3, 'a b', 'name may hold letters, digits, _ and -, and begins with a letter or digit'),
+(4, 'two', NULL), (5, 'three', NULL), (6, 'four', NULL), (7, 'five', 'there are 4 collections already'), (8, 'five', NULL)) v(step, name, error)""")
+def registry_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collections registered, refused, and registered again after one has gone."""
+    catalog, rows = Catalog(spark, _home(spark)), []
+    for step, (name, folder) in enumerate((("one", "/1"), ("one", "/x"), ("two", "/1"), ("a b", "/y"), ("two", "/2"), ("three", "/3"), ("four", "/4"), ("five", "/5"), ("five", "/5"))):
+        if step == 8:
+            catalog.unregister("one")
+        try:
+            catalog.register(name, folder)
+            rows.append((step, name, None))
+        except ValueError as e:
+            rows.append((step, name, str(e)))
+    return _rows(spark, rows, "step int, name string, error string")
+
+
+@query("SELECT * FROM (VALUES (0.5, 0.3, 5, true), (1.0, 0.0, 5, true), (1.1, 0.3, 5, false), (0.5, -0.1, 5, false), (0.5, 0.3, 0, false), (0.5, 0.3, -2, false)) v(w_dense, w_sparse, top_k, accepted)")
+def search_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights lie between 0 and 1, and numbers of results are positive."""
+    points = spark.createDataFrame([], POINTS)
+    asked = spark.createDataFrame([], "query_id bigint, text string, dense array<float>")
+    rows = []
+    for wd, ws, k in ((0.5, 0.3, 5), (1.0, 0.0, 5), (1.1, 0.3, 5), (0.5, -0.1, 5), (0.5, 0.3, 0), (0.5, 0.3, -2)):
+        try:
+            retrieval.search(points, spark.createDataFrame([], POSTINGS), asked, top_k=k, w_dense=wd, w_sparse=ws)
+            rows.append((wd, ws, k, True))
+        except ValueError:
+            rows.append((wd, ws, k, False))
+    return _rows(spark, rows, "w_dense double, w_sparse double, top_k int, accepted boolean")
+
+
+@query("""SELECT * FROM (VALUES (0, 'add', 3, 3), (1, 'rebuild', 3, 3), (2, 'failed add', 0, 0), (3, 'remove', 0, 0)) v(step, what, files, points)""")
+def collection_life(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection made, built anew and removed; one whose folder is missing leaves nothing."""
+    from lodestar.service import Engine
+
+    home = _local_home(spark)
+    engine, rows = Engine(spark, os.path.join(home, "engine")), []
+
+    def note(what: str, name: str) -> None:
+        rows.append((len(rows), what, engine.store(name).read("files").count(), engine.store(name).read("points").count()))
+
+    engine.add("kb", _notes(home), ["*.log"])
+    note("add", "kb")
+    engine.rebuild("kb")
+    note("rebuild", "kb")
+    try:
+        engine.add("other", os.path.join(home, "absent"))
+    except ValueError:
+        note("failed add", "other")
+    engine.remove("kb")
+    note("remove", "kb")
+    return _rows(spark, rows, "step int, what string, files int, points int")
+
+
+@query("SELECT * FROM (VALUES (0, 'enqueue', 2, 0, 5), (1, 'again', 0, 0, 4)) v(step, what, accepted, pending, files)")
+def task_life(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files indexed by the queue's workers, each once."""
+    from lodestar.service import Engine
+
+    home = _local_home(spark)
+    folder = _notes(home)
+    engine, rows = Engine(spark, os.path.join(home, "engine")), []
+    engine.add("kb", folder, ["*.log"])
+    with open(os.path.join(folder, "d.md"), "w") as f:
+        f.write("new text")
+    os.remove(os.path.join(folder, "b.txt"))
+    with open(os.path.join(folder, "e.txt"), "w") as f:
+        f.write("more text")
+    for step, (what, paths) in enumerate((("enqueue", ["d.md", "e.txt", "d.md"]), ("again", []))):
+        accepted = engine.enqueue("kb", [os.path.join(folder, p) for p in paths])
+        engine.wait("kb", 300)
+        if step:
+            engine.sync("kb")
+        rows.append((step, what, accepted, engine.tasks("kb")["pending_tasks"], engine.store("kb").read("files").count()))
+    return _rows(spark, rows, "step int, what string, accepted int, pending int, files int")
+
+
+@query("SELECT * FROM (VALUES (0, 'error'), (1, 'added 1'), (2, 'deleted 1')) v(beat, what)")
+def poll_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder polled as a stream: a beat fails, the next ones find a new and a lost file."""
+    from lodestar.service import Engine
+
+    home = _local_home(spark)
+    folder = _notes(home)
+    engine = Engine(spark, os.path.join(home, "engine"))
+    engine.add("kb", folder, ["*.log"])
+    late, calls = os.path.join(folder, "late.md"), []
+
+    def beat() -> dict:
+        calls.append(1)
+        if len(calls) == 1:
+            raise RuntimeError("out of reach")
+        if len(calls) == 2:
+            with open(late, "w") as f:
+                f.write("late text")
+        elif os.path.exists(late):
+            os.remove(late)
+        return engine.sync("kb")
+
+    watcher = Watcher(spark, "kb", beat, 1)
+    watcher.start()
+    try:
+        end = time.time() + 240
+        while len(watcher.beats) < 3 and time.time() < end:
+            time.sleep(0.2)
+    finally:
+        watcher.stop()
+    said = lambda b: "error" if "error" in b else ", ".join(f"{k} {v}" for k, v in b.items() if v)
+    return _rows(spark, [(k, said(b)) for k, b in enumerate(list(watcher.beats)[:3])], "beat int, what string")
+
+
+@query("""SELECT * FROM (VALUES (0, 'kb list', '["kb"]'), (1, 'collection status', '[3, 3, false]'), (2, 'collection tasks', '[0]'), (3, 'search', '["c.md", 1]'), (4, 'unknown', '"no such collection: x"')) v(step, command, said)""")
+def command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the command line prints as JSON."""
+    from lodestar.cli import main
+    from lodestar.service import Engine
+
+    home = _local_home(spark)
+    engine, rows = Engine(spark, os.path.join(home, "engine")), []
+    engine.add("kb", _notes(home), ["*.log"])
+
+    def said(*args: str) -> dict:
+        with contextlib.redirect_stdout(io.StringIO()) as out:
+            main(list(args), engine)
+        return json.loads(out.getvalue())
+
+    def note(command: str, value) -> None:
+        rows.append((len(rows), command, json.dumps(value)))
+
+    note("kb list", sorted(said("kb", "list")["collections"]))
+    status = said("collection", "status", "kb")
+    note("collection status", [status["indexed_files"], status["total_chunks"], status["watching"]])
+    note("collection tasks", [said("collection", "tasks", "kb")["pending_tasks"]])
+    best = said("search", "kb", "third", "--top-k", "1")["results"]
+    note("search", [os.path.basename(best[0]["source_file"]), len(best)])
+    note("unknown", said("collection", "sync", "x")["error"])
+    return _rows(spark, rows, "step int, command string, said string")
+
+
 @query("""SELECT * FROM (VALUES (0, 3, 0, 0), (1, 1, 1, 1), (2, 0, 0, 0)) v(step, added, updated, deleted)""")
 def folder_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder indexed, changed and synchronised again; the counts of each pass."""
