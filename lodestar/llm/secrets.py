@@ -181,10 +181,10 @@ def _name(text: Column) -> Column:
 
 def index(texts: DataFrame, segments: int, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """(segment, lists): the posting lists of each segment, a map from trigram to sorted names."""
-    # Texts without a trigram go where lists are exploded; a filter here would look for all of them twice.
+    # A filter on the trigrams, which a plain explode has Spark infer, would look for all of them twice.
     named = texts.select(_name(F.col(text)).alias("name"), _low(F.col(text)).alias("low")).select("name", _held(F.col("low"), rules).alias("grams")).distinct()
     dealt = named.withColumn("segment", F.pmod(F.xxhash64("name"), F.lit(segments))).repartition("segment")
-    lists = dealt.select("segment", "name", F.explode("grams").alias("gram")).groupBy("segment", "gram").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    lists = dealt.select("segment", "name", F.explode_outer("grams").alias("gram")).filter("gram IS NOT NULL").groupBy("segment", "gram").agg(F.array_sort(F.collect_list("name")).alias("names"))
     return lists.groupBy("segment").agg(F.map_from_entries(F.collect_list(F.struct("gram", "names"))).alias("lists"))
 
 
