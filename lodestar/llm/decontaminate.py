@@ -16,15 +16,15 @@ An item of L words is compared with windows of L words of each document.
 5. Candidates are verified by the weighted Jaccard similarity (sum of minima
    over sum of maxima of counts) of five-word shingles.
 
-The item tables are broadcast in blocks of ITEMS_IN_BLOCK items at most; a
-larger benchmark takes further passes, so memory doesn't grow with it.
+The item tables are broadcast in blocks of about ITEMS_IN_BLOCK items; a larger
+benchmark takes further passes, one after the other, so memory doesn't grow with it.
 
 Items of ``least_words`` to four words, where that is less than five, are found
 as exact runs of words; their similarity is 1.
 
 Defined cases: items of fewer than ``least_words`` words, or null ones, are not
-searched; an item with a null id gives matches with a null item_id; null documents count as empty; a document shorter than an item is compared as a
-whole; an item occurring several times in a document gives its best window, the
+searched; an item with a null id gives matches with a null item_id; null documents count as empty; a document
+shorter than an item is compared as a whole; an item occurring several times in a document gives its best window, the
 first of equals. Repeated rows each get their matches, repeated item ids each of
 their texts; other columns pass through.
 """
@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestar.llm.storage import discard, materialise
 from lodestar.llm.textops import SHINGLE_WORDS, U, Words, batches_of_words, shingles, string_buffers
 
 SIMILARITY = 0.8
@@ -217,17 +218,41 @@ def _matcher(index):
 
 
 def with_matches(docs: DataFrame, items: DataFrame, text_col: str = "text", name: str = "matches", item_id: str = "item_id", item_text: str = "text", threshold: float = SIMILARITY, in_block: int = ITEMS_IN_BLOCK, least_words: int = SHINGLE_WORDS) -> DataFrame:
-    """``docs`` with an array of (item_id, start_word, end_word, similarity)."""
+    """``docs`` with an array of (item_id, start_word, end_word, similarity).
+
+    Up to ``in_block`` items are one index, sent to the workers, and the plan is lazy. More
+    items are dealt to blocks, and each block is a pass over the texts that ends before the
+    next block is fetched: its matches are written by the text's md5, and the index is
+    freed. All passes' matches are then joined to the documents.
+    """
     spark = docs.sparkSession
     items = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).filter(F.col("t").isNotNull())
-    passes = max(1, -(-items.count() // in_block))
-    columns = []
+    n = items.count()
+    passes = max(1, -(-n // in_block))
+
+    def sent(block: DataFrame):
+        rows = block.select("i", "t").orderBy("i", "t").toArrow()
+        return spark.sparkContext.broadcast(ItemIndex(rows["i"].to_pylist(), rows["t"].to_pylist(), threshold, least_words))
+
+    if passes == 1:
+        return docs.withColumn(name, _matcher(sent(items))(F.col(text_col)))
+    numbered = materialise(items.withColumn("r", F.monotonically_increasing_id()), "items", n)
+    key = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    found = None
     for part in range(passes):
-        block = items.filter(F.pmod(F.xxhash64("t"), F.lit(passes)) == part) if passes > 1 else items
-        rows = block.orderBy("i", "t").toArrow()
-        index = spark.sparkContext.broadcast(ItemIndex(rows["i"].to_pylist(), rows["t"].to_pylist(), threshold, least_words))
-        columns.append(_matcher(index)(F.col(text_col)))
-    return docs.withColumn(name, columns[0] if passes == 1 else F.concat(*columns))
+        index = sent(numbered.filter(F.pmod(F.xxhash64("r"), F.lit(passes)) == part))
+        one = docs.select(key.alias("key"), _matcher(index)(F.col(text_col)).alias("found"))
+        one = materialise(one.select("key", F.explode_outer("found").alias("m")).filter("m IS NOT NULL").groupBy("key", "m").agg(F.count("*").alias("rows")), "matches")
+        index.destroy()
+        found = one if found is None else found.unionByName(one)
+    discard(numbered)
+    # A text's match stands once for each item row that holds it: copies of the text had the same.
+    texts = materialise(docs.select(key.alias("key")).groupBy("key").agg(F.count("*").alias("copies")).join(found.select("key").distinct(), "key", "left_semi"), "texts")
+    times = found.join(texts, "key").select("key", F.explode(F.array_repeat("m", (F.col("rows") / F.col("copies")).cast("int"))).alias("m"))
+    listed = materialise(times.groupBy("key").agg(F.array_sort(F.collect_list("m")).alias("found")), "found")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("k")).join(listed, F.col("k") == F.col("key"), "left")
+    none = F.array().cast(T.ArrayType(MATCH))
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != name], F.coalesce("found", none).alias(name))
 
 
 _ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("start_word", pa.int32()), ("end_word", pa.int32()), ("similarity", pa.float64())]))

@@ -621,3 +621,16 @@ def test_training_rows_of_repeated_ids_are_the_same_each_time(spark):
     rows = lambda d: sorted((r.doc_id, r.text) for r in labels.training_rows(d, marks, "quality", 30).collect())
     one = rows(docs)
     assert one == rows(docs.repartition(7)) and 0 < len(one) <= 30 and len(set(one)) == len(one)
+
+
+def test_decontamination_in_passes_equals_one_pass(spark):
+    """Repeated items and texts, null ids, and a clashing column, over several blocks."""
+    rng = random.Random(41)
+    items = [(k % 17 if k % 5 else None, prose(rng, rng.randrange(1, 30))) for k in range(30)]
+    items += items[:6]
+    rows = [(d, " ".join([prose(rng, 20), rng.choice(items)[1], prose(rng, 5), rng.choice(items)[1]]), "old") for d in range(25)]
+    rows += rows[:5] + [(77, None, "old"), (78, "", "old")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string, matches string"), spark.createDataFrame(items, "item_id long, text string")
+    plain = lambda df: sorted((str(r.doc_id), str(r.text), sorted(map(str, r.matches))) for r in df.collect())
+    one = plain(decontaminate.with_matches(docs, bench, least_words=1))
+    assert one == plain(decontaminate.with_matches(docs, bench, least_words=1, in_block=7)) and any(m for _, _, m in one)
