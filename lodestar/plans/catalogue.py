@@ -60,9 +60,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
-    return docs.join(vectors, F.col("doc_id") == F.col("vec_id"), "left").select(
-        F.col("doc_id").alias("id"), "text", F.col("source").alias("source_file"), F.lit(0).alias("chunk_index"), F.lit(1).alias("total_chunks"), F.col("embedding").alias("dense"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("source_file"), F.lit(0).alias("chunk_index"), F.lit(1).alias("total_chunks"))
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of documents; texts needn't meet them."""
+    docs, vectors = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "embeddings")
+    return vectors.join(docs, F.col("doc_id") == F.col("vec_id")).select(F.col("vec_id").alias("id"), F.col("embedding").alias("dense"))
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +102,7 @@ reranked AS (SELECT * FROM (SELECT query_id, id, score, fused_rank, rerank_score
 @query(f"WITH {_SQL_POINTS}, {_SQL_DENSE} SELECT query_id, id, score, rank::BIGINT AS rank FROM dense")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact cosine top-n of each query."""
-    return _ranks(retrieval.dense_topk(_points(spark, sf_dir), _asked(spark, sf_dir), TOP_N))
+    return _ranks(retrieval.dense_topk(_vectors(spark, sf_dir), _asked(spark, sf_dir), TOP_N))
 
 
 @query(f"WITH {_SQL_POINTS}, {_SQL_WEIGHTS}, {_SQL_SPARSE} SELECT query_id, id, score, rank::BIGINT AS rank FROM sparse")
@@ -115,7 +119,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     points, asked = _points(spark, sf_dir), _asked(spark, sf_dir)
-    return retrieval.rrf(retrieval.dense_topk(points, asked, TOP_N), retrieval.sparse_topk(_postings(points), asked, TOP_N, pattern=text.ORACLE_TOKEN), TOP_N)
+    return retrieval.rrf(retrieval.dense_topk(_vectors(spark, sf_dir), asked, TOP_N), retrieval.sparse_topk(_postings(points), asked, TOP_N, pattern=text.ORACLE_TOKEN), TOP_N)
 
 
 def _ranks(df: DataFrame) -> DataFrame:
@@ -134,7 +138,7 @@ SELECT query_id, rank::BIGINT AS rank, text, source_file, 0::BIGINT AS chunk_ind
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: dense and sparse recall, fusion, rerank, projection."""
     points = _points(spark, sf_dir)
-    got = retrieval.search(points, _postings(points), _asked(spark, sf_dir), TOP_K, TOP_N, pattern=text.ORACLE_TOKEN)
+    got = retrieval.search(points, _postings(points), _asked(spark, sf_dir), TOP_K, TOP_N, pattern=text.ORACLE_TOKEN, vectors=_vectors(spark, sf_dir))
     return got.withColumns({c: F.col(c).cast("bigint") for c in ("rank", "chunk_index", "total_chunks")})
 
 

@@ -142,15 +142,18 @@ def dense_topk(points: DataFrame, queries: DataFrame, n: int, digits: int | None
     return _union(parts) if parts else spark.createDataFrame([], schema.add("rank", T.IntegerType()))
 
 
-def sparse_topk(postings: DataFrame, queries: DataFrame, n: int, digits: int | None = 6, pattern: str = WORD_TOKEN, stop_words: tuple[str, ...] = ()) -> DataFrame:
+def sparse_topk(postings: DataFrame, queries: DataFrame, n: int, digits: int | None = 6, pattern: str = WORD_TOKEN, stop_words: tuple[str, ...] = (), few_terms: int = 0) -> DataFrame:
     """(query_id, id, score, rank) by the sum of the weights of the query's distinct terms.
 
     ``postings(term, id, weight)``, ``queries(query_id, text)``. An equi-join on
     terms; points that share no term are absent. Products are summed by task
-    before the shuffle.
+    before the shuffle. Queries with up to ``few_terms`` terms in all have these pushed to
+    the scan, which prunes postings that are sorted by term.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(sparse.without(tokens(F.col("text"), pattern), stop_words))).alias("term"))
     total = F.sum("weight")
+    if few_terms and len(asked := [r.term for r in terms.select("term").distinct().limit(few_terms + 1).collect()]) <= few_terms:
+        postings = postings.filter(F.col("term").isin(asked))
     scored = postings.select("term", "id", "weight").join(terms, "term").groupBy("query_id", "id").agg((F.round(total, digits) if digits is not None else total).alias("score"))
     return ranked(scored, n)
 
@@ -186,21 +189,22 @@ def rerank(fused: DataFrame, points: DataFrame, queries: DataFrame, top_k: int,
     return ranked(scored.withColumnRenamed("rank", "fused_rank"), top_k, "rerank_score", tie="fused_rank").drop("_passage", "_query")
 
 
-def search(points: DataFrame, postings: DataFrame, queries: DataFrame, top_k: int = 5, rerank_candidates: int = 50, pattern: str = WORD_TOKEN, k: float = RRF_K, fusion: str = "rrf", w_dense: float = 0.7, w_sparse: float = 0.3, scorer=overlap, stop_words: tuple[str, ...] = (), index=None, probes: int = 16) -> DataFrame:
+def search(points: DataFrame, postings: DataFrame, queries: DataFrame, top_k: int = 5, rerank_candidates: int = 50, pattern: str = WORD_TOKEN, k: float = RRF_K, fusion: str = "rrf", w_dense: float = 0.7, w_sparse: float = 0.3, scorer=overlap, stop_words: tuple[str, ...] = (), index=None, probes: int = 16, vectors: DataFrame | None = None, few_terms: int = 0) -> DataFrame:
     """Hybrid search: (query_id, rank, text, source_file, chunk_index, total_chunks, score, rerank_score).
 
     ``score`` is the fused score while the order is the rerank's, so it need not
     fall down the list. The same candidate number bounds both prefetches and the
     fusion. Weights only count with ``fusion="weighted"``, an extension. With an ``index``
     (``operators.cells``) the dense leg searches the ``probes`` nearest cells of each query.
+    Where vectors are a table of their own, ``vectors`` (id, dense) saves joining them to texts.
     """
     for w in (w_dense, w_sparse):
         if not 0 <= w <= 1:
             raise ValueError("weights lie between 0 and 1")
     if top_k <= 0 or rerank_candidates <= 0:
         raise ValueError("top_k and rerank_candidates must be positive")
-    dense = dense_topk(points, queries, rerank_candidates) if index is None else index.search(queries, rerank_candidates, probes)
-    by_term = sparse_topk(postings, queries, rerank_candidates, pattern=pattern, stop_words=stop_words)
+    dense = dense_topk(points if vectors is None else vectors, queries, rerank_candidates) if index is None else index.search(queries, rerank_candidates, probes)
+    by_term = sparse_topk(postings, queries, rerank_candidates, pattern=pattern, stop_words=stop_words, few_terms=few_terms)
     fused = rrf(dense, by_term, rerank_candidates, k, weights=(w_dense, w_sparse) if fusion == "weighted" else None)
     best = rerank(fused, points, queries, top_k, pattern, scorer=scorer, keep=("text", "source_file", "chunk_index", "total_chunks"))
     return best.select("query_id", "rank", "text", "source_file", "chunk_index", "total_chunks", "score", "rerank_score")

@@ -181,6 +181,7 @@ class Engine:
         version = store.version()
         if "probes" in options:
             options["index"] = self.index(name, version)
+        options.setdefault("few_terms", 1000)
         options.setdefault("stop_words", tuple(self.settings.stop_words))
         embedded = queries.withColumn("dense", self.settings.embedder.column(F.col("text"), is_query=True))
         return retrieval.search(store.read("points", version), store.read("postings", version), embedded, **options)
