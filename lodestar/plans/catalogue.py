@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.functions import sparse, text
+from lodestar.functions import sparse, text, vectors
 from lodestar.operators import chunking, diff, markdown, stats
 from lodestar.operators.catalog import Catalog
 from lodestar.operators.cells import CellIndex
@@ -473,10 +473,20 @@ def doc_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.reconstruct(turns.select(F.col("conv_id").alias("source_file"), F.col("turn").alias("chunk_index"), "text"))
 
 
-@query("SELECT doc_id // 64 AS batch, count(*) AS texts, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1")
+@query("SELECT doc_id // 64 AS batch, count(*) AS texts, sum(n_chars)::BIGINT AS chars, count(*) FILTER (regexp_matches(text, '\\S')) AS embedded FROM documents GROUP BY 1")
 def batch_embed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts in embedding batches of 64."""
-    return table(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 64).alias("batch")).agg(F.count("*").alias("texts"), F.sum("n_chars").alias("chars"))
+    """All texts embedded; how many of each 64 got a unit vector, which those with a word do."""
+    docs = table(spark, sf_dir, "documents").withColumn("v", HashingEmbedder(64).column(F.col("text")))
+    unit = F.sum(F.when(F.abs(vectors.norm(F.col("v")) - 1) < 1e-3, 1).otherwise(0)).cast("bigint")
+    return docs.groupBy(F.floor(F.col("doc_id") / 64).alias("batch")).agg(F.count("*").alias("texts"), F.sum("n_chars").alias("chars"), unit.alias("embedded"))
+
+
+@query("SELECT item_id, true AS same FROM benchmark")
+def query_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query is embedded as a passage with its words is."""
+    embedder = HashingEmbedder(64)
+    items = table(spark, sf_dir, "benchmark")
+    return items.select("item_id", (embedder.column(F.col("text"), is_query=True) == embedder.column(F.concat(F.lit("  "), "text", F.lit("\n")))).alias("same"))
 
 
 # ---- status ------------------------------------------------------------------------------------
@@ -692,6 +702,26 @@ def collection_life(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, rows, "step int, what string, files int, points int")
 
 
+@query("SELECT * FROM (VALUES (0, 'first', 3, 8), (1, 'same model', 0, 8), (2, 'other model', 3, 16), (3, 'same model', 0, 16)) v(step, what, added, dim)")
+def model_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collections are built anew when the embedder is another one."""
+    from lodestar.service import Engine
+
+    home = _local_home(spark)
+    engine, rows = Engine(spark, os.path.join(home, "engine"), Settings(HashingEmbedder(8))), []
+    engine.restore()
+
+    def note(what: str, counts: dict) -> None:
+        rows.append((len(rows), what, counts["added"], len(engine.store("kb").read("points").first()["dense"])))
+
+    note("first", engine.add("kb", _notes(home), ["*.log"]))
+    note("same model", engine.restore()["kb"])
+    engine.settings.embedder = HashingEmbedder(16)
+    note("other model", engine.restore()["kb"])
+    note("same model", engine.restore()["kb"])
+    return _rows(spark, rows, "step int, what string, added int, dim int")
+
+
 @query("SELECT * FROM (VALUES (0, 'enqueue', 2, 0, 5), (1, 'again', 0, 0, 4)) v(step, what, accepted, pending, files)")
 def task_life(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files indexed by the queue's workers, each once."""
