@@ -61,6 +61,8 @@ BLOCK, SET_BLOCK = 2048, 1 << 18
 SET_SLICE, PAIRS_AT_ONCE = 1 << 18, 1 << 18
 #: Blocks that a task is to have, and the most tasks of a stage; a task streams its blocks, so more of them take no more memory.
 BLOCKS_IN_TASK, MOST_TASKS = 8, 100_000
+#: Narrow rows that a row with a signature counts as, when files are sized.
+WIDE = 8
 #: Further rounds with other centres, before all pairs of a divided bucket are compared.
 MORE_STARS = 3
 
@@ -377,7 +379,7 @@ def _named(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> Dat
     # The signature is a function of the words, so any row's will do. A row's id and text are where a node's text is found.
     row = F.struct(F.col("id").isNull().alias("nameless"), "id", "t")
     exact = worded.groupBy("h1", "h2").agg(F.min(row).alias("row"), F.first("size").alias("size"), F.any_value("bands").alias("bands"))
-    nodes = materialise(exact.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "row.id", "row.t", "size", "bands"), "exact", prints.count())
+    nodes = materialise(exact.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "row.id", "row.t", "size", "bands"), "exact", WIDE * prints.count())
     rows = prints.count()
     banded = nodes.select("node", "size", F.posexplode("bands").alias("band", "key"))
     # Sums by key are written before they are joined: only a join of plain exchanges can be split where a key is hot.
@@ -409,7 +411,7 @@ def _named(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> Dat
         parts = components(links)
         discard(divided)
         divided = _divided(members, parts)
-    unsettled = materialise(divided.join(marks, "node"), "unsettled", divided.count())
+    unsettled = materialise(divided.join(marks, "node"), "unsettled", WIDE * divided.count())
     more = materialise(_across(unsettled, sources, threshold), "links", divided.count())
     if not more.isEmpty():
         parts = components(links.unionByName(more))
