@@ -1,8 +1,8 @@
 """Token counts by scanning flat token files for end-of-document identifiers.
 
 A token file is a sequence of little-endian token identifiers of 2 bytes (4, if
-the vocabulary needs them), documents one after the other, each closed by the end-of-document identifier; nothing
-tells where they begin. Files are scanned as blocks of equal size, in parallel
+the vocabulary needs them), documents one after the other, each closed by the
+end-of-document identifier; nothing tells where they begin. Files are scanned as blocks of equal size, in parallel
 and in any order:
 
 1. Each block is one numpy comparison. It gives the documents that begin and end
@@ -26,6 +26,7 @@ rows are documents of their own.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,33 +49,46 @@ _loaded: dict = {}
 
 
 def tokenizer(path: str, pattern: str = PATTERN):
-    """The encoding of a vocabulary file, loaded once in each worker."""
-    if path not in _loaded:
+    """The encoding of a vocabulary file."""
+    with open(path, "rb") as f:
+        return _encoding(f.read(), pattern)
+
+
+def _encoding(vocabulary: bytes, pattern: str = PATTERN):
+    """The encoding of a vocabulary's content, made once in each worker."""
+    key = hashlib.sha256(vocabulary).digest(), pattern
+    if key not in _loaded:
         import base64
 
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _loaded[path] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _loaded[path]
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
+        _loaded[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _loaded[key]
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, separator: int = END_OF_DOCUMENT, block_tokens: int = BLOCK_TOKENS, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(blocks, manifest): blocks(file, block, data) and manifest(file, ordinal, id).
 
-    A task writes one file, and keeps one block in memory besides the text at hand.
+    A task writes one file, and keeps one block in memory besides the text at hand. The
+    driver reads the vocabulary and sends it, so only its machine needs the file. A
+    separator that a text could hold as a token is refused.
     """
+    with open(vocabulary, "rb") as f:
+        sent = docs.sparkSession.sparkContext.broadcast(f.read())
+    most = _encoding(sent.value).max_token_value
+    if separator <= most:
+        raise ValueError(f"{separator} is an ordinary token")
+    if max(most, separator) >= 256**width:
+        raise ValueError(f"identifiers don't fit in {width} bytes")
     kind = T.StructType().add("file", T.LongType()).add("block", T.LongType()).add("data", T.BinaryType()).add("first", T.LongType()).add("ids", T.ArrayType(docs.schema[id_col].dataType))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         file = TaskContext.get().partitionId()
-        model = tokenizer(vocabulary)
+        model = _encoding(sent.value)
         schema, number = None, f"<u{width}"
-        if model.max_token_value >= 256**width or separator >= 256**width:
-            raise ValueError(f"identifiers don't fit in {width} bytes")
         parts: list[np.ndarray] = []
         ids: list = []
         size = block = ordinal = 0

@@ -467,6 +467,9 @@ def test_token_counts_round_trip(spark, monkeypatch):
         got = tokens.counts(docs, block_tokens=size).collect()
         assert sorted((str(r.doc_id), r.n_tokens) for r in got) == want
     assert tokens.counts(docs.limit(0)).count() == 0
+    for options in ({"separator": 17}, {"separator": 70_000}):
+        with pytest.raises(ValueError):
+            tokens.counts(docs, **options)
 
 
 def test_flat_files(spark, tmp_path):
