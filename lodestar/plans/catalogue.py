@@ -29,6 +29,7 @@ from lodestar.operators.sync import Settings, points_of
 from lodestar.plans import retrieval
 from lodestar.sources import tables
 from lodestar.sources.folders import list_folder, with_content
+from lodestar.sources.logs import tail
 from lodestar.sources.tables import spread
 from lodestar.schemas import FILES, POINTS, POSTINGS
 from lodestar.storage import shared_dir
@@ -617,6 +618,21 @@ def file_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_content(paths).select("name", "file_hash", "text", "found")
 
 
+@query("SELECT * FROM (VALUES ('app.log', 0, 56::BIGINT, 'started|ready'), ('app.log', 1, 68, 'caf' || chr(65533) || ' open'), ('gone.log', 0, 0, ''), ('gone.log', 1, 0, '')) v(name, step, position, lines)")
+def log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New lines of a log that grows, and of one that isn't there."""
+    home, out = _local_home(spark), None
+    files = spark.createDataFrame([(n, os.path.join(home, n), 0) for n in ("app.log", "gone.log")], "name string, path string, position bigint")
+    for step, more in enumerate((b'started\n\n10.0.0.1 - "GET /health HTTP/1.1" 200 OK\nready\n', b"caf\xff open\n \n")):
+        with open(os.path.join(home, "app.log"), "ab") as f:
+            f.write(more)
+        read = tail(files).collect()
+        rows = spark.createDataFrame([(r.name, step, r.position, "|".join(r.lines)) for r in read], "name string, step int, position bigint, lines string")
+        out = rows if out is None else out.unionByName(rows)
+        files = spark.createDataFrame([(r.name, r.path, r.position) for r in read], files.schema)
+    return out
+
+
 @query("""SELECT * FROM (VALUES (0, 'create', 1, 0, 0), (1, 'commit', 2, 2, 1), (2, 'conflict', 2, 2, 1), (3, 'change', 3, 1, 1), (4, 'broken', 3, 1, 1), (5, 'vacuum', 3, 1, 1), (6, 'drop', 0, 0, 0)) v(step, what, version, files, points)""")
 def store_life(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Versions of a collection: made, written, refused, changed, broken, cleaned, dropped."""
