@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import os
 import threading
-from collections import Counter
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from lodestar.operators import stats
 from lodestar.operators.catalog import Catalog
 from lodestar.operators.cells import CellIndex
 from lodestar.operators.embedding import HashingEmbedder
-from lodestar.operators.store import Store
+from lodestar.operators.store import ConcurrentWrite, Store
 from lodestar.operators.sync import Settings, sync, sync_apart
 from lodestar.operators.tasks import TaskQueue
 from lodestar.plans import retrieval
@@ -41,6 +41,7 @@ class Engine:
         self.watchers: dict[str, Watcher] = {}
         self.queue = TaskQueue(self._index)
         self._busy: Counter[str] = Counter()
+        self._turns: dict[str, threading.Lock] = defaultdict(threading.Lock)
         self._idle = threading.Condition()
 
     def store(self, name: str) -> Store:
@@ -48,7 +49,8 @@ class Engine:
 
     @contextmanager
     def _working(self, name: str) -> Iterator[None]:
-        """While something writes to a collection, it can't be removed."""
+        """While something writes to a collection, it can't be removed. Writers of this
+        engine take turns; against those of others a commit is tried again by ``_again``."""
         with self._idle:
             if self._busy[name] < 0:
                 raise Busy(f"{name} is being removed")
@@ -56,17 +58,25 @@ class Engine:
         tag = f"collection-{name}"
         self.spark.addTag(tag)
         try:
-            yield
+            with self._turns[name]:
+                yield
         finally:
             self.spark.removeTag(tag)
             with self._idle:
                 self._busy[name] -= 1
                 self._idle.notify_all()
 
+    def _again(self, work: Callable[[], dict[str, int]], times: int = 3) -> dict[str, int]:
+        """Repeat what another engine's commit has overtaken; it compares anew each time."""
+        for _ in range(times - 1):
+            with suppress(ConcurrentWrite):
+                return work()
+        return work()
+
     def _run(self, name: str, **options) -> dict[str, int]:
         entry = self.catalog.get(name)
         with self._working(name):
-            return sync_apart(self.spark, self.store(name), entry["folder_path"], self.settings, entry["ignore_patterns"], entry["ignore_extensions"], **options)
+            return self._again(lambda: sync_apart(self.spark, self.store(name), entry["folder_path"], self.settings, entry["ignore_patterns"], entry["ignore_extensions"], **options))
 
     def _sync(self, name: str, rebuild: bool = False) -> dict[str, int]:
         return self._run(name, rebuild=rebuild)
@@ -76,7 +86,7 @@ class Engine:
         entry = self.catalog.get(name)
         with self._working(name):
             only = self.spark.createDataFrame([(p,) for p in paths], "file_path string")
-            return sync(self.spark, self.store(name), entry["folder_path"], self.settings, entry["ignore_patterns"], entry["ignore_extensions"], only=only)
+            return self._again(lambda: sync(self.spark, self.store(name), entry["folder_path"], self.settings, entry["ignore_patterns"], entry["ignore_extensions"], only=only))
 
     def enqueue(self, name: str, paths: list[str]) -> int:
         """Have files indexed by a worker; the number accepted."""

@@ -556,3 +556,30 @@ def test_windows_with_a_tokenizer_file(spark, model_folder):
     assert sorted((r.file_path, r.chunk_index, r.text) for r in got) == [("a.txt", 0, "red  green, blue red green"), ("c.md", 0, "# red\n\nblue")]
     cut = chunking.char_windows(docs.filter("file_path = 'a.txt'"), str(model_folder / "tokenizer.json"), size=3, overlap=1).orderBy("chunk_index").collect()
     assert [r.text for r in cut] == ["red  green,", ", blue red", "red green"]
+
+
+def test_writers_take_turns_and_try_again(engine, folder, monkeypatch):
+    import threading
+
+    from lodestar import service
+
+    engine.add("kb", str(folder))
+    (folder / "x.md").write_text("one more")
+    (folder / "y.md").write_text("and one more")
+    threads = [threading.Thread(target=engine.sync, args=("kb",)) for _ in range(2)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert engine.store("kb").read("files").count() == 5
+    real, calls = service.sync_apart, []
+
+    def overtaken(*args, **kwargs):
+        calls.append(1)
+        if len(calls) == 1:
+            raise ConcurrentWrite("another engine was first")
+        return real(*args, **kwargs)
+
+    monkeypatch.setattr(service, "sync_apart", overtaken)
+    (folder / "z.md").write_text("the last one")
+    assert engine.sync("kb")["added"] == 1 and len(calls) == 2
