@@ -35,6 +35,13 @@ def without(terms: Column, stop_words: tuple[str, ...]) -> Column:
     return F.filter(terms, lambda t: ~t.isin(*stop_words)) if stop_words else terms
 
 
+def vectors(points: DataFrame, key: str = "id", text: str = "text", pattern: str = WORD_TOKEN, stop_words: tuple[str, ...] = (), **weights) -> DataFrame:
+    """(key, terms): each point's sparse vector, an array of its distinct terms with their weights."""
+    split = points.select(key, without(tokens(F.col(text), pattern), stop_words).alias("_t")).withColumn("_n", F.size("_t").cast("double"))
+    weight = lambda p: tf_weight(p["tf"].cast("double"), F.col("_n"), **weights)
+    return split.select(key, F.transform(counted(F.col("_t")), lambda p: F.struct(p["term"].alias("term"), weight(p).alias("weight"))).alias("terms"))
+
+
 def postings(points: DataFrame, key: str = "id", text: str = "text", pattern: str = WORD_TOKEN, keep: tuple[str, ...] = (), stop_words: tuple[str, ...] = (), **weights) -> DataFrame:
     """(key, *keep, term, tf, length, weight). Stop words count neither as terms nor in the length.
 

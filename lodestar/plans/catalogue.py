@@ -76,7 +76,7 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _postings(points: DataFrame) -> DataFrame:
-    return sparse.postings(points, pattern=text.ORACLE_TOKEN)
+    return sparse.vectors(points, pattern=text.ORACLE_TOKEN)
 
 
 _SQL_POINTS = f"""

@@ -24,6 +24,8 @@ from lodestar.storage import materialise
 BROADCAST_BYTES = 8 << 20
 #: Points and queries of one matrix product.
 TILE = 2048, 1024
+#: Queries that are sent to the tasks at once by their terms, and scores of one tile of points.
+QUERIES, SCORES = 10_000, 1 << 21
 RRF_K = 2.0
 
 
@@ -142,20 +144,93 @@ def dense_topk(points: DataFrame, queries: DataFrame, n: int, digits: int | None
     return _union(parts) if parts else spark.createDataFrame([], schema.add("rank", T.IntegerType()))
 
 
+class _Asked:
+    """The terms of a block of queries: which queries hold each."""
+
+    def __init__(self, keys: pa.Array, terms: pa.Array):
+        self.keys = keys
+        words = terms.flatten()
+        query = np.repeat(np.arange(len(terms)), pc.list_value_length(terms).to_numpy())
+        self.terms = pc.unique(words)
+        of = pc.index_in(words, value_set=self.terms).to_numpy()
+        order = np.argsort(of, kind="stable")
+        self.query = query[order]
+        self.first = np.searchsorted(of[order], np.arange(len(self.terms) + 1))
+
+
+def _best_sums(held, n: int, digits: int | None):
+    """``held`` is a broadcast _Asked."""
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, pool = held.value, None
+        q_count = len(asked.keys)
+        tile = max(1, SCORES // q_count)
+        for batch in batches:
+            ids, listed = batch.columns
+            entries = listed.flatten()
+            doc = np.repeat(np.arange(len(ids)), pc.list_value_length(listed).fill_null(0).to_numpy())
+            term = pc.index_in(entries.field("term"), value_set=asked.terms)
+            some = np.flatnonzero(pc.is_valid(term).to_numpy(zero_copy_only=False))
+            doc, weight = doc[some], entries.field("weight").to_numpy()[some]
+            term = term.take(pa.array(some)).to_numpy()
+            many = asked.first[term + 1] - asked.first[term]
+            for a in range(0, len(ids), tile):
+                x, y = np.searchsorted(doc, [a, a + tile])
+                if x == y:
+                    continue
+                m = many[x:y]
+                query = asked.query[np.repeat(asked.first[term[x:y]] - np.cumsum(m) + m, m) + np.arange(m.sum())]
+                cell = np.repeat((doc[x:y] - a) * q_count, m) + query
+                score = np.bincount(cell, np.repeat(weight[x:y], m), minlength=tile * q_count)
+                met = np.zeros(len(score), dtype=bool)
+                met[cell] = True
+                score = np.where(met, np.round(score, digits) if digits is not None else score, -np.inf).reshape(tile, q_count)
+                bar = np.partition(score, tile - n, axis=0)[tile - n] if tile > n else np.full(q_count, -np.inf)
+                at, q = np.nonzero((score >= bar) & (score > -np.inf))
+                mine = ids.take(pa.array(at + a))
+                pool = _cut(q, score[at, q], mine, n) if pool is None else _cut(np.concatenate([pool[0], q]), np.concatenate([pool[1], score[at, q]]), pa.concat_arrays([pool[2], mine]), n)
+        if pool is not None:
+            yield pa.RecordBatch.from_arrays([asked.keys.take(pa.array(pool[0])), pool[2], pa.array(pool[1])], ["query_id", "id", "score"])
+
+    return best
+
+
 def sparse_topk(postings: DataFrame, queries: DataFrame, n: int, digits: int | None = 6, pattern: str = WORD_TOKEN, stop_words: tuple[str, ...] = (), few_terms: int = 0) -> DataFrame:
     """(query_id, id, score, rank) by the sum of the weights of the query's distinct terms.
 
-    ``postings(term, id, weight)``, ``queries(query_id, text)``. An equi-join on
-    terms; points that share no term are absent. Products are summed by task
-    before the shuffle. Queries with up to ``few_terms`` terms in all have these pushed to
-    the scan, which prunes postings that are sorted by term.
+    ``postings(term, id, weight)`` or ``sparse.vectors``; ``queries(query_id, text)``. Points
+    that share no term are absent. Postings are limited to the queries' terms by a join and
+    gathered by point; vectors hold that already. A task then sums a tile of points against
+    a block of queries at once and keeps the ``n`` best, so no row is made for a
+    term that a point and a query share, however common it is. Queries are sent in blocks
+    of QUERIES; with several, each one's result is written before the next is fetched. Queries
+    with up to ``few_terms`` terms in all have these pushed to the scan, which prunes postings
+    that are sorted by term.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(sparse.without(tokens(F.col("text"), pattern), stop_words))).alias("term"))
-    total = F.sum("weight")
-    if few_terms and len(asked := [r.term for r in terms.select("term").distinct().limit(few_terms + 1).collect()]) <= few_terms:
-        postings = postings.filter(F.col("term").isin(asked))
-    scored = postings.select("term", "id", "weight").join(terms, "term").groupBy("query_id", "id").agg((F.round(total, digits) if digits is not None else total).alias("score"))
-    return ranked(scored, n)
+    if n <= 0:
+        raise ValueError("the number of results must be positive")
+    spark = postings.sparkSession
+    words = queries.select("query_id", F.array_distinct(sparse.without(tokens(F.col("text"), pattern), stop_words)).alias("terms")).filter("size(terms) > 0")
+    blocks = max(1, -(-words.count() // QUERIES))
+    schema = T.StructType([T.StructField("query_id", words.schema["query_id"].dataType), T.StructField("id", postings.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    parts = []
+    for k in range(blocks):
+        rows = (words if blocks == 1 else words.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)).toArrow().combine_chunks()
+        if not len(rows):
+            continue
+        asked = _Asked(rows["query_id"].chunk(0), rows["terms"].chunk(0))
+        vectors = postings
+        if "terms" not in postings.columns:
+            terms = spark.createDataFrame([(t,) for t in asked.terms.to_pylist()], "term string")
+            mine = postings.filter(F.col("term").isin(asked.terms.to_pylist())) if len(asked.terms) <= few_terms else postings.join(F.broadcast(terms), "term")
+            vectors = mine.groupBy("id").agg(F.collect_list(F.struct("term", "weight")).alias("terms"))
+        held = spark.sparkContext.broadcast(asked)
+        part = ranked(vectors.select("id", "terms").mapInArrow(_best_sums(held, n, digits), schema), n)
+        if blocks > 1:
+            part = materialise(part, "sparse")
+            held.destroy()
+        parts.append(part)
+    return _union(parts) if parts else spark.createDataFrame([], schema.add("rank", T.IntegerType()))
 
 
 def rrf(dense: DataFrame, sparse_: DataFrame, n: int, k: float = RRF_K, digits: int | None = 9, weights: tuple[float, float] | None = None) -> DataFrame:

@@ -583,3 +583,33 @@ def test_writers_take_turns_and_try_again(engine, folder, monkeypatch):
     monkeypatch.setattr(service, "sync_apart", overtaken)
     (folder / "z.md").write_text("the last one")
     assert engine.sync("kb")["added"] == 1 and len(calls) == 2
+
+
+def test_sparse_topk_equals_brute_force(spark, monkeypatch):
+    """Postings and vectors, several tiles and blocks of queries, ties, and queries without terms."""
+    import random
+
+    from lodestar.functions import sparse
+
+    rng = random.Random(6)
+    word = lambda: f"w{min(rng.randrange(30), rng.randrange(30))}"
+    texts = [(f"p{k:03}", " ".join(word() for _ in range(rng.randrange(0, 25)))) for k in range(120)] + [("null", None)]
+    queries = [(k, " ".join(word() for _ in range(rng.randrange(0, 6)))) for k in range(23)] + [(99, None), (98, "unknown words")]
+    points, asked = spark.createDataFrame(texts, "id string, text string").repartition(3), spark.createDataFrame(queries, "query_id long, text string")
+    want = set()
+    for q, text in queries:
+        scored = []
+        for i, t in texts:
+            ws = (t or "").split()
+            shared = set((text or "").split()) & set(ws)
+            if shared:
+                scored.append((-round(sum((c := ws.count(w)) * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(ws) / 256.0)) for w in sorted(shared)), 6), i))
+        want |= {(q, i, r + 1) for r, (_, i) in enumerate(sorted(scored)[:7])}
+    rows = lambda df: {(r.query_id, r.id, r["rank"]) for r in df.collect()}
+    for scores, block in ((1 << 21, 10_000), (60, 5)):
+        monkeypatch.setattr(retrieval, "SCORES", scores)
+        monkeypatch.setattr(retrieval, "QUERIES", block)
+        assert rows(retrieval.sparse_topk(sparse.postings(points), asked, 7)) == want
+        assert rows(retrieval.sparse_topk(sparse.postings(points), asked, 7, few_terms=1000)) == want
+        assert rows(retrieval.sparse_topk(sparse.vectors(points), asked, 7)) == want
+    assert retrieval.sparse_topk(sparse.vectors(points.limit(0)), asked, 7).count() == 0 and retrieval.sparse_topk(sparse.postings(points), asked.limit(0), 7).count() == 0
