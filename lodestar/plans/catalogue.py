@@ -369,8 +369,8 @@ _W = "[\\p{L}\\p{N}_]+"
 _SQL_SLICES = f"""
 d AS (SELECT doc_id, text, regexp_extract_all(text, '{_W}') AS w, string_split_regex(text, '{_W}') AS g FROM documents WHERE regexp_matches(text, '\\S')),
 o AS (SELECT doc_id, list(pos ORDER BY k) AS a, list(pos + size ORDER BY k) AS e FROM (
-      SELECT doc_id, k, length(w[k]) AS size, sum(length(g[k]) + CASE WHEN k = 1 THEN 0 ELSE length(w[k - 1]) END) OVER (PARTITION BY doc_id ORDER BY k)::BIGINT AS pos
-      FROM (SELECT doc_id, w, g, unnest(range(1, len(w) + 1)) AS k FROM d WHERE len(w) > 256)) GROUP BY doc_id),
+      SELECT doc_id, k, size, (sum(gap + size) OVER (PARTITION BY doc_id ORDER BY k) - size)::BIGINT AS pos
+      FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS k, length(unnest(w)) AS size, length(unnest(g[1:len(w)])) AS gap FROM d WHERE len(w) > 256)) GROUP BY doc_id),
 s AS (SELECT d.doc_id, text, a, e, CASE WHEN a IS NULL THEN [0] ELSE range(0, len(a) - 32, 224) END AS s FROM d LEFT JOIN o USING (doc_id)),
 slices AS (SELECT doc_id, (i - 1)::BIGINT AS chunk_index, len(s)::BIGINT AS total_chunks,
            CASE WHEN a IS NULL THEN text ELSE substr(text, a[s[i] + 1] + 1, e[least(s[i] + 256, len(a))] - a[s[i] + 1]) END AS text FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM s))"""
