@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import labels as L
-from lodestar.llm import ann, chat, decontaminate, licenses, mixing, neardup, quality, secrets, tokens, toxicity
+from lodestar.llm import ann, chat, codes, decontaminate, exact, licenses, mixing, neardup, quality, runs, secrets, tokens, toxicity
 from lodestar.llm.session import table
 
 
@@ -62,6 +62,24 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    found = runs.with_runs(docs, repeat=F.when(h % 10 == 0, F.floor(h / 10))).select("doc_id", "found.*")
+    lines = F.concat_ws("", F.transform("runs", lambda x: F.concat(x["start"].cast("string"), F.lit(","), x["length"].cast("string"), F.lit(","), x["period"].cast("string"), F.lit("\n"))))
+    found = found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), runs.best(F.col("runs")).alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    milli = F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli")
+    return found.select("doc_id", "n_runs", "best.start", "best.length", "best.period", milli, "runs_sha256", "collapsed_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_licenses": op2_licenses,
@@ -73,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _LOG_FACTORIALS = ", ".join(repr(math.lgamma(k + 1)) for k in range(mixing.TERMS))
@@ -139,7 +160,31 @@ SELECT k.c AS conv_id, t.place // {chat.RUN} AS part, k.n AS turns, count(*) AS
 FROM kept k JOIN turns t ON t.c IS NOT DISTINCT FROM k.c GROUP BY k.c, k.n, t.place // {chat.RUN}
 """
 
+_FIRST = f"""
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor({codes.SCALE} * x::DOUBLE)::BIGINT) AS v
+              FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     parts AS MATERIALIZED (SELECT r, j, v[(j * len(v)) // {codes.PARTS} + 1:((j + 1) * len(v)) // {codes.PARTS}] AS v FROM (SELECT r, v, unnest(range(0, {codes.PARTS})) AS j FROM kept)),
+     book0 AS (SELECT j, r - 1 AS e, v AS w FROM parts WHERE r <= {codes.ENTRIES})"""
+_ROUND = """,
+     near{k} AS MATERIALIZED (SELECT r, j, min({{'d': list_sum(list_transform(v, lambda x, c: (x - w[c]) * (x - w[c]))), 'e': e}}) AS best FROM parts JOIN book{k} USING (j) GROUP BY r, j)"""
+_MOVED = """,
+     means{k} AS (SELECT j, best.e AS e, c, sum(v[c]) AS s, count(*) AS n FROM near{k} JOIN parts USING (r, j), range(1, (SELECT max(len(v)) FROM parts) + 1) t(c) GROUP BY j, best.e, c),
+     lists{k} AS (SELECT j, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY c) AS m FROM means{k} GROUP BY j, e),
+     book{l} AS MATERIALIZED (SELECT j, e, coalesce(m, w) AS w FROM book{k} LEFT JOIN lists{k} USING (j, e))"""
+_OP11_SQL = f"""{_FIRST}{"".join(_ROUND.format(k=k) + _MOVED.format(k=k, l=k + 1) for k in range(codes.ROUNDS))}{_ROUND.format(k=codes.ROUNDS)},
+     coded AS (SELECT r, string_agg(format('{{:02x}}', best.e), '' ORDER BY j) AS code, sum(best.d)::BIGINT AS error FROM near{codes.ROUNDS} GROUP BY r),
+     hashed AS (SELECT sha256(string_agg(array_to_string(w, ','), ',' ORDER BY j, e)) AS codebooks_sha256 FROM book{codes.ROUNDS})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN coded USING (r), hashed
+"""
+
+_OP12_SQL = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW w AS (PARTITION BY t)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_vector_codes": _OP11_SQL,
+    "op12_exact_dedup": _OP12_SQL,
     "op5_chat": _OP5_SQL,
     "op2_licenses": _OP2_SQL,
     "op9_secrets": _OP9_SQL,
