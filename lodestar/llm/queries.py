@@ -103,8 +103,8 @@ WITH counted AS (SELECT source AS s, count(*) AS n FROM documents GROUP BY sourc
      drawn AS (SELECT s, rate, ceil(rate / {mixing.MEAN_OF_DRAW!r}::DOUBLE)::INT AS draws FROM rated),
      terms AS (SELECT s, draws, list_transform([{_LOG_FACTORIALS}]::DOUBLE[], lambda g, k: exp((k - 1)::DOUBLE * ln(rate / draws) - rate / draws - g)) AS p FROM drawn),
      tables AS (SELECT s, draws, list_transform(range(1, {mixing.TERMS + 1}), lambda n: list_reduce(list_prepend(0.0::DOUBLE, p[1:n]), lambda t, x: t + x)) AS cdf FROM terms),
-     counts AS (SELECT d.*, list_sum(list_transform(range(1, draws + 1), lambda j: len(list_filter(cdf, lambda c: c <= (('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || j::VARCHAR), 1, 13))::BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE)))) AS copies
-                FROM documents d JOIN tables t ON d.source IS NOT DISTINCT FROM t.s)
+     counts AS (SELECT d.* EXCLUDE (number), list_sum(list_transform(range(1, draws + 1), lambda j: len(list_filter(cdf, lambda c: c <= (('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) || ':' || number || ':' || j::VARCHAR), 1, 13))::BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE)))) AS copies
+                FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, text, lang, source, n_chars) - 1 AS number FROM documents) d JOIN tables t ON d.source IS NOT DISTINCT FROM t.s)
 SELECT doc_id, text, lang, source, n_chars, unnest(range(0, copies::BIGINT))::INT AS copy FROM counts
 """
 

@@ -76,16 +76,17 @@ def plain_redacted(text):
 
 
 def plain_copies(rows):
-    """Poisson inversion by the md5 of seed, id and draw; sources have equal weight."""
+    """Poisson inversion by the md5 of seed, id, text, number among equals and draw; sources have equal weight."""
     by = Counter(r[3] for r in rows)
-    out = []
+    out, seen = [], Counter()
     for r in rows:
+        number, seen[r] = seen[r], seen[r] + 1
         rate = len(rows) * (1.0 / len(by)) / by[r[3]]
         draws = math.ceil(rate / mixing.MEAN_OF_DRAW)
         mean = rate / draws
         copies = 0
         for j in range(1, draws + 1):
-            u = int(hashlib.md5(f"17:{r[0]}:{j}".encode()).hexdigest()[:13], 16) / 2**52
+            u = int(hashlib.md5(f"17:{'' if r[0] is None else r[0]}:{hashlib.md5((r[1] or '').encode()).hexdigest()}:{number}:{j}".encode()).hexdigest()[:13], 16) / 2**52
             total, k = 0.0, 0
             while k < mixing.TERMS and (total := total + math.exp(k * math.log(mean) - mean - math.lgamma(k + 1))) <= u:
                 k += 1
