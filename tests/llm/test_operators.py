@@ -111,8 +111,9 @@ def test_decontamination_equals_brute_force(spark):
         assert all(r.similarity >= 0.8 for r in got)
 
 
-def test_decontamination_finds_all_at_the_threshold():
+def test_decontamination_finds_all_at_the_threshold(monkeypatch):
     """Windows near 0.8 whose fingerprints differ in more bits than the tables reach."""
+    monkeypatch.setattr(decontaminate, "RADIUS", 9)
     rng = random.Random(21)
     items, texts, far = [], [], 0
     for k in range(400):
@@ -122,13 +123,39 @@ def test_decontamination_finds_all_at_the_threshold():
         leak = item[:-changed] + [f"other{k}x{j}" for j in range(changed)]
         items.append(" ".join(item))
         texts.append(f"before {' '.join(leak)} after")
-    index = decontaminate.ItemIndex(list(range(400)), items)
+    index = decontaminate.ItemIndex(list(range(400)), items, exact=True)
     found = index.matches(pa.array(texts))
     leaks = decontaminate.ItemIndex(list(range(400)), [t.removeprefix("before ").removesuffix(" after") for t in texts])
     far = int((np.bitwise_count(leaks.prints ^ index.prints) > decontaminate.RADIUS).sum())
     assert [[m[0] for m in row] for row in found] == [[k] for k in range(400)] and far > 0
 
 
+def test_fingerprints_propose(monkeypatch):
+    """Without the fingerprints' tables nothing is found, and with them 0.99 of what is near the threshold."""
+    rng = random.Random(22)
+    items, texts = [], []
+    for k in range(1000):
+        item = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(15, 200))]
+        for share in (9, 12, 20):
+            changed = (len(item) - 4) // share
+            texts.append(" ".join(["before", *item[: len(item) - changed], *(f"other{k}x{j}" for j in range(changed)), "after"]))
+        items.append(" ".join(item))
+    exact, index = (decontaminate.ItemIndex(list(range(1000)), items, exact=e) for e in (True, False))
+    count = lambda i: sum(map(len, i.matches(pa.array(texts))))
+    want = count(exact)
+    assert want >= 3000 and 0.99 * want <= count(index) <= want
+    monkeypatch.setattr(decontaminate.ItemIndex, "near", lambda self, prints: (np.empty(0, np.int64), np.empty(0, np.int64)))
+    assert count(index) == 0 and count(exact) == want
+
+
+def test_blocks_of_items_follow_bytes(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BYTES_IN_BLOCK", 200)
+    item = "one two three four five six seven eight"
+    items = spark.createDataFrame([(k, f"{item} v{k} w{k} x{k} y{k} z{k}") for k in range(20)], "item_id long, text string")
+    docs = items.select(F.col("item_id").alias("doc_id"), "text")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()) == [(k, k) for k in range(20)]
+
+
 def test_decontamination_cases(spark):
     item = "one two three four five six seven eight"
     rows = [(1, None, "x"), (2, "", "x"), (3, f"{item} and {item}", "x"), (3, item.upper(), "y"), (None, item, "z"), (5, "one two three four five six seven", "x")]
@@ -159,7 +186,7 @@ def test_hamming_tables_find_all_within_the_radius():
     rng = np.random.default_rng(0)
     texts = [prose(random.Random(k), 12, 60) for k in range(300)]
     index = decontaminate.ItemIndex(list(range(300)), texts)
-    probes = index.prints[:50] ^ np.array([sum(1 << int(b) for b in rng.choice(64, size=k % 16, replace=False)) for k in range(50)], dtype=np.uint64)
+    probes = index.prints[:50] ^ np.array([sum(1 << int(b) for b in rng.choice(64, size=k % 20, replace=False)) for k in range(50)], dtype=np.uint64)
     q, item = index.near(probes)
     want = {(a, b) for a in range(50) for b in range(300) if bin(int(probes[a]) ^ int(index.prints[b])).count("1") <= decontaminate.RADIUS}
     assert set(zip(q.tolist(), item.tolist(), strict=True)) == want
@@ -280,6 +307,20 @@ def test_mixing_cases(spark):
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mix(docs, {"zzz": 1.0}).count() == 0
 
 
+@pytest.mark.parametrize("text", ["'one text'", "concat('t', id)"], ids=["equal", "unlike"])
+def test_rows_without_an_id_or_of_one_id_draw_one_by_one(spark, monkeypatch, text):
+    """At rate 1, about 1 - 1/e of the rows are drawn, and about as many copies come out as there are rows."""
+    monkeypatch.setattr(mixing, "BLOCK", 64)
+    named = spark.range(1000).selectExpr("id AS doc_id", "'x' AS text", "'s' AS source")
+    for i in ("CAST(NULL AS BIGINT)", "7000L"):
+        docs = named.unionByName(spark.range(1000).selectExpr(f"{i} AS doc_id", f"{text} AS text", "'s' AS source"))
+        got = mixing.mix(docs).filter("doc_id IS NULL OR doc_id = 7000")
+        assert 850 < got.count() < 1150 and 560 < got.filter("copy = 0").count() < 710
+        # the global shuffle deals them out
+        dealt = [len(p) for p in mixing.mix(docs).rdd.glom().collect()]
+        assert max(dealt) < 3 * sum(dealt) / len(dealt)
+
+
 def test_inversion_is_the_poisson_distribution(spark):
     import math
 
