@@ -66,7 +66,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replicates documents so that all sources have equal weight; adds ``copy``.
 
-    A null source is a source of its own. Repeated rows draw alike. Columns of any other
+    A null source is a source of its own. Repeated rows draw one by one. Columns of any other
     name pass through.
     """
     return mixing.mix(docs)
