@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -117,11 +117,15 @@ def _offsets(path: str | None):
     return lambda t: model.encode(t, add_special_tokens=False).offsets
 
 
-def chunk_files(files: DataFrame, path: str = "file_path", text: str = "text", tokenizer_file: str | None = None) -> DataFrame:
-    """``.md`` files by headings, every other suffix by token windows. Blank files have no chunk."""
-    worded = files.filter(~is_blank(F.coalesce(F.col(text), F.lit(""))))
+def chunk_files(files: DataFrame, path: str = "file_path", text: str = "text", tokenizer_file: str | None = None, read: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``.md`` files by headings, every other suffix by token windows. Blank files have no chunk.
+
+    ``read`` gives paths their texts; it gets each kind's paths apart, so that no file is read for both.
+    """
     is_md = suffix(F.col(path)) == ".md"
-    return markdown_chunks(worded.filter(is_md), text).unionByName(char_windows(worded.filter(~is_md), tokenizer_file, text))
+    kinds = [files.filter(is_md), files.filter(~is_md)]
+    marked, plain = ((read(k) if read else k).filter(~is_blank(F.coalesce(F.col(text), F.lit("")))) for k in kinds)
+    return markdown_chunks(marked, text).unionByName(char_windows(plain, tokenizer_file, text))
 
 
 def reconstruct(chunks: DataFrame, key: str = "source_file", index: str = "chunk_index", text: str = "text", glue: str = "\n\n") -> DataFrame:

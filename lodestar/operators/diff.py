@@ -21,13 +21,15 @@ def classify(in_disk: Column, in_index: Column, same_time: Column, same_hash: Co
 def by_listing(listing: DataFrame, files: DataFrame) -> DataFrame:
     """First stage, from the cheap listing: add, delete, skip, or check (time differs).
 
-    One full outer join on the path answers all three set questions at once.
+    One full outer join on the path answers all three set questions at once. The listing's
+    ``size`` is kept if it has one.
     """
-    disk = listing.select("file_path", F.col("file_mtime").alias("mtime"))
+    size = [F.col("size")] if "size" in listing.columns else []
+    disk = listing.select("file_path", F.col("file_mtime").alias("mtime"), *size)
     known = files.select(F.col("file_path").alias("_path"), F.col("file_hash").alias("old_hash"), F.col("file_mtime").alias("old_mtime"), F.col("chunk_count").alias("old_chunks"))
     both = disk.join(known, F.col("file_path") == F.col("_path"), "full_outer")
     action = classify(F.col("file_path").isNotNull(), F.col("_path").isNotNull(), F.col("mtime") == F.col("old_mtime"), F.lit(False))
-    return both.select(F.coalesce("file_path", "_path").alias("file_path"), "mtime", "old_hash", "old_mtime", "old_chunks", F.when(action == "update", "check").otherwise(action).alias("action"))
+    return both.select(F.coalesce("file_path", "_path").alias("file_path"), "mtime", *size, "old_hash", "old_mtime", "old_chunks", F.when(action == "update", "check").otherwise(action).alias("action"))
 
 
 def stats(actions: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,8 @@ from lodestar.functions import sparse
 from lodestar.functions.text import embed_input, point_id, stem
 from lodestar.operators import chunking, diff
 from lodestar.operators.store import ConcurrentWrite, Store
-from lodestar.sources.folders import list_folder, with_content
+from lodestar.sources.contents import with_content
+from lodestar.sources.folders import list_folder
 from lodestar.storage import discard, materialise
 
 log = logging.getLogger(__name__)
@@ -27,10 +29,12 @@ class Settings:
     stop_words: tuple[str, ...] = sparse.STOP_WORDS
     #: Hash files also where the time is the same.
     force_hash: bool = False
+    #: An accumulator of Spark's, which counts the files that are read.
+    read: object = None
 
 
 def actions(listing: DataFrame, files: DataFrame, settings: Settings, folder: str | None = None) -> DataFrame:
-    """(file_path, action, mtime, file_hash, text, old_chunks) of every path.
+    """(file_path, action, mtime, size, file_hash, old_chunks) of every path.
 
     Only files that are new or whose time differs are read. One that has gone
     since the listing counts as deleted if it was indexed, and else as skipped.
@@ -38,21 +42,24 @@ def actions(listing: DataFrame, files: DataFrame, settings: Settings, folder: st
     first = diff.by_listing(listing, files)
     if settings.force_hash:
         first = first.withColumn("action", F.when((F.col("action") == "skip"), "check").otherwise(F.col("action")))
-    reads = with_content(first.filter(F.col("action").isin("add", "check")), folder=folder).drop("content")
+    first = materialise(first, "listed")  # the listing isn't walked again for each use
+    reads = with_content(first.filter(F.col("action").isin("add", "check")), folder=folder, read=settings.read).drop("content", "text")
     settled = (
         F.when(~F.col("found"), F.when(F.col("action") == "add", "skip").otherwise("delete"))
         .when(F.col("action") == "add", "add")
         .when(F.col("file_hash") == F.col("old_hash"), F.when(F.col("mtime") == F.col("old_mtime"), "skip").otherwise("touch"))
         .otherwise("update")
     )
-    columns = ("file_path", "action", "mtime", "file_hash", "text", "old_chunks")
-    unread = first.filter(~F.col("action").isin("add", "check")).withColumns({"file_hash": F.col("old_hash"), "text": F.lit(None).cast("string")})
+    columns = ("file_path", "action", "mtime", "size", "file_hash", "old_chunks")
+    unread = first.filter(~F.col("action").isin("add", "check")).withColumn("file_hash", F.col("old_hash"))
     return reads.withColumn("action", settled).select(*columns).unionByName(unread.select(*columns))
 
 
-def points_of(files: DataFrame, collection: str, settings: Settings) -> DataFrame:
-    """Points of files(file_path, text): chunked, titled, with ids and vectors."""
-    cut = chunking.chunk_files(files.select("file_path", "text"), tokenizer_file=settings.tokenizer_file)
+def points_of(files: DataFrame, collection: str, settings: Settings, read: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Points of files(file_path, text): chunked, titled, with ids and vectors. With ``read`` files come
+    without texts, and it reads them."""
+    texts = (lambda paths: read(paths).select("file_path", "text")) if read else None
+    cut = chunking.chunk_files(files if read else files.select("file_path", "text"), tokenizer_file=settings.tokenizer_file, read=texts)
     titled = cut.withColumnRenamed("file_path", "source_file").withColumn("title", stem(F.col("source_file")))
     return titled.select(
         point_id(F.lit(collection), F.col("source_file"), F.col("chunk_index")).alias("id"), "source_file", "chunk_index", "total_chunks", "title", "text",
@@ -75,7 +82,7 @@ def sync(spark: SparkSession, store: Store, folder: str, settings: Settings, ign
         listing, files = (df.join(only.select("file_path").distinct(), "file_path", "left_semi") for df in (listing, files))
     if part is not None:
         listing, files = (df.filter(F.pmod(F.xxhash64("file_path"), F.lit(part[0])) == part[1]) for df in (listing, files))
-    found = materialise(actions(listing, files, settings, folder).drop("text"), "actions")
+    found = materialise(actions(listing, files, settings, folder), "actions")
     counts = {r["action"]: r["count"] for r in found.groupBy("action").count().collect()}
     if base and not rebuild and not set(counts) - {"skip"}:
         discard(found)
@@ -103,7 +110,7 @@ def _write(store: Store, base: int, files: DataFrame, found: DataFrame, folder:
     """The version after ``base``, from the files' states in it and the actions found."""
     now = time.time()
     changed = found.filter(F.col("action").isin("add", "update"))
-    new_points = materialise(points_of(with_content(changed.select("file_path"), folder=folder), store.name, settings), "points")
+    new_points = materialise(points_of(changed.select("file_path", "size"), store.name, settings, lambda paths: with_content(paths, folder=folder, read=settings.read)), "points")
     postings = sparse.postings(new_points, keep=("source_file",), stop_words=settings.stop_words).select("term", "id", "source_file", "weight")
     n = new_points.groupBy(F.col("source_file").alias("file_path")).agg(F.count("*").alias("n"))
     rows = changed.join(n, "file_path", "left").select("file_path", "file_hash", F.col("mtime").alias("file_mtime"), F.coalesce("n", F.lit(0)).cast("int").alias("chunk_count"), F.lit(now).alias("last_indexed_at"))

@@ -28,7 +28,8 @@ from lodestar.operators.store import ConcurrentWrite, Store, delete, replace, up
 from lodestar.operators.sync import Settings, points_of
 from lodestar.plans import retrieval
 from lodestar.sources import tables
-from lodestar.sources.folders import list_folder, with_content
+from lodestar.sources.contents import with_content
+from lodestar.sources.folders import list_folder
 from lodestar.sources.logs import tail
 from lodestar.sources.tables import spread
 from lodestar.schemas import FILES, POINTS, POSTINGS

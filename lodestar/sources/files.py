@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 def is_local(path: str) -> bool:
     """A bare path: a POSIX mount, read without Hadoop."""
-    return "://" not in path
+    return "://" not in path and not path.startswith("file:")
 
 
 class Files:

@@ -1,11 +1,11 @@
-"""Listing and reading folders of text files.
+"""Listing folders of text files; ``contents`` reads them.
 
 The built-in file sources follow symbolic links and skip names that begin with
 an underscore, so the listing of a POSIX mount is a data source of its own. Subfolders
 are partitions: the driver lists the top, and further down only as far as it
 takes to have PARTS of them; executors walk the rest.
 
-A folder with a scheme (hdfs://, s3a://, file://) is listed and read by Spark's source of
+A folder with a scheme (hdfs://, s3a://, file://) is listed by Spark's source of
 binary files. There are no links there, and names that begin with an underscore are
 skipped, as Spark does.
 """
@@ -16,17 +16,15 @@ import os
 from collections import deque
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from lodestar.functions.text import is_indexable, repaired
+from lodestar.functions.text import is_indexable
 from lodestar.schemas import LISTING
 from lodestar.sources.files import Files, is_local
 
-
 #: Partitions that a listing is to have, where there are so many folders.
 PARTS = 64
 
@@ -102,33 +100,3 @@ def list_folder(spark: SparkSession, folder: str, ignore_patterns: list[str] = (
         spark.dataSource.register(FolderSource)
         listed = spark.read.format("lodestar_folder").load(os.path.abspath(folder))
     return listed.filter(is_indexable(F.col("rel_path"), list(ignore_patterns or ()), list(ignore_extensions or ())))
-
-
-READ = T.StructType().add("content", T.BinaryType()).add("found", T.BooleanType())
-
-
-@F.arrow_udf(READ)
-def _read(path: pa.Array) -> pa.Array:
-    content, found = [], []
-    for p in path.to_pylist():
-        try:
-            with open(p, "rb") as f:
-                content.append(f.read())
-            found.append(True)
-        except OSError:
-            content.append(None)
-            found.append(False)
-    return pa.StructArray.from_arrays([pa.array(content, pa.binary()), pa.array(found)], ["content", "found"])
-
-
-def with_content(files: DataFrame, path: str = "file_path", folder: str | None = None) -> DataFrame:
-    """``files`` with content, file_hash, text and found (false where the file has gone).
-
-    Files of a ``folder`` with a scheme are read by Spark and joined by their path.
-    """
-    if folder is not None and not is_local(folder):
-        whole = files.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-        read = files.join(whole.select(F.col("path").alias(path), "content"), path, "left").withColumn("found", F.col("content").isNotNull())
-    else:
-        read = files.withColumn("_r", _read(F.col(path))).withColumns({"content": F.col("_r.content"), "found": F.col("_r.found")}).drop("_r")
-    return read.withColumn("file_hash", F.sha2("content", 256)).withColumn("text", repaired(F.col("content")))

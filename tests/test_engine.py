@@ -13,7 +13,8 @@ from lodestar.operators.store import ConcurrentWrite, Store, upsert
 from lodestar.operators.sync import Settings
 from lodestar.plans import retrieval
 from lodestar.service import Engine
-from lodestar.sources.folders import list_folder, with_content
+from lodestar.sources.contents import with_content
+from lodestar.sources.folders import list_folder
 
 
 @pytest.fixture
@@ -613,3 +614,64 @@ def test_sparse_topk_equals_brute_force(spark, monkeypatch):
         assert rows(retrieval.sparse_topk(sparse.postings(points), asked, 7, few_terms=1000)) == want
         assert rows(retrieval.sparse_topk(sparse.vectors(points), asked, 7)) == want
     assert retrieval.sparse_topk(sparse.vectors(points.limit(0)), asked, 7).count() == 0 and retrieval.sparse_topk(sparse.postings(points), asked.limit(0), 7).count() == 0
+
+
+# ---- contents
+
+
+def test_one_changed_file_among_many_is_read_alone(spark, tmp_path):
+    from lodestar.sources.contents import write_files
+
+    root = tmp_path / "many"
+    docs = spark.range(10_000).select(F.format_string("d%d/f%d.md", F.col("id") % 20, "id").alias("rel_path"), F.format_string("text %d", "id").alias("content"), F.lit(5.0).alias("at"))
+    assert write_files(docs, str(root), mtime="at") == 10_000
+    read = spark.sparkContext.accumulator(0)
+    for place, path in (("bare", str(root)), ("far", f"file://{root}")):
+        engine = Engine(spark, str(tmp_path / place), Settings(HashingEmbedder(8), read=read))
+        assert engine.add("kb", path)["added"] == 10_000
+        (root / "d3" / "f3.md").write_text(f"changed for {place}")
+        before = read.value
+        assert engine.sync("kb") == {"added": 0, "updated": 1, "deleted": 0}
+        assert read.value - before == 2  # once to compare and once to cut
+        assert engine.sync("kb")["updated"] == 0 and read.value - before == 2
+        os.utime(root / "d3" / "f3.md", (5, 5))
+
+
+def test_contents_stream_one_file_at_a_time(monkeypatch, tmp_path):
+    import pyarrow as pa
+
+    from lodestar.sources import contents
+
+    monkeypatch.setattr(contents, "FLUSH", 100)
+    sizes = [10, 20, 500, 30, 80, 5]
+    for k, n in enumerate(sizes):
+        (tmp_path / f"{k}.txt").write_bytes(b"x" * n)
+    names = [str(tmp_path / f"{k}.txt") for k in range(6)] + [str(tmp_path / "gone.txt"), None]
+    batch = pa.RecordBatch.from_arrays([pa.array(names), pa.array(range(8))], ["file_path", "k"])
+    got = list(contents._reader("file_path")(iter([batch])))
+    assert [[len(c or b"") for c in b.column("content").to_pylist()] for b in got] == [[10, 20, 500], [30, 80], [5, 0, 0]]
+    assert [k for b in got for k in b.column("k").to_pylist()] == list(range(8)) and got[-1].column("found").to_pylist() == [True, False, False]
+
+
+def test_files_are_dealt_by_bytes(spark, monkeypatch):
+    from lodestar.sources import contents
+
+    files = spark.range(1000).select(F.format_string("/none/%d", "id").alias("file_path"), F.lit(1 << 20).alias("size"))
+    assert contents._tasks(files) == 16 and contents._tasks(files.drop("size")) == 1 and contents._tasks(files.limit(0)) == 1
+    assert with_content(files).rdd.getNumPartitions() == 16
+
+
+@pytest.mark.parametrize("most", [1000, 2])
+def test_contents_by_sparks_own_source(spark, tmp_path, monkeypatch, most):
+    """Where workers can't open a path, Spark reads the named files only."""
+    from lodestar.sources import contents
+
+    monkeypatch.setattr(contents, "workers_can_open", lambda folder: False)
+    monkeypatch.setattr(contents, "PATHS", most)
+    for name in ("a.md", "b[1].md", "c{2}.md", "d.md"):
+        (tmp_path / name).write_text(f"text of {name}\r\n")
+    rows = [(f"file:{tmp_path}/{n}", k) for k, n in enumerate(("a.md", "b[1].md", "c{2}.md", "gone.md", "a.md"))]
+    got = with_content(spark.createDataFrame(rows, "file_path string, k int"), folder=f"file://{tmp_path}")
+    assert sorted((r.k, r.text, r.found) for r in got.collect()) == [(0, "text of a.md\n", True), (1, "text of b[1].md\n", True), (2, "text of c{2}.md\n", True), (3, None, False), (4, "text of a.md\n", True)]
+    if most > 2:
+        assert not any("d.md" in f for f in got.inputFiles())
