@@ -1,48 +1,70 @@
-"""Versioned snapshots of a collection: points, postings and file states.
+"""Versioned collections, merged on read: points, postings, codes and file states.
 
-A version is a small file that names, for each table and bucket of files, the folder of
-Parquet files that holds it. Folders never change. So points and file states
-can't diverge, a reader keeps the version it began with, and a failed write leaves
+A version is a small file that names, for each table, its segments in the order of their making. A segment
+holds new rows and marks, the paths of the files whose earlier rows have gone. A row
+counts unless a later segment marks its file. So a change writes what has changed and no more,
+and its cost doesn't depend on the collection's size.
+
+``compact`` merges the newest segments when there are FAN of about one size, so a row is written
+anew a number of times that grows with the logarithm of the collection; marks go when they are merged with the
+oldest segment. Within a segment rows are dealt to files by their bytes and sorted.
+
+Segments never change. Points and file states of a version can't diverge, a
+reader keeps the version it began with, also while segments are merged, and a failed write leaves
 the last version in place. The file of a version can be created once only, and
 each attempt writes to folders of its own, so of two writers of one version the
-second fails.
-
-Rows are dealt to buckets by a hash of their file's path. A change of some files
-writes the buckets of these files anew, and the new version names the old folders of
-all others. A version that can't be read (its file is broken, or a folder it names
-has gone) is passed over, and the last good one counts.
+second fails; a merge that another commit has overtaken is put on top of it. A version that can't be
+read (its file is broken, or a segment has gone or isn't as long as it was) is
+passed over, and the last good one counts.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import os
 import time
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.schemas import FILES, POINTS, POSTINGS
+from lodestar.schemas import CODES, FILES, POINTS, POSTINGS
 from lodestar.sources.files import Files
 
-TABLES: dict[str, T.StructType] = {"points": POINTS, "postings": POSTINGS, "files": FILES}
-#: The column of a table that tells the file a row belongs to, and the order of rows in a folder.
-KEYS = {"points": "source_file", "postings": "source_file", "files": "file_path"}
-ORDER = {"points": ("source_file", "chunk_index"), "postings": ("term",), "files": ("file_path",)}
-BUCKETS = 64
+TABLES: dict[str, T.StructType] = {"points": POINTS, "postings": POSTINGS, "files": FILES, "codes": CODES}
+#: The column of a table that tells the file a row belongs to, and the order of rows in a file of a segment; the first column deals rows to them.
+KEYS = {"points": "source_file", "postings": "source_file", "files": "file_path", "codes": "source_file"}
+ORDER = {"points": ("source_file", "chunk_index"), "postings": ("term",), "files": ("file_path",), "codes": ("cell", "id")}
+#: Segments of about one size that are merged, bytes of the smallest size, and marks that readers broadcast at most.
+FAN, SMALL, MARKS = 8, 32 << 20, 100_000
 
 
 class ConcurrentWrite(RuntimeError):
     """Another writer committed the version this one was based on."""
 
 
+def due(segments: list[dict], fan: int = FAN) -> int | None:
+    """Where the run of newest segments begins that is to be merged; None if there is none.
+
+    A run has ``fan`` segments of one size, and newer ones of smaller sizes.
+    """
+    level = [0 if s["bytes"] < SMALL else 1 + int(math.log(s["bytes"] / SMALL, fan)) for s in segments]
+    if len(segments) > 1 and sum(s["marks"] for s in segments) > MARKS:
+        return 0
+    for top in sorted(set(level)):
+        run = next((k for k in range(len(level), 0, -1) if level[k - 1] > top), 0)
+        if level[run:].count(top) >= fan:
+            return run
+    return None
+
+
 class Store:
     """One collection's tables below ``root/name``, a path of any file system of the session."""
 
-    def __init__(self, spark: SparkSession, root: str, name: str, buckets: int = BUCKETS):
-        self.spark, self.name, self.buckets = spark, name, buckets
+    def __init__(self, spark: SparkSession, root: str, name: str, fan: int = FAN):
+        self.spark, self.name, self.fan = spark, name, fan
         self.path = os.path.join(root, name)
         self.files = Files(spark)
 
@@ -57,10 +79,11 @@ class Store:
         text = self.files.read(os.path.join(self.path, "versions", f"{version}.json"))
         try:
             found = json.loads(text or "")
-            folders = {os.path.join(self.path, t, a) for t in TABLES for a in set(found["tables"][t].values())}
+            whole = all(self.files.size(os.path.join(self.path, t, s["folder"])) == s["length"] for t in found["tables"] for s in found["tables"][t])
+            whole = whole and (found["model"] is None or self.files.exists(os.path.join(self.path, "models", found["model"])))
         except (ValueError, KeyError, TypeError, AttributeError):
             return None
-        return found if all(map(self.files.exists, folders)) else None
+        return found if whole else None
 
     def version(self) -> int:
         """The last version that can be read; 0 before the first commit or after ``drop``."""
@@ -71,91 +94,180 @@ class Store:
         good = self.version()
         return [v for v in self._numbers() if v > good]
 
-    # ---- reading
+    def segments(self, table: str, version: int | None = None) -> list[dict]:
+        """folder, seq, bytes, rows and marks of a table's segments, the oldest first."""
+        v = self.version() if version is None else version
+        return (self._manifest(v) or {}).get("tables", {}).get(table, []) if v else []
 
-    def read(self, table: str, version: int | None = None) -> DataFrame:
-        """A table of a version; an empty one with its schema if there is none."""
+    def model(self, version: int | None = None) -> dict | None:
+        """What the codes of a version were made with."""
         v = self.version() if version is None else version
-        return self._read(table, (self._manifest(v) or {}).get("tables", {}).get(table, {}) if v else {})
+        name = (self._manifest(v) or {}).get("model") if v else None
+        return json.loads(self.files.read(os.path.join(self.path, "models", name))) if name else None
 
-    def _read(self, table: str, folders: dict[str, str]) -> DataFrame:
-        if not folders:
-            return self.spark.createDataFrame([], TABLES[table])
-        paths = [os.path.join(self.path, table, attempt, f"bucket={b}") for b, attempt in sorted(folders.items(), key=lambda x: int(x[0]))]
-        return self.spark.read.schema(TABLES[table]).parquet(*paths)
+    # ---- reading
 
-    def _bucket(self, key: Column) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+    def read(self, table: str, version: int | None = None) -> DataFrame:
+        """A table of a version; an empty one with its schema if there is none."""
+        return self._live(table, self.segments(table, version))
+
+    def _live(self, table: str, segments: list[dict]) -> DataFrame:
+        """The rows that no later segment marks."""
+        schema, key = TABLES[table], KEYS[table]
+        rows = [s for s in segments if s["rows"]]
+        if not rows:
+            return self.spark.createDataFrame([], schema)
+        newest = max((s["seq"] for s in segments if s["marks"]), default=-1)
+        scan = lambda s: self.spark.read.schema(schema).parquet(os.path.join(self.path, table, s["folder"], "rows"))
+        out = [scan(s) for s in rows if s["seq"] >= newest]
+        older = [scan(s).withColumn("_seq", F.lit(s["seq"])) for s in rows if s["seq"] < newest]
+        if older:
+            marks = self._marks(table, segments)
+            marks = F.broadcast(marks) if sum(s["marks"] for s in segments) <= MARKS else marks
+            both = _union(older)
+            out.append(both.join(marks, (both[key] == marks["_key"]) & (both["_seq"] < marks["_at"]), "left_anti").drop("_seq"))
+        return _union(out)
+
+    def _marks(self, table: str, segments: list[dict]) -> DataFrame:
+        """(_key, _at): the last segment that marks each file."""
+        schema = T.StructType().add("_key", T.StringType()).add("_at", T.LongType())
+        paths = [os.path.join(self.path, table, s["folder"], "marks") for s in segments if s["marks"]]
+        found = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return found.groupBy("_key").agg(F.max("_at").alias("_at"))
 
     # ---- writing
 
-    def _write(self, table: str, attempt: str, df: DataFrame) -> dict[str, str]:
-        """Write rows by bucket; {bucket: attempt} of the buckets that got some."""
-        key, folder = KEYS[table], os.path.join(self.path, table, attempt)
-        rows = df.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[table]]).withColumn("bucket", self._bucket(F.col(key)))
-        # A bucket goes to several tasks, so that a large one isn't a single one's; equality on the file or term prunes row groups.
-        dealt = rows.repartition("bucket", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(4))).sortWithinPartitions("bucket", *ORDER[table])
-        dealt.write.partitionBy("bucket").parquet(folder)
-        return {n.removeprefix("bucket="): attempt for n in self.files.names(folder) if n.startswith("bucket=")}
+    def _write(self, table: str, attempt: str, seq: int, rows: DataFrame | None, marks: DataFrame | None) -> dict | None:
+        """A segment of these rows and marks; None if there are none."""
+        folder, made = os.path.join(self.path, table, attempt), {"folder": attempt, "seq": seq, "rows": 0, "marks": 0, "bytes": 0}
+        if rows is not None:
+            order = ORDER[table]
+            cast = rows.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[table]])
+            cast.hint("rebalance", order[0]).sortWithinPartitions(*order).write.parquet(os.path.join(folder, "rows"))
+            made["rows"] = self.spark.read.schema(TABLES[table]).parquet(os.path.join(folder, "rows")).count()
+            made["bytes"] = self.files.size(os.path.join(folder, "rows"))
+        if marks is not None:
+            marks.hint("rebalance").write.parquet(os.path.join(folder, "marks"))
+            made["marks"] = self.spark.read.schema(marks.schema).parquet(os.path.join(folder, "marks")).count()
+        if not made["rows"] and not made["marks"]:
+            self.files.delete(folder)
+            return None
+        return made | {"length": self.files.size(folder)}
 
-    def _publish(self, base: int, attempt: str, tables: dict[str, dict[str, str]], written: list[str]) -> int:
+    def _publish(self, base: int, attempt: str, tables: dict[str, list[dict]], model: str | None) -> int:
         new = max(self._numbers(), default=0) + 1 if self.version() == base else base + 1
-        manifest = {"attempt": attempt, "at": time.time(), "buckets": self.buckets, "tables": tables}
+        manifest = {"attempt": attempt, "at": time.time(), "tables": tables, "model": model}
         if self.version() != base or not self.files.create(os.path.join(self.path, "versions", f"{new}.json"), json.dumps(manifest)):
-            for table in written:
-                self.files.delete(os.path.join(self.path, table, attempt))
             raise ConcurrentWrite(f"{self.name} is at version {self.version()}, not {base}")
         return new
 
-    def _begin(self, base: int) -> tuple[str, dict[str, dict[str, str]]]:
+    def _begin(self, base: int) -> tuple[str, dict]:
         if (now := self.version()) != base:
             raise ConcurrentWrite(f"{self.name} is at version {now}, not {base}")
         old = self._manifest(base) if base else None
-        if old and old["buckets"] != self.buckets:
-            self.buckets = old["buckets"]
-        return f"v={base + 1}-{uuid.uuid4().hex[:12]}", {t: dict(old["tables"][t]) if old else {} for t in TABLES}
+        return self._attempt(base), old or {"tables": {t: [] for t in TABLES}, "model": None}
 
-    def commit(self, base: int, **tables: DataFrame) -> int:
-        """A new version after ``base``, with these tables whole; the others stay as they are."""
-        attempt, named = self._begin(base)
+    def _attempt(self, base: int) -> str:
+        return f"v={base + 1}-{int(time.time())}-{uuid.uuid4().hex[:12]}"
+
+    def _save_model(self, model: dict | None) -> str | None:
+        if model is None:
+            return None
+        name = f"{int(time.time())}-{uuid.uuid4().hex[:12]}.json"
+        self.files.replace(os.path.join(self.path, "models", name), json.dumps(model))
+        return name
+
+    def _finish(self, base: int, attempt: str, tables: dict, model: str | None, written: list[str]) -> int:
+        try:
+            return self._publish(base, attempt, tables, model)
+        except BaseException:
+            for table in written:
+                self.files.delete(os.path.join(self.path, table, attempt))
+            raise
+
+    def commit(self, base: int, model: dict | None = None, **tables: DataFrame) -> int:
+        """A new version after ``base``, with these tables whole; the others stay as they are, but for codes,
+        which belong to the points and ``model``."""
+        attempt, old = self._begin(base)
+        named = {t: old["tables"].get(t, []) for t in TABLES}
+        kept = old["model"]
+        if "points" in tables or "codes" in tables:
+            named["codes"], kept = [], self._save_model(model)
         for table, df in tables.items():
-            named[table] = self._write(table, attempt, df)
-        return self._publish(base, attempt, named, list(tables))
+            seq = 1 + max((s["seq"] for s in named[table]), default=0)
+            made = self._write(table, attempt, seq, df, None)
+            named[table] = [made] if made else []
+        return self._finish(base, attempt, named, kept, list(tables))
 
     def change(self, base: int, **changes: tuple[DataFrame, DataFrame]) -> int:
         """A new version after ``base``, in which the rows of some files are others.
 
         For each table: (keys, rows), where ``keys`` has the paths whose rows go, and ``rows``
-        are the new ones. Only the buckets of these paths are read and written.
+        are the new ones. Nothing else is read or written.
         """
-        attempt, named = self._begin(base)
-        written = []
+        attempt, old = self._begin(base)
+        named = {t: list(old["tables"].get(t, [])) for t in TABLES}
         for table, (keys, rows) in changes.items():
-            key = KEYS[table]
-            keys = keys.select(F.col(keys.columns[0]).alias(key))
-            places = keys.select(self._bucket(F.col(key)).alias("b")).unionByName(rows.select(self._bucket(F.col(key)).alias("b"))).distinct()
-            touched = {str(r.b) for r in places.collect()}  # as many as there are buckets, at most
-            if not touched:
+            seq = 1 + max((s["seq"] for s in named[table]), default=0)
+            marks = keys.select(F.col(keys.columns[0]).cast("string").alias("_key")).distinct().withColumn("_at", F.lit(seq).cast("long")) if named[table] else None
+            made = self._write(table, attempt, seq, rows, marks)
+            named[table] += [made] if made else []
+        return self._finish(base, attempt, named, old["model"], list(changes))
+
+    def compact(self, whole: bool = False) -> int:
+        """Merge what is due, or with ``whole`` all segments of each table; how many were merged."""
+        merged = 0
+        for table in TABLES:
+            segments = self.segments(table)
+            start = 0 if whole and len(segments) > 1 else due(segments, self.fan)
+            if start is None:
+                continue
+            run = segments[start:]
+            attempt = self._attempt(self.version())
+            marks = self._marks(table, run) if start and any(s["marks"] for s in run) else None
+            made = self._write(table, attempt, run[-1]["seq"], self._live(table, run), marks)
+            if self._swap(table, run, made):
+                merged += len(run)
+            elif made:
+                self.files.delete(os.path.join(self.path, table, attempt))
+        return merged
+
+    def _swap(self, table: str, run: list[dict], made: dict | None, times: int = 5) -> bool:
+        """A version with ``made`` in the place of ``run``, on top of whatever was committed meanwhile."""
+        for _ in range(times):
+            base = self.version()
+            now = self._manifest(base)
+            segments = now["tables"].get(table, []) if now else []
+            at = next((k for k in range(len(segments)) if segments[k : k + len(run)] == run), None)
+            if at is None:
+                return False
+            tables = now["tables"] | {table: segments[:at] + ([made] if made else []) + segments[at + len(run) :]}
+            try:
+                self._publish(base, now["attempt"], tables, now["model"])
+                return True
+            except ConcurrentWrite:
                 continue
-            old = self._read(table, {b: a for b, a in named[table].items() if b in touched})
-            columns = [f.name for f in TABLES[table]]
-            new = self._write(table, attempt, replace(old, keys, rows.select(*columns), key))
-            named[table] = {b: a for b, a in named[table].items() if b not in touched} | new
-            written.append(table)
-        return self._publish(base, attempt, named, written)
-
-    def vacuum(self, keep: int = 2) -> None:
-        """Remove all but the last ``keep`` good versions, and what failed writes left."""
-        good = [v for v in self._numbers() if self._manifest(v) is not None]
-        kept = good[-keep:]
-        named = {(t, a) for v in kept for t, of in self._manifest(v)["tables"].items() for a in of.values()}
+        return False
+
+    def vacuum(self, keep: int = 2, seconds: float = 0.0) -> None:
+        """Remove all but the last ``keep`` good versions and those of the last ``seconds``, and what failed writes
+        left before that."""
+        good, since = {v: m for v in self._numbers() if (m := self._manifest(v)) is not None}, time.time() - seconds
+        kept = {v: m for v, m in good.items() if v in sorted(good)[-keep:] or (seconds and m["at"] > since)}
+        named = {(t, s["folder"]) for m in kept.values() for t, of in m["tables"].items() for s in of}
+        known = {(t, s["folder"]) for m in good.values() for t, of in m["tables"].items() for s in of}
         for v in self._numbers():
             if v not in kept:
                 self.files.delete(os.path.join(self.path, "versions", f"{v}.json"))
         for table in TABLES:
             for attempt in self.files.names(os.path.join(self.path, table)):
-                if (table, attempt) not in named:
+                young = seconds and int(attempt.split("-")[1]) > since
+                if (table, attempt) not in named and ((table, attempt) in known or not young):
                     self.files.delete(os.path.join(self.path, table, attempt))
+        models = {m["model"] for m in kept.values()}
+        for name in self.files.names(os.path.join(self.path, "models")):
+            if name not in models and not (seconds and name.split("-")[0].isdigit() and int(name.split("-")[0]) > since):
+                self.files.delete(os.path.join(self.path, "models", name))
 
     def create(self) -> int:
         """An empty first version; nothing if there is one."""
@@ -171,6 +283,13 @@ class Store:
         return self.read("points").filter(F.col("source_file") == source_file).orderBy("chunk_index").limit(limit)
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str | list[str]) -> DataFrame:
     """Rows of ``new``, and those of ``old`` whose key isn't there."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)

@@ -69,7 +69,7 @@ def points_of(files: DataFrame, collection: str, settings: Settings, read: Calla
 def sync(spark: SparkSession, store: Store, folder: str, settings: Settings, ignore_patterns: list[str] = (), ignore_extensions: list[str] = (), rebuild: bool = False, only: DataFrame | None = None, part: tuple[int, int] | None = None) -> dict[str, int]:
     """Read version N, write version N + 1; {added, updated, deleted}.
 
-    Nothing is written if nothing changed, and else the buckets of changed files only.
+    Nothing is written if nothing changed, and else the rows of changed files only.
     Files that become blank lose their points, and are recorded with 0 chunks, so that
     they aren't tried again. ``only`` (file_path) restricts all this to some files,
     ``part`` (n, k) to a hash's share of them. The contents are read where they are

@@ -19,6 +19,15 @@ POSTINGS = T.StructType([
     T.StructField("weight", T.DoubleType(), False),
 ])
 
+#: A point's cell and code in the approximate index of vectors.
+CODES = T.StructType([
+    T.StructField("id", T.StringType(), False),
+    T.StructField("source_file", T.StringType(), False),
+    T.StructField("cell", T.IntegerType(), False),
+    T.StructField("code", T.BinaryType(), False),
+    T.StructField("dense", T.ArrayType(T.FloatType())),
+])
+
 FILES = T.StructType([
     T.StructField("file_path", T.StringType(), False),
     T.StructField("file_hash", T.StringType()),

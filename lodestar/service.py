@@ -24,6 +24,7 @@ from lodestar.sources.files import is_local
 from lodestar.streaming.watch import POLL_SECONDS, Watcher
 
 SPARSE_MODEL = "tf-saturation"
+KEEP_SECONDS = 3600.0
 
 
 class Busy(RuntimeError):
@@ -39,6 +40,8 @@ class Engine:
         self.catalog = Catalog(spark, home)
         self.poll_seconds = poll_seconds
         self.watchers: dict[str, Watcher] = {}
+        #: Versions that are kept after another has been committed: two, and those of so many seconds.
+        self.keep_seconds = KEEP_SECONDS
         self.queue = TaskQueue(self._index)
         self._busy: Counter[str] = Counter()
         self._turns: dict[str, threading.Lock] = defaultdict(threading.Lock)
@@ -76,7 +79,16 @@ class Engine:
     def _run(self, name: str, **options) -> dict[str, int]:
         entry = self.catalog.get(name)
         with self._working(name):
-            return self._again(lambda: sync_apart(self.spark, self.store(name), entry["folder_path"], self.settings, entry["ignore_patterns"], entry["ignore_extensions"], **options))
+            counts = self._again(lambda: sync_apart(self.spark, self.store(name), entry["folder_path"], self.settings, entry["ignore_patterns"], entry["ignore_extensions"], **options))
+            self._tidy(name, counts)
+            return counts
+
+    def _tidy(self, name: str, counts: dict[str, int]) -> None:
+        """Merge segments that are due and remove what no version of late needs, if anything was written."""
+        store = self.store(name)
+        if any(counts.values()) or len(store._numbers()) > 2:
+            store.compact()
+            store.vacuum(2, self.keep_seconds)
 
     def _sync(self, name: str, rebuild: bool = False) -> dict[str, int]:
         return self._run(name, rebuild=rebuild)
@@ -86,7 +98,9 @@ class Engine:
         entry = self.catalog.get(name)
         with self._working(name):
             only = self.spark.createDataFrame([(p,) for p in paths], "file_path string")
-            return self._again(lambda: sync(self.spark, self.store(name), entry["folder_path"], self.settings, entry["ignore_patterns"], entry["ignore_extensions"], only=only))
+            counts = self._again(lambda: sync(self.spark, self.store(name), entry["folder_path"], self.settings, entry["ignore_patterns"], entry["ignore_extensions"], only=only))
+            self._tidy(name, counts)
+            return counts
 
     def enqueue(self, name: str, paths: list[str]) -> int:
         """Have files indexed by a worker; the number accepted."""

@@ -35,6 +35,22 @@ class Files:
         fs, target = self._of(folder)
         return sorted(s.getPath().getName() for s in fs.listStatus(target)) if fs.exists(target) else []
 
+    def size(self, path: str) -> int | None:
+        """Bytes of the files below a folder, hidden ones left out; None if it is absent."""
+        if is_local(path):
+            if not os.path.isdir(path):
+                return None
+            return sum(os.path.getsize(os.path.join(d, n)) for d, _, names in os.walk(path) for n in names if not n.startswith((".", "_")))
+        fs, target = self._of(path)
+        if not fs.exists(target):
+            return None
+        total, found = 0, fs.listFiles(target, True)
+        while found.hasNext():
+            f = found.next()
+            if not f.getPath().getName().startswith((".", "_")):
+                total += f.getLen()
+        return total
+
     def exists(self, path: str) -> bool:
         if is_local(path):
             return os.path.exists(path)

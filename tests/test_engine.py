@@ -290,41 +290,105 @@ def test_dense_topk_equals_brute_force(spark, monkeypatch):
     assert retrieval.dense_topk(points, asked.limit(0), 9).count() == 0 and retrieval.dense_topk(points.limit(0), asked, 9).count() == 0
 
 
-def test_one_changed_file_writes_one_bucket(engine, folder):
+def _file(spark, *paths, hash="h"):
+    return spark.createDataFrame([(p, hash, 1.0, 1, 0.0) for p in paths], Store(spark, "/none", "kb").read("files").schema)
+
+
+def test_a_change_writes_in_proportion_to_the_file(spark, tmp_path):
+    s = Store(spark, str(tmp_path), "kb")
+    docs = spark.range(20_000).select(F.format_string("/d%d", F.col("id") % 2000).alias("source_file"), F.format_string("i%d", "id").alias("id"), F.col("id").cast("int").alias("chunk_index"), F.lit(10).alias("total_chunks"), F.lit("t").alias("title"), F.sha2(F.col("id").cast("string"), 256).alias("text"), F.array(F.lit(1.0)).alias("dense"))
+    s.commit(0, points=docs)
+    whole = s.segments("points")[0]["length"]
+    key = spark.createDataFrame([("/d7",)], "source_file string")
+    new = docs.filter("source_file = '/d7' AND chunk_index < 4000").withColumn("text", F.lit("new"))
+    s.change(1, points=(key, new))
+    old, added = s.segments("points")
+    assert old["length"] == whole and added["length"] < whole / 100 and added["rows"] == 2 and added["marks"] == 1
+    assert {(r.chunk_index, r.text) for r in s.scroll("/d7").collect()} == {(7, "new"), (2007, "new")} and s.read("points").count() == 19_992
+    assert "EqualTo(source_file,/d7)" in s.scroll("/d7")._jdf.queryExecution().toString()
+
+
+def test_segments_are_merged_by_size(spark, tmp_path, monkeypatch):
+    from lodestar.operators import store
+
+    big = lambda n: {"bytes": n * store.SMALL, "marks": 0, "seq": 0}
+    assert store.due([big(100), *[big(0)] * 3], 4) is None and store.due([big(100), *[big(0)] * 4], 4) == 1
+    assert store.due([big(100), *[big(2)] * 4, big(0)], 4) == 1 and store.due([big(100), *[big(2)] * 3, big(0)], 4) is None and store.due([big(0)] * 3, 4) is None
+    s, want = Store(spark, str(tmp_path), "kb", fan=3), {}
+    for k in range(9):
+        paths = [f"/{(k * 5 + j) % 7}" for j in range(3)]
+        gone, put = paths[:1], paths[1:]
+        s.change(s.version(), files=(spark.createDataFrame([(p,) for p in paths], "p string"), _file(spark, *put, hash=f"h{k}")))
+        want = {p: h for p, h in want.items() if p not in gone} | dict.fromkeys(put, f"h{k}")
+        reader = s.version()
+        before = s.read("files", reader)
+        merged = s.compact()
+        assert len(s.segments("files")) <= 3 and bool(merged) == (s.version() != reader)
+        assert {r.file_path: r.file_hash for r in s.read("files").collect()} == want
+        assert {r.file_path: r.file_hash for r in before.collect()} == want  # the reader's version is as it was
+    s.compact(whole=True)
+    assert len(s.segments("files")) == 1 and not s.segments("files")[0]["marks"] and s.segments("files")[0]["rows"] == len(want)
+    # more marks than a reader broadcasts: they are joined, and merged away
+    monkeypatch.setattr(store, "MARKS", 1)
+    s.change(s.version(), files=(spark.createDataFrame([("/0",), ("/1",)], "p string"), _file(spark, "/9")))
+    left = {p for p in want if p not in ("/0", "/1")} | {"/9"}
+    assert {r.file_path for r in s.read("files").collect()} == left
+    assert s.compact() == 2 and {r.file_path for r in s.read("files").collect()} == left
+
+
+def test_a_merge_that_is_overtaken_goes_on_top(spark, tmp_path, monkeypatch):
+    s = Store(spark, str(tmp_path), "kb", fan=2)
+    s.commit(0, files=_file(spark, "/a", "/b"))
+    s.change(1, files=(_file(spark, "/a").select("file_path"), _file(spark, "/a", hash="new")))
+    swap = Store._swap
+
+    def overtaken(self, *args):
+        self.change(self.version(), files=(_file(spark, "/b").select("file_path"), _file(spark, "/c")))
+        return swap(self, *args)
+
+    monkeypatch.setattr(Store, "_swap", overtaken)
+    assert s.compact() == 2
+    assert {(r.file_path, r.file_hash) for r in s.read("files").collect()} == {("/a", "new"), ("/c", "h")} and len(s.segments("files")) == 2
+
+
+def test_one_file_synchronised_again_and_again_leaves_no_more(engine, folder, tmp_path):
+    """The disk doesn't grow, and a search goes on throughout."""
+    engine.keep_seconds = 0
     engine.add("kb", str(folder))
-    store = engine.store("kb")
-    before = store._manifest(store.version())["tables"]
-    (folder / "usage.txt").write_text("Other words.")
-    age(folder / "usage.txt", 50)
-    assert engine.sync("kb")["updated"] == 1
-    after = store._manifest(store.version())["tables"]
-    for table in ("points", "postings", "files"):
-        assert sum(before[table].get(b) != a for b, a in after[table].items()) == 1 and set(before[table]) == set(after[table])
-    age(folder / "usage.txt", 90)  # a touched time leaves points and postings alone
-    engine.sync("kb")
-    last = store._manifest(store.version())["tables"]
-    assert last["points"] == after["points"] and last["postings"] == after["postings"] and last["files"] != after["files"]
-    assert store.read("points").count() == 3 and sorted(r.file_mtime for r in store.read("files").collect()) == sorted(os.stat(folder / n).st_mtime for n in ("intro.md", "usage.txt", "sub/faq.md"))
+    size = lambda: sum(f.stat().st_size for f in (tmp_path / "home").rglob("*") if f.is_file())
+    sizes = []
+    for k in range(12):
+        (folder / "usage.txt").write_text(f"Words of turn {k}.")
+        age(folder / "usage.txt", 50 + k)
+        assert engine.sync("kb")["updated"] == 1
+        sizes.append(size())
+    assert max(sizes[9:]) < 1.5 * max(sizes[:9]) and len(engine.store("kb").segments("points")) <= 8
+    assert len(engine.store("kb")._numbers()) <= 2 and engine.store("kb").read("points").count() == 3
 
 
 def test_a_broken_version_is_passed_over(spark, tmp_path):
     import shutil
 
-    s = Store(spark, str(tmp_path), "kb", buckets=4)
-    file = lambda *p: spark.createDataFrame([(x, "h", 1.0, 1, 0.0) for x in p], s.read("files").schema)
-    s.commit(0, files=file("/a"))
-    s.change(1, files=(file("/b").select("file_path"), file("/b")))
+    s = Store(spark, str(tmp_path), "kb")
+    s.commit(0, files=_file(spark, "/a"))
+    s.change(1, files=(_file(spark, "/b").select("file_path"), _file(spark, "/b")))
     assert {r.file_path for r in s.read("files").collect()} == {"/a", "/b"}
     (tmp_path / "kb" / "versions" / "3.json").write_text("{ not json")
     assert s.version() == 2 and s.broken() == [3]
-    assert s.change(2, files=(file("/a").select("file_path"), file("/c").limit(0))) == 4
+    assert s.change(2, files=(_file(spark, "/a").select("file_path"), _file(spark, "/c").limit(0))) == 4
     assert [r.file_path for r in s.read("files").collect()] == ["/b"] and s.broken() == []
-    attempt = s._manifest(4)["attempt"]
-    s.commit(4, files=file("/z"))
-    shutil.rmtree(tmp_path / "kb" / "files" / s._manifest(5)["attempt"])  # its data has gone
-    assert s.version() == 4 and [r.file_path for r in s.read("files").collect()] == ["/b"] and attempt
+    s.commit(4, files=_file(spark, "/z"))
+    s.commit(5, files=_file(spark, "/y"))
+    part = next((tmp_path / "kb" / "files" / s.segments("files")[0]["folder"]).rglob("part-*"))
+    part.write_bytes(part.read_bytes()[:-5])  # a truncated file
+    assert s.version() == 5
+    shutil.rmtree(tmp_path / "kb" / "files" / s.segments("files")[0]["folder"])  # its data has gone
+    assert s.version() == 4 and [r.file_path for r in s.read("files").collect()] == ["/b"]
     s.vacuum(1)
     assert s._numbers() == [4] and s.read("files").count() == 1
+    s.change(4, files=(_file(spark, "/b").select("file_path"), _file(spark, "/n")))
+    s.vacuum(1, seconds=3600)  # versions and attempts of the last hour stay
+    assert s._numbers() == [4, 5]
 
 
 def test_store_on_a_hadoop_path(spark, tmp_path):
