@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import sparse
 from lodestar.functions.text import embed_input, point_id, stem
-from lodestar.operators import chunking, diff
+from lodestar.operators import chunking, diff, quantised
 from lodestar.operators.store import ConcurrentWrite, Store
 from lodestar.sources.contents import with_content
 from lodestar.sources.folders import list_folder
@@ -114,13 +114,15 @@ def _write(store: Store, base: int, files: DataFrame, found: DataFrame, folder:
     postings = sparse.postings(new_points, keep=("source_file",), stop_words=settings.stop_words).select("term", "id", "source_file", "weight")
     n = new_points.groupBy(F.col("source_file").alias("file_path")).agg(F.count("*").alias("n"))
     rows = changed.join(n, "file_path", "left").select("file_path", "file_hash", F.col("mtime").alias("file_mtime"), F.coalesce("n", F.lit(0)).cast("int").alias("chunk_count"), F.lit(now).alias("last_indexed_at"))
-    if whole:
+    model = store.model(base)
+    if whole:  # an index is fitted anew afterwards, by who had it made
         store.commit(base, points=new_points, postings=postings, files=rows)
     else:
         touched = files.join(found.filter(F.col("action") == "touch").select("file_path", F.col("mtime").alias("_mtime")), "file_path").withColumn("file_mtime", F.col("_mtime")).select(*files.columns)
         left = found.filter(F.col("action").isin("add", "update", "delete")).select("file_path")
         noted = found.filter(F.col("action") != "skip").select("file_path")
-        store.change(base, points=(left, new_points), postings=(left, postings), files=(noted, rows.unionByName(touched)))
+        codes = {"codes": (left, quantised.encoded(new_points, quantised.Model.from_dict(model)))} if model else {}
+        store.change(base, points=(left, new_points), postings=(left, postings), files=(noted, rows.unionByName(touched)), **codes)
     discard(new_points)
 
 

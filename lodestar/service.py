@@ -11,9 +11,8 @@ from contextlib import contextmanager, suppress
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.operators import stats
+from lodestar.operators import quantised, stats
 from lodestar.operators.catalog import Catalog
-from lodestar.operators.cells import CellIndex
 from lodestar.operators.embedding import HashingEmbedder
 from lodestar.operators.store import ConcurrentWrite, Store
 from lodestar.operators.sync import Settings, sync, sync_apart
@@ -76,16 +75,22 @@ class Engine:
                 return work()
         return work()
 
-    def _run(self, name: str, **options) -> dict[str, int]:
+    def _run(self, name: str, rebuild: bool = False, **options) -> dict[str, int]:
         entry = self.catalog.get(name)
         with self._working(name):
-            counts = self._again(lambda: sync_apart(self.spark, self.store(name), entry["folder_path"], self.settings, entry["ignore_patterns"], entry["ignore_extensions"], **options))
+            had = rebuild and self.store(name).model() is not None
+            counts = self._again(lambda: sync_apart(self.spark, self.store(name), entry["folder_path"], self.settings, entry["ignore_patterns"], entry["ignore_extensions"], rebuild=rebuild, **options))
+            if had:
+                self._again(lambda: self._fit(name, None))
             self._tidy(name, counts)
             return counts
 
     def _tidy(self, name: str, counts: dict[str, int]) -> None:
-        """Merge segments that are due and remove what no version of late needs, if anything was written."""
+        """Merge segments that are due and remove what no version of late needs, if anything was written. An
+        index whose collection has grown to twice its size is fitted anew, with more cells."""
         store = self.store(name)
+        if any(counts.values()) and (model := store.model()) is not None and sum(s["rows"] for s in store.segments("points")) > 2 * max(model["points"], 1):
+            self._again(lambda: self._fit(name, None))
         if any(counts.values()) or len(store._numbers()) > 2:
             store.compact()
             store.vacuum(2, self.keep_seconds)
@@ -199,7 +204,7 @@ class Engine:
 
     def search_batch(self, name: str, queries: DataFrame, **options) -> DataFrame:
         """Ranked results for queries(query_id, text); see ``retrieval.search``. With
-        ``probes`` the dense leg searches that many cells of ``build_index``."""
+        ``probes`` the dense leg searches that many cells of the index that ``build_index`` made."""
         self.catalog.get(name)
         store = self.store(name)
         version = store.version()
@@ -210,15 +215,26 @@ class Engine:
         embedded = queries.withColumn("dense", self.settings.embedder.column(F.col("text"), is_query=True))
         return retrieval.search(store.read("points", version), store.read("postings", version), embedded, **options)
 
-    def index(self, name: str, version: int) -> CellIndex:
-        return CellIndex(self.spark, os.path.join(self.home, "collections", name, "cells", f"v={version}"))
+    def index(self, name: str, version: int) -> quantised.Index:
+        """The approximate index of a version; ValueError if there is none."""
+        store = self.store(name)
+        if (model := store.model(version)) is None:
+            raise ValueError(f"there is no index of {name}")
+        return quantised.Index(store.read("codes", version), quantised.Model.from_dict(model))
 
-    def build_index(self, name: str, cells: int = 256) -> None:
-        """Write an approximate index of the collection's current version."""
+    def build_index(self, name: str, cells: int | None = None) -> None:
+        """Fit an approximate index and commit it; later commits keep it in step with the points."""
         self.catalog.get(name)
         with self._working(name):
-            version = self.store(name).version()
-            self.index(name, version).build(self.store(name).read("points", version), cells)
+            self._again(lambda: self._fit(name, cells))
+
+    def _fit(self, name: str, cells: int | None) -> dict[str, int]:
+        store = self.store(name)
+        version = store.version()
+        points = store.read("points", version)
+        model = quantised.fit(points, cells)
+        store.commit(version, model.to_dict(), codes=quantised.encoded(points, model))
+        return {}
 
     def search(self, name: str, query: str, **options) -> list[dict]:
         one = self.spark.createDataFrame([(0, query)], "query_id bigint, text string")

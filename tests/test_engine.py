@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.cli import main
-from lodestar.operators import chunking, stats
+from lodestar.operators import chunking, quantised, stats
 from lodestar.operators.catalog import Catalog
 from lodestar.operators.embedding import HashingEmbedder
 from lodestar.operators.store import ConcurrentWrite, Store, upsert
@@ -554,6 +554,53 @@ def test_search_through_an_index(engine, folder):
     engine.build_index("kb", 2)
     assert engine.search("kb", "lighthouses", probes=2) == engine.search("kb", "lighthouses")
     assert len(engine.search("kb", "the and of")) == 3  # stop words alone: the dense leg only
+    with pytest.raises(ValueError, match="no index"):
+        engine.index("kb", 1)
+    # the index is in step after syncs, and after a rebuild with another model
+    (folder / "new.txt").write_text("zebras graze")
+    (folder / "usage.txt").unlink()
+    engine.sync("kb")
+    ids = lambda t: {r.id for r in engine.store("kb").read(t).collect()}
+    assert ids("codes") == ids("points") and len(ids("codes")) == 3
+    assert engine.search("kb", "zebras", probes=2, top_k=1)[0]["source_file"].endswith("new.txt")
+    model = engine.store("kb").model()
+    for k in range(5):
+        (folder / f"more{k}.txt").write_text(f"animal number {k}")
+    engine.sync("kb")  # twice the size: fitted anew
+    assert engine.store("kb").model() != model and ids("codes") == ids("points") and engine.store("kb").model()["points"] == 8
+    engine.settings.embedder = HashingEmbedder(16)
+    engine.rebuild("kb")
+    assert quantised.Model.from_dict(engine.store("kb").model()).dim == 16 and ids("codes") == ids("points")
+    assert engine.search("kb", "zebras", probes=99, top_k=1) == engine.search("kb", "zebras", top_k=1)
+
+
+def test_quantised_index_recall_and_cases(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 24))
+    made = lambda k: (centres[k % 40] + 0.4 * rng.normal(size=24)).tolist()
+    rows = [(f"p{k:04}", f"/f{k % 200}", made(k)) for k in range(3000)] + [("odd", "/o", None), ("zero", "/o", [0.0] * 24), ("short", "/o", [1.0]), ("nan", "/o", [float("nan")] * 24)]
+    points = spark.createDataFrame(rows, "id string, source_file string, dense array<float>")
+    asked = spark.createDataFrame([(k, made(k)) for k in range(60)] + [(99, None), (98, [0.0] * 24)], "query_id long, dense array<double>")
+    model = quantised.Model.from_dict(json.loads(json.dumps(quantised.fit(points, 48).to_dict())))
+    index = quantised.Index(quantised.encoded(points, model), model)
+    assert index.codes.count() == 3000
+    found = lambda df: {(r.query_id, r.id) for r in df.collect()}
+    exact = retrieval.dense_topk(points, asked, 10)
+    assert found(index.search(asked, 10, 48, refine=300)) == found(exact) and len(found(exact)) == 600
+    recall = len(found(index.search(asked, 10, 8)) & found(exact)) / 600
+    assert recall >= 0.9
+    scores = {(r.query_id, r.id): r.score for r in exact.collect()}
+    assert all(abs(r.score - scores[r.query_id, r.id]) < 2e-6 for r in index.search(asked, 10, 8).collect() if (r.query_id, r.id) in scores)
+    most = quantised.CANDIDATES
+    try:
+        quantised.CANDIDATES = 1600  # several blocks of queries
+        assert found(index.search(asked, 10, 8)) == found(index.search(asked, 10, 8, refine=8))
+    finally:
+        quantised.CANDIDATES = most
+    empty = quantised.fit(points.limit(0))
+    assert quantised.Index(quantised.encoded(points, empty), empty).search(asked, 5, 3).count() == 0
 
 
 # ---- a tiny ONNX model, written by hand: fields of its protocol buffer
