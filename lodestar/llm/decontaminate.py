@@ -50,7 +50,7 @@ SIMILARITY = 0.8
 RADIUS, BLOCKS, BLOCK_BITS = 19, 4, 16
 ITEMS_IN_BLOCK, BYTES_IN_BLOCK = 20_000, 32 << 20
 #: Fingerprints that are probed at once.
-PROBED = 256
+PROBED = 64
 _MASKS = np.array([0] + [sum(1 << b for b in bits) for r in range(1, RADIUS // BLOCKS + 1) for bits in combinations(range(BLOCK_BITS), r)], dtype=np.int64)
 MATCH = T.StructType().add("item_id", T.LongType()).add("start_word", T.IntegerType()).add("end_word", T.IntegerType()).add("similarity", T.DoubleType())
 
