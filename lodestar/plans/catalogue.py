@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import sparse, text, vectors
-from lodestar.operators import chunking, diff, markdown, stats
+from lodestar.operators import chunking, diff, inverted, markdown, quantised, stats
 from lodestar.operators.catalog import Catalog
 from lodestar.operators.cells import CellIndex
 from lodestar.operators.embedding import HashingEmbedder
@@ -28,12 +28,12 @@ from lodestar.operators.store import ConcurrentWrite, Store, delete, replace, up
 from lodestar.operators.sync import Settings, points_of
 from lodestar.plans import retrieval
 from lodestar.sources import tables
-from lodestar.sources.contents import with_content
+from lodestar.sources.contents import bare, with_content, write_files
 from lodestar.sources.folders import list_folder
 from lodestar.sources.logs import tail
 from lodestar.sources.tables import spread
-from lodestar.schemas import FILES, POINTS, POSTINGS
-from lodestar.storage import shared_dir
+from lodestar.schemas import POINTS, POSTINGS
+from lodestar.storage import materialise, shared_dir
 from lodestar.streaming.watch import Watcher
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -330,24 +330,6 @@ def blank_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.filter(~text.is_blank(F.col("text"))).select("doc_id")
 
 
-_NAMES = ["ok-1", "", "a" * 65, "my docs", "my/docs", "my.docs", "@alias", "-start", "_start", "taken", "fine", "x\n"]
-_SQL_NAME = """CASE WHEN name = '' THEN 'name is empty' WHEN length(name) > 64 THEN 'name is longer than 64 characters'
-WHEN NOT regexp_full_match(name, '[a-zA-Z0-9][a-zA-Z0-9_-]*') THEN 'name may hold letters, digits, _ and -, and begins with a letter or digit'
-WHEN name = 'taken' THEN 'name is taken' WHEN folder = '/f/fine' THEN 'folder is taken' END"""
-
-
-@query(f"SELECT name, {_SQL_NAME} AS error FROM (SELECT name, '/f/' || name AS folder FROM (VALUES {', '.join('(' + repr(n) + ')' if n.isprintable() else '(' + repr(n[:-1]) + ' || chr(10))' for n in _NAMES)}) v(name))")
-def name_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(n, f"/f/{n}") for n in _NAMES], "name string, folder string")
-    return rows.select("name", text.name_error(F.col("name"), F.col("folder"), ["taken"], ["/f/fine"]).alias("error"))
-
-
-@query("SELECT * FROM (VALUES (0, 'plain'), (1, 'a' || chr(10) || 'b' || chr(10) || 'c'), (2, 'x' || chr(65533) || 'y'), (3, 'é')) v(k, text)")
-def utf8_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(0, b"plain"), (1, b"a\r\nb\rc"), (2, b"x\xffy"), (3, "é".encode())]
-    return spark.createDataFrame([(k, bytearray(v)) for k, v in rows], "k int, content binary").select("k", text.repaired(F.col("content")).alias("text"))
-
-
 @query("SELECT doc_id, sha256('kb' || chr(0) || source || chr(0) || doc_id) AS id FROM documents")
 def point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
@@ -556,17 +538,6 @@ def latency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumns({c: F.round(c, 6) for c in ("mean", "median")})
 
 
-@query("SELECT * FROM (VALUES (0, false), (1, false), (2, true), (3, true)) v(step, changed)")
-def model_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First run, same models, another dense model, another sparse model."""
-    catalog = Catalog(spark, _home(spark))
-    rows = []
-    for step, models in enumerate((("a", "x"), ("a", "x"), ("b", "x"), ("b", "y"))):
-        rows.append((step, catalog.model_changed(*models)[0]))
-        catalog.save_signature(*models)
-    return spark.createDataFrame(rows, "step int, changed boolean")
-
-
 def _home(spark: SparkSession) -> str:
     """A new folder, with its scheme, in the shared one."""
     return f"{shared_dir(spark)}/home-{uuid.uuid4().hex}"
@@ -585,262 +556,356 @@ def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def _notes(home: str) -> str:
-    """A folder of three notes, and of entries that no listing shows."""
-    folder = os.path.join(home, "notes")
-    os.makedirs(os.path.join(folder, "sub"))
-    os.makedirs(os.path.join(folder, ".git"))
-    for name, body in (("a.md", "# One\n\nfirst text\n"), ("b.txt", "second text"), ("sub/c.md", "# Three\n\nthird text\n"), (".hidden.md", "no"), (".git/x.md", "no"), ("image.png", "no"), ("build.log", "a line")):
-        with open(os.path.join(folder, name), "w") as f:
-            f.write(body)
-    os.symlink(os.path.join(folder, "a.md"), os.path.join(folder, "link.md"))
-    os.symlink(os.path.join(folder, "sub"), os.path.join(folder, "linked"))
-    return folder
+# ---- names, bytes, files, logs and collections, made from the tables ------------------------------
 
+_NAME = "CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN '@' || page_id WHEN 2 THEN 'p-' || page_id WHEN 3 THEN 'p ' || page_id ELSE regexp_replace(url, '[^a-z0-9]', '', 'g') || repeat('x', (page_id % 80)::INT) END"
+_SPARK_NAME = "CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN concat('@', page_id) WHEN 2 THEN concat('p-', page_id) WHEN 3 THEN concat('p ', page_id) ELSE concat(regexp_replace(url, '[^a-z0-9]', ''), repeat('x', cast(page_id % 80 AS int))) END"
 
-@query("SELECT * FROM (VALUES ('a.md', 18::BIGINT, 5.0::DOUBLE), ('b.txt', 11, 5.0), ('sub/c.md', 20, 5.0)) v(rel_path, size, file_mtime)")
-def folder_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A folder's files without links, hidden ones, other suffixes and ignored patterns."""
-    folder = _notes(_local_home(spark))
-    for name in ("a.md", "b.txt", "sub/c.md"):
-        os.utime(os.path.join(folder, name), (5, 5))
-    return list_folder(spark, folder, ["*.log"]).select("rel_path", "size", "file_mtime")
+
+@query(f"""SELECT page_id, CASE WHEN name = '' THEN 'name is empty' WHEN length(name) > 64 THEN 'name is longer than 64 characters'
+WHEN NOT regexp_full_match(name, '[a-zA-Z0-9][a-zA-Z0-9_-]*') THEN 'name may hold letters, digits, _ and -, and begins with a letter or digit'
+WHEN name = 'p-7' THEN 'name is taken' WHEN url LIKE '%page=2%' AND page_id = 12 THEN 'folder is taken' END AS error FROM (SELECT page_id, url, {_NAME} AS name FROM pages)""")
+def name_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rule that a name and folder made from each page break."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.expr(_SPARK_NAME).alias("name"), F.when(F.col("url").contains("page=2"), F.format_string("/p%d", "page_id")).otherwise("/other").alias("folder"))
+    return pages.select("page_id", text.name_error(F.col("name"), F.col("folder"), ["p-7"], ["/p12"]).alias("error"))
 
 
-@query("""SELECT name, CASE WHEN body IS NULL THEN NULL ELSE sha256(body) END AS file_hash, repaired AS text, body IS NOT NULL AS found FROM (VALUES
-('a.txt', 'plain'::VARCHAR, 'plain'::VARCHAR), ('b.txt', 'x' || chr(13) || chr(10) || 'y', 'x' || chr(10) || 'y'), ('gone.txt', NULL, NULL)) v(name, body, repaired)""")
-def file_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contents, hashes and repaired texts of files; one has gone."""
+def _damaged(docs: DataFrame) -> DataFrame:
+    """(doc_id, content): lines of even lengths end as on other systems, every third text ends in a byte that isn't UTF-8."""
+    lines = F.when(F.col("n_chars") % 2 == 0, F.regexp_replace("text", "\n", "\r\n")).otherwise(F.col("text"))
+    return docs.select("doc_id", F.when(F.col("n_chars") % 3 == 0, F.concat(lines.cast("binary"), F.lit(b"\xff"))).otherwise(lines.cast("binary")).alias("content"))
+
+
+_REPAIRED = "text || CASE WHEN n_chars % 3 = 0 THEN chr(65533) ELSE '' END"
+
+
+@query(f"SELECT doc_id, {_REPAIRED} AS text FROM documents")
+def utf8_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line ends and invalid bytes of damaged documents."""
+    return _damaged(table(spark, sf_dir, "documents")).select("doc_id", text.repaired(F.col("content")).alias("text"))
+
+
+@query("""WITH s AS (SELECT row_number() OVER (ORDER BY quality, toxic) - 1 AS k, quality, toxic FROM (SELECT DISTINCT quality, toxic FROM labels))
+SELECT k * 2 AS step, k > 0 AS changed FROM s UNION ALL SELECT k * 2 + 1, false FROM s""")
+def model_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A signature for each pair of labels, looked at twice: a new one counts as a change, but for the first."""
+    catalog, rows = Catalog(spark, _home(spark)), []
+    for q, t in table(spark, sf_dir, "labels").select("quality", "toxic").distinct().orderBy("quality", "toxic").collect():  # four pairs at most
+        for _ in range(2):
+            rows.append((len(rows), catalog.model_changed(f"q{q}", f"t{t}")[0]))
+            catalog.save_signature(f"q{q}", f"t{t}")
+    return _rows(spark, rows, "step bigint, changed boolean")
+
+
+def _home(spark: SparkSession) -> str:
+    """A new folder, with its scheme, in the shared one."""
+    return f"{shared_dir(spark)}/home-{uuid.uuid4().hex}"
+
+
+def _local_home(spark: SparkSession) -> str:
+    """The same as a bare path, for folders of files, where the shared folder is a POSIX mount."""
+    where = bare(spark, _home(spark))
+    os.makedirs(where)
+    return where
+
+
+def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def _as_files(docs: DataFrame, folder: str, path: str = "concat(source, '/', doc_id, '.txt')", content: str = "text", mtime: str = "n_chars") -> int:
+    """Each document as a file below a folder, its length as its time."""
+    return write_files(docs.select(F.expr(path).alias("rel_path"), F.expr(content).alias("content"), F.expr(mtime).cast("double").alias("at")), folder, mtime="at")
+
+
+@query(f"""SELECT p AS rel_path, strlen(text)::BIGINT AS size, n_chars::DOUBLE AS file_mtime FROM (SELECT *, {_PATH} AS p FROM documents)
+WHERE NOT regexp_matches(p, '(^|/)\\.') AND NOT p LIKE '%.pdf' AND NOT p LIKE '%.TXT' AND NOT p LIKE 'build/%'""")
+def folder_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as files, and listed without links, hidden ones, other suffixes and ignored patterns."""
     home = _local_home(spark)
-    for name, body in (("a.txt", b"plain"), ("b.txt", b"x\r\ny")):
-        with open(os.path.join(home, name), "wb") as f:
-            f.write(body)
-    paths = spark.createDataFrame([(n, os.path.join(home, n)) for n in ("a.txt", "b.txt", "gone.txt")], "name string, file_path string")
-    return with_content(paths).select("name", "file_hash", "text", "found")
+    folder = os.path.join(home, "docs")
+    docs = table(spark, sf_dir, "documents")
+    _as_files(docs, folder, _SPARK_PATH)
+    os.symlink(os.path.join(folder, "build"), os.path.join(folder, "linked"))
+    first = docs.agg(F.min(F.expr(_SPARK_PATH))).first()[0]
+    os.symlink(os.path.join(folder, first), os.path.join(folder, "link.md"))
+    return list_folder(spark, folder, ["build/*"], [".txt"]).select("rel_path", "size", "file_mtime")
 
 
-@query("SELECT * FROM (VALUES ('app.log', 0, 56::BIGINT, 'started|ready'), ('app.log', 1, 68, 'caf' || chr(65533) || ' open'), ('gone.log', 0, 0, ''), ('gone.log', 1, 0, '')) v(name, step, position, lines)")
+@query(f"""SELECT doc_id, {_REPAIRED} AS text, n_chars % 3 <> 0 AND n_chars % 2 <> 0 AS same_hash, true AS found FROM documents
+UNION ALL SELECT -1 - page_id, NULL, NULL, false FROM pages""")
+def file_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents and repaired texts of damaged documents as files, and of files that have gone. The hash is that of the
+    text where nothing was damaged (lines too, so texts without line ends are left out of the comparison)."""
+    folder = os.path.join(_local_home(spark), "docs")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    write_files(_damaged(docs).select(F.format_string("%d.txt", "doc_id").alias("rel_path"), "content"), folder)
+    there = docs.select("doc_id", F.concat(F.lit(f"{folder}/"), "doc_id", F.lit(".txt")).alias("file_path"))
+    gone = table(spark, sf_dir, "pages").select((-1 - F.col("page_id")).alias("doc_id"), F.concat(F.lit(f"{folder}/page"), "page_id", F.lit(".txt")).alias("file_path"))
+    read = with_content(there.unionByName(gone))
+    plain = docs.select(F.col("doc_id").alias("_id"), F.sha2("text", 256).alias("_hash"), (~F.col("text").contains("\n")).alias("_one"), "n_chars")
+    both = read.join(plain, F.col("doc_id") == F.col("_id"), "left")
+    # a text of one line has no line end to damage
+    same = (F.col("file_hash") == F.col("_hash")) & ~(F.col("_one") & (F.col("n_chars") % 2 == 0))
+    return both.select("doc_id", "text", F.when(F.col("found"), same).alias("same_hash"), "found")
+
+
+_SQL_LINE = "event_type || ' of ' || user_id || ': ' || event_id"
+
+
+@query(f"""WITH l AS (SELECT event_type || '.log' AS name, event_id, {_SQL_LINE} AS line, (event_id % 2)::INT AS step FROM events),
+s AS (SELECT name, step, string_agg(line, '|' ORDER BY event_id) AS lines, sum(strlen(line) + 1)::BIGINT AS size FROM l GROUP BY ALL)
+SELECT name, step, sum(size) OVER (PARTITION BY name ORDER BY step)::BIGINT AS position, lines FROM s""")
 def log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New lines of a log that grows, and of one that isn't there."""
+    """Events as lines of a log for each type: half of them, then the other half; what is new each time."""
     home, out = _local_home(spark), None
-    files = spark.createDataFrame([(n, os.path.join(home, n), 0) for n in ("app.log", "gone.log")], "name string, path string, position bigint")
-    for step, more in enumerate((b'started\n\n10.0.0.1 - "GET /health HTTP/1.1" 200 OK\nready\n', b"caf\xff open\n \n")):
-        with open(os.path.join(home, "app.log"), "ab") as f:
-            f.write(more)
-        read = tail(files).collect()
-        rows = spark.createDataFrame([(r.name, step, r.position, "|".join(r.lines)) for r in read], "name string, step int, position bigint, lines string")
+    line = F.concat("event_type", F.lit(" of "), "user_id", F.lit(": "), "event_id").alias("line")
+    events = table(spark, sf_dir, "events").select(F.concat("event_type", F.lit(".log")).alias("name"), "event_id", line, (F.col("event_id") % 2).alias("step"))
+    files = events.select("name", F.concat(F.lit(f"{home}/"), "name").alias("path"), F.lit(0).cast("bigint").alias("position")).distinct()
+    for step in range(2):
+        # the log so far; a log in this query is as long as the events of one type
+        logs = events.filter(F.col("step") <= step).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("step", "event_id", "line"))).alias("l"))
+        write_files(logs.select("name", F.concat(F.array_join(F.col("l.line"), "\n"), F.lit("\n")).alias("content")), home, path="name")
+        read = materialise(tail(files), "tail")
+        rows = read.select("name", F.lit(step).alias("step"), "position", F.array_join("lines", "|").alias("lines"))
         out = rows if out is None else out.unionByName(rows)
-        files = spark.createDataFrame([(r.name, r.path, r.position) for r in read], files.schema)
+        files = read.select("name", "path", "position")
     return out
 
 
-@query("""SELECT * FROM (VALUES (0, 'create', 1, 0, 0), (1, 'commit', 2, 2, 1), (2, 'conflict', 2, 2, 1), (3, 'change', 3, 1, 1), (4, 'broken', 3, 1, 1), (5, 'vacuum', 3, 1, 1), (6, 'drop', 0, 0, 0)) v(step, what, version, files, points)""")
+@query("""SELECT doc_id, CASE WHEN quality = 0 THEN 'low' ELSE text END AS text FROM documents LEFT JOIN labels USING (doc_id) WHERE toxic IS DISTINCT FROM 1
+UNION ALL SELECT -1 - item_id, text FROM benchmark""")
 def store_life(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Versions of a collection: made, written, refused, changed, broken, cleaned, dropped."""
-    store = Store(spark, _home(spark), "kb")
-    file = lambda *paths: spark.createDataFrame([(p, "h", 1.0, 1, 0.0) for p in paths], FILES)
-    point = spark.createDataFrame([("i", "/a", 0, 1, "a", "t", [1.0])], POINTS)
-    rows = []
-
-    def note(what: str) -> None:
-        rows.append((len(rows), what, store.version(), store.read("files").count(), store.read("points").count()))
-
+    """Documents as a stored collection; labels as changes, one version for those that go, one for those that become
+    others, one for new ones; merged; a version overtaken, one broken and the old ones cleaned away."""
+    store = Store(spark, _home(spark), "kb", fan=3)
+    docs, marks, items = (table(spark, sf_dir, t) for t in ("documents", "labels", "benchmark"))
+    point = lambda df: df.select(F.col("doc_id").cast("string").alias("id"), F.format_string("doc/%d", "doc_id").alias("source_file"), F.lit(0).alias("chunk_index"), F.lit(1).alias("total_chunks"), F.lit("").alias("title"), "text", F.array().cast("array<float>").alias("dense"))
+    marked = lambda rule: docs.join(marks.filter(rule).select("doc_id"), "doc_id", "left_semi")
     store.create()
-    note("create")
-    store.commit(1, files=file("/a", "/b"), points=point)
-    note("commit")
+    store.commit(1, points=point(docs))
+    bad, low = point(marked("toxic = 1")), point(marked("toxic = 0 AND quality = 0").withColumn("text", F.lit("low")))
+    store.change(2, points=(bad.select("source_file"), bad.limit(0)))
     try:
-        store.commit(1, files=file("/c"))
+        store.change(2, points=(bad.select("source_file"), bad))
+        raise AssertionError("a version was overtaken and not refused")
     except ConcurrentWrite:
-        note("conflict")
-    store.change(2, files=(file("/b").select("file_path"), file("/b").limit(0)))
-    note("change")
-    store.files.create(os.path.join(store.path, "versions", "4.json"), "{")
-    note("broken")
+        pass
+    store.change(3, points=(low.select("source_file"), low))
+    store.compact()
+    new = point(items.select((-1 - F.col("item_id")).alias("doc_id"), "text"))
+    store.change(store.version(), points=(new.select("source_file"), new))
+    store.files.create(os.path.join(store.path, "versions", f"{store.version() + 1}.json"), "{")
     store.vacuum(1)
-    note("vacuum")
-    store.drop()
-    note("drop")
-    return _rows(spark, rows, "step int, what string, version int, files int, points int")
+    return store.read("points").select(F.col("id").cast("bigint").alias("doc_id"), "text")
 
 
-@query("""SELECT * FROM (VALUES (0, 'one', NULL), (1, 'one', 'name is taken'), (2, 'two', 'folder is taken'), (3, 'a b', 'name may hold letters, digits, _ and -, and begins with a letter or digit'),
-(4, 'two', NULL), (5, 'three', NULL), (6, 'four', NULL), (7, 'five', 'there are 4 collections already'), (8, 'five', NULL)) v(step, name, error)""")
+@query("""WITH s AS (SELECT source AS name, row_number() OVER (ORDER BY source) AS k FROM (SELECT DISTINCT source FROM documents))
+SELECT name, 0::BIGINT AS round, CASE WHEN k > 4 THEN 'there are 4 collections already' END AS error FROM s
+UNION ALL SELECT name, 1, CASE WHEN k = 1 THEN NULL WHEN k <= 4 THEN 'name is taken' ELSE 'there are 4 collections already' END FROM s""")
 def registry_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Collections registered, refused, and registered again after one has gone."""
+    """Every source registered as a collection, and again after the first has gone: four have room."""
     catalog, rows = Catalog(spark, _home(spark)), []
-    for step, (name, folder) in enumerate((("one", "/1"), ("one", "/x"), ("two", "/1"), ("a b", "/y"), ("two", "/2"), ("three", "/3"), ("four", "/4"), ("five", "/5"), ("five", "/5"))):
-        if step == 8:
-            catalog.unregister("one")
-        try:
-            catalog.register(name, folder)
-            rows.append((step, name, None))
-        except ValueError as e:
-            rows.append((step, name, str(e)))
-    return _rows(spark, rows, "step int, name string, error string")
-
-
-@query("SELECT * FROM (VALUES (0.5, 0.3, 5, true), (1.0, 0.0, 5, true), (1.1, 0.3, 5, false), (0.5, -0.1, 5, false), (0.5, 0.3, 0, false), (0.5, 0.3, -2, false)) v(w_dense, w_sparse, top_k, accepted)")
+    names = [r.source for r in table(spark, sf_dir, "documents").select("source").distinct().orderBy("source").collect()]  # the catalogue takes four
+    for turn in range(2):
+        if turn:
+            catalog.unregister(names[0])
+        for name in names:
+            try:
+                catalog.register(name, f"/{name}")
+                rows.append((name, turn, None))
+            except ValueError as e:
+                rows.append((name, turn, str(e)))
+    return _rows(spark, rows, "name string, round bigint, error string")
+
+
+@query("""SELECT n_nationkey AS nation, (n_nationkey - 3) / 20.0::DOUBLE AS w_dense, n_regionkey / 2.0::DOUBLE AS w_sparse, n_nationkey - 5 AS top_k,
+n_nationkey >= 6 AND (n_nationkey - 3) / 20.0 <= 1 AND n_regionkey <= 2 AS accepted FROM nation""")
 def search_options(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights lie between 0 and 1, and numbers of results are positive."""
+    """Weights and numbers of results made from nations: weights lie between 0 and 1, and numbers are positive."""
     points = spark.createDataFrame([], POINTS)
     asked = spark.createDataFrame([], "query_id bigint, text string, dense array<float>")
     rows = []
-    for wd, ws, k in ((0.5, 0.3, 5), (1.0, 0.0, 5), (1.1, 0.3, 5), (0.5, -0.1, 5), (0.5, 0.3, 0), (0.5, 0.3, -2)):
+    for nation, region in table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").collect():  # options are the driver's
+        wd, ws, k = (nation - 3) / 20, region / 2, nation - 5
         try:
             retrieval.search(points, spark.createDataFrame([], POSTINGS), asked, top_k=k, w_dense=wd, w_sparse=ws)
-            rows.append((wd, ws, k, True))
+            rows.append((nation, wd, ws, k, True))
         except ValueError:
-            rows.append((wd, ws, k, False))
-    return _rows(spark, rows, "w_dense double, w_sparse double, top_k int, accepted boolean")
+            rows.append((nation, wd, ws, k, False))
+    return _rows(spark, rows, "nation bigint, w_dense double, w_sparse double, top_k bigint, accepted boolean")
 
 
-@query("""SELECT * FROM (VALUES (0, 'add', 3, 3), (1, 'rebuild', 3, 3), (2, 'failed add', 0, 0), (3, 'remove', 0, 0)) v(step, what, files, points)""")
-def collection_life(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A collection made, built anew and removed; one whose folder is missing leaves nothing."""
+def _engine(spark: SparkSession, home: str, dim: int = 8):
     from lodestar.service import Engine
 
+    return Engine(spark, os.path.join(home, "engine"), Settings(HashingEmbedder(dim)))
+
+
+def _counts(rows: list[tuple]) -> str:
+    """SQL of rows (step, what, number), of which the numbers are SQL."""
+    return f"WITH {_SQL_SLICES}, lab AS (SELECT doc_id, quality, toxic FROM documents JOIN labels USING (doc_id))\n" + "\nUNION ALL ".join(f"SELECT {k}::BIGINT AS step, '{what}' AS what, ({number})::BIGINT AS n" for k, (what, number) in enumerate(rows))
+
+
+_DOCS, _CHUNKS, _TOXIC, _LOW, _PAGES = "SELECT count(*) FROM documents", "SELECT count(*) FROM slices", "SELECT count(*) FROM lab WHERE toxic = 1", "SELECT count(*) FROM lab WHERE toxic = 0 AND quality = 0", "SELECT count(*) FROM pages"
+
+
+def _noted(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    return _rows(spark, [(k, *r) for k, r in enumerate(rows)], "step bigint, what string, n bigint")
+
+
+@query(_counts([("added", _DOCS), ("updated", "0"), ("deleted", "0"), ("added", _PAGES), ("updated", _LOW), ("deleted", _TOXIC), ("added", "0"), ("updated", "0"), ("deleted", "0"), ("files", f"({_DOCS}) - ({_TOXIC}) + ({_PAGES})")]))
+def folder_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as a folder: indexed; then toxic ones removed, low ones changed and pages added; then as it is."""
+    home = _local_home(spark)
+    folder, engine = os.path.join(home, "docs"), _engine(spark, home)
+    docs, marks = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    _as_files(docs, folder)
+    counts = [engine.add("kb", folder)]
+    _as_files(docs.join(marks.filter("toxic = 0 AND quality = 0").select("doc_id"), "doc_id", "left_semi"), folder, content="concat(text, ' more')", mtime="n_chars + 1")
+    _removed(docs.join(marks.filter("toxic = 1").select("doc_id"), "doc_id", "left_semi"), folder)
+    write_files(table(spark, sf_dir, "pages").select(F.format_string("pages/%d.html", "page_id").alias("rel_path"), F.col("html").alias("content")), folder)
+    counts += [engine.sync("kb"), engine.sync("kb")]
+    return _noted(spark, [(what, c[what]) for c in counts for what in ("added", "updated", "deleted")] + [("files", engine.store("kb").read("files").count())])
+
+
+def _removed(docs: DataFrame, folder: str) -> None:
+    """Remove the files of documents, in the tasks that hold these."""
+
+    def remove(batches):
+        for batch in batches:
+            for p in batch.column(0).to_pylist():
+                with contextlib.suppress(FileNotFoundError):
+                    os.remove(os.path.join(folder, p))
+            yield batch
+
+    docs.select(F.expr("concat(source, '/', doc_id, '.txt')").alias("p")).mapInArrow(remove, "p string").count()
+
+
+@query(_counts([("files", _DOCS), ("points", _CHUNKS), ("files", _DOCS), ("points", _CHUNKS), ("files", "0"), ("points", "0"), ("files", "0"), ("points", "0")]))
+def collection_life(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection of all documents made, built anew and removed; one whose folder is missing leaves nothing."""
     home = _local_home(spark)
-    engine, rows = Engine(spark, os.path.join(home, "engine")), []
+    folder, engine, rows = os.path.join(home, "docs"), _engine(spark, home), []
+    _as_files(table(spark, sf_dir, "documents"), folder)
 
-    def note(what: str, name: str) -> None:
-        rows.append((len(rows), what, engine.store(name).read("files").count(), engine.store(name).read("points").count()))
+    def note(name: str) -> None:
+        rows.extend((what, engine.store(name).read(what).count()) for what in ("files", "points"))
 
-    engine.add("kb", _notes(home), ["*.log"])
-    note("add", "kb")
+    engine.add("kb", folder)
+    note("kb")
     engine.rebuild("kb")
-    note("rebuild", "kb")
-    try:
+    note("kb")
+    with contextlib.suppress(ValueError):
         engine.add("other", os.path.join(home, "absent"))
-    except ValueError:
-        note("failed add", "other")
+    note("other")
     engine.remove("kb")
-    note("remove", "kb")
-    return _rows(spark, rows, "step int, what string, files int, points int")
+    note("kb")
+    return _noted(spark, rows)
 
 
-@query("SELECT * FROM (VALUES (0, 'first', 3, 8), (1, 'same model', 0, 8), (2, 'other model', 3, 16), (3, 'same model', 0, 16)) v(step, what, added, dim)")
+@query(_counts([("first", _DOCS), ("of 8", _CHUNKS), ("same model", "0"), ("of 8", _CHUNKS), ("other model", _DOCS), ("of 16", _CHUNKS), ("same model", "0"), ("of 16", _CHUNKS)]))
 def model_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Collections are built anew when the embedder is another one."""
-    from lodestar.service import Engine
-
+    """A collection of all documents is built anew when the embedder is another one; vectors by their length."""
     home = _local_home(spark)
-    engine, rows = Engine(spark, os.path.join(home, "engine"), Settings(HashingEmbedder(8))), []
+    folder, engine, rows = os.path.join(home, "docs"), _engine(spark, home), []
+    _as_files(table(spark, sf_dir, "documents"), folder)
     engine.restore()
 
     def note(what: str, counts: dict) -> None:
-        rows.append((len(rows), what, counts["added"], len(engine.store("kb").read("points").first()["dense"])))
+        dim = engine.settings.embedder.dim
+        rows.extend([(what, counts["added"]), (f"of {dim}", engine.store("kb").read("points").filter(F.size("dense") == dim).count())])
 
-    note("first", engine.add("kb", _notes(home), ["*.log"]))
+    note("first", engine.add("kb", folder))
     note("same model", engine.restore()["kb"])
     engine.settings.embedder = HashingEmbedder(16)
     note("other model", engine.restore()["kb"])
     note("same model", engine.restore()["kb"])
-    return _rows(spark, rows, "step int, what string, added int, dim int")
+    return _noted(spark, rows)
 
 
-@query("SELECT * FROM (VALUES (0, 'enqueue', 2, 0, 5), (1, 'again', 0, 0, 4)) v(step, what, accepted, pending, files)")
+@query(_counts([("accepted", _TOXIC), ("pending", "0"), ("files", _TOXIC), ("added", f"({_DOCS}) - ({_TOXIC})"), ("files", _DOCS)]))
 def task_life(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files indexed by the queue's workers, each once."""
-    from lodestar.service import Engine
-
+    """The toxic documents of a folder indexed as tasks, each asked for twice; then the rest by a sync."""
     home = _local_home(spark)
-    folder = _notes(home)
-    engine, rows = Engine(spark, os.path.join(home, "engine")), []
-    engine.add("kb", folder, ["*.log"])
-    with open(os.path.join(folder, "d.md"), "w") as f:
-        f.write("new text")
-    os.remove(os.path.join(folder, "b.txt"))
-    with open(os.path.join(folder, "e.txt"), "w") as f:
-        f.write("more text")
-    for step, (what, paths) in enumerate((("enqueue", ["d.md", "e.txt", "d.md"]), ("again", []))):
-        accepted = engine.enqueue("kb", [os.path.join(folder, p) for p in paths])
-        engine.wait("kb", 300)
-        if step:
-            engine.sync("kb")
-        rows.append((step, what, accepted, engine.tasks("kb")["pending_tasks"], engine.store("kb").read("files").count()))
-    return _rows(spark, rows, "step int, what string, accepted int, pending int, files int")
-
-
-@query("SELECT * FROM (VALUES (0, 'error'), (1, 'added 1'), (2, 'deleted 1')) v(beat, what)")
+    folder, engine = os.path.join(home, "docs"), _engine(spark, home)
+    docs, marks = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    os.makedirs(folder)
+    engine.add("kb", folder)
+    _as_files(docs, folder)
+    paths = [os.path.join(folder, r.p) for r in docs.join(marks.filter("toxic = 1"), "doc_id", "left_semi").select(F.expr("concat(source, '/', doc_id, '.txt')").alias("p")).collect()]
+    rows = [("accepted", engine.enqueue("kb", paths + paths))]
+    engine.wait("kb", 600)
+    files = lambda: ("files", engine.store("kb").read("files").count())
+    rows += [("pending", engine.tasks("kb")["pending_tasks"]), files(), ("added", engine.sync("kb")["added"]), files()]
+    return _noted(spark, rows)
+
+
+@query(_counts([("error", "1"), ("added", _PAGES), ("deleted", _TOXIC)]))
 def poll_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A folder polled as a stream: a beat fails, the next ones find a new and a lost file."""
-    from lodestar.service import Engine
-
+    """A folder of all documents polled as a stream: a beat fails, the next ones find new pages and lost documents."""
     home = _local_home(spark)
-    folder = _notes(home)
-    engine = Engine(spark, os.path.join(home, "engine"))
-    engine.add("kb", folder, ["*.log"])
-    late, calls = os.path.join(folder, "late.md"), []
+    folder, engine, calls = os.path.join(home, "docs"), _engine(spark, home), []
+    docs, marks = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    _as_files(docs, folder)
+    engine.add("kb", folder)
 
     def beat() -> dict:
         calls.append(1)
         if len(calls) == 1:
             raise RuntimeError("out of reach")
         if len(calls) == 2:
-            with open(late, "w") as f:
-                f.write("late text")
-        elif os.path.exists(late):
-            os.remove(late)
+            write_files(table(spark, sf_dir, "pages").select(F.format_string("pages/%d.html", "page_id").alias("rel_path"), F.col("html").alias("content")), folder)
+        elif len(calls) == 3:
+            _removed(docs.join(marks.filter("toxic = 1"), "doc_id", "left_semi"), folder)
         return engine.sync("kb")
 
     watcher = Watcher(spark, "kb", beat, 1)
     watcher.start()
     try:
-        end = time.time() + 240
+        end = time.time() + 600
         while len(watcher.beats) < 3 and time.time() < end:
             time.sleep(0.2)
     finally:
         watcher.stop()
-    said = lambda b: "error" if "error" in b else ", ".join(f"{k} {v}" for k, v in b.items() if v)
-    return _rows(spark, [(k, said(b)) for k, b in enumerate(list(watcher.beats)[:3])], "beat int, what string")
+    return _noted(spark, [("error", 1) if "error" in b else next((k, v) for k, v in b.items() if v) for b in list(watcher.beats)[:3]])
 
 
-@query("""SELECT * FROM (VALUES (0, 'kb list', '["kb"]'), (1, 'collection status', '[3, 3, false]'), (2, 'collection tasks', '[0]'), (3, 'search', '["c.md", 1]'), (4, 'unknown', '"no such collection: x"')) v(step, command, said)""")
+@query(_counts([("collections", "1"), ("indexed_files", _DOCS), ("total_chunks", _CHUNKS), ("watching", "0"), ("pending_tasks", "0"), ("results", f"least(5, ({_DOCS}))"), ("refused", "1")]))
 def command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the command line prints as JSON."""
+    """What the command line prints as JSON about a collection of all documents."""
     from lodestar.cli import main
-    from lodestar.service import Engine
 
     home = _local_home(spark)
-    engine, rows = Engine(spark, os.path.join(home, "engine")), []
-    engine.add("kb", _notes(home), ["*.log"])
+    folder, engine = os.path.join(home, "docs"), _engine(spark, home)
+    _as_files(table(spark, sf_dir, "documents"), folder)
 
     def said(*args: str) -> dict:
         with contextlib.redirect_stdout(io.StringIO()) as out:
             main(list(args), engine)
         return json.loads(out.getvalue())
 
-    def note(command: str, value) -> None:
-        rows.append((len(rows), command, json.dumps(value)))
-
-    note("kb list", sorted(said("kb", "list")["collections"]))
+    said("kb", "add", "kb", folder)
     status = said("collection", "status", "kb")
-    note("collection status", [status["indexed_files"], status["total_chunks"], status["watching"]])
-    note("collection tasks", [said("collection", "tasks", "kb")["pending_tasks"]])
-    best = said("search", "kb", "third", "--top-k", "1")["results"]
-    note("search", [os.path.basename(best[0]["source_file"]), len(best)])
-    note("unknown", said("collection", "sync", "x")["error"])
-    return _rows(spark, rows, "step int, command string, said string")
-
-
-@query("""SELECT * FROM (VALUES (0, 3, 0, 0), (1, 1, 1, 1), (2, 0, 0, 0)) v(step, added, updated, deleted)""")
-def folder_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A folder indexed, changed and synchronised again; the counts of each pass."""
-    from lodestar.service import Engine
-
-    home = _local_home(spark)
-    folder = os.path.join(home, "notes")
-    os.makedirs(os.path.join(folder, "sub"))
-    write = lambda name, body: open(os.path.join(folder, name), "w").write(body)  # noqa: E731, SIM115
-    write("a.md", "# One\n\nfirst text\n")
-    write("b.txt", "second text")
-    write("sub/c.md", "# Three\n\nthird text\n")
-    engine = Engine(spark, os.path.join(home, "engine"))
-    counts = [engine.add("notes", folder)]
-    os.remove(os.path.join(folder, "b.txt"))
-    write("d.md", "new text")
-    write("a.md", "# One\n\nchanged text\n")
-    os.utime(os.path.join(folder, "a.md"), (1, 1))
-    counts += [engine.sync("notes"), engine.sync("notes")]
-    return spark.createDataFrame([(k, c["added"], c["updated"], c["deleted"]) for k, c in enumerate(counts)], "step int, added int, updated int, deleted int")
+    asked = table(spark, sf_dir, "benchmark").orderBy("item_id").first()["text"]
+    rows = [("collections", len(said("kb", "list")["collections"])), *((k, int(status[k])) for k in ("indexed_files", "total_chunks", "watching"))]
+    rows += [("pending_tasks", said("collection", "tasks", "kb")["pending_tasks"]), ("results", len(said("search", "kb", asked, "--top-k", "5")["results"]))]
+    rows.append(("refused", int("no such collection" in said("collection", "sync", "x")["error"])))
+    return _noted(spark, rows)
+
+
+@query(ORACLE_SQL["sparse_topk"])
+def sparse_topk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As sparse_topk, through the block-max index of all documents."""
+    blocks = materialise(inverted.build(_postings(_points(spark, sf_dir))), "blocks")
+    return _ranks(inverted.search(blocks, _asked(spark, sf_dir), TOP_N, pattern=text.ORACLE_TOKEN))
+
+
+@query()
+def dense_topk_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense top-n through the quantised index with an eighth of its cells left out; not exact (its recall is tested)."""
+    points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.lit("").alias("source_file"), F.col("embedding").alias("dense"))
+    model = quantised.fit(points, 16)
+    codes = materialise(quantised.encoded(points, model), "codes")
+    return _ranks(quantised.Index(codes, model).search(_asked(spark, sf_dir), TOP_N, 14)).withColumn("id", F.col("id").cast("bigint"))

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 # Fixed value: lines of a web server's access log, which are left out.
 ACCESS = re.compile(r"\d+\.\d+\.\d+\.\d+.*HTTP")
+#: Bytes that are read of a log at once, lines of other lengths whole.
+PIECE = 16 << 20
 TAIL = T.StructType().add("position", T.LongType()).add("lines", T.ArrayType(T.StringType()))
 
 
@@ -21,7 +23,9 @@ def _tail(path: pa.Array, position: pa.Array) -> pa.Array:
         try:
             with open(p, "rb") as f:
                 f.seek(at)
-                data = f.read()
+                data = f.read(PIECE)
+                if len(data) == PIECE and not data.endswith(b"\n"):  # there is more: up to the end of a line
+                    data = data[: data.rfind(b"\n") + 1] or data + f.readline()
         except OSError:
             data = b""
         ends.append(at + len(data))
@@ -34,7 +38,7 @@ def tail(files: DataFrame, path: str = "path", position: str = "position") -> Da
 
     Blank lines and those of access logs are left out, invalid bytes become U+FFFD, and a
     file that can't be read stays where it was. Each file is read by one task from its
-    position on.
+    position on, PIECE bytes at most; of what is longer, the next call reads on from the new position.
     """
     rest = [c for c in files.columns if c not in (position, "lines")]
     return files.select(*rest, _tail(F.col(path), F.col(position)).alias("t")).select(*rest, F.col("t.position").alias(position), "t.lines")

@@ -15,6 +15,7 @@ from lodestar.plans import retrieval
 from lodestar.service import Engine
 from lodestar.sources.contents import with_content
 from lodestar.sources.folders import list_folder
+from lodestar.storage import materialise
 
 
 @pytest.fixture
@@ -786,3 +787,54 @@ def test_contents_by_sparks_own_source(spark, tmp_path, monkeypatch, most):
     assert sorted((r.k, r.text, r.found) for r in got.collect()) == [(0, "text of a.md\n", True), (1, "text of b[1].md\n", True), (2, "text of c{2}.md\n", True), (3, None, False), (4, "text of a.md\n", True)]
     if most > 2:
         assert not any("d.md" in f for f in got.inputFiles())
+
+
+# ---- block-max index
+
+
+def test_block_max_index_equals_plain_sums(spark, monkeypatch):
+    """Several shards, blocks, passes and ties; fewer postings are looked at than there are."""
+    import random
+
+    from lodestar.functions import sparse
+    from lodestar.operators import inverted
+
+    rng = random.Random(9)
+    word = lambda: f"w{int(rng.paretovariate(0.7)) % 300}"
+    texts = [(f"p{k:04}", " ".join(word() for _ in range(rng.randrange(0, 60)))) for k in range(1500)] + [("null", None)]
+    queries = [(k, " ".join(word() for _ in range(rng.randrange(0, 15)))) for k in range(40)] + [(99, None), (98, "unknown words")]
+    points, asked = spark.createDataFrame(texts, "id string, text string").repartition(2), spark.createDataFrame(queries, "query_id long, text string")
+    vectors = sparse.vectors(points)
+    rows = lambda df: {(r.query_id, r.id, r["rank"], r.score) for r in df.collect()}
+    want = rows(retrieval.sparse_topk(vectors, asked, 10))
+    shares = []
+    for postings, block, sent in ((1 << 20, 64, 1 << 23), (3000, 8, 1 << 23), (3000, 3, 700)):
+        monkeypatch.setattr(inverted, "POSTINGS", postings)
+        monkeypatch.setattr(inverted, "BLOCK", block)
+        monkeypatch.setattr(inverted, "BROADCAST_BYTES", sent)
+        counts = [spark.sparkContext.accumulator(0) for _ in range(2)]
+        blocks = materialise(inverted.build(vectors), "blocks")
+        assert rows(inverted.search(blocks, asked, 10, counts=counts)) == want
+        shares.append(counts[0].value / counts[1].value)
+    assert max(shares) < 0.8, shares
+    empty = inverted.build(sparse.vectors(points.limit(0)))
+    assert inverted.search(empty, asked, 3).count() == 0 and inverted.search(blocks, asked.limit(0), 3).count() == 0
+
+
+def test_a_long_log_is_read_in_pieces(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    from lodestar.sources import logs
+
+    monkeypatch.setattr(logs, "PIECE", 20)
+    lines = ["first line", "second", "a line that is longer than a piece", "", "last"]
+    (tmp_path / "a.log").write_text("\n".join(lines) + "\n")
+    at, got, calls = 0, [], 0
+    read = getattr(logs._tail, "func", None)
+    while True:
+        found = read(pa.array([str(tmp_path / "a.log")]), pa.array([at])).to_pylist()[0]
+        if found["position"] == at:
+            break
+        at, calls = found["position"], calls + 1
+        got += found["lines"]
+    assert got == [x for x in lines if x] and calls == 3 and at == (tmp_path / "a.log").stat().st_size
