@@ -99,6 +99,11 @@ class Store:
         v = self.version() if version is None else version
         return (self._manifest(v) or {}).get("tables", {}).get(table, []) if v else []
 
+    def batch(self, stream: str) -> int:
+        """The last batch of a stream that went into the collection; -1 if there is none."""
+        v = self.version()
+        return (self._manifest(v) or {}).get("batches", {}).get(stream, -1) if v else -1
+
     def model(self, version: int | None = None) -> dict | None:
         """What the codes of a version were made with."""
         v = self.version() if version is None else version
@@ -154,9 +159,10 @@ class Store:
             return None
         return made | {"length": self.files.size(folder)}
 
-    def _publish(self, base: int, attempt: str, tables: dict[str, list[dict]], model: str | None) -> int:
+    def _publish(self, base: int, attempt: str, tables: dict[str, list[dict]], model: str | None, batch: tuple[str, int] | None = None) -> int:
+        batches = (self._manifest(base) or {}).get("batches", {}) | (dict([batch]) if batch else {})
         new = max(self._numbers(), default=0) + 1 if self.version() == base else base + 1
-        manifest = {"attempt": attempt, "at": time.time(), "tables": tables, "model": model}
+        manifest = {"attempt": attempt, "at": time.time(), "tables": tables, "model": model, "batches": batches}
         if self.version() != base or not self.files.create(os.path.join(self.path, "versions", f"{new}.json"), json.dumps(manifest)):
             raise ConcurrentWrite(f"{self.name} is at version {self.version()}, not {base}")
         return new
@@ -177,17 +183,17 @@ class Store:
         self.files.replace(os.path.join(self.path, "models", name), json.dumps(model))
         return name
 
-    def _finish(self, base: int, attempt: str, tables: dict, model: str | None, written: list[str]) -> int:
+    def _finish(self, base: int, attempt: str, tables: dict, model: str | None, written: list[str], batch: tuple[str, int] | None) -> int:
         try:
-            return self._publish(base, attempt, tables, model)
+            return self._publish(base, attempt, tables, model, batch)
         except BaseException:
             for table in written:
                 self.files.delete(os.path.join(self.path, table, attempt))
             raise
 
-    def commit(self, base: int, model: dict | None = None, **tables: DataFrame) -> int:
+    def commit(self, base: int, model: dict | None = None, batch: tuple[str, int] | None = None, **tables: DataFrame) -> int:
         """A new version after ``base``, with these tables whole; the others stay as they are, but for codes,
-        which belong to the points and ``model``."""
+        which belong to the points and ``model``. ``batch`` is the stream and batch that it is made for."""
         attempt, old = self._begin(base)
         named = {t: old["tables"].get(t, []) for t in TABLES}
         kept = old["model"]
@@ -197,9 +203,9 @@ class Store:
             seq = 1 + max((s["seq"] for s in named[table]), default=0)
             made = self._write(table, attempt, seq, df, None)
             named[table] = [made] if made else []
-        return self._finish(base, attempt, named, kept, list(tables))
+        return self._finish(base, attempt, named, kept, list(tables), batch)
 
-    def change(self, base: int, **changes: tuple[DataFrame, DataFrame]) -> int:
+    def change(self, base: int, batch: tuple[str, int] | None = None, **changes: tuple[DataFrame, DataFrame]) -> int:
         """A new version after ``base``, in which the rows of some files are others.
 
         For each table: (keys, rows), where ``keys`` has the paths whose rows go, and ``rows``
@@ -212,7 +218,7 @@ class Store:
             marks = keys.select(F.col(keys.columns[0]).cast("string").alias("_key")).distinct().withColumn("_at", F.lit(seq).cast("long")) if named[table] else None
             made = self._write(table, attempt, seq, rows, marks)
             named[table] += [made] if made else []
-        return self._finish(base, attempt, named, old["model"], list(changes))
+        return self._finish(base, attempt, named, old["model"], list(changes), batch)
 
     def compact(self, whole: bool = False) -> int:
         """Merge what is due, or with ``whole`` all segments of each table; how many were merged."""

@@ -66,15 +66,18 @@ def points_of(files: DataFrame, collection: str, settings: Settings, read: Calla
         settings.embedder.column(embed_input(F.col("title"), F.col("text"))).alias("dense"))
 
 
-def sync(spark: SparkSession, store: Store, folder: str, settings: Settings, ignore_patterns: list[str] = (), ignore_extensions: list[str] = (), rebuild: bool = False, only: DataFrame | None = None, part: tuple[int, int] | None = None) -> dict[str, int]:
+def sync(spark: SparkSession, store: Store, folder: str, settings: Settings, ignore_patterns: list[str] = (), ignore_extensions: list[str] = (), rebuild: bool = False, only: DataFrame | None = None, part: tuple[int, int] | None = None, batch: tuple[str, int] | None = None) -> dict[str, int]:
     """Read version N, write version N + 1; {added, updated, deleted}.
 
     Nothing is written if nothing changed, and else the rows of changed files only.
     Files that become blank lose their points, and are recorded with 0 chunks, so that
     they aren't tried again. ``only`` (file_path) restricts all this to some files,
     ``part`` (n, k) to a hash's share of them. The contents are read where they are
-    compared and again where they are cut, and are never kept.
+    compared and again where they are cut, and are never kept. A ``batch`` (stream, number) that a
+    version holds already does nothing.
     """
+    if batch is not None and store.batch(batch[0]) >= batch[1]:
+        return {"added": 0, "updated": 0, "deleted": 0}
     listing = list_folder(spark, folder, ignore_patterns, ignore_extensions)
     base = store.version()
     files = store.read("files", 0 if rebuild else base)
@@ -88,7 +91,7 @@ def sync(spark: SparkSession, store: Store, folder: str, settings: Settings, ign
         discard(found)
         return {"added": 0, "updated": 0, "deleted": 0}
     try:
-        _write(store, base, files, found, folder, settings, whole=not base or (rebuild and only is None and part is None))
+        _write(store, base, files, found, folder, settings, whole=not base or (rebuild and only is None and part is None), batch=batch if part is None else None)
     except ConcurrentWrite:
         raise
     except Exception as e:
@@ -106,7 +109,7 @@ class PartFailed(RuntimeError):
         self.changed = changed
 
 
-def _write(store: Store, base: int, files: DataFrame, found: DataFrame, folder: str, settings: Settings, whole: bool) -> None:
+def _write(store: Store, base: int, files: DataFrame, found: DataFrame, folder: str, settings: Settings, whole: bool, batch: tuple[str, int] | None = None) -> None:
     """The version after ``base``, from the files' states in it and the actions found."""
     now = time.time()
     changed = found.filter(F.col("action").isin("add", "update"))
@@ -116,13 +119,13 @@ def _write(store: Store, base: int, files: DataFrame, found: DataFrame, folder:
     rows = changed.join(n, "file_path", "left").select("file_path", "file_hash", F.col("mtime").alias("file_mtime"), F.coalesce("n", F.lit(0)).cast("int").alias("chunk_count"), F.lit(now).alias("last_indexed_at"))
     model = store.model(base)
     if whole:  # an index is fitted anew afterwards, by who had it made
-        store.commit(base, points=new_points, postings=postings, files=rows)
+        store.commit(base, batch=batch, points=new_points, postings=postings, files=rows)
     else:
         touched = files.join(found.filter(F.col("action") == "touch").select("file_path", F.col("mtime").alias("_mtime")), "file_path").withColumn("file_mtime", F.col("_mtime")).select(*files.columns)
         left = found.filter(F.col("action").isin("add", "update", "delete")).select("file_path")
         noted = found.filter(F.col("action") != "skip").select("file_path")
         codes = {"codes": (left, quantised.encoded(new_points, quantised.Model.from_dict(model)))} if model else {}
-        store.change(base, points=(left, new_points), postings=(left, postings), files=(noted, rows.unionByName(touched)), **codes)
+        store.change(base, batch, points=(left, new_points), postings=(left, postings), files=(noted, rows.unionByName(touched)), **codes)
     discard(new_points)
 
 

@@ -20,6 +20,7 @@ from lodestar.operators.tasks import TaskQueue
 from lodestar.plans import retrieval
 from lodestar.schemas import FILES
 from lodestar.sources.files import is_local
+from lodestar.streaming.folder import FolderStream
 from lodestar.streaming.watch import POLL_SECONDS, Watcher
 
 SPARSE_MODEL = "tf-saturation"
@@ -38,7 +39,7 @@ class Engine:
         self.settings = settings or Settings(HashingEmbedder())
         self.catalog = Catalog(spark, home)
         self.poll_seconds = poll_seconds
-        self.watchers: dict[str, Watcher] = {}
+        self.watchers: dict[str, FolderStream | Watcher] = {}
         #: Versions that are kept after another has been committed: two, and those of so many seconds.
         self.keep_seconds = KEEP_SECONDS
         self.queue = TaskQueue(self._index)
@@ -196,9 +197,15 @@ class Engine:
     def rebuild(self, name: str) -> dict[str, int]:
         return self._sync(name, rebuild=True)
 
-    def watch(self, name: str) -> Watcher:
-        self.catalog.get(name)
-        watcher = self.watchers.setdefault(name, Watcher(self.spark, name, lambda: self._sync(name), self.poll_seconds))
+    def watch(self, name: str) -> FolderStream | Watcher:
+        """Keep a collection in step with its folder: by the listing's digest, or for folders that the
+        driver can't walk by the diff on each beat."""
+        folder = self.catalog.get(name)["folder_path"]
+        if is_local(folder):
+            made = lambda: FolderStream(self.spark, name, folder, os.path.join(self.home, "collections", name, "stream"), lambda stream, batch: self._run(name, batch=(stream, batch)), self.poll_seconds)
+        else:
+            made = lambda: Watcher(self.spark, name, lambda: self._sync(name), self.poll_seconds)
+        watcher = self.watchers.get(name) or self.watchers.setdefault(name, made())
         watcher.start()
         return watcher
 

@@ -17,6 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from lodestar.sources.files import Files
 from lodestar.storage import shared_dir
 
 log = logging.getLogger(__name__)
@@ -52,10 +53,11 @@ class Watcher:
                 log.exception("synchronising %s failed", self.name)
                 self.beats.append({"error": str(e)})
 
-        where = f"{shared_dir(self.spark)}/watch-{self.name}-{uuid.uuid4().hex}"
+        self.where = where = f"{shared_dir(self.spark)}/watch-{self.name}-{uuid.uuid4().hex}"
         self.query = beat.writeStream.queryName(f"watch_{self.name}_{uuid.uuid4().hex[:8]}").option("checkpointLocation", where).foreachBatch(on_beat).trigger(processingTime=f"{self.seconds} seconds").start()
 
     def stop(self) -> None:
         if self.query is not None:
             self.query.stop()
             self.query = None
+            Files(self.spark).delete(self.where)

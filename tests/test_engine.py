@@ -838,3 +838,82 @@ def test_a_long_log_is_read_in_pieces(tmp_path, monkeypatch):
         at, calls = found["position"], calls + 1
         got += found["lines"]
     assert got == [x for x in lines if x] and calls == 3 and at == (tmp_path / "a.log").stat().st_size
+
+
+# ---- the folder as a stream
+
+
+def test_listing_digest(tmp_path):
+    from lodestar.streaming.folder import listing_digest
+
+    seen = {listing_digest(str(tmp_path))}
+    (tmp_path / "sub").mkdir()
+    (tmp_path / ".hidden").write_text("x")
+    (tmp_path / "link").symlink_to(tmp_path)
+    assert listing_digest(str(tmp_path)) in seen
+    for step in (lambda: (tmp_path / "sub" / "a").write_text("1"), lambda: (tmp_path / "sub" / "a").write_text("22"), lambda: age(tmp_path / "sub" / "a"), lambda: (tmp_path / "sub" / "a").rename(tmp_path / "b"), lambda: (tmp_path / "b").unlink() or (tmp_path / "c").write_text("")):
+        step()
+        now = listing_digest(str(tmp_path))
+        assert now not in seen and now == listing_digest(str(tmp_path))
+        seen.add(now)
+
+
+def wait_for(condition, seconds=120):
+    end = time.time() + seconds
+    while time.time() < end and not condition():
+        time.sleep(0.3)
+    return condition()
+
+
+def test_a_replayed_batch_commits_once(spark, folder, tmp_path):
+    """The driver ends between the version's commit and the checkpoint's; the restarted stream runs the batch again."""
+    from lodestar.streaming.folder import FolderStream
+
+    engine = Engine(spark, str(tmp_path / "home"), Settings(HashingEmbedder(8)))
+    engine.add("kb", str(folder))
+    (folder / "late.md").write_text("# Late\n\nnote")
+    calls = []
+
+    def run(stream, batch):
+        calls.append((stream, batch, engine._run("kb", batch=(stream, batch)), engine.store("kb").version()))
+        return calls[-1][2]
+
+    first, second = (FolderStream(spark, "kb", str(folder), str(tmp_path / "home" / "state"), run, 1) for _ in range(2))
+    commits = lambda: [f for f in (tmp_path / "home" / "state").glob("checkpoint-*/commits/*") if f.name.strip(".crc") == "0"]
+    first.start()
+    assert wait_for(lambda: calls and commits())
+    first.stop()
+    for f in commits():  # what a driver that ended before would have left
+        f.unlink()
+    second.start()
+    try:
+        assert wait_for(lambda: len(calls) == 2)
+        (one, again) = calls
+        assert one[:2] == again[:2] and one[2]["added"] == 1 and not any(again[2].values()) and one[3] == again[3]
+        (folder / "usage.txt").unlink()
+        assert wait_for(lambda: len(calls) == 3) and calls[2][1] == one[1] + 1 and calls[2][2]["deleted"] == 1
+        time.sleep(3)  # nothing changes: no batch
+        assert len(calls) == 3
+    finally:
+        second.stop()
+    assert engine.store("kb").batch(one[0]) == one[1] + 1 and engine.store("kb").batch("other") == -1
+
+
+def test_a_failed_batch_is_tried_again(spark, folder, tmp_path):
+    from lodestar.streaming.folder import FolderStream
+
+    calls = []
+
+    def run(stream, batch):
+        calls.append(batch)
+        if len(calls) < 3:
+            raise RuntimeError("out of reach")
+        return {"added": 1}
+
+    stream = FolderStream(spark, "kb", str(folder), str(tmp_path / "state"), run, 1)
+    stream.start()
+    try:
+        assert wait_for(lambda: len(calls) == 3) and stream.running
+        assert wait_for(lambda: len(stream.beats) == 3) and [("error" in b) for b in stream.beats] == [True, True, False]
+    finally:
+        stream.stop()
