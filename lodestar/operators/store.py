@@ -1,4 +1,4 @@
-"""Versioned collections, merged on read: points, postings, codes and file states.
+"""Versioned collections, merged on read: points, postings, codes, file states and tasks.
 
 A version is a small file that names, for each table, its segments in the order of their making. A segment
 holds new rows and marks, the paths of the files whose earlier rows have gone. A row
@@ -30,13 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.schemas import CODES, FILES, POINTS, POSTINGS
+from lodestar.schemas import CODES, FILES, LEASES, POINTS, POSTINGS
 from lodestar.sources.files import Files
 
-TABLES: dict[str, T.StructType] = {"points": POINTS, "postings": POSTINGS, "files": FILES, "codes": CODES}
+TABLES: dict[str, T.StructType] = {"points": POINTS, "postings": POSTINGS, "files": FILES, "codes": CODES, "tasks": LEASES}
 #: The column of a table that tells the file a row belongs to, and the order of rows in a file of a segment; the first column deals rows to them.
-KEYS = {"points": "source_file", "postings": "source_file", "files": "file_path", "codes": "source_file"}
-ORDER = {"points": ("source_file", "chunk_index"), "postings": ("term",), "files": ("file_path",), "codes": ("cell", "id")}
+KEYS = {"points": "source_file", "postings": "source_file", "files": "file_path", "codes": "source_file", "tasks": "task"}
+ORDER = {"points": ("source_file", "chunk_index"), "postings": ("term",), "files": ("file_path",), "codes": ("cell", "id"), "tasks": ("task",)}
 #: Segments of about one size that are merged, bytes of the smallest size, and marks that readers broadcast at most.
 FAN, SMALL, MARKS = 8, 32 << 20, 100_000
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import sparse, text, vectors
-from lodestar.operators import chunking, diff, inverted, markdown, quantised, stats
+from lodestar.operators import chunking, diff, inverted, markdown, quantised, stats, tasks
 from lodestar.operators.catalog import Catalog
 from lodestar.operators.cells import CellIndex
 from lodestar.operators.embedding import HashingEmbedder
@@ -185,13 +185,13 @@ def term_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _disk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = tables.table(spark, sf_dir, "documents")  # hashed in the JVM: no need to deal texts out
     return docs.select(F.format_string("doc/%d", "doc_id").alias("file_path"), F.sha2("text", 256).alias("file_hash"), F.col("n_chars").cast("double").alias("file_mtime"))
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files as last indexed: toxic ones at another time, low-quality ones with another hash."""
-    docs, labels, pages = (table(spark, sf_dir, t) for t in ("documents", "labels", "pages"))
+    docs, labels, pages = (tables.table(spark, sf_dir, t) for t in ("documents", "labels", "pages"))
     known = docs.join(labels, "doc_id").select(
         F.format_string("doc/%d", "doc_id").alias("file_path"),
         F.when(F.col("quality") == 1, F.sha2("text", 256)).otherwise("stale").alias("file_hash"),
@@ -213,7 +213,7 @@ acts AS (SELECT coalesce(d.file_path, i.file_path) AS file_path, d.file_hash, d.
 
 def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two stages: listing first, hashes only for paths whose time differs."""
-    docs = table(spark, sf_dir, "documents").select(F.format_string("doc/%d", "doc_id").alias("file_path"), "text", F.col("n_chars").cast("double").alias("file_mtime"))
+    docs = tables.table(spark, sf_dir, "documents").select(F.format_string("doc/%d", "doc_id").alias("file_path"), "text", F.col("n_chars").cast("double").alias("file_mtime"))
     first = diff.by_listing(docs.select("file_path", "file_mtime"), _index(spark, sf_dir))
     checked = first.filter("action IN ('add', 'check')").join(docs.select("file_path", "text"), "file_path").withColumn("file_hash", F.sha2("text", 256))
     settled = F.when(F.col("action") == "add", "add").when(F.col("file_hash") == F.col("old_hash"), "touch").otherwise("update")
@@ -556,6 +556,21 @@ def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+# ---- tasks from events ---------------------------------------------------------------------------
+
+_KIND = "CASE event_type WHEN 'view' THEN 'enqueue' WHEN 'click' THEN 'claim' WHEN 'error' THEN 'fail' ELSE 'finish' END"
+
+
+@query(f"""WITH e AS (SELECT user_id AS task, {_KIND} AS kind, epoch_us(ts) / 1e6 AS since, event_id FROM events),
+l AS (SELECT task, arg_max(kind, event_id) AS kind, arg_max(since, event_id) AS since FROM e GROUP BY task)
+SELECT task, CASE WHEN kind = 'enqueue' THEN 'waiting' WHEN kind = 'claim' AND since + 86400 > (SELECT max(since) FROM e) THEN 'held' WHEN kind = 'claim' THEN 'waiting' WHEN kind = 'fail' THEN 'failed' ELSE 'done' END AS state FROM l""")
+def task_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as what happened to each user's task; its state at the last event, claims running out after a day."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("task"), F.expr(_KIND).alias("kind"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("event_id").alias("place"))
+    now = events.agg(F.max("at")).first()[0]
+    return tasks.states(events, now, 86_400.0).select("task", "state")
+
+
 # ---- names, bytes, files, logs and collections, made from the tables ------------------------------
 
 _NAME = "CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN '@' || page_id WHEN 2 THEN 'p-' || page_id WHEN 3 THEN 'p ' || page_id ELSE regexp_replace(url, '[^a-z0-9]', '', 'g') || repeat('x', (page_id % 80)::INT) END"

@@ -49,6 +49,17 @@ TASKS = T.StructType([
     T.StructField("in_progress", T.BooleanType(), False),
 ])
 
+#: A stored task: who holds it and until when, the error it ended with, and when it was accepted.
+LEASES = T.StructType([
+    T.StructField("task", T.StringType(), False),
+    T.StructField("collection", T.StringType(), False),
+    T.StructField("file_path", T.StringType(), False),
+    T.StructField("worker", T.StringType()),
+    T.StructField("until", T.DoubleType(), False),
+    T.StructField("error", T.StringType()),
+    T.StructField("at", T.DoubleType(), False),
+])
+
 LISTING = T.StructType([
     T.StructField("file_path", T.StringType(), False),
     T.StructField("rel_path", T.StringType(), False),

@@ -16,7 +16,7 @@ from lodestar.operators.catalog import Catalog
 from lodestar.operators.embedding import HashingEmbedder
 from lodestar.operators.store import ConcurrentWrite, Store
 from lodestar.operators.sync import Settings, sync, sync_apart
-from lodestar.operators.tasks import TaskQueue
+from lodestar.operators.tasks import TaskQueue, Tasks
 from lodestar.plans import retrieval
 from lodestar.schemas import FILES
 from lodestar.sources.files import is_local
@@ -42,7 +42,7 @@ class Engine:
         self.watchers: dict[str, FolderStream | Watcher] = {}
         #: Versions that are kept after another has been committed: two, and those of so many seconds.
         self.keep_seconds = KEEP_SECONDS
-        self.queue = TaskQueue(self._index)
+        self.queue = TaskQueue(Tasks(Store(spark, home, "tasks")), self._index)
         self._busy: Counter[str] = Counter()
         self._turns: dict[str, threading.Lock] = defaultdict(threading.Lock)
         self._idle = threading.Condition()

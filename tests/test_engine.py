@@ -448,30 +448,67 @@ def test_an_error_stays_with_its_file(spark, folder, tmp_path):
     assert "good.txt" in {os.path.basename(r.file_path) for r in engine.store("kb").read("files").collect()}
 
 
-def test_task_queue():
+def _tasks(spark, tmp_path, **options):
+    from lodestar.operators.tasks import Tasks
+
+    return Tasks(Store(spark, str(tmp_path), "tasks"), **options)
+
+
+def _new(spark, *rows):
+    return spark.createDataFrame(rows, "collection string, file_path string")
+
+
+def test_tasks_are_held_by_one_worker_until_the_lease_ends(spark, tmp_path):
+    t = _tasks(spark, tmp_path, seconds=600)
+    assert t.claim("w0") is None and t.cancel("a") == {"collection": "a", "queued_removed": 0, "in_progress_tasks": 0}
+    assert t.enqueue(_new(spark, ("a", "1"), ("a", "2"), ("a", "2"), ("b", "1"))) == 3 and t.enqueue(_new(spark, ("a", "1"))) == 0
+    assert t.claim("w1", 1) == ("a", ["1"])
+    other = _tasks(spark, tmp_path, seconds=600)  # another driver
+    assert other.claim("w2") == ("a", ["2"]) and other.claim("w2") == ("b", ["1"]) and other.claim("w3") is None
+    assert t.enqueue(_new(spark, ("a", "1"))) == 0  # held ones are pending
+    assert t.finish("w1", "a", ["1", "2"]) == 1  # the other isn't its own
+    assert other.finish("w2", "a", ["2"], {"2": "broken"}) == 1 and other.failed() == {("a", "2"): "broken"}
+    assert sorted(map(tuple, t.pending().collect())) == [("b", "1", True)]
+    assert t.enqueue(_new(spark, ("a", "2"))) == 1 and t.failed() == {}  # a failed task may come again
+    assert t.cancel("a")["queued_removed"] == 1 and t.cancel("b") == {"collection": "b", "queued_removed": 0, "in_progress_tasks": 1}
+    # the driver of w2 has ended: when its lease is over, another worker gets the task, and what w2 says no longer counts
+    t.seconds = 0.0
+    assert t.enqueue(_new(spark, ("c", "1"))) == 1 and t.claim("w4") == ("c", ["1"]) and t.claim("w5") == ("c", ["1"])
+    assert t.finish("w4", "c", ["1"]) == 0 and t.finish("w5", "c", ["1"]) == 1
+
+
+def test_workers_that_meet_share_the_tasks(spark, tmp_path):
     import threading
 
-    from lodestar.operators.tasks import TaskQueue
-
-    go, seen = threading.Event(), []
-
-    def handle(name, paths):
-        seen.append((name, tuple(paths)))
-        go.wait(20)
-
-    q = TaskQueue(handle)
-    assert q.enqueue("a", ["1"]) == 1
-    end = time.time() + 20
-    while time.time() < end and q.status("a")["in_progress_tasks"] == 0:
-        time.sleep(0.01)
-    assert q.enqueue("a", ["1", "2", "2", "3"]) == 2 and q.enqueue("b", ["1"]) == 1
-    assert q.status("a") == {"collection": "a", "pending_tasks": 3, "queued_tasks": 2, "in_progress_tasks": 1, "worker_alive": True}
-    assert not q.wait_idle("a", 0.1)
-    assert q.cancel("a") == {"collection": "a", "queued_removed": 2, "in_progress_tasks": 1}
-    assert q.enqueue("a", ["2"]) == 1  # a cancelled task may come again
-    go.set()
-    assert q.wait_idle("a", 20) and q.wait_done("a", 20) and q.wait_done("b", 20)
-    assert seen == [("a", ("1",)), ("b", ("1",)), ("a", ("2",))] and q.status("a")["pending_tasks"] == 0
+    t = _tasks(spark, tmp_path)
+    t.enqueue(_new(spark, *[("a", f"{k}") for k in range(12)]))
+    got, lock = [], threading.Lock()
+
+    def work(name):
+        mine = _tasks(spark, tmp_path)
+        while (taken := mine.claim(name, 4)) is not None:
+            with lock:
+                got.extend(taken[1])
+
+    threads = [threading.Thread(target=work, args=(f"w{k}",)) for k in range(3)]
+    [x.start() for x in threads], [x.join(240) for x in threads]
+    assert sorted(got, key=int) == [f"{k}" for k in range(12)]
+
+
+def test_tasks_outlive_the_driver(spark, folder, tmp_path):
+    first = Engine(spark, str(tmp_path / "home"), Settings(HashingEmbedder(8)))
+    first.add("kb", str(folder))
+    (folder / "new.txt").write_text("words")
+    first.queue.tasks.seconds = 1.0
+    first.queue.start = lambda: None  # it ends before a worker begins, and after one has claimed
+    assert first.enqueue("kb", [str(folder / "new.txt")]) == 1 and first.queue.tasks.claim("lost")[0] == "kb"
+    second = Engine(spark, str(tmp_path / "home"), Settings(HashingEmbedder(8)))
+    second.queue.tasks.seconds = 30.0
+    second.queue.start()
+    try:
+        assert second.wait("kb", 120) and second.store("kb").read("files").count() == 4
+    finally:
+        second.queue.stop()
 
 
 def test_a_busy_collection_is_not_removed(engine, folder):
