@@ -6,7 +6,7 @@ import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,8 @@ from lodestar.functions.text import ORACLE_TOKEN, is_blank, suffix, tokens
 from lodestar.operators import markdown
 
 CHUNK_TOKENS, CHUNK_OVERLAP = 256, 32
+#: What words consist of, as a class of a regular expression.
+WORD_CHARS = r"\p{L}\p{N}_"
 BLOCK = T.ArrayType(T.StructType().add("kind", T.StringType()).add("text", T.StringType()))
 
 
@@ -75,15 +77,39 @@ def char_windows(docs: DataFrame, tokenizer_file: str | None = None, text: str =
     """Windows that are slices of the original text, at token boundaries.
 
     With a tokenizer file its offsets count (special tokens left out, so the last
-    window reaches the end); without one, tokens are words. Blank windows drop.
+    window reaches the end); without one, tokens are words, and the windows are found
+    in the JVM. Blank windows drop.
     """
+    rest = [c for c in docs.columns if c != text]
+    if tokenizer_file is None:
+        return _numbered(docs, _word_windows(F.col(text), size, overlap), rest)
 
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def cut(column: pa.Array) -> pa.Array:
         offsets = _offsets(tokenizer_file)
         return pa.array([list(_slices(t or "", offsets, size, overlap)) for t in column.to_pylist()], type=pa.list_(pa.string()))
 
-    return _numbered(docs, cut(F.col(text)), [c for c in docs.columns if c != text])
+    return _numbered(docs, cut(F.col(text)), rest)
+
+
+def _word_windows(text: Column, size: int, overlap: int) -> Column:
+    """The text is cut every ``size - overlap`` words; a window is such a piece and the first ``overlap`` words of the next.
+
+    Words and what is between them have no character in common, so the patterns never go back.
+    """
+    step = size - overlap
+    words = lambda n: f"(?:[^{WORD_CHARS}]*+[{WORD_CHARS}]++){{1,{n}}}+"
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    count = lambda t: F.size(F.regexp_extract_all(t, F.lit(f"[{WORD_CHARS}]+"), F.lit(0)))
+
+    def windows(pieces: Column) -> Column:
+        n = (F.size(pieces) - 1) * step + count(F.element_at(pieces, -1))
+        head = lambda k: F.when(k + 1 < F.size(pieces), F.regexp_extract(F.get(pieces, k + 1), f"^{words(overlap)}", 0)).otherwise("") if overlap else F.lit("")
+        cut = lambda k: F.regexp_replace(F.concat(F.get(pieces, k), head(k)), f"^[^{WORD_CHARS}]+", "")
+        return let(n, lambda m: F.when(m > size, F.transform(F.sequence(F.lit(0), F.ceil((m - overlap) / step).cast("int") - 1), cut)))
+
+    found = let(F.regexp_extract_all(text, F.lit(words(step)), F.lit(0)), lambda pieces: F.when(F.size(pieces) > 1, windows(pieces)))
+    return F.when(is_blank(F.coalesce(text, F.lit(""))), F.array().cast("array<string>")).otherwise(F.coalesce(found, F.array(text)))
 
 
 def _slices(text: str, offsets, size: int, overlap: int) -> Iterator[str]:
@@ -102,13 +128,8 @@ def _slices(text: str, offsets, size: int, overlap: int) -> Iterator[str]:
 _tokenizers: dict = {}
 
 
-def _offsets(path: str | None):
+def _offsets(path: str):
     """A function from text to (start, end) of its tokens; loaded once in each worker."""
-    if path is None:
-        import re
-
-        word = re.compile(r"\w+")
-        return lambda t: [m.span() for m in word.finditer(t)]
     if path not in _tokenizers:
         from tokenizers import Tokenizer
 
@@ -128,7 +149,18 @@ def chunk_files(files: DataFrame, path: str = "file_path", text: str = "text", t
     return markdown_chunks(marked, text).unionByName(char_windows(plain, tokenizer_file, text))
 
 
-def reconstruct(chunks: DataFrame, key: str = "source_file", index: str = "chunk_index", text: str = "text", glue: str = "\n\n") -> DataFrame:
-    """(key, n_chunks, text): the chunks of each file in order."""
+def reconstruct(chunks: DataFrame, key: str = "source_file", index: str = "chunk_index", text: str = "text", glue: str = "\n\n", overlap: int = 0, total: str | None = None) -> DataFrame:
+    """(key, n_chunks, text): the chunks of each file in order.
+
+    With ``overlap`` they are windows of words, and each but the first loses the words it shares with the one before: what
+    comes back is the text from its first word to its last. With ``total``, a column of how many chunks the file has, ``complete``
+    tells whether they are all there, each once; the text of an incomplete file is null.
+    """
     parts = F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(text).alias("t"))))
-    return chunks.groupBy(key).agg(F.count("*").alias("n_chunks"), F.array_join(F.transform(parts, lambda p: p["t"]), glue).alias("text"))
+    grouped = chunks.groupBy(key).agg(F.count("*").alias("n_chunks"), parts.alias("_parts"), *([F.max(total).alias("_total"), F.count_distinct(F.col(index)).alias("_own")] if total else []))
+    texts = F.transform("_parts", lambda p, i: F.when(i == 0, p["t"]).otherwise(F.regexp_replace(p["t"], f"^(?:[^{WORD_CHARS}]*+[{WORD_CHARS}]++){{{overlap}}}", "")) if overlap else p["t"])
+    whole = F.array_join(texts, "" if overlap else glue)
+    if not total:
+        return grouped.select(key, "n_chunks", whole.alias("text"))
+    complete = (F.col("n_chunks") == F.col("_total")) & (F.col("_own") == F.col("_total"))
+    return grouped.select(key, "n_chunks", complete.alias("complete"), F.when(complete, whole).alias("text"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,13 @@ from pyspark.sql import types as T
 BATCH = 64
 
 
+@lru_cache(maxsize=200_000)
+def _features(word: str) -> np.ndarray:
+    """Hashes of a word and its letter trigrams; a worker keeps those of so many words."""
+    parts = (word, *(f"#{word}#"[k : k + 3] for k in range(len(word))))
+    return np.array([int.from_bytes(hashlib.blake2b(p.encode(), digest_size=8).digest(), "little") for p in parts], dtype=np.uint64)
+
+
 class HashingEmbedder:
     """Deterministic feature hashing of words and letter trigrams; needs no model.
 
@@ -27,10 +35,9 @@ class HashingEmbedder:
     def encode(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), dtype=np.float32)
         for row, text in zip(out, texts, strict=True):
-            for word in (text or "").lower().split():
-                for feature in (word, *(f"#{word}#"[k : k + 3] for k in range(len(word)))):
-                    h = int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "little")
-                    row[h % self.dim] += 1.0 if h >> 63 else -1.0
+            if hashes := [_features(word) for word in (text or "").lower().split()]:
+                h = np.concatenate(hashes)
+                row += np.bincount((h % np.uint64(self.dim)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0), self.dim).astype(np.float32)
             if (size := np.sqrt((row * row).sum())) > 0:
                 row /= size
         return out
@@ -121,6 +128,7 @@ def _udf(encode):
     def embedded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             vectors = encode(batch.to_pylist()).astype(np.float32)
-            yield pa.array(vectors.tolist(), type=pa.list_(pa.float32()))
+            width = vectors.shape[1] if vectors.ndim == 2 else 0
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * width), pa.array(vectors.ravel()))
 
     return embedded

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.storage import materialise
+
 _count = lambda cond: F.coalesce(F.sum(F.when(cond, 1).otherwise(0)), F.lit(0)).cast("bigint")
 
 
@@ -47,22 +49,64 @@ def chunk_count(files: DataFrame, path: str) -> DataFrame:
     return files.filter(F.col("file_path") == path).agg(F.coalesce(F.max("chunk_count"), F.lit(0)).cast("bigint").alias("chunk_count"))
 
 
+#: Values of a key that are sorted in one place, parts that a range of values is cut into, and rounds at most.
+LEFT, PARTS, ROUNDS = 100_000, 256, 64
+
+
+def _log(v: Column) -> Column:
+    """Never falls where ``v`` rises, and spreads values of all sizes."""
+    return F.signum(v) * F.log1p(F.abs(v))
+
+
+def _at(pairs: Column, rank: Column) -> Column:
+    """The pair (v, c) of an ordered array in which the running sum of c first exceeds ``rank``, with the sum before it."""
+    none = F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(None).cast("bigint").alias("place"))
+    step = lambda t, i: F.when(t["place"].isNotNull(), t).otherwise(F.when(t["sum"] + F.get(pairs, i)["c"] > rank, F.struct(t["sum"].alias("sum"), i.cast("bigint").alias("place"))).otherwise(F.struct((t["sum"] + F.get(pairs, i)["c"]).alias("sum"), F.lit(None).cast("bigint").alias("place"))))
+    return F.aggregate(F.sequence(F.lit(0), F.size(pairs) - 1), none, step)
+
+
+def _narrowed(counted: DataFrame, targets: DataFrame, keys: list[str], logarithmic: bool) -> DataFrame:
+    """Each target's range cut into PARTS, and the part that holds its rank."""
+    own = counted.join(targets, keys).filter("v BETWEEN lo AND hi")
+    scale = _log if logarithmic else (lambda c: c)
+    lo, hi = scale(F.col("lo")), scale(F.col("hi"))
+    part = F.when(hi > lo, F.least(F.lit(PARTS - 1), F.floor((scale(F.col("v")) - lo) / (hi - lo) * PARTS))).otherwise(0)
+    summed = own.groupBy(*keys, "which", "rank", "below", part.alias("part")).agg(F.sum("c").alias("c"), F.count("*").alias("values"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    listed = summed.groupBy(*keys, "which", "rank", "below").agg(F.array_sort(F.collect_list(F.struct("part", "c", "values", "lo", "hi"))).alias("parts"))  # PARTS of them
+    found = listed.withColumn("found", _at(F.col("parts"), F.col("rank") - F.col("below"))).withColumn("own", F.get("parts", F.col("found.place").cast("int")))
+    return found.select(*keys, "which", "rank", (F.col("below") + F.col("found.sum")).alias("below"), "own.lo", "own.hi", F.col("own.values").alias("values"))
+
+
 def latency(samples: DataFrame, value: str = "value", by: str | None = None) -> DataFrame:
     """mean, interpolated median, p95 and p99 by position in sorted order, min, max.
 
-    Equal values are counted first, with partial sums; only distinct values and
-    their running counts are sorted by key. Position floor(n * q) is where the
-    running count first exceeds it.
+    Exact order statistics without sorting a key's values: equal values are counted first, with partial sums; while a key has more
+    than LEFT of them, the range that holds each position is cut into parts, by turns on a logarithmic and a linear
+    scale, the parts are counted, and the one that holds the position is the next range. What is left is sorted as one array. Position
+    floor(n * q) is where the running count first exceeds it. Null values don't count.
     """
-    keys = [by] if by else [F.lit(0).alias("_all")]
-    names = [by] if by else ["_all"]
-    counted = samples.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    upto = Window.partitionBy(*names).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    totals = counted.groupBy(*names).agg(F.sum("c").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"))
-    placed = counted.withColumn("upto", F.sum("c").over(upto)).join(totals, names)
-    at = lambda i: F.min(F.when(F.col("upto") > i, F.col("v")))
+    rows = samples.filter(F.col(value).isNotNull()).select(F.col(by) if by else F.lit(0).alias("_all"), F.col(value).cast("double").alias("v"))
+    keys = [by or "_all"]
+    counted = rows.groupBy(*keys, "v").agg(F.count("*").alias("c"))
+    large = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if large > LEFT:
+        counted = materialise(counted, "counted")
+    totals = counted.groupBy(*keys).agg(F.sum("c").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"), F.count("*").alias("values"))
     last = F.col("n") - 1
-    out = placed.groupBy(*names).agg(
-        F.max("mean").alias("mean"), ((at(F.floor(last / 2)) + at(F.ceil(last / 2))) / 2).alias("median"),
-        at(F.least(F.floor(F.col("n") * 0.95), last)).alias("p95"), at(F.least(F.floor(F.col("n") * 0.99), last)).alias("p99"), F.max("min").alias("min"), F.max("max").alias("max"))
+    ranks = [F.floor(last / 2), F.ceil(last / 2), F.least(F.floor(F.col("n") * 0.95), last), F.least(F.floor(F.col("n") * 0.99), last)]
+    if large <= LEFT:
+        listed = counted.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("v", "c"))).alias("pairs")).join(totals, keys)
+        values = [F.get("pairs", _at(F.col("pairs"), r)["place"].cast("int"))["v"] for r in ranks]
+        found = listed.select(*keys, "mean", "min", "max", *[v.alias(f"v{k}") for k, v in enumerate(values)])
+    else:
+        totals = materialise(totals, "totals")
+        targets = totals.select(*keys, F.posexplode(F.array(*ranks)).alias("which", "rank"), F.lit(0).cast("bigint").alias("below"), F.col("min").alias("lo"), F.col("max").alias("hi"), "values")
+        for k in range(ROUNDS):
+            if targets.filter((F.col("values") > LEFT) & (F.col("lo") < F.col("hi"))).isEmpty():
+                break
+            targets = materialise(_narrowed(counted, targets, keys, k % 2 == 0), "targets")
+        own = counted.join(targets, keys).filter("v BETWEEN lo AND hi").groupBy(*keys, "which", "rank", "below").agg(F.array_sort(F.collect_list(F.struct("v", "c"))).alias("pairs"))
+        one = own.select(*keys, "which", F.get("pairs", _at(F.col("pairs"), F.col("rank") - F.col("below"))["place"].cast("int"))["v"].alias("v"))
+        found = one.groupBy(*keys).agg(*[F.max(F.when(F.col("which") == k, F.col("v"))).alias(f"v{k}") for k in range(4)]).join(totals, keys)
+    out = found.select(*keys, "mean", ((F.col("v0") + F.col("v1")) / 2).alias("median"), F.col("v2").alias("p95"), F.col("v3").alias("p99"), "min", "max")
     return out if by else out.drop("_all")

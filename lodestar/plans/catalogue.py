@@ -457,6 +457,17 @@ def doc_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.reconstruct(turns.select(F.col("conv_id").alias("source_file"), F.col("turn").alias("chunk_index"), "text"))
 
 
+@query("""WITH d AS (SELECT doc_id, text, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS n FROM documents WHERE regexp_matches(text, '\\S'))
+SELECT doc_id, greatest(1, ceil((n - 32) / 224.0))::BIGINT AS n_chunks, doc_id % 7 <> 0 OR n <= 256 AS complete,
+CASE WHEN n <= 256 THEN text WHEN doc_id % 7 <> 0 THEN regexp_replace(regexp_replace(text, '^[^\\p{L}\\p{N}_]+', ''), '[^\\p{L}\\p{N}_]+$', '') END AS text
+FROM (SELECT doc_id, text, CASE WHEN doc_id % 7 = 0 AND n > 256 THEN n - 224 ELSE n END AS m, n FROM d)""".replace("(n - 32)", "(m - 32)"))
+def doc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cut into windows of words and put together again; every seventh has lost its last window."""
+    cut = chunking.char_windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    left = cut.filter("doc_id % 7 <> 0 OR total_chunks = 1 OR chunk_index < total_chunks - 1")
+    return chunking.reconstruct(left, key="doc_id", overlap=chunking.CHUNK_OVERLAP, total="total_chunks")
+
+
 @query("SELECT doc_id // 64 AS batch, count(*) AS texts, sum(n_chars)::BIGINT AS chars, count(*) FILTER (regexp_matches(text, '\\S')) AS embedded FROM documents GROUP BY 1")
 def batch_embed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts embedded; how many of each 64 got a unit vector, which those with a word do."""

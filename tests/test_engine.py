@@ -954,3 +954,55 @@ def test_a_failed_batch_is_tried_again(spark, folder, tmp_path):
         assert wait_for(lambda: len(stream.beats) == 3) and [("error" in b) for b in stream.beats] == [True, True, False]
     finally:
         stream.stop()
+
+
+@pytest.mark.parametrize("by", ["k", None])
+def test_order_statistics_equal_sorted_lists(spark, monkeypatch, by):
+    """Values of all sizes, ties, one value and negative ones; narrowed in rounds and at once."""
+    import math
+    import random
+
+    rng = random.Random(12)
+    rows = [("wide", rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300)) for _ in range(700)] + [("near", 1e15 + rng.randrange(500)) for _ in range(900)]
+    rows += [("ties", float(rng.randrange(4))) for _ in range(400)] + [("one", 7.5)] * 90 + [("few", 1.0), ("few", 2.0), ("few", None)] + [("skewed", rng.paretovariate(0.2)) for _ in range(800)]
+    df = spark.createDataFrame(rows, "k string, value double").repartition(3)
+    groups = {}
+    for k, v in rows:
+        if v is not None:
+            groups.setdefault(k if by else "", []).append(v)
+    want = {}
+    for k, vs in groups.items():
+        vs.sort()
+        n = len(vs)
+        want[k] = ((vs[(n - 1) // 2] + vs[-(-(n - 1) // 2)]) / 2, vs[min(math.floor(n * 0.95), n - 1)], vs[min(math.floor(n * 0.99), n - 1)], vs[0], vs[-1])
+    for left, parts in ((100_000, 256), (30, 8), (1, 4)):
+        monkeypatch.setattr(stats, "LEFT", left)
+        monkeypatch.setattr(stats, "PARTS", parts)
+        got = stats.latency(df, by=by)
+        assert {r[by] if by else "": (r.median, r.p95, r.p99, r.min, r.max) for r in got.collect()} == want
+        assert "Window" not in got._jdf.queryExecution().toString()
+    assert stats.latency(df.limit(0), by=by).count() == 0
+
+
+def test_word_windows_equal_a_plain_loop(spark):
+    import random
+    import re
+
+    rng = random.Random(3)
+    gap = lambda: rng.choice([" ", "  ", ", ", "\n", " - ", ".\n\n"])
+    text = lambda n: rng.choice(["", "(", " "]) + "".join(rng.choice(["a", "word", "été", "x1", "日本", "_"]) + gap() for _ in range(n))
+    texts = [text(n) for n in (0, 1, 9, 10, 11, 17, 18, 19, 20, 33, 34, 35, 100)] + ["!!!", "  ", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    for size, overlap in ((10, 2), (10, 0), (3, 1)):
+        want = []
+        for k, t in enumerate(texts):
+            spans = [m.span() for m in re.finditer(r"\w+", t or "")]
+            starts = [s for s in range(0, max(1, len(spans) - overlap), size - overlap)] if len(spans) > size else [0]
+            pieces = [t] if len(spans) <= size else [t[spans[s][0] : spans[min(s + size, len(spans)) - 1][1]] for s in starts]
+            want += [(k, len(pieces), i, p) for i, p in enumerate(pieces) if (t or "").strip()]
+        got = chunking.char_windows(df, size=size, overlap=overlap)
+        assert sorted(map(tuple, got.select("k", "total_chunks", "chunk_index", "text").collect())) == want
+        back = {r.k: (r.complete, r.text) for r in chunking.reconstruct(got, key="k", overlap=overlap, total="total_chunks").collect()} if overlap else {}
+        for k, (complete, t) in back.items():
+            whole = len(re.findall(r"\w+", texts[k])) <= size
+            assert complete and t == (texts[k] if whole else re.sub(r"^\W+|\W+$", "", texts[k]))
