@@ -73,6 +73,18 @@ def _bytes(path: str) -> bytes | None:
         return None
 
 
+def read_range(path: str, start: int, size: int) -> bytes:
+    """So many bytes of a file from ``start`` on, fewer at its end."""
+    if (own := _posix(path)) is not None:
+        with open(own, "rb") as f:
+            f.seek(start)
+            return f.read(size)
+    system, name = _system(path)
+    with system.open_input_file(name) as f:
+        f.seek(start)
+        return f.read(size)
+
+
 def _reader(path: str, read=None):
     """``read`` is an accumulator of the files that were opened."""
 
