@@ -36,12 +36,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestar.llm.storage import materialise
+from lodestar.sources.contents import read_range, workers_can_open
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END_OF_DOCUMENT = 50256
 BLOCK_TOKENS = 1 << 16
 WIDTH = 2
 RUN = 256
+#: Blocks of a flat file that are one part of a task.
+RANGE = 256
 # Fixed value: the vocabulary's split pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -122,12 +125,32 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, separator: int = END_O
     return both.select("file", "block", "data"), manifest
 
 
+def ranges(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS, width: int = WIDTH) -> DataFrame:
+    """(file, start, end) of parts of RANGE blocks of flat binary files, of which only names and lengths are read."""
+    step = width * block_tokens * RANGE
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("length")).filter("length > 0")
+    starts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("length") - 1) / step)))
+    return files.select("file", "length", starts.alias("k")).select("file", (F.col("k") * step).alias("start"), F.least((F.col("k") + 1) * step, F.col("length")).alias("end"))
+
+
 def read_flat(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS, width: int = WIDTH) -> DataFrame:
-    """(file, block, data) of flat binary files; ``file`` is the path. Spark's own
-    reader opens them, so any store that Spark reaches will do. A file is read
-    whole by one task, so large files should be split (at any token)."""
-    files = spark.read.format("binaryFile").load(path).filter("length > 0")
+    """(file, block, data) of flat binary files of any length; ``file`` is the path.
+
+    Files are dealt to tasks in ranges of bytes, and a task holds one block. Where workers can't open the
+    files, Spark's own reader does: then a file is read whole by one task and mustn't be longer than 2 GB.
+    """
     step = width * block_tokens
+    if workers_can_open(path):
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for file, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    for at in range(start, end, step):
+                        yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([at // step]), pa.array([read_range(file, at, min(step, end - at))], pa.binary())], ["file", "block", "data"])
+
+        parts = ranges(spark, path, block_tokens, width)
+        return parts.repartition("file", "start").mapInArrow(read, "file string, block long, data binary")
+    files = spark.read.format("binaryFile").load(path).filter("length > 0")
     cut = F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("content") - 1) / step).cast("int")), lambda k: F.substring("content", k * step + 1, F.lit(step))))
     return files.select(F.col("path").alias("file"), cut.alias("block", "data")).withColumn("block", F.col("block").cast("bigint"))
 

@@ -513,7 +513,10 @@ def test_token_counts_round_trip(spark, monkeypatch):
             tokens.counts(docs, **options)
 
 
-def test_flat_files(spark, tmp_path):
+@pytest.mark.parametrize("by_workers", [True, False])
+def test_flat_files(spark, tmp_path, monkeypatch, by_workers):
+    monkeypatch.setattr(tokens, "RANGE", 3)
+    monkeypatch.setattr(tokens, "workers_can_open", lambda path: by_workers)
     rng = np.random.default_rng(7)
     files = {"a": [3, 0, 5000, 1], "b": [0], "c": []}
     for name, sizes in files.items():
@@ -524,6 +527,17 @@ def test_flat_files(spark, tmp_path):
     assert by == [("a", 0, 3, True), ("a", 1, 0, True), ("a", 2, 5000, True), ("a", 3, 1, True), ("a", 4, 2, False), ("b", 0, 0, True)]
 
 
+def test_a_flat_file_of_any_length_is_dealt_in_ranges(spark, tmp_path):
+    """5 GB, of which nothing is stored: more than Spark's own reader takes."""
+    with open(tmp_path / "huge.bin", "wb") as f:
+        f.truncate(5 << 30)
+    got = tokens.ranges(spark, str(tmp_path / "huge.bin")).collect()
+    step = tokens.RANGE * tokens.BLOCK_TOKENS * tokens.WIDTH
+    assert sorted((r.start, r.end) for r in got) == [(k, min(k + step, 5 << 30)) for k in range(0, 5 << 30, step)]
+    one = tokens.read_flat(spark, str(tmp_path / "huge.bin")).filter("block = 40000").select("block", F.length("data").alias("n"), F.md5("data").alias("h"))
+    assert len(got) == 160 and "ReadSchema: struct<path:string,length:bigint>" in one._jdf.queryExecution().toString()
+
+
 # ---- 9 secrets
 
 
