@@ -21,6 +21,8 @@ def _parser() -> argparse.ArgumentParser:
     q.add_argument("query")
     q.add_argument("--top-k", type=int, default=5)
     q.add_argument("--rerank-candidates", type=int, default=50)
+    q.add_argument("--probes", type=int, help="cells of the index to search; without it the search is exact")
+    q.add_argument("--weights", type=float, nargs=2, metavar=("DENSE", "SPARSE"), help="weigh the two lists in the fusion")
     kb = sub.add_parser("kb").add_subparsers(dest="action", required=True)
     for action in ("add", "update", "remove", "list"):
         k = kb.add_parser(action)
@@ -35,7 +37,7 @@ def _parser() -> argparse.ArgumentParser:
             k.add_argument("--clear-ignore", "--clear-patterns", dest="clear_patterns", action="store_true")
             k.add_argument("--clear-ignore-ext", "--clear-extensions", dest="clear_extensions", action="store_true")
     c = sub.add_parser("collection").add_subparsers(dest="action", required=True)
-    for action in ("status", "sync", "rebuild", "tasks"):
+    for action in ("status", "sync", "rebuild", "tasks", "index", "clean"):
         c.add_parser(action).add_argument("name")
     sub.add_parser("health")
     return p
@@ -45,7 +47,10 @@ def run(engine: Engine, args: argparse.Namespace):
     rows = lambda df: [r.asDict() for r in df.collect()]
     match args.command, getattr(args, "action", None):
         case "search", _:
-            return {"results": engine.search(args.collection, args.query, top_k=args.top_k, rerank_candidates=args.rerank_candidates)}
+            more = {} if args.probes is None else {"probes": args.probes}
+            if args.weights:
+                more |= {"fusion": "weighted", "w_dense": args.weights[0], "w_sparse": args.weights[1]}
+            return {"results": engine.search(args.collection, args.query, top_k=args.top_k, rerank_candidates=args.rerank_candidates, **more)}
         case "kb", "add":
             return {"name": args.name} | engine.add(args.name, args.folder, args.ignore_pattern, args.ignore_extension)
         case "kb", "update":  # an empty list leaves the rules as they are
@@ -57,6 +62,12 @@ def run(engine: Engine, args: argparse.Namespace):
             return {"collections": engine.catalog.all()}
         case "collection", "status":
             return rows(engine.status(args.name))[0]
+        case "collection", "index":
+            engine.build_index(args.name)
+            return {"indexed": args.name}
+        case "collection", "clean":
+            engine.clean(args.name)
+            return {"cleaned": args.name}
         case "collection", "sync":
             return engine.sync(args.name)
         case "collection", "rebuild":

@@ -154,6 +154,13 @@ class Engine:
             self._forget(name)
             raise
 
+    def clean(self, name: str) -> None:
+        """Merge all segments of a collection and remove all versions but the last."""
+        self.catalog.get(name)
+        with self._working(name):
+            self.store(name).compact(whole=True)
+            self.store(name).vacuum(1)
+
     def update(self, name: str, **rules) -> dict:
         return self.catalog.update(name, **rules)
 

@@ -316,7 +316,7 @@ def test_segments_are_merged_by_size(spark, tmp_path, monkeypatch):
     assert store.due([big(100), *[big(0)] * 3], 4) is None and store.due([big(100), *[big(0)] * 4], 4) == 1
     assert store.due([big(100), *[big(2)] * 4, big(0)], 4) == 1 and store.due([big(100), *[big(2)] * 3, big(0)], 4) is None and store.due([big(0)] * 3, 4) is None
     s, want = Store(spark, str(tmp_path), "kb", fan=3), {}
-    for k in range(9):
+    for k in range(7):
         paths = [f"/{(k * 5 + j) % 7}" for j in range(3)]
         gone, put = paths[:1], paths[1:]
         s.change(s.version(), files=(spark.createDataFrame([(p,) for p in paths], "p string"), _file(spark, *put, hash=f"h{k}")))
@@ -358,12 +358,12 @@ def test_one_file_synchronised_again_and_again_leaves_no_more(engine, folder, tm
     engine.add("kb", str(folder))
     size = lambda: sum(f.stat().st_size for f in (tmp_path / "home").rglob("*") if f.is_file())
     sizes = []
-    for k in range(12):
+    for k in range(9):
         (folder / "usage.txt").write_text(f"Words of turn {k}.")
         age(folder / "usage.txt", 50 + k)
         assert engine.sync("kb")["updated"] == 1
         sizes.append(size())
-    assert max(sizes[9:]) < 1.5 * max(sizes[:9]) and len(engine.store("kb").segments("points")) <= 8
+    assert max(sizes[6:]) < 1.5 * max(sizes[:6]) and len(engine.store("kb").segments("points")) <= 8
     assert len(engine.store("kb")._numbers()) <= 2 and engine.store("kb").read("points").count() == 3
 
 
@@ -772,12 +772,12 @@ def test_one_changed_file_among_many_is_read_alone(spark, tmp_path):
     from lodestar.sources.contents import write_files
 
     root = tmp_path / "many"
-    docs = spark.range(10_000).select(F.format_string("d%d/f%d.md", F.col("id") % 20, "id").alias("rel_path"), F.format_string("text %d", "id").alias("content"), F.lit(5.0).alias("at"))
-    assert write_files(docs, str(root), mtime="at") == 10_000
+    docs = spark.range(3_000).select(F.format_string("d%d/f%d.md", F.col("id") % 20, "id").alias("rel_path"), F.format_string("text %d", "id").alias("content"), F.lit(5.0).alias("at"))
+    assert write_files(docs, str(root), mtime="at") == 3_000
     read = spark.sparkContext.accumulator(0)
     for place, path in (("bare", str(root)), ("far", f"file://{root}")):
         engine = Engine(spark, str(tmp_path / place), Settings(HashingEmbedder(8), read=read))
-        assert engine.add("kb", path)["added"] == 10_000
+        assert engine.add("kb", path)["added"] == 3_000
         (root / "d3" / "f3.md").write_text(f"changed for {place}")
         before = read.value
         assert engine.sync("kb") == {"added": 0, "updated": 1, "deleted": 0}
@@ -1006,3 +1006,16 @@ def test_word_windows_equal_a_plain_loop(spark):
         for k, (complete, t) in back.items():
             whole = len(re.findall(r"\w+", texts[k])) <= size
             assert complete and t == (texts[k] if whole else re.sub(r"^\W+|\W+$", "", texts[k]))
+
+
+def test_index_and_cleaning_on_the_command_line(engine, folder, capsys):
+    engine.add("kb", str(folder))
+    said = lambda *a: (main(list(a), engine), json.loads(capsys.readouterr().out))[1]
+    assert said("collection", "index", "kb") == {"indexed": "kb"}
+    plain = said("search", "kb", "lighthouses", "--top-k", "1")["results"]
+    assert said("search", "kb", "lighthouses", "--top-k", "1", "--probes", "9")["results"] == plain
+    assert said("search", "kb", "lighthouses", "--top-k", "1", "--weights", "0.2", "0.8")["results"][0]["source_file"] == plain[0]["source_file"]
+    (folder / "usage.txt").unlink()
+    engine.sync("kb")
+    assert len(engine.store("kb").segments("points")) == 2 and said("collection", "clean", "kb") == {"cleaned": "kb"}
+    assert len(engine.store("kb").segments("points")) == 1 and len(engine.store("kb")._numbers()) == 1 and engine.store("kb").read("points").count() == 2
