@@ -25,7 +25,11 @@ import math
 import os
 import time
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -159,6 +163,14 @@ class Store:
             return None
         return made | {"length": self.files.size(folder)}
 
+    def _together(self, jobs: dict[str, Callable[[], dict | None]]) -> dict[str, dict | None]:
+        """What the jobs give, run side by side: small tables leave most cores free."""
+        if len(jobs) < 2:
+            return {k: job() for k, job in jobs.items()}
+        with ThreadPoolExecutor(len(jobs)) as pool:
+            running = {k: pool.submit(inheritable_thread_target(job)) for k, job in jobs.items()}
+        return {k: r.result() for k, r in running.items()}
+
     def _publish(self, base: int, attempt: str, tables: dict[str, list[dict]], model: str | None, batch: tuple[str, int] | None = None) -> int:
         batches = (self._manifest(base) or {}).get("batches", {}) | (dict([batch]) if batch else {})
         new = max(self._numbers(), default=0) + 1 if self.version() == base else base + 1
@@ -199,9 +211,9 @@ class Store:
         kept = old["model"]
         if "points" in tables or "codes" in tables:
             named["codes"], kept = [], self._save_model(model)
-        for table, df in tables.items():
-            seq = 1 + max((s["seq"] for s in named[table]), default=0)
-            made = self._write(table, attempt, seq, df, None)
+        seq = {t: 1 + max((s["seq"] for s in named[t]), default=0) for t in tables}
+        written = self._together({t: partial(self._write, t, attempt, seq[t], df, None) for t, df in tables.items()})
+        for table, made in written.items():
             named[table] = [made] if made else []
         return self._finish(base, attempt, named, kept, list(tables), batch)
 
@@ -213,10 +225,12 @@ class Store:
         """
         attempt, old = self._begin(base)
         named = {t: list(old["tables"].get(t, [])) for t in TABLES}
+        jobs = {}
         for table, (keys, rows) in changes.items():
             seq = 1 + max((s["seq"] for s in named[table]), default=0)
             marks = keys.select(F.col(keys.columns[0]).cast("string").alias("_key")).distinct().withColumn("_at", F.lit(seq).cast("long")) if named[table] else None
-            made = self._write(table, attempt, seq, rows, marks)
+            jobs[table] = partial(self._write, table, attempt, seq, rows, marks)
+        for table, made in self._together(jobs).items():
             named[table] += [made] if made else []
         return self._finish(base, attempt, named, old["model"], list(changes), batch)
 
