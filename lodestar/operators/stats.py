@@ -65,6 +65,18 @@ def _at(pairs: Column, rank: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(pairs) - 1), none, step)
 
 
+def _values(pairs: Column, ranks: list[Column]) -> Column:
+    """Struct (upto, v0, v1, ...): for each rank the first v of the ordered pairs (v, c) at which the running sum of c exceeds it."""
+    none = F.lit(None).cast("double")
+    start = F.struct(F.lit(0).cast("bigint").alias("upto"), *[none.alias(f"v{k}") for k in range(len(ranks))])
+
+    def step(t: Column, pair: Column) -> Column:
+        upto = t["upto"] + pair["c"]
+        return F.struct(upto.alias("upto"), *[F.when(t[f"v{k}"].isNull() & (upto > r), pair["v"]).otherwise(t[f"v{k}"]).alias(f"v{k}") for k, r in enumerate(ranks)])
+
+    return F.aggregate(pairs, start, step)
+
+
 def _narrowed(counted: DataFrame, targets: DataFrame, keys: list[str], logarithmic: bool) -> DataFrame:
     """Each target's range cut into PARTS, and the part that holds its rank."""
     own = counted.join(targets, keys).filter("v BETWEEN lo AND hi")
@@ -72,7 +84,7 @@ def _narrowed(counted: DataFrame, targets: DataFrame, keys: list[str], logarithm
     lo, hi = scale(F.col("lo")), scale(F.col("hi"))
     part = F.when(hi > lo, F.least(F.lit(PARTS - 1), F.floor((scale(F.col("v")) - lo) / (hi - lo) * PARTS))).otherwise(0)
     summed = own.groupBy(*keys, "which", "rank", "below", part.alias("part")).agg(F.sum("c").alias("c"), F.count("*").alias("values"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    listed = summed.groupBy(*keys, "which", "rank", "below").agg(F.array_sort(F.collect_list(F.struct("part", "c", "values", "lo", "hi"))).alias("parts"))  # PARTS of them
+    listed = summed.groupBy(*keys, "which", "rank", "below").agg(F.sort_array(F.collect_list(F.struct("part", "c", "values", "lo", "hi"))).alias("parts"))  # PARTS of them
     found = listed.withColumn("found", _at(F.col("parts"), F.col("rank") - F.col("below"))).withColumn("own", F.get("parts", F.col("found.place").cast("int")))
     return found.select(*keys, "which", "rank", (F.col("below") + F.col("found.sum")).alias("below"), "own.lo", "own.hi", F.col("own.values").alias("values"))
 
@@ -88,25 +100,25 @@ def latency(samples: DataFrame, value: str = "value", by: str | None = None) ->
     rows = samples.filter(F.col(value).isNotNull()).select(F.col(by) if by else F.lit(0).alias("_all"), F.col(value).cast("double").alias("v"))
     keys = [by or "_all"]
     counted = rows.groupBy(*keys, "v").agg(F.count("*").alias("c"))
-    large = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    large = rows.count()
     if large > LEFT:
-        counted = materialise(counted, "counted")
-    totals = counted.groupBy(*keys).agg(F.sum("c").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"), F.count("*").alias("values"))
+        large = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    sums = [F.sum("c").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"), F.count("*").alias("values")]
     last = F.col("n") - 1
     ranks = [F.floor(last / 2), F.ceil(last / 2), F.least(F.floor(F.col("n") * 0.95), last), F.least(F.floor(F.col("n") * 0.99), last)]
     if large <= LEFT:
-        listed = counted.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("v", "c"))).alias("pairs")).join(totals, keys)
-        values = [F.get("pairs", _at(F.col("pairs"), r)["place"].cast("int"))["v"] for r in ranks]
-        found = listed.select(*keys, "mean", "min", "max", *[v.alias(f"v{k}") for k, v in enumerate(values)])
+        listed = counted.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("v", "c"))).alias("pairs"), *sums)
+        found = listed.select(*keys, "mean", "min", "max", _values(F.col("pairs"), ranks).alias("s")).select(*keys, "mean", "min", "max", "s.*")
     else:
-        totals = materialise(totals, "totals")
+        counted = materialise(counted, "counted")
+        totals = materialise(counted.groupBy(*keys).agg(*sums), "totals")
         targets = totals.select(*keys, F.posexplode(F.array(*ranks)).alias("which", "rank"), F.lit(0).cast("bigint").alias("below"), F.col("min").alias("lo"), F.col("max").alias("hi"), "values")
         for k in range(ROUNDS):
             if targets.filter((F.col("values") > LEFT) & (F.col("lo") < F.col("hi"))).isEmpty():
                 break
             targets = materialise(_narrowed(counted, targets, keys, k % 2 == 0), "targets")
-        own = counted.join(targets, keys).filter("v BETWEEN lo AND hi").groupBy(*keys, "which", "rank", "below").agg(F.array_sort(F.collect_list(F.struct("v", "c"))).alias("pairs"))
-        one = own.select(*keys, "which", F.get("pairs", _at(F.col("pairs"), F.col("rank") - F.col("below"))["place"].cast("int"))["v"].alias("v"))
+        own = counted.join(targets, keys).filter("v BETWEEN lo AND hi").groupBy(*keys, "which", "rank", "below").agg(F.sort_array(F.collect_list(F.struct("v", "c"))).alias("pairs"))
+        one = own.select(*keys, "which", _values(F.col("pairs"), [F.col("rank") - F.col("below")])["v0"].alias("v"))
         found = one.groupBy(*keys).agg(*[F.max(F.when(F.col("which") == k, F.col("v"))).alias(f"v{k}") for k in range(4)]).join(totals, keys)
     out = found.select(*keys, "mean", ((F.col("v0") + F.col("v1")) / 2).alias("median"), F.col("v2").alias("p95"), F.col("v3").alias("p99"), "min", "max")
     return out if by else out.drop("_all")
