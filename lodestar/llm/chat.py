@@ -24,7 +24,8 @@ Defined cases: turns are ordered by number, then role, then text, nulls first;
 turn numbers may repeat or have gaps, only the order counts; a null role renders
 as "unknown" and a null text as empty, and both are hashed apart from these
 words; rows with a null conversation id are one conversation. Repeated rows are
-repeated turns. Other columns play no part.
+repeated turns. Texts are taken whole, whatever their length; an empty table gives an empty one. Other
+columns play no part.
 """
 
 from __future__ import annotations

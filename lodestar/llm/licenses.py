@@ -17,7 +17,8 @@ Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-c
 
 Defined cases: a null text counts as empty and has 0 words; phrases that overlap
 count each; labels are distinct and sorted; without base phrases first_word and
-last_word are null. Repeated rows are scanned alike; other columns pass through.
+last_word are null. Repeated rows are scanned alike; a text is read whole, whatever its length; an empty
+table gives an empty one; other columns pass through, but for those that have the names of the results.
 """
 
 from __future__ import annotations

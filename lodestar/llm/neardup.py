@@ -31,7 +31,8 @@ Defined cases: a null text, or one without words, is a class of its own; texts
 of 1-4 words have one shingle of all words. The class id is the smallest id of
 the class, null if no row of it has an id. Different texts under one id are
 matched each for itself; two classes whose smallest id is the same have the same
-class id. Repeated rows are in one class. Other columns take no part.
+class id. Repeated rows are in one class. A text is read whole by one task, whatever its length; an empty table
+gives an empty one. Other columns take no part.
 """
 
 from __future__ import annotations

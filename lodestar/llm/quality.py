@@ -8,7 +8,8 @@ at once.
 Defined cases: a null text counts as empty; an empty text has all statistics 0
 and gets the score the trees give that; without any training row of both
 classes the score is the share of label 1 (0.5 if there is none). Repeated
-rows each get a score; other columns pass through.
+rows each get a score; a text is read whole, whatever its length; an empty table gives an empty one; other columns
+pass through, but for one that has the name of the result, which is replaced.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ its places, under the order of words or the reversed one, as a root of length q.
    a sparse table; to the left likewise on the reversed words. Only texts with such roots need these.
 
 A text is taken whole by one task, in slices of about 1 MB of texts; a longer text is a slice of its own
-and takes about 60 bytes of memory for each byte. No text leaves its row, nothing is shuffled.
+and takes about 40 bytes of memory for each byte (measured at 6.6 MB: 31 without repetitions, 38 with them). No text leaves its row, nothing is shuffled.
 
 Defined cases: a null or empty text has no words, no runs and the empty collapsed text; texts are
 equal to themselves only, so repeated rows each get the same result; an empty table gives an empty one; an

@@ -23,7 +23,8 @@ of matches.
 Defined cases: a null text counts as empty; matches of a rule don't overlap and
 are the leftmost ones; a match shorter than the rule's minimum is dropped but
 still uses up its characters; spans of different rules may overlap and are all
-kept. Repeated rows are scanned alike; columns of any name pass through, but for one
+kept. Repeated rows are scanned alike; a text is scanned whole, whatever its length; an empty table gives
+an empty one; columns of any name pass through, but for one
 that has the name of the result, which is replaced.
 """
 

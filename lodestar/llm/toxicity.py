@@ -15,7 +15,8 @@ surround a hit in many copies of one document don't enter the lexicon.
 Defined cases: null counts as empty text; an empty text has no hit and gets the
 score of no hit; without training rows of both classes the lexicon is empty and
 every score is the share of label 1 (0 if there is none). Repeated rows are
-each scored; other columns pass through.
+each scored; a text is read whole, whatever its length; an empty table gives an empty one; other columns
+pass through, but for those that have the names of the results, which are replaced.
 """
 
 from __future__ import annotations
