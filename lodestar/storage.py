@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -16,11 +17,13 @@ _WRITTEN: dict[str, SparkSession] = {}
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (unit tests on one machine) a temporary folder is taken.
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset and all of Spark is
+    one process (unit tests) a temporary folder is taken.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors reach")
         where = getattr(spark, "_lodestar_dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestar-")
         spark._lodestar_dir = where
     return where.rstrip("/")
