@@ -168,7 +168,7 @@ class Store:
         if len(jobs) < 2:
             return {k: job() for k, job in jobs.items()}
         with ThreadPoolExecutor(len(jobs)) as pool:
-            running = {k: pool.submit(inheritable_thread_target(job)) for k, job in jobs.items()}
+            running = {k: pool.submit(inheritable_thread_target(self.spark)(job)) for k, job in jobs.items()}
         return {k: r.result() for k, r in running.items()}
 
     def _publish(self, base: int, attempt: str, tables: dict[str, list[dict]], model: str | None, batch: tuple[str, int] | None = None) -> int:

@@ -157,7 +157,8 @@ class Tasks:
 
 
 class TaskQueue:
-    """Workers of this driver on a table of tasks. ``handle(collection, paths)`` indexes files."""
+    """Workers of this driver on a table of tasks. ``handle(collection, paths)`` indexes files. A worker
+    ends when no task is pending; ``enqueue`` and ``start`` make new ones."""
 
     def __init__(self, tasks: Tasks, handle: Callable[[str, list[str]], object], workers: int = 1):
         self.tasks, self.handle, self.wanted = tasks, handle, max(1, workers)
@@ -193,7 +194,14 @@ class TaskQueue:
                     continue
                 taken = self.tasks.claim(name)
                 if taken is None:
-                    seen, later = version, time.time() + min(self.tasks.seconds, 60.0)
+                    left, until = self.tasks.read().filter("error IS NULL").agg(F.count("*"), F.min("until")).first()
+                    if left:  # others hold tasks, until the first of these leases ends at least
+                        seen, later = version, max(until, time.time() + POLL)
+                        continue
+                    with self._lock:  # ``start`` makes another worker when there is something to do
+                        if self.tasks.store.version() == version:
+                            self.workers.remove(threading.current_thread())
+                            return
                     continue
                 errors: dict[str, str] = {}
                 self._try(*taken, errors)
