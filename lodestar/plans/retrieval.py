@@ -203,7 +203,7 @@ def sparse_topk(postings: DataFrame, queries: DataFrame, n: int, digits: int | N
     gathered by point; vectors hold that already. A task then sums a tile of points against
     a block of queries at once and keeps the ``n`` best, so no row is made for a
     term that a point and a query share, however common it is. Queries are sent in blocks
-    of QUERIES; with several, each one's result is written before the next is fetched. Queries
+    of QUERIES, and of BROADCAST_BYTES of their terms; with several, each one's result is written before the next is fetched. Queries
     with up to ``few_terms`` terms in all have these pushed to the scan, which prunes postings
     that are sorted by term.
     """
@@ -211,7 +211,8 @@ def sparse_topk(postings: DataFrame, queries: DataFrame, n: int, digits: int | N
         raise ValueError("the number of results must be positive")
     spark = postings.sparkSession
     words = queries.select("query_id", F.array_distinct(sparse.without(tokens(F.col("text"), pattern), stop_words)).alias("terms")).filter("size(terms) > 0")
-    blocks = max(1, -(-words.count() // QUERIES))
+    n_queries, size = words.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.array_join("terms", "  "))), F.lit(0))).first()
+    blocks = max(1, -(-n_queries // QUERIES), -(-size // BROADCAST_BYTES))
     schema = T.StructType([T.StructField("query_id", words.schema["query_id"].dataType), T.StructField("id", postings.schema["id"].dataType), T.StructField("score", T.DoubleType())])
     parts = []
     for k in range(blocks):

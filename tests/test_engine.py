@@ -756,8 +756,9 @@ def test_sparse_topk_equals_brute_force(spark, monkeypatch):
                 scored.append((-round(sum((c := ws.count(w)) * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(ws) / 256.0)) for w in sorted(shared)), 6), i))
         want |= {(q, i, r + 1) for r, (_, i) in enumerate(sorted(scored)[:7])}
     rows = lambda df: {(r.query_id, r.id, r["rank"]) for r in df.collect()}
-    for scores, block in ((1 << 21, 10_000), (60, 5)):
+    for scores, block, sent in ((1 << 21, 10_000, 1 << 23), (60, 5, 1 << 23), (60, 10_000, 60)):
         monkeypatch.setattr(retrieval, "SCORES", scores)
+        monkeypatch.setattr(retrieval, "BROADCAST_BYTES", sent)
         monkeypatch.setattr(retrieval, "QUERIES", block)
         assert rows(retrieval.sparse_topk(sparse.postings(points), asked, 7)) == want
         assert rows(retrieval.sparse_topk(sparse.postings(points), asked, 7, few_terms=1000)) == want
