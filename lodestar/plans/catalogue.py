@@ -898,6 +898,32 @@ def poll_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _noted(spark, [("error", 1) if "error" in b else next((k, v) for k, v in b.items() if v) for b in list(watcher.beats)[:3]])
 
 
+@query(_counts([("added", _PAGES), ("updated", _LOW), ("deleted", _TOXIC), ("errors", "0"), ("files", f"({_DOCS}) - ({_TOXIC}) + ({_PAGES})")]))
+def stream_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of all documents as a stream of listings, while pages are added, low documents changed and toxic ones
+    removed; what its batches gave together, however many there were."""
+    home = _local_home(spark)
+    folder, engine = os.path.join(home, "docs"), _engine(spark, home)
+    docs, marks = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    marked = lambda rule: docs.join(marks.filter(rule).select("doc_id"), "doc_id", "left_semi")
+    _as_files(docs, folder)
+    engine.add("kb", folder)
+    engine.poll_seconds = 1
+    watcher = engine.watch("kb")
+    try:
+        write_files(table(spark, sf_dir, "pages").select(F.format_string("pages/%d.html", "page_id").alias("rel_path"), F.col("html").alias("content")), folder)
+        _as_files(marked("toxic = 0 AND quality = 0"), folder, content="concat(text, ' more')", mtime="n_chars + 1")
+        _removed(marked("toxic = 1"), folder)
+        total = lambda what: sum(b.get(what, 0) for b in list(watcher.beats))
+        there, end = list_folder(spark, folder).count(), time.time() + 600
+        while time.time() < end and (engine.store("kb").read("files").count() != there or total("updated") < marked("toxic = 0 AND quality = 0").count()):
+            time.sleep(1)
+    finally:
+        watcher.stop()
+    rows = [(what, total(what)) for what in ("added", "updated", "deleted")] + [("errors", sum("error" in b for b in watcher.beats))]
+    return _noted(spark, [*rows, ("files", engine.store("kb").read("files").count())])
+
+
 @query(_counts([("collections", "1"), ("indexed_files", _DOCS), ("total_chunks", _CHUNKS), ("watching", "0"), ("pending_tasks", "0"), ("results", f"least(5, ({_DOCS}))"), ("refused", "1")]))
 def command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the command line prints as JSON about a collection of all documents."""
