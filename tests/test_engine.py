@@ -976,7 +976,7 @@ def test_order_statistics_equal_sorted_lists(spark, monkeypatch, by):
         vs.sort()
         n = len(vs)
         want[k] = ((vs[(n - 1) // 2] + vs[-(-(n - 1) // 2)]) / 2, vs[min(math.floor(n * 0.95), n - 1)], vs[min(math.floor(n * 0.99), n - 1)], vs[0], vs[-1])
-    for left, parts in ((100_000, 256), (30, 8), (1, 4)):
+    for left, parts in ((100_000, 256), (30, 32)):
         monkeypatch.setattr(stats, "LEFT", left)
         monkeypatch.setattr(stats, "PARTS", parts)
         got = stats.latency(df, by=by)
