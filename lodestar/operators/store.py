@@ -7,7 +7,9 @@ and its cost doesn't depend on the collection's size.
 
 ``compact`` merges the newest segments when there are FAN of about one size, so a row is written
 anew a number of times that grows with the logarithm of the collection; marks go when they are merged with the
-oldest segment. Within a segment rows are dealt to files by their bytes and sorted.
+oldest segment. Within a segment rows are dealt to files by their bytes and sorted; rows that are dealt already are
+written by the tasks that hold them, without an exchange. Points are written first, and what depends on them
+is made of the written ones, so that no other copy of them is on disk.
 
 Segments never change. Points and file states of a version can't diverge, a
 reader keeps the version it began with, also while segments are merged, and a failed write leaves
@@ -40,9 +42,15 @@ from lodestar.sources.files import Files
 TABLES: dict[str, T.StructType] = {"points": POINTS, "postings": POSTINGS, "files": FILES, "codes": CODES, "tasks": LEASES}
 #: The column of a table that tells the file a row belongs to, and the order of rows in a file of a segment; the first column deals rows to them.
 KEYS = {"points": "source_file", "postings": "source_file", "files": "file_path", "codes": "source_file", "tasks": "task"}
-ORDER = {"points": ("source_file", "chunk_index"), "postings": ("term",), "files": ("file_path",), "codes": ("cell", "id"), "tasks": ("task",)}
+ORDER = {"points": ("source_file", "chunk_index"), "postings": ("source_file",), "files": ("file_path",), "codes": ("cell", "id"), "tasks": ("task",)}
 #: Segments of about one size that are merged, bytes of the smallest size, and marks that readers broadcast at most.
 FAN, SMALL, MARKS = 8, 32 << 20, 100_000
+#: How segments are written: they are read far more often, and two versions are on disk while one is built anew.
+PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": 9}
+#: The form of the tables. Versions with postings of another form are passed over, so their files are indexed anew.
+FORM = 2
+#: Rows of a table, or what makes them of the points that are written with them.
+Rows = DataFrame | Callable[[DataFrame], DataFrame]
 
 
 class ConcurrentWrite(RuntimeError):
@@ -87,7 +95,8 @@ class Store:
             whole = whole and (found["model"] is None or self.files.exists(os.path.join(self.path, "models", found["model"])))
         except (ValueError, KeyError, TypeError, AttributeError):
             return None
-        return found if whole else None
+        old = found["tables"].get("postings") and found.get("form") != FORM
+        return found if whole and not old else None
 
     def version(self) -> int:
         """The last version that can be read; 0 before the first commit or after ``drop``."""
@@ -146,13 +155,14 @@ class Store:
 
     # ---- writing
 
-    def _write(self, table: str, attempt: str, seq: int, rows: DataFrame | None, marks: DataFrame | None) -> dict | None:
-        """A segment of these rows and marks; None if there are none."""
+    def _write(self, table: str, attempt: str, seq: int, rows: DataFrame | None, marks: DataFrame | None, dealt: bool = False) -> dict | None:
+        """A segment of these rows and marks; None if there are none. Rows that are ``dealt`` keep their tasks and order."""
         folder, made = os.path.join(self.path, table, attempt), {"folder": attempt, "seq": seq, "rows": 0, "marks": 0, "bytes": 0}
         if rows is not None:
             order = ORDER[table]
             cast = rows.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[table]])
-            cast.hint("rebalance", order[0]).sortWithinPartitions(*order).write.parquet(os.path.join(folder, "rows"))
+            cast = cast if dealt else cast.hint("rebalance", order[0]).sortWithinPartitions(*order)
+            cast.write.options(**PACKED).parquet(os.path.join(folder, "rows"))
             made["rows"] = self.spark.read.schema(TABLES[table]).parquet(os.path.join(folder, "rows")).count()
             made["bytes"] = self.files.size(os.path.join(folder, "rows"))
         if marks is not None:
@@ -171,10 +181,25 @@ class Store:
             running = {k: pool.submit(inheritable_thread_target(self.spark)(job)) for k, job in jobs.items()}
         return {k: r.result() for k, r in running.items()}
 
+    def _segments(self, attempt: str, tables: dict[str, tuple[int, Rows, DataFrame | None]], dealt: tuple[str, ...]) -> dict[str, dict | None]:
+        """The segments of (seq, rows, marks) of each table; nothing is left of them if one fails."""
+        try:
+            written = {}
+            if "points" in tables and any(callable(rows) for _, rows, _ in tables.values()):
+                seq, rows, marks = tables["points"]
+                written["points"] = made = self._write("points", attempt, seq, rows, marks, "points" in dealt)
+                points = self._live("points", [made | {"marks": 0}] if made else [])
+                tables = {t: (s, r(points) if callable(r) else r, m) for t, (s, r, m) in tables.items() if t != "points"}
+            return written | self._together({t: partial(self._write, t, attempt, s, r, m, t in dealt) for t, (s, r, m) in tables.items()})
+        except BaseException:
+            for table in TABLES:
+                self.files.delete(os.path.join(self.path, table, attempt))
+            raise
+
     def _publish(self, base: int, attempt: str, tables: dict[str, list[dict]], model: str | None, batch: tuple[str, int] | None = None) -> int:
         batches = (self._manifest(base) or {}).get("batches", {}) | (dict([batch]) if batch else {})
         new = max(self._numbers(), default=0) + 1 if self.version() == base else base + 1
-        manifest = {"attempt": attempt, "at": time.time(), "tables": tables, "model": model, "batches": batches}
+        manifest = {"attempt": attempt, "at": time.time(), "tables": tables, "model": model, "batches": batches, "form": FORM}
         if self.version() != base or not self.files.create(os.path.join(self.path, "versions", f"{new}.json"), json.dumps(manifest)):
             raise ConcurrentWrite(f"{self.name} is at version {self.version()}, not {base}")
         return new
@@ -203,25 +228,25 @@ class Store:
                 self.files.delete(os.path.join(self.path, table, attempt))
             raise
 
-    def commit(self, base: int, model: dict | None = None, batch: tuple[str, int] | None = None, **tables: DataFrame) -> int:
+    def commit(self, base: int, model: dict | None = None, batch: tuple[str, int] | None = None, dealt: tuple[str, ...] = (), **tables: Rows) -> int:
         """A new version after ``base``, with these tables whole; the others stay as they are, but for codes,
-        which belong to the points and ``model``. ``batch`` is the stream and batch that it is made for."""
+        which belong to the points and ``model``. ``batch`` is the stream and batch that it is made for. Tables that are named in
+        ``dealt`` have tasks of a fit size and rows in order, and are written by these."""
         attempt, old = self._begin(base)
         named = {t: old["tables"].get(t, []) for t in TABLES}
         kept = old["model"]
         if "points" in tables or "codes" in tables:
             named["codes"], kept = [], self._save_model(model)
         seq = {t: 1 + max((s["seq"] for s in named[t]), default=0) for t in tables}
-        written = self._together({t: partial(self._write, t, attempt, seq[t], df, None) for t, df in tables.items()})
-        for table, made in written.items():
+        for table, made in self._segments(attempt, {t: (seq[t], df, None) for t, df in tables.items()}, dealt).items():
             named[table] = [made] if made else []
         return self._finish(base, attempt, named, kept, list(tables), batch)
 
-    def change(self, base: int, batch: tuple[str, int] | None = None, **changes: tuple[DataFrame, DataFrame]) -> int:
+    def change(self, base: int, batch: tuple[str, int] | None = None, dealt: tuple[str, ...] = (), **changes: tuple[DataFrame, Rows]) -> int:
         """A new version after ``base``, in which the rows of some files are others.
 
         For each table: (keys, rows), where ``keys`` has the paths whose rows go, and ``rows``
-        are the new ones. Nothing else is read or written.
+        are the new ones. Nothing else is read or written. ``dealt`` is as in ``commit``.
         """
         attempt, old = self._begin(base)
         named = {t: list(old["tables"].get(t, [])) for t in TABLES}
@@ -229,8 +254,8 @@ class Store:
         for table, (keys, rows) in changes.items():
             seq = 1 + max((s["seq"] for s in named[table]), default=0)
             marks = keys.select(F.col(keys.columns[0]).cast("string").alias("_key")).distinct().withColumn("_at", F.lit(seq).cast("long")) if named[table] else None
-            jobs[table] = partial(self._write, table, attempt, seq, rows, marks)
-        for table, made in self._together(jobs).items():
+            jobs[table] = (seq, rows, marks)
+        for table, made in self._segments(attempt, jobs, dealt).items():
             named[table] += [made] if made else []
         return self._finish(base, attempt, named, old["model"], list(changes), batch)
 

@@ -205,7 +205,7 @@ def sparse_topk(postings: DataFrame, queries: DataFrame, n: int, digits: int | N
     term that a point and a query share, however common it is. Queries are sent in blocks
     of QUERIES, and of BROADCAST_BYTES of their terms; with several, each one's result is written before the next is fetched. Queries
     with up to ``few_terms`` terms in all have these pushed to the scan, which prunes postings
-    that are sorted by term.
+    that are sorted by term, and takes all others out of vectors before these leave the JVM.
     """
     if n <= 0:
         raise ValueError("the number of results must be positive")
@@ -225,6 +225,9 @@ def sparse_topk(postings: DataFrame, queries: DataFrame, n: int, digits: int | N
             terms = spark.createDataFrame([(t,) for t in asked.terms.to_pylist()], "term string")
             mine = postings.filter(F.col("term").isin(asked.terms.to_pylist())) if len(asked.terms) <= few_terms else postings.join(F.broadcast(terms), "term")
             vectors = mine.groupBy("id").agg(F.collect_list(F.struct("term", "weight")).alias("terms"))
+        elif len(asked.terms) <= few_terms:
+            wanted = asked.terms.to_pylist()
+            vectors = postings.select("id", F.filter("terms", lambda t: t["term"].isin(wanted)).alias("terms")).filter("size(terms) > 0")
         held = spark.sparkContext.broadcast(asked)
         part = ranked(vectors.select("id", "terms").mapInArrow(_best_sums(held, n, digits), schema), n)
         if blocks > 1:

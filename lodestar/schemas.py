@@ -12,11 +12,13 @@ POINTS = T.StructType([
     T.StructField("dense", T.ArrayType(T.FloatType())),
 ])
 
+#: The distinct terms of a point, joined by spaces, their counts, and how many words it has.
 POSTINGS = T.StructType([
-    T.StructField("term", T.StringType(), False),
     T.StructField("id", T.StringType(), False),
     T.StructField("source_file", T.StringType(), False),
-    T.StructField("weight", T.DoubleType(), False),
+    T.StructField("length", T.IntegerType(), False),
+    T.StructField("terms", T.StringType(), False),
+    T.StructField("counts", T.ArrayType(T.IntegerType()), False),
 ])
 
 #: A point's cell and code in the approximate index of vectors.

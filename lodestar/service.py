@@ -11,6 +11,7 @@ from contextlib import contextmanager, suppress
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.functions import sparse
 from lodestar.operators import quantised, stats
 from lodestar.operators.catalog import Catalog
 from lodestar.operators.embedding import HashingEmbedder
@@ -227,7 +228,7 @@ class Engine:
         options.setdefault("few_terms", 1000)
         options.setdefault("stop_words", tuple(self.settings.stop_words))
         embedded = queries.withColumn("dense", self.settings.embedder.column(F.col("text"), is_query=True))
-        return retrieval.search(store.read("points", version), store.read("postings", version), embedded, **options)
+        return retrieval.search(store.read("points", version), sparse.weighted(store.read("postings", version)), embedded, **options)
 
     def index(self, name: str, version: int) -> quantised.Index:
         """The approximate index of a version; ValueError if there is none."""

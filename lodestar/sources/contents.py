@@ -1,6 +1,6 @@
 """Reading the files that a table names, and writing tables as files.
 
-``with_content`` reads the named files only. They are dealt to tasks by their bytes, and a task
+``with_content`` reads the named files only. They are dealt to tasks by their bytes, and a task, in the order of paths,
 reads one file after the other and hands rows on as soon as it holds FLUSH bytes, so a worker's
 memory follows the largest file, not the number of files or the folder.
 
@@ -139,7 +139,7 @@ def with_content(files: DataFrame, path: str = "file_path", folder: str | None =
     plain = files.drop("content", "found", "file_hash", "text")
     if folder is None or workers_can_open(folder):
         schema = T.StructType([*plain.schema.fields, T.StructField("content", T.BinaryType()), T.StructField("found", T.BooleanType())])
-        got = plain.repartition(_tasks(plain), path).mapInArrow(_reader(path, read), schema)
+        got = plain.repartition(_tasks(plain), path).sortWithinPartitions(path).mapInArrow(_reader(path, read), schema)
     else:
         got = _by_spark(plain, path, folder)
     return got.withColumn("file_hash", F.sha2("content", 256)).withColumn("text", repaired(F.col("content")))
