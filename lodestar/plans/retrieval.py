@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestar.functions import sparse
+from lodestar.functions.batches import ranges
 from lodestar.functions.text import WORD_TOKEN, tokens
 from lodestar.storage import materialise
 
@@ -24,8 +25,9 @@ from lodestar.storage import materialise
 BROADCAST_BYTES = 8 << 20
 #: Points and queries of one matrix product.
 TILE = 2048, 1024
-#: Queries that are sent to the tasks at once by their terms, and scores of one tile of points.
-QUERIES, SCORES = 10_000, 1 << 21
+#: Queries that are sent to the tasks at once by their terms, scores of one tile of points, and terms of points, or pairs
+#: of these and the queries that hold them, that a task works on at once.
+QUERIES, SCORES, ENTRIES = 10_000, 1 << 20, 1 << 19
 RRF_K = 2.0
 
 
@@ -158,39 +160,68 @@ class _Asked:
         self.first = np.searchsorted(of[order], np.arange(len(self.terms) + 1))
 
 
+class best_sums:  # noqa: N801
+    """Keeps the ``n`` best points of each query, fed batch by batch. Beside the batch, memory is that of the queries,
+    their results, one tile of scores and ENTRIES terms or pairs of a point's term and a query, or those of one point:
+    common terms, that many queries hold, make tiles of fewer points."""
+
+    def __init__(self, asked: _Asked, n: int, digits: int | None):
+        self.asked, self.n, self.digits = asked, n, digits
+        self.pool = None
+        self.least = np.full(len(asked.keys), -np.inf)
+
+    def add(self, ids: pa.Array, listed: pa.Array) -> None:
+        for a, b in ranges(pc.list_value_length(listed).fill_null(0).to_numpy(), ENTRIES, len(listed)):
+            self._slice(ids[a:b], listed[a:b])
+
+    def _slice(self, ids: pa.Array, listed: pa.Array) -> None:
+        asked = self.asked
+        entries = listed.flatten()
+        doc = np.repeat(np.arange(len(ids)), pc.list_value_length(listed).fill_null(0).to_numpy())
+        term = pc.index_in(entries.field("term"), value_set=asked.terms)
+        some = np.flatnonzero(pc.is_valid(term).to_numpy(zero_copy_only=False))
+        doc, weight = doc[some], entries.field("weight").to_numpy()[some]
+        term = term.take(pa.array(some)).to_numpy()
+        many = asked.first[term + 1] - asked.first[term]
+        load = np.bincount(doc, many, len(ids)).astype(np.int64)
+        for a, b in ranges(load, ENTRIES, max(1, SCORES // len(asked.keys))):
+            x, y = np.searchsorted(doc, [a, b])
+            if x < y:
+                self._tile(ids[a:b], doc[x:y] - a, term[x:y], weight[x:y], many[x:y])
+
+    def _tile(self, ids: pa.Array, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, many: np.ndarray) -> None:
+        asked, n, q_count = self.asked, self.n, len(self.asked.keys)
+        pairs = int(many.sum())
+        cell = asked.query[np.repeat(asked.first[term] - np.cumsum(many) + many, many) + np.arange(pairs)] + np.repeat(doc * q_count, many)
+        score = np.bincount(cell, np.repeat(weight, many), minlength=len(ids) * q_count)
+        met = np.zeros(len(score), dtype=bool)
+        met[cell] = True
+        score = np.where(met, np.round(score, self.digits) if self.digits is not None else score, -np.inf).reshape(len(ids), q_count)
+        bar = self.least
+        if len(score) > n:
+            bar = np.maximum(bar, np.partition(score, len(score) - n, axis=0)[len(score) - n])
+        at, q = np.nonzero((score >= bar) & (score > -np.inf))
+        if not len(at):
+            return
+        found, pool = (q, score[at, q], ids.take(pa.array(at))), self.pool
+        self.pool = pool = _cut(*found, n) if pool is None else _cut(np.concatenate([pool[0], found[0]]), np.concatenate([pool[1], found[1]]), pa.concat_arrays([pool[2], found[2]]), n)
+        full = np.flatnonzero(np.bincount(pool[0], minlength=q_count) == n)
+        self.least[full] = pool[1][np.searchsorted(pool[0], full, side="right") - 1]
+
+    def result(self) -> Iterator[pa.RecordBatch]:
+        if self.pool is not None:
+            q, score, ids = self.pool
+            yield pa.RecordBatch.from_arrays([self.asked.keys.take(pa.array(q)), ids, pa.array(score)], ["query_id", "id", "score"])
+
+
 def _best_sums(held, n: int, digits: int | None):
     """``held`` is a broadcast _Asked."""
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, pool = held.value, None
-        q_count = len(asked.keys)
-        tile = max(1, SCORES // q_count)
+        kept = best_sums(held.value, n, digits)
         for batch in batches:
-            ids, listed = batch.columns
-            entries = listed.flatten()
-            doc = np.repeat(np.arange(len(ids)), pc.list_value_length(listed).fill_null(0).to_numpy())
-            term = pc.index_in(entries.field("term"), value_set=asked.terms)
-            some = np.flatnonzero(pc.is_valid(term).to_numpy(zero_copy_only=False))
-            doc, weight = doc[some], entries.field("weight").to_numpy()[some]
-            term = term.take(pa.array(some)).to_numpy()
-            many = asked.first[term + 1] - asked.first[term]
-            for a in range(0, len(ids), tile):
-                x, y = np.searchsorted(doc, [a, a + tile])
-                if x == y:
-                    continue
-                m = many[x:y]
-                query = asked.query[np.repeat(asked.first[term[x:y]] - np.cumsum(m) + m, m) + np.arange(m.sum())]
-                cell = np.repeat((doc[x:y] - a) * q_count, m) + query
-                score = np.bincount(cell, np.repeat(weight[x:y], m), minlength=tile * q_count)
-                met = np.zeros(len(score), dtype=bool)
-                met[cell] = True
-                score = np.where(met, np.round(score, digits) if digits is not None else score, -np.inf).reshape(tile, q_count)
-                bar = np.partition(score, tile - n, axis=0)[tile - n] if tile > n else np.full(q_count, -np.inf)
-                at, q = np.nonzero((score >= bar) & (score > -np.inf))
-                mine = ids.take(pa.array(at + a))
-                pool = _cut(q, score[at, q], mine, n) if pool is None else _cut(np.concatenate([pool[0], q]), np.concatenate([pool[1], score[at, q]]), pa.concat_arrays([pool[2], mine]), n)
-        if pool is not None:
-            yield pa.RecordBatch.from_arrays([asked.keys.take(pa.array(pool[0])), pool[2], pa.array(pool[1])], ["query_id", "id", "score"])
+            kept.add(*batch.columns)
+        yield from kept.result()
 
     return best
 

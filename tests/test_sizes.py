@@ -3,13 +3,17 @@
 import json
 import os
 import random
+import tracemalloc
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 
 from lodestar.functions import sparse
 from lodestar.operators.embedding import HashingEmbedder
 from lodestar.operators.store import Store
 from lodestar.operators.sync import Settings
+from lodestar.plans import retrieval
 from lodestar.schemas import POINTS
 from lodestar.service import Engine
 
@@ -59,3 +63,21 @@ def test_versions_of_the_older_form_of_postings_are_passed_over(spark, tmp_path)
     assert store.version() == 1
     path.write_text(json.dumps({k: v for k, v in old.items() if k != "form"}))
     assert store.version() == 0
+
+
+def test_memory_of_the_sparse_leg_does_not_follow_common_terms(monkeypatch):
+    """Every point and query holds the same words: millions of pairs, which aren't held at once."""
+    words = [f"w{k}" for k in range(25)]
+    texts = pa.array([words] * 150, pa.list_(pa.string()))
+    asked = retrieval._Asked(pa.array(range(150)), texts)
+    vector = [{"term": w, "weight": 0.5 + k / 64} for k, w in enumerate(words)]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"p{k:05}" for k in range(4000)]), pa.array([vector] * 4000, pa.list_(pa.struct([("term", pa.string()), ("weight", pa.float64())])))], ["id", "terms"])
+    tracemalloc.start()
+    try:
+        (got,) = retrieval._best_sums(SimpleNamespace(value=asked), 3, 6)(iter([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 120 << 20  # 15 million pairs, 8 bytes each, in several arrays
+    score = round(sum(v["weight"] for v in vector), 6)
+    assert got.to_pylist() == [{"query_id": q, "id": f"p{k:05}", "score": score} for q in range(150) for k in range(3)]
