@@ -10,6 +10,8 @@ import pyarrow as pa
 import pytest
 
 from lodestar.functions import sparse
+from lodestar.functions.batches import each
+from lodestar.operators import embedding, markdown
 from lodestar.operators.embedding import HashingEmbedder
 from lodestar.operators.store import Store
 from lodestar.operators.sync import Settings
@@ -81,3 +83,21 @@ def test_memory_of_the_sparse_leg_does_not_follow_common_terms(monkeypatch):
     assert peak < 120 << 20  # 15 million pairs, 8 bytes each, in several arrays
     score = round(sum(v["weight"] for v in vector), 6)
     assert got.to_pylist() == [{"query_id": q, "id": f"p{k:05}", "score": score} for q in range(150) for k in range(3)]
+
+
+def test_memory_of_chunks_and_vectors_does_not_follow_the_batch():
+    """A batch of 10,000 texts is worked on in parts, and words that come once aren't kept."""
+    texts = pa.array([None, "", *("\n\n".join(f"# h{k}-{i}\n\nbody x{k}y{i} z" for i in range(25)) for k in range(10_000))])
+    tracemalloc.start()
+    try:
+        cut = each(texts, markdown.chunks, pa.list_(pa.string()))
+        chunking_peak = tracemalloc.get_traced_memory()[1]
+        (vectors,) = embedding._udf(HashingEmbedder(4).encode).func(iter([texts[:2002]]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert chunking_peak < 30 << 20 and peak < 30 << 20
+    assert cut[2:4].to_pylist() == [markdown.chunks(t) for t in texts[2:4].to_pylist()] and cut[:2].to_pylist() == [[], []]
+    assert len(vectors) == 2002 and vectors[:2].to_pylist() == [[0.0] * 4] * 2
+    assert vectors[-1].as_py() == HashingEmbedder(4).encode([texts[2001].as_py()])[0].tolist()
+    assert embedding._features.cache_info().currsize <= embedding._features.cache_info().maxsize <= 20_000
