@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import threading
+import time
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
@@ -179,11 +180,12 @@ class Engine:
         """
         self.catalog.get(name)
         watched = name in self.watchers and self.watchers[name].running
+        end = time.monotonic() + timeout
         if watched:
-            self.watchers[name].stop()
+            self.watchers[name].stop(timeout)
         self.queue.cancel(name)
         with self._idle:
-            free = self._idle.wait_for(lambda: self._busy[name] == 0, timeout)
+            free = self._idle.wait_for(lambda: self._busy[name] == 0, max(0.0, end - time.monotonic()))
             if free:
                 self._busy[name] = -1
         try:

@@ -9,7 +9,8 @@ names the last batch of each stream that went into it. A batch that is run again
 commit of the version and that of the checkpoint, finds itself there and does nothing.
 
 A batch that fails is recorded and tried again: the number of failures is part of the offset, so the next look at the folder
-gives another one. The listing is walked by the source's own process on the driver's machine, one folder
+gives another one. Stopping waits for the batch that runs; one that comes after that isn't done, and
+is run at the next start. The listing is walked by the source's own process on the driver's machine, one folder
 after the other; for folders with a scheme there is the heartbeat of ``watch``.
 """
 
@@ -30,7 +31,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodestar.sources.contents import bare
 from lodestar.sources.files import Files
-from lodestar.streaming.watch import HISTORY, POLL_SECONDS
+from lodestar.streaming.watch import HISTORY, POLL_SECONDS, Turns
 
 log = logging.getLogger(__name__)
 SCHEMA = T.StructType().add("digest", T.StringType()).add("files", T.LongType())
@@ -117,6 +118,7 @@ class FolderStream:
         self.spark, self.name, self.folder, self.sync, self.seconds = spark, name, folder, sync, seconds
         self.state, self.files = state, Files(spark)
         self.query: StreamingQuery | None = None
+        self.turns = Turns()
         #: What each batch gave, the last HISTORY of them: counts, or {"error": text}.
         self.beats: deque[dict] = deque(maxlen=HISTORY)
 
@@ -137,20 +139,29 @@ class FolderStream:
         stream = self._id()
         failures = os.path.join(bare(self.spark, self.state), "failures")
 
+        turns = self.turns = Turns()
+
         def on_batch(_, batch: int) -> None:
-            try:
-                self.beats.append(dict(self.sync(stream, batch) or {}))
-            except Exception as e:  # the next look at the folder gives another offset
-                log.exception("synchronising %s failed", self.name)
-                self.beats.append({"error": str(e)})
-                self.files.replace(failures, str(_failures(failures) + 1))
+            with turns:
+                if turns.ending.is_set():
+                    raise InterruptedError("the stream has been stopped")
+                try:
+                    self.beats.append(dict(self.sync(stream, batch) or {}))
+                except Exception as e:  # the next look at the folder gives another offset
+                    log.exception("synchronising %s failed", self.name)
+                    self.beats.append({"error": str(e)})
+                    self.files.replace(failures, str(_failures(failures) + 1))
 
         source = self.spark.readStream.format("lodestar_folder_stream").option("failures", failures).load(self.folder)
         checkpoint = os.path.join(self.state, f"checkpoint-{stream}")
         checkpoint = f"file://{checkpoint}" if checkpoint.startswith("/") else checkpoint
         self.query = source.writeStream.queryName(f"folder_{self.name}_{uuid.uuid4().hex[:8]}").option("checkpointLocation", checkpoint).foreachBatch(on_batch).trigger(processingTime=f"{self.seconds} seconds").start()
 
-    def stop(self) -> None:
+    def stop(self, timeout: float | None = None) -> bool:
+        """End after the batch that runs; False, and it goes on, if that takes longer than ``timeout``."""
         if self.query is not None:
+            if not self.turns.end(timeout):
+                return False
             self.query.stop()
             self.query = None
+        return True

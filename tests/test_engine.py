@@ -549,6 +549,28 @@ def test_a_watcher_survives_errors(spark):
         w.stop()
 
 
+@pytest.mark.parametrize("by", ["beat", "digest"])
+def test_a_running_batch_ends_before_its_stream_stops(spark, folder, tmp_path, by):
+    import threading
+
+    from lodestar.streaming.folder import FolderStream
+    from lodestar.streaming.watch import Watcher
+
+    began = threading.Event()
+
+    def run(*_):
+        began.set()
+        for _ in range(8):
+            spark.range(1000).repartition(3).count()
+            time.sleep(0.2)
+        return {"added": 1}
+
+    w = Watcher(spark, "kb", run, 1) if by == "beat" else FolderStream(spark, "kb", str(folder), str(tmp_path / "state"), run, 1)
+    w.start()
+    assert began.wait(60) and w.stop(0.1) is False and w.running and not w.beats
+    assert w.stop() and not w.running and list(w.beats)[0] == {"added": 1} and not any("error" in b for b in w.beats)
+
+
 def test_tasks_on_the_command_line(engine, folder, capsys):
     engine.add("kb", str(folder))
     assert main(["collection", "tasks", "kb"], engine) == 0
