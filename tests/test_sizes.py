@@ -57,6 +57,25 @@ def test_segments_are_made_of_the_points_just_written(spark, tmp_path):
     assert {t: store.files.names(os.path.join(store.path, t)) for t in before} == before and store.version() == 2
 
 
+def test_trigrams_of_new_words_are_hashed_once():
+    """Words that don't come again have trigrams that do; the hashes are those of word and trigrams, whoever keeps them."""
+    import hashlib
+
+    import numpy as np
+
+    words = [f"{a}{b}{c}{d}{e}" for a in "bcdfg" for b in "aeiou" for c in "klmnp" for d in "aeiou" for e in "rstvw"]
+    embedding._features.cache_clear()
+    embedding._hash.cache_clear()
+    got = HashingEmbedder(8).encode([" ".join(words), "", None])
+    assert embedding._hash.cache_info().misses < 500 < embedding._features.cache_info().misses == len(words)
+    want = np.zeros(8)
+    for w in words:
+        for part in (w, *(f"#{w}#"[k : k + 3] for k in range(len(w)))):
+            h = int.from_bytes(hashlib.blake2b(part.encode(), digest_size=8).digest(), "little")
+            want[h % 8] += 1 if h >> 63 else -1
+    assert np.allclose(got[0], want / np.linalg.norm(want)) and not got[1:].any()
+
+
 def test_versions_of_the_older_form_of_postings_are_passed_over(spark, tmp_path):
     store = Store(spark, str(tmp_path), "kb")
     store.commit(0, postings=sparse.stored(spark.createDataFrame([("a", "f", "x y")], "id string, source_file string, text string"), keep=("source_file",)))
