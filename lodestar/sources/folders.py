@@ -13,9 +13,11 @@ skipped, as Spark does.
 from __future__ import annotations
 
 import os
+import stat
 from collections import deque
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,6 +88,43 @@ class FolderSource(DataSource):
         return FolderReader(os.path.abspath(self.options["path"]))
 
 
+def list_named(spark: SparkSession, folder: str, paths: DataFrame, ignore_patterns: list[str] = (), ignore_extensions: list[str] = ()) -> DataFrame:
+    """Those rows of ``list_folder`` whose paths are among paths(file_path). On a POSIX mount only these are looked at."""
+    named = paths.select("file_path").distinct()
+    if not is_local(folder):
+        return list_folder(spark, folder, ignore_patterns, ignore_extensions).join(named, "file_path", "left_semi")
+    if not os.path.isdir(folder):
+        raise ValueError(f"not a folder: {folder}")
+    top = os.path.abspath(folder).rstrip("/")
+
+    def looked_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links: dict[str, bool] = {}  # whether a folder is a link or below one
+        for batch in batches:
+            rows = [row for p in batch.column(0).to_pylist() if p and (row := _state(top, p, links))]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("file_path", pa.string()), ("rel_path", pa.string()), ("file_mtime", pa.float64()), ("size", pa.int64())]))
+
+    return named.mapInArrow(looked_at, LISTING).filter(is_indexable(F.col("rel_path"), list(ignore_patterns or ()), list(ignore_extensions or ())))
+
+
+def _state(top: str, path: str, links: dict[str, bool]) -> dict | None:
+    """The listing's row of a regular file that the walk from ``top`` would find under this name."""
+
+    def linked(folder: str) -> bool:
+        if folder == top:
+            return False
+        if folder not in links:
+            links[folder] = os.path.islink(folder) or linked(os.path.dirname(folder))
+        return links[folder]
+
+    if not path.startswith(top + "/") or os.path.normpath(path) != path or linked(os.path.dirname(path) if os.path.dirname(path) != "/" else top):
+        return None
+    try:
+        state = os.lstat(path)
+    except OSError:
+        return None
+    return {"file_path": path, "rel_path": path[len(top) + 1 :], "file_mtime": state.st_mtime, "size": state.st_size} if stat.S_ISREG(state.st_mode) else None
+
+
 def list_folder(spark: SparkSession, folder: str, ignore_patterns: list[str] = (), ignore_extensions: list[str] = ()) -> DataFrame:
     """The indexable files of a folder; ValueError if it isn't one."""
     if not is_local(folder):

@@ -571,6 +571,31 @@ def test_a_running_batch_ends_before_its_stream_stops(spark, folder, tmp_path, b
     assert w.stop() and not w.running and list(w.beats)[0] == {"added": 1} and not any("error" in b for b in w.beats)
 
 
+def test_tasks_look_at_their_files_only(spark, engine, folder, monkeypatch):
+    """The rows are those of the listing, and the folder isn't walked for a batch of tasks."""
+    from lodestar.sources import folders
+
+    (folder / ".out").mkdir()
+    (folder / ".out" / "a.md").write_text("a")
+    (folder / "also").symlink_to(folder / ".out")
+    (folder / "also.md").symlink_to(folder / ".out" / "a.md")
+    (folder / "deep" / "er").mkdir(parents=True)
+    (folder / "deep" / "er" / "b.md").write_text("b")
+    listed = sorted(map(tuple, folders.list_folder(spark, str(folder), ["x/*"], [".log"]).collect()))
+    names = [r[0] for r in listed] + [str(folder / n) for n in (".out/a.md", "also/a.md", "also.md", "deep", "absent.md", "deep/../deep/er/b.md")] + ["/etc/hosts", None]
+    asked = spark.createDataFrame([(n,) for n in names + names], "file_path string")
+    assert sorted(map(tuple, folders.list_named(spark, str(folder), asked, ["x/*"], [".log"]).collect())) == listed and len(listed) > 1
+    engine.add("kb", str(folder))
+    (folder / "deep" / "er" / "b.md").write_text("b, and more")
+    os.utime(folder / "deep" / "er" / "b.md", (5, 5))
+
+    def walked(*_):
+        raise AssertionError("the folder is walked")
+
+    monkeypatch.setattr(folders.FolderReader, "partitions", walked)
+    assert engine._index("kb", [str(folder / "deep" / "er" / "b.md")])["updated"] == 1
+
+
 def test_tasks_on_the_command_line(engine, folder, capsys):
     engine.add("kb", str(folder))
     assert main(["collection", "tasks", "kb"], engine) == 0
