@@ -60,10 +60,12 @@ class ConcurrentWrite(RuntimeError):
 def due(segments: list[dict], fan: int = FAN) -> int | None:
     """Where the run of newest segments begins that is to be merged; None if there is none.
 
-    A run has ``fan`` segments of one size, and newer ones of smaller sizes.
+    A run has ``fan`` segments of one size, and newer ones of smaller sizes. All are merged when there are more
+    marks than readers broadcast, if the table is small or these are half as many as its rows: a merge writes all of it anew beside the old one.
     """
     level = [0 if s["bytes"] < SMALL else 1 + int(math.log(s["bytes"] / SMALL, fan)) for s in segments]
-    if len(segments) > 1 and sum(s["marks"] for s in segments) > MARKS:
+    marks = sum(s["marks"] for s in segments)
+    if len(segments) > 1 and marks > MARKS and (sum(s["bytes"] for s in segments) < SMALL or 2 * marks > sum(s["rows"] for s in segments)):
         return 0
     for top in sorted(set(level)):
         run = next((k for k in range(len(level), 0, -1) if level[k - 1] > top), 0)

@@ -571,6 +571,24 @@ def test_a_running_batch_ends_before_its_stream_stops(spark, folder, tmp_path, b
     assert w.stop() and not w.running and list(w.beats)[0] == {"added": 1} and not any("error" in b for b in w.beats)
 
 
+def test_marks_merge_a_table_only_when_they_are_many_of_its_rows():
+    from lodestar.operators import store
+
+    part = lambda rows, marks: {"bytes": 10 * rows, "rows": rows, "marks": marks}
+    many = 2 * store.MARKS
+    assert store.due([part(100 * many, 0), part(many, many)]) is None
+    assert store.due([part(many, 0), part(many // 2, many)]) == 0 and store.due([part(many, 0), part(9, 9)]) is None
+
+
+def test_a_sync_leaves_no_listing_behind(engine, folder):
+    from lodestar import storage
+
+    before = set(storage._WRITTEN)
+    engine.add("kb", str(folder))
+    (folder / "more.md").write_text("more")
+    assert engine.sync("kb")["added"] == 1 and set(storage._WRITTEN) <= before
+
+
 def test_tasks_look_at_their_files_only(spark, engine, folder, monkeypatch):
     """The rows are those of the listing, and the folder isn't walked for a batch of tasks."""
     from lodestar.sources import folders
